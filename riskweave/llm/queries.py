@@ -8,7 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table
-from . import mixing, splitting, tokens
+from ..functions.naming import plain_source, plain_tier
+from . import cutoffs, mixing, sketches, splitting, tokens
+
+#: Percentiles that the queries of problem 1 give.
+FRACTIONS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+#: Ranges of the metrics of problem 1.
+RANGES = {"anomaly_percentile": (0.0, 100.0), "calibrated_risk": (0.0, 1.0)}
+
+
+def _day_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "scores").select(
+        plain_source("source_name").alias("source_name"), "screen_date", plain_tier("risk_tier").alias("risk_tier"), *RANGES
+    )
+    codes = {name: sketches.encoded(F.col(name), *span) for name, span in RANGES.items()}
+    return sketches.build_sketches(rows, ["source_name", "screen_date", "risk_tier"], codes)
+
+
+def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of both metrics per source, screening day and tier, over all valid values of all rows."""
+    return sketches.percentiles(_day_sketches(spark, folder), ["source_name", "screen_date", "risk_tier"], RANGES, FRACTIONS)
+
+
+def p1_month_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The same per source, month and tier, from the days' sketches."""
+    keys = ["source_name", "month_start", "risk_tier"]
+    days = _day_sketches(spark, folder).withColumn("month_start", F.trunc("screen_date", "month"))
+    return sketches.percentiles(sketches.merge_sketches(days, keys), keys, RANGES, FRACTIONS)
+
+
+def p1_source_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The same per source over all days and tiers, from the days' sketches."""
+    return sketches.percentiles(sketches.merge_sketches(_day_sketches(spark, folder), ["source_name"]), ["source_name"], RANGES, FRACTIONS)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The records that the latest capacity request of their source and day keeps."""
+    records = cutoffs.latest_scores(read_table(spark, folder, "scores"))
+    cuts = cutoffs.capacity_cutoffs(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests")))
+    return cutoffs.kept(records, cuts, cutoffs.KEYS, "calibrated_risk").select("capacity_id", "id")
+
+
+def p2_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
+    """Cutoff, kept size and tiers of every capacity request that counts."""
+    records = cutoffs.latest_scores(read_table(spark, folder, "scores"), "risk_tier")
+    return cutoffs.cutoff_report(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests")))
+
+
+def p2_fraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Cutoff per source that keeps at most a twentieth of its records."""
+    return cutoffs.fraction_cutoffs(cutoffs.latest_scores(read_table(spark, folder, "scores")), ["source_name"], "calibrated_risk", 0.05)
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,8 +100,46 @@ def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
+    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_fraction)
+    return {f.__name__: f for f in (*found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
+
+
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_LATEST = f"""
+WITH ranked AS (
+  SELECT id, lower(trim(source_name, {_BLANKS})) AS source_name, screen_date, calibrated_risk,
+         regexp_replace(upper(trim(risk_tier, {_BLANKS})), '[\\s_-]+', '_', 'g') AS tier,
+         row_number() OVER (PARTITION BY coalesce(request_id, chr(1) || id) ORDER BY created_utc DESC NULLS LAST, id DESC) AS n
+  FROM scores),
+records AS (SELECT * FROM ranked WHERE n = 1 AND calibrated_risk IS NOT NULL AND NOT isnan(calibrated_risk) AND calibrated_risk BETWEEN 0 AND 1),
+asked AS (
+  SELECT capacity_id, lower(trim(source_name, {_BLANKS})) AS source_name, screen_date, review_capacity,
+         row_number() OVER (PARTITION BY lower(trim(source_name, {_BLANKS})), screen_date ORDER BY requested_utc DESC NULLS LAST, capacity_id DESC) AS n
+  FROM capacity_requests),
+capacities AS (SELECT * FROM asked WHERE n = 1 AND review_capacity >= 1),
+placed AS (
+  SELECT source_name, screen_date, id, tier, calibrated_risk,
+         count(*) OVER (PARTITION BY source_name, screen_date ORDER BY calibrated_risk DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_or_above
+  FROM records)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _LATEST + "SELECT capacity_id, id FROM placed JOIN capacities USING (source_name, screen_date) WHERE at_or_above <= review_capacity",
+        "p2_cutoffs": _LATEST + """
+SELECT c.capacity_id, c.source_name, c.screen_date, CAST(c.review_capacity AS BIGINT) AS review_capacity, CAST(count(p.id) AS BIGINT) AS n_records,
+       min(p.calibrated_risk) FILTER (WHERE at_or_above <= review_capacity) AS cutoff,
+       CAST(count(p.id) FILTER (WHERE at_or_above <= review_capacity) AS BIGINT) AS n_kept,
+       coalesce(string_agg(DISTINCT tier, ',' ORDER BY tier) FILTER (WHERE at_or_above <= review_capacity), '') AS tiers
+FROM capacities c LEFT JOIN placed p USING (source_name, screen_date) GROUP BY ALL""",
+        "p2_fraction": _LATEST + """
+, sized AS (
+  SELECT source_name, calibrated_risk, count(*) OVER (PARTITION BY source_name) AS n_records,
+         count(*) OVER (PARTITION BY source_name ORDER BY calibrated_risk DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_or_above
+  FROM records)
+SELECT source_name, CAST(floor(n_records * 0.05::DOUBLE) AS BIGINT) AS target, CAST(n_records AS BIGINT) AS n_records,
+       min(calibrated_risk) FILTER (WHERE at_or_above <= floor(n_records * 0.05::DOUBLE)) AS cutoff,
+       CAST(count(*) FILTER (WHERE at_or_above <= floor(n_records * 0.05::DOUBLE)) AS BIGINT) AS n_kept
+FROM sized GROUP BY source_name, n_records""",
+    }
