@@ -68,7 +68,9 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Targets that cannot be reached within max_repeats."""
     sized = mixing.sized_documents(read_table(spark, folder, "documents"))
-    rates = mixing.mixing_rates(mixing.source_tokens(sized), read_table(spark, folder, "mix_targets"))
+    # one row a source, used for the total and for each target: written once, so the corpus is encoded once
+    per_source = cut_lineage(mixing.source_tokens(sized))
+    rates = mixing.mixing_rates(per_source, read_table(spark, folder, "mix_targets"))
     return rates.where("is_capped").select("source_name")
 
 

@@ -42,11 +42,15 @@ class Layout:
 
     def __init__(self, tool: BytePairCodec, text: str):
         self.tool, self.text = tool, text
-        pieces = tool.pieces(text)
+        self.pieces = tool.pieces(text)
         known, fresh = tool.cache.get, tool.piece_ids
-        self.chars = np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))
-        self.tokens = np.concatenate(([0], np.cumsum([len(known(p) or fresh(p)) for p in pieces], dtype=np.int64)))
-        self.pieces = pieces
+        self.sizes = [len(known(p) or fresh(p)) for p in self.pieces]
+        self.total = sum(self.sizes)
+
+    def place(self) -> None:
+        """Works out the offsets; only texts over the limit need them."""
+        self.chars = np.concatenate(([0], np.cumsum([len(p) for p in self.pieces], dtype=np.int64)))
+        self.tokens = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
 
     def boundaries(self) -> list[np.ndarray]:
         """For each kind the sorted piece numbers before which the text may be cut."""
@@ -70,9 +74,10 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     lay = Layout(tool, text)
-    total = int(lay.tokens[-1])
+    total = lay.total
     if total <= limit:
         return [(0, len(text), total, "end")]
+    lay.place()
     kinds, tokens, chars = lay.boundaries(), lay.tokens, lay.chars
     out, start, last = [], 0, len(lay.pieces)
     while True:
@@ -151,9 +156,12 @@ def split_documents(
                 row_of: list[int] = []
                 for n, value in enumerate(batch.column("text").to_pylist()):
                     # a text has at most as many tokens as bytes, so short ones need no count
-                    if not value or oversized_only and len(value) * 4 <= limit or oversized_only and tool.count(value) <= limit:
+                    if not value or oversized_only and len(value) * 4 <= limit:
+                        continue
+                    parts = split_text(tool, value, limit, overlap)
+                    if oversized_only and len(parts) == 1:
                         continue
-                    for no, (first, end, size, how) in enumerate(split_text(tool, value, limit, overlap), 1):
+                    for no, (first, end, size, how) in enumerate(parts, 1):
                         row_of.append(n)
                         rows.append((no, first, end, size, how, value[first:end]))
                 columns = list(zip(*rows)) if rows else [()] * 6
