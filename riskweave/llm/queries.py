@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table
 from ..functions.naming import plain_source, plain_tier
-from . import cutoffs, mixing, sketches, splitting, tokens
+from . import cutoffs, mixing, neighbours, sketches, splitting, tokens
 
 #: Percentiles that the queries of problem 1 give.
 FRACTIONS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
@@ -60,6 +61,21 @@ def p2_fraction(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.fraction_cutoffs(cutoffs.latest_scores(read_table(spark, folder, "scores")), ["source_name"], "calibrated_risk", 0.05)
 
 
+def _classes(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+    names, scale = neighbours.coordinates(read_table(spark, folder, "feature_registry"))
+    tables = [read_table(spark, folder, t) for t in ("score_fingerprints", "cohort_index", "twin_index")]
+    return cut_lineage(neighbours.vector_classes(neighbours.account_vectors(*tables), names)), scale
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors within RADIUS of which one is among the nearest of the other."""
+    classes, scale = _classes(spark, folder)
+    # a coordinate that only one vector has adds 1, so pairs within the radius have the same ones
+    index = neighbours.sample_index(classes, scale, by_mask=True)
+    near = neighbours.class_neighbours(classes, index, cut_lineage)
+    return neighbours.near_pairs(neighbours.member_neighbours(classes, near))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and the byte_bpe_50k ids of every document."""
     return tokens.encode_texts(read_table(spark, folder, "documents"))
@@ -102,7 +118,7 @@ def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_fraction)
+    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_fraction, p4_found)
     return {f.__name__: f for f in (*found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
 
 
