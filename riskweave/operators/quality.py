@@ -225,7 +225,7 @@ def file_profile(lines: DataFrame, registry: list[Feature], settle) -> DataFrame
     without a value. Columns without numbers have null percentiles; a feature that no line of a
     file names has no row; an empty table has none. settle(df) stores rows used more than once.
     """
-    merged = settle(merge_states(scan_states(counted_lines(lines), registry), registry))
+    merged = settle(merge_states(scan_states(counted_lines(lines, settle), registry), registry))
     sizes = merged.where("feature < 0").select("file_id", "n_lines")
     own = merged.where("feature >= 0").drop("n_lines").join(sizes, "file_id")
     measured = own.withColumn("missing_share", 1 - F.col("n_valued") / F.col("n_lines"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import as_number, is_missing, json_object, plain_name
+from ..session import checked_broadcast, python_tasks
 from ..sources.feature_files import NUMBER_KINDS, Feature, counted_lines, file_sequence, names_of
 
 TYPES = ("number", "string", "boolean")
@@ -33,6 +34,8 @@ AGREE_SHARE, AGREE_ACCOUNTS = 0.9, 10
 KEEP_SHARE = 0.2
 #: Flooding stops when no score moves by more than this, or after so many rounds.
 SETTLED, MOST_ROUNDS = 1e-4, 60
+#: Files whose wanted fields are broadcast at most (a few short names each).
+MOST_FILES = 50_000
 #: (file, field) counters a worker holds before it passes them on.
 WORKER_FIELDS = 200_000
 
@@ -121,13 +124,13 @@ def field_values(lines: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    chosen = lines.where("account_reference IS NOT NULL").join(wanted, "file_id").select("file_id", "account_reference", "line_no", "features", "fields")
+    chosen = lines.where("account_reference IS NOT NULL").join(checked_broadcast(wanted, MOST_FILES), "file_id").select("file_id", "account_reference", "line_no", "features", "fields")
     read = chosen.mapInArrow(run, "file_id bigint, account_reference string, line_no int, field string, number double, words string")
     last = F.max_by(F.struct("number", "words"), "line_no")
     return read.groupBy("file_id", "account_reference", "field").agg(last.alias("v")).select("file_id", "account_reference", "field", "v.number", "v.words")
 
 
-def value_agreement(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def value_agreement(lines: DataFrame, pairs: DataFrame, settle) -> DataFrame:
     """(file_id, old, new, n_both, n_same) for pairs (file_id, prev_file_id, old, new) of fields.
 
     n_both counts the accounts of both files with a value under both names, n_same those where the
@@ -135,7 +138,7 @@ def value_agreement(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     wanted = pairs.select("prev_file_id", "old").union(pairs.select("file_id", "new")).toDF("file_id", "field")
     fields = wanted.groupBy("file_id").agg(F.collect_set("field").alias("fields"))
-    values = field_values(lines, fields)
+    values = field_values(lines, settle(fields))
     before = pairs.join(values.select(F.col("file_id").alias("prev_file_id"), F.col("field").alias("old"), "account_reference", F.col("number").alias("n0"), F.col("words").alias("w0")), ["prev_file_id", "old"])
     after = values.select("file_id", F.col("field").alias("new"), "account_reference", F.col("number").alias("n1"), F.col("words").alias("w1"))
     same = F.when(F.col("n0").isNotNull() & F.col("n1").isNotNull(), F.col("n0") == F.col("n1")).otherwise(F.col("w0") == F.col("w1"))
@@ -235,7 +238,7 @@ def correspondences(steps: DataFrame, agreement: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return both.mapInArrow(run, "file_id bigint, prev_file_id bigint, old string, new string, score double, by_name boolean, is_renamed boolean, is_best boolean")
+    return both.repartition(python_tasks(steps.sparkSession), "file_id").mapInArrow(run, "file_id bigint, prev_file_id bigint, old string, new string, score double, by_name boolean, is_renamed boolean, is_best boolean")
 
 
 def candidate_pairs(steps: DataFrame) -> DataFrame:
@@ -357,11 +360,11 @@ class SchemaDrift:
         """settle(df) stores an intermediate result of file-level rows that is used more than once."""
         self.registry, self.settle = registry, settle
         self.files = settle(file_sequence(lines))
-        self.lines = counted_lines(lines)
+        self.lines = counted_lines(lines, settle)
         self.counts = settle(field_counts(self.lines))
         self.steps = settle(field_steps(self.counts, self.files, registry))
         pairs = candidate_pairs(self.steps)
-        self.matches = settle(correspondences(self.steps, value_agreement(self.lines, settle(pairs))))
+        self.matches = settle(correspondences(self.steps, value_agreement(self.lines, settle(pairs), settle)))
 
     def changes(self, dry_runs: DataFrame) -> DataFrame:
         """(file_id, change_kind, field_name, new_name)."""

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "riskweave", cores: int | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -50,3 +51,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Parquet scan of one named table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """The stored rows with a broadcast hint if they are no more than most_rows, else without one.
+
+    df must be cheap to count (stored by `cut_lineage`); beyond the bound the join is left to the
+    optimizer, which shuffles both sides and splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def python_tasks(spark: SparkSession) -> int:
+    """Number of partitions for a Python-heavy stage: a few for each core, whatever the rows weigh."""
+    return 4 * spark.sparkContext.defaultParallelism

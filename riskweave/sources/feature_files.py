@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import plain_name
+from ..session import checked_broadcast
 
 #: Registries are small, fixed tables; more rows than this are refused rather than sent to the driver.
 MAX_REGISTRY_ROWS = 10_000
+#: Ids of repeated lines that are broadcast at most (8 bytes each).
+MOST_REPEATS = 2_000_000
 #: Kinds whose values are numbers, and kinds whose values are texts with a pattern.
 NUMBER_KINDS = ("amount", "ratio", "count")
 TEXT_KINDS = ("code", "date")
@@ -43,14 +47,15 @@ def names_of(registry: list[Feature]) -> dict[str, int]:
     return {plain_name(n): i for i, f in enumerate(registry) for n in (f.variable_name, f.feature) if n}
 
 
-def counted_lines(lines: DataFrame) -> DataFrame:
+def counted_lines(lines: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The lines without repeats: of each (file_id, line_no) the row with the lowest line_id.
 
-    Only ids are shuffled; the few repeats found are then left out of the scan of the texts.
+    Only ids are shuffled; the repeats found (few: their ids are stored by settle(df) and
+    broadcast up to MOST_REPEATS of them) are then left out of each scan of the texts.
     """
     copies = Window.partitionBy("file_id", "line_no").orderBy("line_id")
     again = lines.select("line_id", "file_id", "line_no").withColumn("__n", F.row_number().over(copies)).where("__n > 1").select("line_id")
-    return lines.join(again, "line_id", "left_anti")
+    return lines.join(checked_broadcast(settle(again), MOST_REPEATS), "line_id", "left_anti")
 
 
 def file_sequence(lines: DataFrame) -> DataFrame:
