@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import training
+from . import ranking, training
 
-_MODULES = (training,)
+_MODULES = (training, ranking.R)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Ranking quality per repeat."""
-    raise NotImplementedError
+    return ranking.flagship(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
