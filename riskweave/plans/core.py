@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking, training
+from . import graph, ranking, training
 
-_MODULES = (training, ranking.R)
+_MODULES = (training, ranking.R, graph.R)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
