@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +44,31 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """checkpoint() into the shared folder, so a lost executor costs no recomputation and loses no data."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes a table into the shared folder and reads it back: later steps start from its files.
+
+    A lost executor then costs no earlier step, joins know the table's size, and a reader of few
+    columns reads only those. The files are removed when the process ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_checkpoint_dir(spark)}/riskweave-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _remove_written() -> None:
+    for spark, folder in _WRITTEN:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone; the folder is the cluster's to clean
+            return
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
