@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow_runs import key_runs
 from ..functions.values import as_number, json_object
+from ..session import checked_broadcast
 
 DIMENSIONS = 28
 PROJECTIONS = 6
@@ -41,6 +42,8 @@ NEIGHBOURS, RADIUS = 5, 0.4
 CONFIDENCE = 0.9999
 #: Rows the index's sample holds at most, and rows a cell should hold.
 FIT_ROWS, CELL_ROWS = 40_000, 32_768
+#: Replaced rows that are broadcast at most (some 40 bytes each).
+MOST_REPLACED = 500_000
 #: Vectors in a leaf of a cell's own tree.
 LEAF_ROWS = 48
 
@@ -270,7 +273,7 @@ def _emit_classes(groups: dict[bytes, list[str]], most: int) -> pa.RecordBatch:
     rows = []
     for data, keys in groups.items():
         h1, h2 = _digest(data)
-        keys.sort()
+        keys = sorted(set(keys))
         present = ~np.isnan(np.frombuffer(data, np.float64))
         rows.append((h1, h2, int((present * (1 << np.arange(DIMENSIONS))).sum()), data, keys[:most]))
         rows += [(h1, h2, 0, None, keys[i : i + 1000]) for i in range(most, len(keys), 1000)]
@@ -491,11 +494,23 @@ def near_pairs(members: DataFrame) -> DataFrame:
     return members.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
 
 
-def account_vectors(fingerprints: DataFrame, cohort: DataFrame, twins: DataFrame) -> DataFrame:
+def latest_fingerprints(fingerprints: DataFrame, settle) -> DataFrame:
+    """The rows of each request_id with the latest created_utc (equal ones: the highest hash, then text).
+
+    Only the order is shuffled; the few rows that another replaces are stored by settle(df) and left
+    out of the scan of the texts. Rows equal in everything stay and count as one later.
+    """
+    rows = fingerprints.where("request_id IS NOT NULL").select("request_id", "created_utc", "feature_hash", "features_json")
+    marked = rows.withColumn("__row", F.xxhash64("request_id", "created_utc", "feature_hash", "features_json"))
+    newest = Window.partitionBy("request_id").orderBy(F.col("created_utc").desc_nulls_last(), F.col("feature_hash").desc_nulls_last(), "__row")
+    replaced = marked.select("request_id", "created_utc", "feature_hash", "__row").withColumn("__n", F.dense_rank().over(newest)).where("__n > 1").select("request_id", "__row")
+    return marked.join(checked_broadcast(settle(replaced), MOST_REPLACED), ["request_id", "__row"], "left_anti")
+
+
+def account_vectors(fingerprints: DataFrame, cohort: DataFrame, twins: DataFrame, settle) -> DataFrame:
     """(key, features, numbers) of the three tables' vectors; of a request_id only the row with the latest created_utc."""
-    newest = Window.partitionBy("request_id").orderBy(F.col("created_utc").desc_nulls_last(), F.col("feature_hash").desc_nulls_last(), F.col("features_json").desc_nulls_last())
-    latest = fingerprints.where("request_id IS NOT NULL").select("request_id", "created_utc", "feature_hash", "features_json").withColumn("__n", F.row_number().over(newest)).where("__n = 1")
     none = F.lit(None)
+    latest = latest_fingerprints(fingerprints, settle)
     return (
         latest.select(F.col("request_id").alias("key"), F.col("features_json").alias("features"), none.cast("array<double>").alias("numbers"))
         .unionByName(cohort.select(F.col("reference").alias("key"), none.cast("string").alias("features"), F.col("numeric_values").cast("array<double>").alias("numbers")))
