@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, ranking, training
+from . import features, graph, ranking, training
 
-_MODULES = (training, ranking.R, graph.R)
+_MODULES = (training, ranking.R, graph.R, features.R)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -143,5 +143,5 @@ WITH wide AS (
          c_nationkey::DOUBLE AS nation, o_totalprice AS price_copy, 0.0::DOUBLE AS constant, CASE WHEN o_orderkey % 500 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rare_flag,
          CASE WHEN o_orderkey % 97 = 0 THEN 10.0::DOUBLE ELSE -10.0::DOUBLE END AS recode, o_orderkey::DOUBLE AS ident
   FROM orders JOIN customer ON o_custkey = c_custkey),
-long AS (UNPIVOT INCLUDE NULLS wide ON price, acctbal, nation, price_copy, constant, rare_flag, recode, ident INTO NAME feature VALUE value)
+long AS (FROM wide UNPIVOT INCLUDE NULLS (value FOR feature IN (price, acctbal, nation, price_copy, constant, rare_flag, recode, ident)))
 """
