@@ -24,6 +24,12 @@ def divide(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of the rows that have both, null where one of them is constant (the built-in raises there)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _bucket(score: Column) -> Column:
     return F.least(F.greatest(F.floor(score * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
 
@@ -201,7 +207,7 @@ def rank_stability(rows: DataFrame, budgets: tuple[int, ...] = BUDGETS, rep: str
     both = ranked.withColumnsRenamed({"rep": "rep_a", "rn": "rn_a"}).join(other, "row").where("rep_a < rep_b")
     a, b = F.col("rn_a"), F.col("rn_b")
     jaccard = [divide(F.count_if((a <= k) & (b <= k)), F.count_if((a <= k) | (b <= k))).alias(f"jaccard_{k}") for k in budgets]
-    return both.groupBy("rep_a", "rep_b").agg(F.corr(a.cast("double"), b.cast("double")).alias("spearman"), *jaccard)
+    return both.groupBy("rep_a", "rep_b").agg(pearson(a.cast("double"), b.cast("double")).alias("spearman"), *jaccard)
 
 
 def slice_rates(ranked: DataFrame, group: str, budget: int, least_rows: int = 50, least_positives: int = 3, target: str = "target") -> DataFrame:
