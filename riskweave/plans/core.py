@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, graph, ranking, tables, training
+from . import features, graph, ranking, similarity, tables, training
 
-_MODULES = (training, ranking.R, graph.R, features.R, tables.R)
+_MODULES = (training, ranking.R, graph.R, features.R, tables.R, similarity.R)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
