@@ -34,13 +34,15 @@ def _bucket(score: Column) -> Column:
     return F.least(F.greatest(F.floor(score * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
 
 
-def ranked_points(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target") -> DataFrame:
+def ranked_points(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target", weight: str | None = None) -> DataFrame:
     """(keys, score, n, p, cum_n, cum_p): per distinct score the records and positives, and both summed down to it.
 
     Scores of 0..1 spread over the buckets; others fall into the outer ones and stay exact. Rows
-    with a null score are left out; an empty input gives an empty result.
+    with a null score are left out; an empty input gives an empty result. weight: a column of whole
+    numbers, how often a row counts.
     """
-    points = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("p"))
+    w = F.lit(1) if weight is None else F.col(weight)
+    points = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w.cast("bigint")).alias("n"), F.sum((w * F.col(target)).cast("bigint")).alias("p")).where("n > 0")
     points = points.withColumn("bucket", _bucket(F.col("score")))
     before = Window.partitionBy(*keys).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
