@@ -359,6 +359,7 @@ class SchemaDrift:
     def __init__(self, lines: DataFrame, registry: list[Feature], settle):
         """settle(df) stores an intermediate result of file-level rows that is used more than once."""
         self.registry, self.settle = registry, settle
+        lines = lines.select("line_id", "file_id", "source_name", "file_seq", "line_no", "account_reference", "features")
         self.files = settle(file_sequence(lines))
         self.lines = counted_lines(lines, settle)
         self.counts = settle(field_counts(self.lines))
