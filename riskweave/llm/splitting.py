@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries (problem 8).
 
 A text is laid out as the pieces of the vocabulary's split, with prefix sums of
-their token counts. Cuts fall between pieces, so every part has exactly the
-tokens of its stretch of the whole text. Boundaries are sorted arrays of piece
+their token counts. Cuts fall between pieces, so a part encodes to the tokens of its
+stretch of the whole text (but for blanks at its end, which then are one piece and
+counted as such). Boundaries are sorted arrays of piece
 numbers by strength; the end of a part is found by binary search for the last
 boundary under the limit, strongest kind first, and the next part begins by
 stepping back over the overlap in the same way. A single piece longer than the
@@ -52,6 +53,15 @@ class Layout:
         self.chars = np.concatenate(([0], np.cumsum([len(p) for p in self.pieces], dtype=np.int64)))
         self.tokens = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
 
+    def standalone(self, start: int, end: int) -> int:
+        """Tokens of the pieces start..end as a text of their own: blanks at its end become one piece."""
+        at = end
+        while at > start and self.pieces[at - 1].isspace():
+            at -= 1
+        size = int(self.tokens[at] - self.tokens[start])
+        blank = "".join(self.pieces[at:end])
+        return size + (len(self.tool.cache.get(blank) or self.tool.piece_ids(blank)) if blank else 0)
+
     def boundaries(self) -> list[np.ndarray]:
         """For each kind the sorted piece numbers before which the text may be cut."""
         text, starts, seen = self.text, self.chars, []
@@ -89,6 +99,8 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
         if furthest == start:  # one piece alone is over the limit
             out += hard_cut(tool, lay.pieces[start], int(chars[start]), limit, overlap)
             start += 1
+            if start == last:
+                return out
             continue
         low = base + int(limit * fill)
         end, how = furthest, "hard"
@@ -100,7 +112,11 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
                     break
             if how != "hard":
                 break
-        out.append((int(chars[start]), int(chars[end]), int(tokens[end] - base), how))
+        size = lay.standalone(start, end)
+        while size > limit and end > start + 1:  # a blank stretch may weigh more by itself
+            end, how = end - 1, "hard"
+            size = lay.standalone(start, end)
+        out.append((int(chars[start]), int(chars[end]), size, how))
         start = step_back(kinds, tokens, start, end, overlap, limit)
 
 
