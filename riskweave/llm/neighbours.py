@@ -18,13 +18,13 @@ class with one entry, so copies cost nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow_runs import key_runs
@@ -32,24 +32,24 @@ from ..functions.values import as_number, json_object
 from ..session import checked_broadcast
 
 DIMENSIONS = 28
-PROJECTIONS = 6
 SEED = 41
 #: Vectors with fewer coordinates have no neighbours.
 LEAST_PRESENT = 10
 #: Neighbours asked for, and the distance beyond which none counts in the join.
 NEIGHBOURS, RADIUS = 5, 0.4
-#: Chance that a neighbour at the bounding distance is seen.
-CONFIDENCE = 0.9999
+#: Projections, and the chance that a neighbour at the bounding distance is seen, in the join.
+PROJECTIONS, CONFIDENCE = 6, 0.9999
+#: The same in the search without a radius, and its neighbours: few dimensions tell far vectors apart too little.
+KNN_PROJECTIONS, KNN_CONFIDENCE, KNN_NEIGHBOURS = 12, 0.99, 10
 #: Rows the index's sample holds at most, and rows a cell should hold.
 FIT_ROWS, CELL_ROWS = 40_000, 32_768
 #: Replaced rows that are broadcast at most (some 40 bytes each).
 MOST_REPLACED = 500_000
+#: Share of rows that pass the projected test from which on all are verified, by a matrix product.
+DENSE_SHARE = 0.03
 #: Vectors in a leaf of a cell's own tree.
 LEAF_ROWS = 48
 
-_DIRECTIONS = np.random.default_rng(SEED).standard_normal((DIMENSIONS, PROJECTIONS))
-
-
 def chi_square_quantile(p: float, dof: int) -> float:
     """Inverse of the chi-square distribution for an even number of degrees of freedom."""
     if dof % 2:
@@ -104,12 +104,13 @@ class CellIndex:
 
     scale: np.ndarray
     centre: np.ndarray
+    directions: np.ndarray
     trees: dict[int, list]
     by_mask: bool
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
         """Projections of scaled vectors; a missing coordinate counts as the centre."""
-        return np.where(np.isnan(vectors), 0.0, (vectors - self.centre) / self.scale) @ _DIRECTIONS
+        return np.where(np.isnan(vectors), 0.0, (vectors - self.centre) / self.scale) @ self.directions
 
     def _tree(self, mask: int) -> list:
         return self.trees.get(mask if self.by_mask else 0, [])
@@ -139,7 +140,7 @@ class CellIndex:
         if not nodes:
             return np.arange(len(points)), np.full(len(points), base, np.int64)
         who, cells = [], []
-        stack = [(0, np.arange(len(points)), np.zeros((len(points), PROJECTIONS)))]
+        stack = [(0, np.arange(len(points)), np.zeros(points.shape))]
         while stack:
             at, own, gap = stack.pop()
             if not len(own):
@@ -158,13 +159,13 @@ class CellIndex:
         return (np.concatenate(who), np.concatenate(cells)) if who else (np.zeros(0, np.int64),) * 2
 
 
-def fit_index(sample: list[tuple[int, bytes]], total: int, scale: np.ndarray, by_mask: bool, cell_rows: int = CELL_ROWS) -> CellIndex:
+def fit_index(sample: list[tuple[int, bytes]], total: int, scale: np.ndarray, by_mask: bool, cell_rows: int = CELL_ROWS, projections: int = PROJECTIONS) -> CellIndex:
     """Index from sampled (mask, vector) of `total` vectors; every vector is indexed by it, sampled or not."""
     masks = np.array([m for m, _ in sample], np.int64)
     vectors = np.frombuffer(b"".join(v for _, v in sample), np.float64).reshape(-1, DIMENSIONS)
     with np.errstate(all="ignore"):
         centre = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in vectors.T]) if len(vectors) else np.zeros(DIMENSIONS)
-    index = CellIndex(scale, centre, {}, by_mask)
+    index = CellIndex(scale, centre, np.random.default_rng(SEED).standard_normal((DIMENSIONS, projections)), {}, by_mask)
     if not len(vectors):
         return index
     points, group = index.project(vectors), masks if by_mask else np.zeros(len(masks), np.int64)
@@ -193,6 +194,7 @@ class Block:
         self.starts = self.ends - sizes
         self.vectors, self.points, self.ranks, self.scale = vectors[self.order], points[self.order], ranks[self.order], scale
         self.norms = (self.points**2).sum(1)
+        self._right = None
         self.low = np.minimum.reduceat(self.points, self.starts)
         self.high = np.maximum.reduceat(self.points, self.starts)
 
@@ -217,7 +219,9 @@ class Block:
         found = []
         leaf = self.leaf_of(points)
         order = np.argsort(leaf, kind="stable")
-        for group in np.split(order, np.nonzero(np.diff(leaf[order]))[0] + 1) if len(order) else ():
+        # queries of one leaf go together; where they are sparse, those of neighbouring leaves do
+        cuts = np.nonzero(np.diff(leaf[order]))[0] + 1 if len(order) >= 16 * len(self.starts) else []
+        for group in np.split(order, cuts) if len(order) else ():
             for at in range(0, len(group), 64):
                 found.append(self._search(group[at : at + 64], vectors, points, selves, bounds, k, ratio))
         if not found:
@@ -225,6 +229,19 @@ class Block:
         q, r, d = (np.concatenate(x) for x in zip(*found))
         return q, self.order[r], d
 
+    def _parts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled values with gaps as 0, presence, and the number present: what exact distances are made of."""
+        present = ~np.isnan(vectors)
+        z = np.where(present, vectors / self.scale, 0.0)
+        return z, present.astype(float), present.sum(1).astype(float)
+
+    def _dense(self, left: np.ndarray, n_left: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact squared distances (but for rounding) of all queries and rows, as one matrix product."""
+        if self._right is None:
+            z, p, n = self._parts(self.vectors)
+            self._right, self._n = np.concatenate((p, z * z, z, p), 1), n
+        return left @ self._right[rows].T + n_left[:, None] + self._n[rows]
+
     def _search(self, own, vectors, points, selves, bounds, k, ratio):
         mine, bound = points[own], bounds[own].copy()
         gap = np.maximum(0, np.maximum(self.low - mine.max(0), mine.min(0) - self.high))
@@ -233,12 +250,18 @@ class Block:
         near = near[np.argsort(gap[near], kind="stable")]
         norms = (mine * mine).sum(1)
         q, r, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step, left = 0, 4, None
         while at < len(near) and gap[near[at]] <= ratio * bound.max():  # the stopping test: no bound reaches further
             rows = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in near[at : at + step]])
             at, step = at + step, min(4 * step, 64)
             apart = norms[:, None] + self.norms[rows] - 2 * (mine @ self.points[rows].T)
-            i, j = np.nonzero(apart <= ratio * bound[:, None] + 1e-9 * (1 + norms[:, None]))
+            passed = apart <= ratio * bound[:, None] + 1e-9 * (1 + norms[:, None])
+            if at > 4 and passed.mean() > DENSE_SHARE:
+                if left is None:
+                    z, p, n_left = self._parts(vectors[own])
+                    left = np.concatenate((z * z, p, -2 * z, -2 * p), 1)
+                passed = self._dense(left, n_left, rows) <= bound[:, None] * (1 + 1e-9) + 1e-9
+            i, j = np.nonzero(passed)
             if not len(i):
                 continue
             j = rows[j]
@@ -280,6 +303,16 @@ def _emit_classes(groups: dict[bytes, list[str]], most: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CLASS_ARROW)], schema=_CLASS_ARROW)
 
 
+def in_query_set(key: Column) -> Column:
+    """The stated query set: keys whose number is divisible by 50."""
+    return F.regexp_extract(key, r"([0-9]+)$", 1).try_cast("bigint") % 50 == 0
+
+
+def query_classes(k: int) -> Column:
+    """Classes that may hold a query: one of their first keys is one, or they have more keys."""
+    return F.exists("keys", in_query_set) | (F.size("keys") > k)
+
+
 def vector_classes(rows: DataFrame, names: dict[str, int], k: int = NEIGHBOURS, least: int = LEAST_PRESENT) -> DataFrame:
     """(h1, h2, mask, vec, keys) of vectors given as (key, features, numbers).
 
@@ -341,13 +374,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, DIMENSIONS)
 
 
-def sample_index(classes: DataFrame, scale: np.ndarray, by_mask: bool, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS) -> CellIndex:
+def sample_index(classes: DataFrame, scale: np.ndarray, by_mask: bool, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, projections: int = PROJECTIONS) -> CellIndex:
     """Index fit on about fit_rows vectors (a bound whatever the size of the input), chosen by hash."""
     heads = classes.where("vec IS NOT NULL")
     total = heads.count()
     rate = min(1.0, 0.9 * fit_rows / max(1, total))
     picked = heads.where(F.pmod(F.xxhash64("h2", F.lit(SEED)), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("mask", "vec").limit(fit_rows)
-    return fit_index([(r[0], bytes(r[1])) for r in picked.collect()], total, scale, by_mask, cell_rows)
+    return fit_index([(r[0], bytes(r[1])) for r in picked.collect()], total, scale, by_mask, cell_rows, projections)
 
 
 _ROW = "cell bigint, role int, h1 bigint, h2 bigint, name string, mask int, vec binary, bound double"
@@ -361,8 +394,8 @@ def _spread(df: DataFrame) -> int:
     return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
-def place(classes: DataFrame, index: CellIndex) -> DataFrame:
-    """Every class with its cell."""
+def place(classes: DataFrame, index: CellIndex, asks: Column | None = None) -> DataFrame:
+    """Every class with its cell, and role: 1 for queries (all by default), 0 for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,10 +403,10 @@ def place(classes: DataFrame, index: CellIndex) -> DataFrame:
                 table = pa.Table.from_batches([batch])
                 cells = index.home(batch.column("mask").to_numpy(), index.project(_matrix(table["vec"])))
                 n = batch.num_rows
-                columns = [pa.array(cells), pa.array(np.zeros(n, np.int32)), batch.column("h1"), batch.column("h2"), batch.column("name"), batch.column("mask"), batch.column("vec"), pa.nulls(n, pa.float64())]
+                columns = [pa.array(cells), batch.column("role"), batch.column("h1"), batch.column("h2"), batch.column("name"), batch.column("mask"), batch.column("vec"), pa.nulls(n, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ROW_ARROW)
 
-    heads = classes.where("vec IS NOT NULL").select("h1", "h2", F.element_at("keys", 1).alias("name"), "mask", "vec")
+    heads = classes.where("vec IS NOT NULL").select("h1", "h2", F.element_at("keys", 1).alias("name"), "mask", "vec", (F.lit(True) if asks is None else asks).cast("int").alias("role"))
     return heads.mapInArrow(run, _ROW)
 
 
@@ -398,17 +431,14 @@ _BOTH = f"{_FOUND}, cell bigint, mask int, vec binary, bound double"
 _BOTH_ARROW = pa.schema([*_FOUND_ARROW, ("cell", pa.int64()), ("mask", pa.int32()), ("vec", pa.binary()), ("bound", pa.float64())])
 
 
-def search_home(placed: DataFrame, index: CellIndex, k: int, radius: float, ratio: float, asks: Callable[[list[str]], np.ndarray] | None, far_ratio: float) -> DataFrame:
-    """Neighbours found in the queries' own cells, and (with a cell) the queries that must visit further cells.
-
-    asks: which names are queries (all by default). far_ratio: chi-square quantile for the visits.
-    """
+def search_home(placed: DataFrame, index: CellIndex, k: int, radius: float, ratio: float) -> DataFrame:
+    """Neighbours found in the queries' own cells, and (with a cell) the queries that must visit further cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, rows in key_runs(batches, "cell"):
             vectors, points, h1, h2, names = _table(rows, index)
             n, mask = len(names), int(rows["mask"][0].as_py())
-            query = np.arange(n) if asks is None else np.nonzero(asks(names))[0]
+            query = np.nonzero(rows["role"].to_numpy() == 1)[0]
             if not len(query) or n == 1 and index.by_mask and not index._tree(mask):
                 continue
             ranks, bound = _ranks(names), np.full(len(query), radius * radius)
@@ -422,7 +452,7 @@ def search_home(placed: DataFrame, index: CellIndex, k: int, radius: float, rati
                 if len(q):
                     found = _found(h1, h2, h1, h2, names, query[q], r, d)
                     yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(len(q), f.type) for f in list(_BOTH_ARROW)[6:])], schema=_BOTH_ARROW)
-            who, cells = index.reach(mask, points[query], np.sqrt(far_ratio * bound))
+            who, cells = index.reach(mask, points[query], np.sqrt(ratio * bound))
             away = cells != cell
             who, cells = who[away], cells[away]
             for at in range(0, len(who), 20_000):
@@ -441,7 +471,7 @@ def search_away(placed: DataFrame, visits: DataFrame, index: CellIndex, k: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in key_runs(batches, "cell"):
             role = rows["role"].to_numpy()
-            own, guests = rows.filter(pa.array(role == 0)), rows.filter(pa.array(role == 1))
+            own, guests = rows.filter(pa.array(role < 2)), rows.filter(pa.array(role == 2))
             if not own.num_rows or not guests.num_rows:
                 continue
             vectors, points, h1, h2, names = _table(own, index)
@@ -453,17 +483,16 @@ def search_away(placed: DataFrame, visits: DataFrame, index: CellIndex, k: int,
                 if len(q):
                     yield _found(g1, g2, h1, h2, names, q, r, d)
 
-    guests = visits.select("cell", F.lit(1).alias("role"), "h1", "h2", "name", "mask", "vec", "bound")
+    guests = visits.select("cell", F.lit(2).alias("role"), "h1", "h2", "name", "mask", "vec", "bound")
     both = placed.unionByName(guests)
     return both.repartition(_spread(placed), "cell").sortWithinPartitions("cell", "role").mapInArrow(run, _FOUND)
 
 
-def class_neighbours(classes: DataFrame, index: CellIndex, settle, k: int = NEIGHBOURS, radius: float = RADIUS, confidence: float = CONFIDENCE, far_confidence: float | None = None, asks=None) -> DataFrame:
-    """(q1, q2, h1, h2, d2): the k nearest other classes of every class, or of those whose first key asks() picks."""
-    ratio = chi_square_quantile(confidence, PROJECTIONS)
-    far = ratio if far_confidence is None else chi_square_quantile(far_confidence, PROJECTIONS)
-    placed = place(classes, index)
-    first = settle(search_home(placed, index, k, radius, ratio, asks, far))
+def class_neighbours(classes: DataFrame, index: CellIndex, settle, k: int = NEIGHBOURS, radius: float = RADIUS, confidence: float = CONFIDENCE, asks: Column | None = None) -> DataFrame:
+    """(q1, q2, h1, h2, d2): the k nearest other classes within the radius of every class, or of those that asks (over keys) picks."""
+    ratio = chi_square_quantile(confidence, index.directions.shape[1])
+    placed = place(classes, index, asks)
+    first = settle(search_home(placed, index, k, radius, ratio))
     visits = first.where("cell IS NOT NULL").select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "name", "cell", "mask", "vec", "bound")
     found = first.where("cell IS NULL").select("q1", "q2", "h1", "h2", "name", "d2").unionByName(search_away(placed, visits, index, k, ratio))
     nearest = Window.partitionBy("q1", "q2").orderBy("d2", "name")

@@ -61,10 +61,10 @@ def p2_fraction(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.fraction_cutoffs(cutoffs.latest_scores(read_table(spark, folder, "scores")), ["source_name"], "calibrated_risk", 0.05)
 
 
-def _classes(spark: SparkSession, folder: str) -> tuple[DataFrame, np.ndarray]:
+def _classes(spark: SparkSession, folder: str, k: int = neighbours.NEIGHBOURS) -> tuple[DataFrame, np.ndarray]:
     names, scale = neighbours.coordinates(read_table(spark, folder, "feature_registry"))
     tables = [read_table(spark, folder, t) for t in ("score_fingerprints", "cohort_index", "twin_index")]
-    return cut_lineage(neighbours.vector_classes(neighbours.account_vectors(*tables, cut_lineage), names)), scale
+    return cut_lineage(neighbours.vector_classes(neighbours.account_vectors(*tables, cut_lineage), names, k)), scale
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +76,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_pairs(neighbours.member_neighbours(classes, near))
 
 
+def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The KNN_NEIGHBOURS nearest vectors, at any distance, of the query set (keys with a number divisible by 50) among all."""
+    k = neighbours.KNN_NEIGHBOURS
+    classes, scale = _classes(spark, folder, k)
+    index = neighbours.sample_index(classes, scale, by_mask=False, projections=neighbours.KNN_PROJECTIONS)
+    near = neighbours.class_neighbours(classes, index, cut_lineage, k, float("inf"), neighbours.KNN_CONFIDENCE, neighbours.query_classes(k))
+    found = neighbours.member_neighbours(classes, near, k).where(neighbours.in_query_set(F.col("key")))
+    return found.select("key", "neighbour", F.sqrt("d2").alias("distance"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and the byte_bpe_50k ids of every document."""
     return tokens.encode_texts(read_table(spark, folder, "documents"))
@@ -118,7 +128,7 @@ def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_fraction, p4_found)
+    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_fraction, p4_found, p4_nearest)
     return {f.__name__: f for f in (*found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
 
 

@@ -36,13 +36,15 @@ _PARAGRAPH = regex.compile(r"\n[ \t\r]*\n\s*")
 _LINE = regex.compile(r"\r?\n|[\r  \u0085]")
 _SENTENCE = regex.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？｡।؟]")
 _WORD = regex.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")
+#: For each kind its pattern, and the side of a match where the cut lies.
+_PLACES = ((_SECTION, "start"), (_PARAGRAPH, "end"), (_LINE, "end"), (_SENTENCE, "end"), (_WORD, "start"))
 
 
 class Layout:
     """Pieces of one text: where they begin (in characters), and the tokens before each."""
 
     def __init__(self, tool: BytePairCodec, text: str):
-        self.tool, self.text = tool, text
+        self.tool, self.text, self._found = tool, text, {}
         self.pieces = tool.pieces(text)
         known, fresh = tool.cache.get, tool.piece_ids
         self.sizes = [len(known(p) or fresh(p)) for p in self.pieces]
@@ -62,21 +64,15 @@ class Layout:
         blank = "".join(self.pieces[at:end])
         return size + (len(self.tool.cache.get(blank) or self.tool.piece_ids(blank)) if blank else 0)
 
-    def boundaries(self) -> list[np.ndarray]:
-        """For each kind the sorted piece numbers before which the text may be cut."""
-        text, starts, seen = self.text, self.chars, []
-        for kind, places in (
-            ("section", [m.start() for m in _SECTION.finditer(text)]),
-            ("paragraph", [m.end() for m in _PARAGRAPH.finditer(text)]),
-            ("line", [m.end() for m in _LINE.finditer(text)]),
-            ("sentence", [m.end() for m in _SENTENCE.finditer(text)]),
-            ("word", [m.start() for m in _WORD.finditer(text)]),
-        ):
-            places = np.asarray(places, np.int64)
-            at = np.searchsorted(starts, places)
-            fits = (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] == places)
-            seen.append(np.unique(at[fits]))
-        return seen
+    def boundaries(self, kind: int) -> np.ndarray:
+        """The sorted piece numbers before which the text may be cut at a boundary of a kind; found when first asked for."""
+        if kind not in self._found:
+            pattern, side = _PLACES[kind]
+            places = np.asarray([getattr(m, side)() for m in pattern.finditer(self.text)], np.int64)
+            at = np.searchsorted(self.chars, places)
+            fits = (at < len(self.chars)) & (self.chars[np.minimum(at, len(self.chars) - 1)] == places)
+            self._found[kind] = np.unique(at[fits])
+        return self._found[kind]
 
 
 def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP, fill: float = LEAST_FILL) -> list[tuple[int, int, int, str]]:
@@ -88,7 +84,7 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
     if total <= limit:
         return [(0, len(text), total, "end")]
     lay.place()
-    kinds, tokens, chars = lay.boundaries(), lay.tokens, lay.chars
+    tokens, chars = lay.tokens, lay.chars
     out, start, last = [], 0, len(lay.pieces)
     while True:
         base = tokens[start]
@@ -105,7 +101,8 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
         low = base + int(limit * fill)
         end, how = furthest, "hard"
         for floor in (low, base + overlap):  # full enough first; any boundary beyond the overlap rather than a hard cut
-            for kind, places in zip(KINDS, kinds):
+            for number, kind in enumerate(KINDS):
+                places = lay.boundaries(number)
                 k = int(np.searchsorted(places, furthest, "right")) - 1
                 if k >= 0 and tokens[places[k]] > floor and places[k] > start:
                     end, how = int(places[k]), kind
@@ -117,18 +114,20 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
             end, how = end - 1, "hard"
             size = lay.standalone(start, end)
         out.append((int(chars[start]), int(chars[end]), size, how))
-        start = step_back(kinds, tokens, start, end, overlap, limit)
+        start = step_back(lay, start, end, overlap, limit)
 
 
-def step_back(kinds: list[np.ndarray], tokens: np.ndarray, start: int, end: int, overlap: int, limit: int) -> int:
+def step_back(lay: Layout, start: int, end: int, overlap: int, limit: int) -> int:
     """Where the next part begins: at least `overlap` tokens before `end`, at a boundary if one is near, after `start`."""
+    tokens = lay.tokens
     if not overlap:
         return end
     latest = int(np.searchsorted(tokens, tokens[end] - overlap, "right")) - 1
     if latest <= start:
         return end
     earliest = max(start + 1, int(np.searchsorted(tokens, tokens[end] - min(4 * overlap, limit // 2), "left")))
-    for places in kinds[2:]:
+    for number in range(2, len(KINDS)):
+        places = lay.boundaries(number)
         k = int(np.searchsorted(places, latest, "right")) - 1
         if k >= 0 and places[k] >= earliest:
             return int(places[k])

@@ -74,3 +74,25 @@ def test_chi_square_quantiles():
     assert nb.chi_square_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3) and nb.chi_square_quantile(0.9999, 6) == pytest.approx(27.856, abs=1e-2)
     with pytest.raises(ValueError):
         nb.chi_square_quantile(0.5, 5)
+
+
+def test_search_without_a_radius_finds_the_nearest(spark):
+    rng = np.random.default_rng(2)
+    x = rng.lognormal(0, 0.6, (1500, nb.DIMENSIONS)) * SCALE
+    x[rng.random(x.shape) < 0.03] = np.nan
+    x = np.concatenate((x, np.repeat(x[50:51], 20, 0)))
+    keys = [f"RV-{i}" for i in range(len(x))]
+    rows = spark.createDataFrame([(k, None, [None if v != v else float(v) for v in row]) for k, row in zip(keys, x)], ROWS)
+    classes = cut_lineage(nb.vector_classes(rows, NAMES, 10))
+    index = nb.sample_index(classes, SCALE, by_mask=False, cell_rows=200, projections=nb.KNN_PROJECTIONS)
+    near = nb.class_neighbours(classes, index, cut_lineage, 10, float("inf"), nb.KNN_CONFIDENCE, nb.query_classes(10))
+    got = {}
+    for r in nb.member_neighbours(classes, near, 10).where(nb.in_query_set(nb.F.col("key"))).collect():
+        got.setdefault(r.key, []).append(r.d2)
+    asked = [i for i in range(len(x)) if i % 50 == 0]
+    assert set(got) == {keys[i] for i in asked} and {len(v) for v in got.values()} == {10}
+    hits = 0
+    for i in asked:
+        d = np.sort(np.delete(nb.distances(np.repeat(x[i : i + 1], len(x), 0), x, SCALE), i))[:10]
+        hits += sum(v <= d[-1] + 1e-9 for v in got[keys[i]])
+    assert hits / (10 * len(asked)) >= 0.9
