@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, graph, learned, ranking, records, similarity, tables, training
+from . import features, graph, learned, ranking, records, similarity, storage, tables, training
 
-_MODULES = (training, ranking.R, graph.R, features.R, tables.R, similarity.R, records.R, learned.R)
+_MODULES = (training, ranking.R, graph.R, features.R, tables.R, similarity.R, records.R, learned.R, storage.R)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
