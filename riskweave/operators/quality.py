@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from ..functions.values import as_number, is_missing, json_object, plain_name
 from ..sources.feature_files import NUMBER_KINDS, TEXT_KINDS, Feature, counted_lines, file_sequence, names_of
+from .quantiles import linear_quantiles, value_counts
 
 #: Limits of the issues (fixed values); they are exceeded if by more than SLACK.
 NULL_RATE_CHANGE, LEAST_NUMBERS, SLACK = 0.30, 10, 1e-7
+#: Lines of a file from which on its columns' values are ranked in pieces.
+LARGE_FILE = 5_000_000
 #: Values a worker holds before it passes its states on.
 WORKER_VALUES = 2_000_000
 #: Control limits: so many files of history at most and at least, and so many standard deviations.
@@ -146,8 +149,8 @@ def scan_states(lines: DataFrame, registry: list[Feature]) -> DataFrame:
 def merge_states(states: DataFrame, registry: list[Feature]) -> DataFrame:
     """(file_id, feature, metrics...) of every file's column: states of one key stream in sorted order and are added.
 
-    Percentiles are exact (linear interpolation), so the values of one column of one file are held
-    in memory at a time: 8 bytes a line of the file, the unit that arrives at once.
+    Percentiles are exact (linear interpolation): the values of one column of one file are held in
+    memory at a time, 8 bytes a line. For files of more than LARGE_FILE lines see `merge_large_states`.
     """
     numeric = np.array([f.value_kind in NUMBER_KINDS for f in registry] + [False])
 
@@ -213,6 +216,42 @@ def merge_states(states: DataFrame, registry: list[Feature]) -> DataFrame:
     return keyed.mapInArrow(run, _ddl(_METRICS))
 
 
+def merge_large_states(states: DataFrame, registry: list[Feature]) -> DataFrame:
+    """The same metrics, also exact, for files of any size: values are counted and ranked in pieces, none is gathered."""
+    numeric = np.array([f.value_kind in NUMBER_KINDS for f in registry] + [False])
+    schema = pa.schema([("file_id", pa.int64()), ("feature", pa.int32()), ("value", pa.float64()), ("bits", pa.int64())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, feature, held in zip(*(batch.column(c).to_pylist() for c in ("file_id", "feature", "held"))):
+                bits = np.frombuffer(held, np.int64)
+                for at in range(0, len(bits), 100_000):
+                    part = bits[at : at + 100_000]
+                    value = pa.array(part.view(np.float64)) if numeric[feature] else pa.nulls(len(part), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), file)), pa.array(np.full(len(part), feature, np.int32)), value, pa.array(part)], schema=schema)
+
+    keys = ["file_id", "feature"]
+    values = states.select(*keys, "held").mapInArrow(unpack, "file_id bigint, feature int, value double, bits bigint")
+    sums = states.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n_lines", "n_valued", "n_fault", "n_outside")))
+    distinct = values.select(*keys, "bits").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
+    counts = value_counts(values, keys)
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_numbers"))
+    points = linear_quantiles(counts, keys, {"low": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "high": 1.0})
+    zero = F.lit(0).cast("bigint")
+    joined = sums.join(distinct, keys, "left").join(sizes, keys, "left").join(points, keys, "left")
+    return joined.select(*(F.coalesce(f.name, zero).alias(f.name) if f.name in ("n_numbers", "n_distinct") else F.col(f.name) for f in _METRICS))
+
+
+def file_metrics(lines: DataFrame, files: DataFrame, registry: list[Feature], settle) -> DataFrame:
+    """Merged metrics of all files; those of more than LARGE_FILE lines take the way that gathers nothing."""
+    states = scan_states(counted_lines(lines, settle), registry)
+    large = files.where(F.col("n_rows") > LARGE_FILE).select("file_id")
+    if large.isEmpty():
+        return settle(merge_states(states, registry))
+    states = settle(states)
+    return settle(merge_states(states.join(large, "file_id", "left_anti"), registry).unionByName(merge_large_states(states.join(large, "file_id", "left_semi"), registry)))
+
+
 def _registry_table(spark, registry: list[Feature]) -> DataFrame:
     rows = [(i, f.feature, f.value_kind) for i, f in enumerate(registry)]
     return spark.createDataFrame(rows, "feature int, column_name string, value_kind string")
@@ -225,12 +264,12 @@ def file_profile(lines: DataFrame, registry: list[Feature], settle) -> DataFrame
     without a value. Columns without numbers have null percentiles; a feature that no line of a
     file names has no row; an empty table has none. settle(df) stores rows used more than once.
     """
-    merged = settle(merge_states(scan_states(counted_lines(lines, settle), registry), registry))
+    files = settle(file_sequence(lines))
+    merged = file_metrics(lines, files, registry, settle)
     sizes = merged.where("feature < 0").select("file_id", "n_lines")
     own = merged.where("feature >= 0").drop("n_lines").join(sizes, "file_id")
     measured = own.withColumn("missing_share", 1 - F.col("n_valued") / F.col("n_lines"))
-    files = file_sequence(lines).select("file_id", "source_name", "file_seq", "prev_file_id")
-    named = measured.join(_registry_table(lines.sparkSession, registry), "feature").join(files, "file_id")
+    named = measured.join(_registry_table(lines.sparkSession, registry), "feature").join(files.drop("n_rows"), "file_id")
     before = measured.select(
         F.col("file_id").alias("prev_file_id"), "feature", *(F.col(c).alias(f"prev_{c}") for c in ("missing_share", "n_numbers", "p10", "p50", "p90"))
     )

@@ -239,7 +239,7 @@ def slice_fairness(spark: SparkSession, folder: str) -> DataFrame:
 
 _CURVE_SQL = POINTS + """
 , one AS (SELECT * FROM ranked WHERE model = 'm_a'),
-grid AS (SELECT DISTINCT b AS budget FROM (SELECT unnest(range(1, 301)) AS b UNION ALL SELECT unnest(range(310, 1001, 10)) UNION ALL SELECT unnest(range(1100, 100000000 // 1000 + 1, 100)) UNION ALL SELECT max(n_rows) FROM one) WHERE b <= (SELECT max(n_rows) FROM one)),
+grid AS (SELECT DISTINCT b AS budget FROM (SELECT unnest(range(1, 301)) AS b UNION ALL SELECT unnest(range(310, 1001, 10)) UNION ALL SELECT unnest(range(1100, (SELECT max(n_rows) + 1 FROM one), 100)) UNION ALL SELECT max(n_rows) FROM one) WHERE b <= (SELECT max(n_rows) FROM one)),
 runs AS (SELECT *, sum(target) OVER (PARTITION BY model, rep ORDER BY rn) AS tp, count(*) OVER (PARTITION BY model, rep ORDER BY score DESC) AS n_at FROM one),
 curve AS (SELECT rep, CAST(budget AS BIGINT) AS budget, CAST(tp AS BIGINT) AS true_positives, CAST(budget - tp AS BIGINT) AS false_positives, CAST(n_pos - tp AS BIGINT) AS missed, round(tp / n_pos, 6) AS recall,
                  round(tp / budget, 6) AS "precision", round((budget - tp) * 1000.0::DOUBLE / (n_rows - n_pos), 6) AS fp_per_1000_legitimate, round((budget - tp) * 1000.0::DOUBLE / n_rows, 6) AS fp_per_1000_screened,

@@ -59,10 +59,10 @@ def counted_lines(lines: DataFrame, settle: Callable[[DataFrame], DataFrame]) ->
 
 
 def file_sequence(lines: DataFrame) -> DataFrame:
-    """(file_id, source_name, file_seq, prev_file_id): each file and the one before it of its source.
+    """(file_id, source_name, file_seq, n_rows, prev_file_id): each file and the one before it of its source.
 
     The window runs over one row a file.
     """
-    files = lines.groupBy("file_id").agg(F.min("source_name").alias("source_name"), F.min("file_seq").alias("file_seq"))
+    files = lines.groupBy("file_id").agg(F.min("source_name").alias("source_name"), F.min("file_seq").alias("file_seq"), F.count(F.lit(1)).alias("n_rows"))
     before = Window.partitionBy("source_name").orderBy("file_seq", "file_id")
     return files.withColumn("prev_file_id", F.lag("file_id").over(before))

@@ -123,6 +123,14 @@ def test_states_merge_in_any_partitioning(spark):
     assert metrics(lines.coalesce(1)) == metrics(lines.repartition(9))
 
 
+def test_large_files_give_the_same_profile(spark, monkeypatch):
+    registry = load_registry(read_table(spark, SMALL, "feature_registry"))
+    profile = lambda: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in quality.file_profile(read_table(spark, SMALL, "score_requests"), registry, cut_lineage).collect()}
+    plain = profile()
+    monkeypatch.setattr(quality, "LARGE_FILE", 50)
+    assert profile() == plain
+
+
 def test_dry_run_figures(spark):
     rows = [(1, None, 1.0), (2, 99, float("nan")), (3, 0, -0.1), (4, -1, 1.00000001)]
     got = {tuple(r) for r in quality.dry_run_issues(spark.createDataFrame(rows, "file_id bigint, n_missing_required int, schema_completeness double"), REGISTRY).collect()}
