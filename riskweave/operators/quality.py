@@ -304,7 +304,7 @@ def dry_run_issues(dry_runs: DataFrame, registry: list[Feature]) -> DataFrame:
     for name, most in figures.items():
         value = F.col(name).cast("double")
         found = {"null_rate": value.isNull() | F.isnan(value), "range": ~F.isnan(value) & ((value < -SLACK) | (value > most + SLACK))}
-        part = dry_runs.select("file_id", F.lit(name).alias("column_name"), _issues(found).alias("issue"))
+        part = dry_runs.where("file_id IS NOT NULL").select("file_id", F.lit(name).alias("column_name"), _issues(found).alias("issue"))
         rows = part if rows is None else rows.union(part)
     return rows
 

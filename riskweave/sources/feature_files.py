@@ -50,12 +50,14 @@ def names_of(registry: list[Feature]) -> dict[str, int]:
 def counted_lines(lines: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The lines without repeats: of each (file_id, line_no) the row with the lowest line_id.
 
+    Lines without a file_id are left out; those without a line_no count each for itself.
+
     Only ids are shuffled; the repeats found (few: their ids are stored by settle(df) and
     broadcast up to MOST_REPEATS of them) are then left out of each scan of the texts.
     """
     copies = Window.partitionBy("file_id", "line_no").orderBy("line_id")
-    again = lines.select("line_id", "file_id", "line_no").withColumn("__n", F.row_number().over(copies)).where("__n > 1").select("line_id")
-    return lines.join(checked_broadcast(settle(again), MOST_REPEATS), "line_id", "left_anti")
+    again = lines.where("line_no IS NOT NULL").select("line_id", "file_id", "line_no").withColumn("__n", F.row_number().over(copies)).where("__n > 1").select("line_id")
+    return lines.where("file_id IS NOT NULL").join(checked_broadcast(settle(again), MOST_REPEATS), "line_id", "left_anti")
 
 
 def file_sequence(lines: DataFrame) -> DataFrame:
@@ -63,6 +65,6 @@ def file_sequence(lines: DataFrame) -> DataFrame:
 
     The window runs over one row a file.
     """
-    files = lines.groupBy("file_id").agg(F.min("source_name").alias("source_name"), F.min("file_seq").alias("file_seq"), F.count(F.lit(1)).alias("n_rows"))
+    files = lines.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min("source_name").alias("source_name"), F.min("file_seq").alias("file_seq"), F.count(F.lit(1)).alias("n_rows"))
     before = Window.partitionBy("source_name").orderBy("file_seq", "file_id")
     return files.withColumn("prev_file_id", F.lag("file_id").over(before))

@@ -78,6 +78,14 @@ def test_broken_repeated_and_null_lines(spark):
     assert drift(spark, df) == {(2, "added", "new", "")}
 
 
+def test_nulls_in_every_column(spark):
+    rows = [(1, 1, "s", 1, 1, "a", '{"F1": 1}', "", ""), (2, 2, "s", 2, None, "a", '{"F1": "x"}', "", ""), (3, 2, "s", 2, None, "a", '{"F1": "y"}', "", ""), (None, None, None, None, None, None, None, None, None), (4, None, "s", 3, 1, "a", '{"zz": 1}', "", ""), (5, 3, None, None, 1, None, '{"F1": 2}', "", "")]
+    df = spark.createDataFrame(rows, LINES)
+    assert drift(spark, df) == {(2, "type_changed", "F1", "")}
+    profile = {r.file_id: r for r in quality.file_profile(df, REGISTRY, cut_lineage).collect()}
+    assert set(profile) == {1, 2, 3} and profile[2].n_lines == 2 and profile[2].n_fault == 2
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], LINES)
     assert drift(spark, df) == set()
