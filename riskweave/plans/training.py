@@ -52,5 +52,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p3_found, p3_table, p5_found, p5_profile, p5_control)}
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Lines, fields and values as the statements of problems 3 and 5 define them.
+_VALUES = f"""
+WITH firsts AS (SELECT * FROM score_requests WHERE file_id IS NOT NULL QUALIFY line_no IS NULL OR row_number() OVER (PARTITION BY file_id, line_no ORDER BY line_id) = 1),
+lines AS (SELECT file_id, line_id, line_no, account_reference, features FROM firsts WHERE CASE WHEN json_valid(features) THEN json_type(features) = 'OBJECT' ELSE false END),
+sizes AS (SELECT file_id, count(*) AS n_lines FROM lines GROUP BY file_id),
+files AS (SELECT file_id, lag(file_id) OVER (PARTITION BY min(source_name) ORDER BY min(file_seq), file_id) AS prev_id FROM score_requests WHERE file_id IS NOT NULL GROUP BY file_id),
+named AS (SELECT DISTINCT regexp_replace(upper(n), '[^A-Z0-9]+', '', 'g') AS plain, feature FROM (SELECT feature, unnest([feature, variable_name]) AS n FROM feature_registry)),
+each_value AS (SELECT l.file_id, l.line_id, l.line_no, l.account_reference, e.key AS field, e.type AS t, json_extract_string(e.value, '$') AS s FROM lines l, json_each(l.features) e),
+kv AS (SELECT v.*, regexp_replace(upper(field), '[^A-Z0-9]+', '', 'g') AS plain, trim(s, {_BLANKS}) AS words, t = 'NULL' OR t = 'VARCHAR' AND upper(trim(s, {_BLANKS})) IN ('', 'NA', 'N/A', 'NULL') AS missing,
+         CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' END AS kind,
+         CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') OR t = 'VARCHAR' AND regexp_full_match(trim(s, {_BLANKS}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim(s, {_BLANKS}) AS DOUBLE) END AS num FROM each_value v)
+"""
+_CHANGES = _VALUES + """
+, fields AS (SELECT file_id, field, any_value(plain) AS plain, count(*) FILTER (WHERE NOT missing AND kind = 'number') AS a, count(*) FILTER (WHERE NOT missing AND kind = 'string') AS b, count(*) FILTER (WHERE NOT missing AND kind = 'boolean') AS c FROM kv GROUP BY file_id, field),
+typed AS (SELECT f.*, feature, CASE WHEN a + b + c = 0 THEN NULL WHEN a >= b AND a >= c THEN 'number' WHEN b >= c THEN 'string' ELSE 'boolean' END AS kind FROM fields f LEFT JOIN named USING (plain)),
+now AS (SELECT t.*, prev_id FROM typed t JOIN files USING (file_id) WHERE prev_id IS NOT NULL),
+old AS (SELECT f.file_id, f.prev_id, t.field, t.plain, t.feature, t.kind FROM files f JOIN typed t ON t.file_id = f.prev_id),
+gone AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.file_id = o.file_id AND n.field = o.field)),
+fresh AS (SELECT * FROM now n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE n.file_id = o.file_id AND n.field = o.field)),
+pairs AS (SELECT g.file_id, g.prev_id, g.field AS f0, n.field AS f1, g.kind AS k0, n.kind AS k1, g.plain = n.plain OR coalesce(g.feature = n.feature, false) AS by_name, g.feature IS NOT NULL AND n.feature IS NOT NULL AS both_resolve FROM gone g JOIN fresh n USING (file_id)),
+agreed AS (SELECT p.file_id, f0, f1, count(*) AS n, count(*) FILTER (WHERE CASE WHEN x.num IS NOT NULL AND y.num IS NOT NULL THEN x.num = y.num ELSE x.words = y.words END) AS same FROM pairs p
+  JOIN kv x ON x.file_id = p.prev_id AND x.field = f0 AND NOT x.missing JOIN kv y ON y.file_id = p.file_id AND y.field = f1 AND NOT y.missing AND x.account_reference = y.account_reference WHERE NOT by_name AND NOT both_resolve GROUP BY ALL),
+renamed AS (SELECT p.file_id, f0, f1, k0, k1 FROM pairs p LEFT JOIN agreed USING (file_id, f0, f1) WHERE by_name OR coalesce(same >= 10 AND same * 10 >= 9 * n, false))
+SELECT file_id, 'renamed' AS change_kind, f0 AS field_name, f1 AS new_name FROM renamed
+UNION ALL SELECT file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = g.file_id AND r.f0 = g.field)
+UNION ALL SELECT file_id, 'added', field, '' FROM fresh g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = g.file_id AND r.f1 = g.field)
+UNION ALL SELECT file_id, 'type_changed', field, '' FROM (SELECT n.file_id, n.field FROM now n JOIN old o USING (file_id, field) WHERE n.kind <> o.kind UNION SELECT file_id, f1 FROM renamed WHERE k0 <> k1)
+UNION ALL SELECT d.file_id, 'miscounted', 'n_unexpected_columns', '' FROM organiser_dry_run d JOIN files f USING (file_id) WHERE n_unexpected_columns <> (SELECT count(*) FROM typed t WHERE t.file_id = d.file_id AND feature IS NULL)
+"""
+_ISSUES = _VALUES + """
+, has AS (SELECT DISTINCT file_id, feature FROM kv JOIN named USING (plain)),
+vals AS (SELECT file_id, line_id, feature, first(s ORDER BY field) AS s, first(t ORDER BY field) AS t, first(num ORDER BY field) AS num FROM kv JOIN named USING (plain) WHERE NOT missing GROUP BY ALL),
+m AS (SELECT h.file_id, h.feature, any_value(r.value_kind) AS kind, 1 - count(v.line_id) / any_value(n_lines)::DOUBLE AS share, count(v.num) AS n, min(v.num) AS low, max(v.num) AS high, quantile_cont(v.num, 0.1) AS p10, quantile_cont(v.num, 0.5) AS p50, quantile_cont(v.num, 0.9) AS p90,
+         count(*) FILTER (WHERE v.num < r.lo_bound - 1e-7 OR v.num > r.hi_bound + 1e-7) AS outside, count(*) FILTER (WHERE v.line_id IS NOT NULL AND v.num IS NULL) AS not_number, count(*) FILTER (WHERE v.line_id IS NOT NULL AND NOT (v.t = 'VARCHAR' AND coalesce(regexp_full_match(v.s, r.value_pattern), true))) AS bad_text
+  FROM has h JOIN feature_registry r USING (feature) JOIN sizes USING (file_id) LEFT JOIN vals v USING (file_id, feature) GROUP BY h.file_id, h.feature),
+p AS (SELECT m.*, b.share AS share0, b.n AS n0, b.p10 AS p10_0, b.p90 AS p90_0, m.kind IN ('amount', 'ratio', 'count') AS is_number FROM m JOIN files USING (file_id) LEFT JOIN m b ON b.file_id = prev_id AND b.feature = m.feature)
+SELECT file_id, feature AS column_name, 'null_rate' AS issue FROM p WHERE abs(share - share0) > 0.30 + 1e-7
+UNION ALL SELECT file_id, feature, 'range' FROM p WHERE is_number AND outside > 0
+UNION ALL SELECT file_id, feature, 'constant' FROM p WHERE is_number AND n >= 10 AND low = high
+UNION ALL SELECT file_id, feature, 'pattern' FROM p WHERE is_number AND not_number > 0 OR kind IN ('code', 'date') AND bad_text > 0
+UNION ALL SELECT file_id, feature, 'shift' FROM p WHERE is_number AND n >= 10 AND n0 >= 10 AND (p50 < p10_0 - 1e-7 OR p50 > p90_0 + 1e-7)
+UNION ALL SELECT file_id, 'n_missing_required', CASE WHEN n_missing_required IS NULL THEN 'null_rate' ELSE 'range' END FROM organiser_dry_run WHERE n_missing_required IS NULL OR n_missing_required < 0 OR n_missing_required > (SELECT count(*) FROM feature_registry WHERE is_required)
+UNION ALL SELECT file_id, 'schema_completeness', CASE WHEN schema_completeness IS NULL OR isnan(schema_completeness) THEN 'null_rate' ELSE 'range' END FROM organiser_dry_run WHERE schema_completeness IS NULL OR isnan(schema_completeness) OR schema_completeness < -1e-7 OR schema_completeness > 1 + 1e-7
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _CHANGES, "p5_found": _ISSUES}
