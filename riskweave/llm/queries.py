@@ -103,7 +103,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     # sizes are used for the sums and for the draw: written once (doc_id, source, count), not encoded twice
     sized = cut_lineage(mixing.sized_documents(read_table(spark, folder, "documents")))
-    rates = mixing.mixing_rates(mixing.source_tokens(sized), read_table(spark, folder, "mix_targets"))
+    # one row a target: stored, so that its size is known and the documents need no shuffle to meet it
+    rates = cut_lineage(mixing.mixing_rates(cut_lineage(mixing.source_tokens(sized)), read_table(spark, folder, "mix_targets")))
     return mixing.draw_copies(sized, rates), rates
 
 
