@@ -45,20 +45,21 @@ def p1_source_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The records that the latest capacity request of their source and day keeps."""
-    records = cutoffs.latest_scores(read_table(spark, folder, "scores"))
-    cuts = cutoffs.capacity_cutoffs(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests")))
+    # the valid latest rows are counted and then filtered: stored once; the cutoffs are one row a request
+    records = cut_lineage(cutoffs.latest_scores(read_table(spark, folder, "scores")))
+    cuts = cut_lineage(cutoffs.capacity_cutoffs(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests"))))
     return cutoffs.kept(records, cuts, cutoffs.KEYS, "calibrated_risk").select("capacity_id", "id")
 
 
 def p2_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     """Cutoff, kept size and tiers of every capacity request that counts."""
-    records = cutoffs.latest_scores(read_table(spark, folder, "scores"), "risk_tier")
+    records = cut_lineage(cutoffs.latest_scores(read_table(spark, folder, "scores"), "risk_tier"))
     return cutoffs.cutoff_report(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests")))
 
 
 def p2_fraction(spark: SparkSession, folder: str) -> DataFrame:
     """Cutoff per source that keeps at most a twentieth of its records."""
-    return cutoffs.fraction_cutoffs(cutoffs.latest_scores(read_table(spark, folder, "scores")), ["source_name"], "calibrated_risk", 0.05)
+    return cutoffs.fraction_cutoffs(cut_lineage(cutoffs.latest_scores(read_table(spark, folder, "scores"))), ["source_name"], "calibrated_risk", 0.05)
 
 
 def _classes(spark: SparkSession, folder: str, k: int = neighbours.NEIGHBOURS) -> tuple[DataFrame, np.ndarray]:
