@@ -154,8 +154,39 @@ placed AS (
 """
 
 
+def _percentile_sql() -> str:
+    """Exact percentiles of the codes: what the sketches' sparse form gives (up to 4,096 distinct codes a group, as in the test tables)."""
+    parts = []
+    for name, (low, high) in RANGES.items():
+        code = f"floor(({name} - {low}::DOUBLE) / {high - low}::DOUBLE * 1048575.0::DOUBLE + 0.5::DOUBLE)"
+        parts.append(f"SELECT source_name, screen_date, tier AS risk_tier, '{name}' AS metric, {code} AS code FROM every WHERE {name} IS NOT NULL AND NOT isnan({name}) AND {name} BETWEEN {low} AND {high}")
+    picked = ", ".join(f"0.0::DOUBLE + top * l[CAST(greatest(1, ceil({q}::DOUBLE * n - 1e-9::DOUBLE)) AS BIGINT)] / 1048575 AS {name}" for name, q in FRACTIONS.items())
+    return f"""
+WITH every AS (SELECT lower(trim(source_name, {_BLANKS})) AS source_name, screen_date, regexp_replace(upper(trim(risk_tier, {_BLANKS})), '[\\s_-]+', '_', 'g') AS tier, calibrated_risk, anomaly_percentile FROM scores),
+codes AS ({" UNION ALL ".join(parts)}),
+lists AS (SELECT source_name, screen_date, risk_tier, metric, count(*) AS n, list_sort(list(code)) AS l, CASE metric WHEN 'calibrated_risk' THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS top FROM codes GROUP BY ALL)
+SELECT source_name, screen_date, risk_tier, metric, n, {picked} FROM lists"""
+
+
+_PAIRS = f"""
+WITH newest AS (SELECT request_id, features_json FROM score_fingerprints WHERE request_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY created_utc DESC NULLS LAST, feature_hash DESC) = 1),
+pos AS (SELECT unnest([feature, variable_name]) AS name, vec_pos, vec_scale FROM feature_registry WHERE vec_pos IS NOT NULL),
+coords AS (
+  SELECT request_id AS key, vec_pos, try_cast(trim(json_extract_string(e.value, '$'), {_BLANKS}) AS DOUBLE) AS x FROM newest n, json_each(n.features_json) e JOIN pos ON pos.name = e.key
+  WHERE e.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') OR e.type = 'VARCHAR' AND regexp_full_match(trim(json_extract_string(e.value, '$'), {_BLANKS}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
+  UNION ALL SELECT reference, p, numeric_values[p + 1] FROM cohort_index, range(28) r(p) UNION ALL SELECT row_label, p, x_values[p + 1]::DOUBLE FROM twin_index, range(28) r(p)),
+vecs AS (SELECT DISTINCT key, vec_pos, x FROM coords WHERE x IS NOT NULL AND isfinite(x)),
+masks AS (SELECT key, sum(CAST(1 AS BIGINT) << CAST(vec_pos AS BIGINT)) AS mask FROM vecs GROUP BY key HAVING count(*) >= 10),
+v AS (SELECT vecs.*, mask, vec_scale FROM vecs JOIN masks USING (key) JOIN (SELECT DISTINCT vec_pos, vec_scale FROM pos) USING (vec_pos)),
+d AS (SELECT a.key AS a, b.key AS b, sum(power((a.x - b.x) / a.vec_scale, 2)) AS d2 FROM v a JOIN v b ON a.mask = b.mask AND a.vec_pos = b.vec_pos AND a.key <> b.key GROUP BY ALL HAVING d2 <= 0.4::DOUBLE * 0.4::DOUBLE),
+near AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 5)
+SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM near"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_day_percentiles": _percentile_sql(),
+        "p4_found": _PAIRS,
         "p2_found": _LATEST + "SELECT capacity_id, id FROM placed JOIN capacities USING (source_name, screen_date) WHERE at_or_above <= review_capacity",
         "p2_cutoffs": _LATEST + """
 SELECT c.capacity_id, c.source_name, c.screen_date, CAST(c.review_capacity AS BIGINT) AS review_capacity, CAST(count(p.id) AS BIGINT) AS n_records,

@@ -77,3 +77,29 @@ def test_days_combine_into_periods(spark):
     one = sketches.percentiles(sketches.merge_sketches(days, ["period"]), ["period"], ranges, {"m": 0.5}).first()
     exact = sorted(r.y for r in df.select("y").collect())[math.ceil(20_000 / 2) - 1]
     assert one.n == 20_000 and one.m == pytest.approx(exact, abs=1e-6)
+
+
+def test_workers_pass_partials_on_when_full(monkeypatch):
+    monkeypatch.setattr(sketches, "WORKER_CODES", 20_000)
+    rng, whole, merged = np.random.default_rng(4), {}, {}
+    held = sketches._Partials(["x", "y"])
+
+    def flush():
+        for name, metric, sketch in held.rows():
+            merged.setdefault((name, metric), DyadicSketch()).merge(DyadicSketch.load(sketch.dump()))
+
+    for _ in range(30):
+        number, names = rng.integers(0, 3, 3000), [("a", None), ("b", 1), (None, 2)]
+        codes = [rng.integers(-1, 1 << BITS, 3000), rng.integers(-1, 50, 3000)]
+        held.take(number, names, codes, np.ones(3000, np.int64))
+        for m, code in zip("xy", codes):
+            for g, name in enumerate(names):
+                whole.setdefault((name, m), []).append(code[(number == g) & (code >= 0)])
+        if held.full():
+            flush()
+            held = sketches._Partials(["x", "y"])
+    flush()
+    assert set(whole) == set(merged)
+    for key, parts in whole.items():
+        codes = np.concatenate(parts)
+        assert merged[key].size() == len(codes) and worst(codes, merged[key]) <= RANK_ERROR
