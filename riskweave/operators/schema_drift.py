@@ -303,7 +303,7 @@ def column_names(steps: DataFrame, counts: DataFrame, matches: DataFrame, regist
     return now.select("file_id", "field", F.coalesce("feature", "field").alias("column_name"))
 
 
-def united_table(lines: DataFrame, columns: DataFrame, registry: list[Feature]) -> DataFrame:
+def united_table(lines: DataFrame, columns: DataFrame, registry: list[Feature], settle) -> DataFrame:
     """(file_id, line_no, account_reference, one typed column per feature, other): all lines in one schema.
 
     Amounts, ratios and counts are doubles (null where the value is missing or no number), flags
@@ -312,20 +312,25 @@ def united_table(lines: DataFrame, columns: DataFrame, registry: list[Feature])
     a value counts.
     """
     numbers = {f.feature: f.value_kind in NUMBER_KINDS or f.value_kind == "flag" for f in registry}
+    own = {name: registry[i].feature for name, i in names_of(registry).items()}
     schema = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("account_reference", pa.string()), *((f, pa.float64() if n else pa.string()) for f, n in numbers.items()), ("other", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.names}
+            known: dict[str, str | None] = {}
             for file, no, account, text, names in zip(*(batch.column(c).to_pylist() for c in ("file_id", "line_no", "account_reference", "features", "names"))):
                 found = json_object(text)
                 if found is None:
                     continue
                 to, row, other = dict(names or ()), {}, {}
                 for field in sorted(found):
-                    value, column = found[field], to.get(field, field)
+                    value = found[field]
                     if is_missing(value):
                         continue
+                    if field not in known:
+                        known[field] = own.get(plain_name(field))
+                    column = known[field] or to.get(field, field)
                     if column not in numbers:
                         other.setdefault(column, value if type(value) is str else repr(value))
                     elif row.get(column) is None:
@@ -341,9 +346,11 @@ def united_table(lines: DataFrame, columns: DataFrame, registry: list[Feature])
                 out["other"].append(list(other.items()))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    named = columns.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "column_name"))).alias("names"))
+    # only fields that follow a rename need to be told; names in the registry are known everywhere
+    moved = columns.where((F.col("column_name") != F.col("field")) & _resolver(registry).isNull())
+    named = moved.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "column_name"))).alias("names"))
     kinds = ", ".join(f"`{f}` {'double' if n else 'string'}" for f, n in numbers.items())
-    source = lines.join(named, "file_id", "left").select("file_id", "line_no", "account_reference", "features", "names")
+    source = lines.join(checked_broadcast(settle(named), MOST_FILES), "file_id", "left").select("file_id", "line_no", "account_reference", "features", "names")
     return source.mapInArrow(run, f"file_id bigint, line_no int, account_reference string, {kinds}, other map<string,string>")
 
 
@@ -374,4 +381,4 @@ class SchemaDrift:
 
     def table(self) -> DataFrame:
         """All lines under one schema."""
-        return united_table(self.lines, column_names(self.steps, self.counts, self.matches, self.registry, self.settle), self.registry)
+        return united_table(self.lines, column_names(self.steps, self.counts, self.matches, self.registry, self.settle), self.registry, self.settle)
