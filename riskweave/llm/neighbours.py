@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -343,28 +344,43 @@ def vector_classes(rows: DataFrame, names: dict[str, int], k: int = NEIGHBOURS,
             if groups:
                 yield _emit_classes(groups, most)
 
+    def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows of classes that occur more than once: one head each, further keys passed on."""
+        groups, loose = {}, []
+        for row in batch.to_pylist():
+            if row["vec"] is None:
+                loose.append(tuple(row[c] for c in _CLASS_ARROW.names))
+            else:
+                groups.setdefault(row["vec"], []).extend(row["keys"])
+        if groups:
+            yield _emit_classes(groups, most)
+        if loose:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*loose), _CLASS_ARROW)], schema=_CLASS_ARROW)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in key_runs(batches, "h1"):
-            if table.num_rows == 1:
-                yield from table.to_batches()
+        held: pa.RecordBatch | None = None  # the last class of the rows so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            groups, loose = {}, []
-            for row in table.to_pylist():
-                if row["vec"] is None:
-                    loose.append(tuple(row[c] for c in _CLASS_ARROW.names))
-                else:
-                    own = groups.setdefault(row["vec"], [])
-                    own += row["keys"]
-                    if len(own) > 5000:  # a head keeps the smallest keys, the rest go on at once
-                        own.sort()
-                        loose += [(row["h1"], row["h2"], 0, None, own[i : i + 1000]) for i in range(most, len(own), 1000)]
-                        del own[most:]
-                if len(loose) > 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*loose), _CLASS_ARROW)], schema=_CLASS_ARROW)
-                    loose = []
-            if loose:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*loose), _CLASS_ARROW)], schema=_CLASS_ARROW)
-            yield _emit_classes(groups, most)
+            if held is not None:
+                batch = pa.concat_batches([held.cast(_CLASS_ARROW), batch.cast(_CLASS_ARROW)])
+            h = batch.column("h1").to_numpy()
+            starts = np.concatenate(([0], np.nonzero(h[1:] != h[:-1])[0] + 1))
+            held, body = batch.slice(starts[-1]), batch.slice(0, starts[-1])
+            alone = np.repeat(np.diff(starts) == 1, np.diff(starts))
+            if alone.any():
+                yield body.filter(pa.array(alone))
+            if not alone.all():
+                yield from joined(body.filter(pa.array(~alone)))
+            if held.num_rows > 2000:  # a class of very many rows: its heads become one, the rest goes on at once
+                parts = list(joined(held))
+                heads = pa.concat_batches([p.filter(pa.compute.is_valid(p.column("vec"))) for p in parts])
+                for p in parts:
+                    if p.column("vec").null_count:
+                        yield p.filter(pa.compute.is_null(p.column("vec")))
+                held = heads if heads.num_rows else None
+        if held is not None:
+            yield from joined(held)
 
     partial = rows.select("key", "features", "numbers").mapInArrow(read, _CLASS)
     return partial.repartition("h1").sortWithinPartitions("h1").mapInArrow(merge, _CLASS)

@@ -96,3 +96,16 @@ def test_search_without_a_radius_finds_the_nearest(spark):
         d = np.sort(np.delete(nb.distances(np.repeat(x[i : i + 1], len(x), 0), x, SCALE), i))[:10]
         hits += sum(v <= d[-1] + 1e-9 for v in got[keys[i]])
     assert hits / (10 * len(asked)) >= 0.9
+
+
+def test_a_class_of_very_many_copies(spark):
+    many = [(f"c{i:06d}", None, [1.0] * nb.DIMENSIONS) for i in range(30_000)] + [("z", None, [1.05] * nb.DIMENSIONS)]
+    classes = cut_lineage(nb.vector_classes(spark.createDataFrame(many, ROWS).repartition(6), NAMES))
+    heads = classes.where("vec IS NOT NULL").collect()
+    assert sorted(len(c.keys) for c in heads) == [1, nb.NEIGHBOURS + 1] and max(heads, key=lambda c: len(c.keys)).keys == [f"c{i:06d}" for i in range(nb.NEIGHBOURS + 1)]
+    loose = classes.where("vec IS NULL").selectExpr("explode(keys) AS key")
+    assert loose.count() == loose.distinct().count() == 30_000 - nb.NEIGHBOURS - 1
+    index = nb.sample_index(classes, SCALE, by_mask=True)
+    members = nb.member_neighbours(classes, nb.class_neighbours(classes, index, cut_lineage))
+    got = {r.key: r.n for r in members.groupBy("key").agg(nb.F.count("neighbour").alias("n")).where("key IN ('c000000', 'c029999', 'z')").collect()}
+    assert got == {"c000000": nb.NEIGHBOURS, "c029999": nb.NEIGHBOURS, "z": nb.NEIGHBOURS}
