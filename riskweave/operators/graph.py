@@ -219,6 +219,33 @@ def shortest_cycles(edges: DataFrame, seeds: DataFrame, settle, most: int = CYCL
     return _hops(settle(links(edges)), seeds, most, settle).where("account = seed").select("account", F.col("hop").alias("length"))
 
 
+def cycle_lengths(edges: DataFrame, settle, most: int = CYCLE_MAX) -> DataFrame:
+    """(account, length) of the shortest directed cycle through every account that has one of up to `most` edges.
+
+    A cycle stays in one strong component, so other links are dropped first. On a shortest cycle of n edges the
+    account n - n // 2 hops ahead is n // 2 hops behind, so both ways go half as far; an account whose cycle is
+    found goes no further.
+    """
+    label = settle(strong_components(edges, settle))
+    inside = links(edges).join(label.toDF("a", "sa"), "a").join(label.toDF("b", "sb"), "b").where("sa = sb").select("a", "b")
+    ahead = settle(inside)
+    steps = (ahead, ahead.toDF("b", "a").select("a", "b"))
+    reach = [settle(p.select(F.col("a").alias("seed"), F.col("b").alias("account"), F.lit(1).alias("hop"))) for p in steps]
+    hops, found = [1, 1], None
+    for length in range(2, most + 1):
+        if length > 2:
+            way = 1 - length % 2  # odd lengths take a hop more ahead, even ones behind
+            last = reach[way].where(F.col("hop") == hops[way])
+            new = last.join(steps[way].withColumnRenamed("a", "account"), "account").select("seed", F.col("b").alias("account")).where("account <> seed").distinct()
+            hops[way] += 1
+            reach[way] = settle(reach[way].unionByName(new.join(reach[way], ["seed", "account"], "left_anti").withColumn("hop", F.lit(hops[way]))))
+        meet = reach[0].where(F.col("hop") == hops[0]).join(reach[1].where(F.col("hop") == hops[1]), ["seed", "account"], "left_semi")
+        now = settle(meet.select(F.col("seed").alias("account")).distinct().withColumn("length", F.lit(length)))
+        found = now if found is None else found.unionByName(now)
+        reach = [settle(x.join(now.select(F.col("account").alias("seed")), "seed", "left_anti")) for x in reach]
+    return found
+
+
 def ego_network(edges: DataFrame, seeds: DataFrame, settle, hops: int = 2, most_nodes: int = 60) -> DataFrame:
     """(seed, account, hop) within `hops` edges in any direction, the nearest `most_nodes` (then by account), the seed at hop 0."""
     pairs = links(edges)

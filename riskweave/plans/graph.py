@@ -122,11 +122,18 @@ def rapid_chains(spark: SparkSession, folder: str) -> DataFrame:
 SELECT account, concat_ws(',', CASE WHEN senders >= 10 THEN 'FAN_IN_COLLECTION' END, CASE WHEN recipients >= 10 THEN 'FAN_OUT_DISPERSAL' END, CASE WHEN passthrough >= 0.9 AND median_dwell_hours <= 48 THEN 'RAPID_PASSTHROUGH' END,
        CASE WHEN depth >= 3 THEN 'LAYERING_CHAIN' END) AS patterns FROM metrics LEFT JOIN dwell USING (account) LEFT JOIN chains USING (account)""")
 def graph_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    """GR-11: the structures of every account."""
+    """GR-11 without CIRCULAR_FLOW, as its SQL: the other four structures of every account. graph_patterns_all has all five."""
     e = _edges(spark, folder)
     return g.structures(g.account_metrics(e), g.dwell_medians(e), g.rapid_chains(e, cut_lineage, 3))
 
 
+@R.add()
+def graph_patterns_all(spark: SparkSession, folder: str) -> DataFrame:
+    """GR-11: the five structures of every account, cycles of up to six edges among them."""
+    e = _edges(spark, folder)
+    return g.structures(g.account_metrics(e), g.dwell_medians(e), g.rapid_chains(e, cut_lineage, 3), g.cycle_lengths(e, cut_lineage))
+
+
 @R.add(_RECURSIVE + """, walk(seed, node, hop) AS (SELECT a, b, 1 FROM links WHERE CAST(substring(a, 2) AS BIGINT) % 50 = 0 UNION SELECT seed, b, hop + 1 FROM walk JOIN links ON a = node WHERE node <> seed AND hop < 6)
 SELECT seed AS account, CAST(min(hop) AS INTEGER) AS length FROM walk WHERE node = seed GROUP BY seed""")
 def shortest_cycle(spark: SparkSession, folder: str) -> DataFrame:

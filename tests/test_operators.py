@@ -107,6 +107,40 @@ def test_cycles_and_chains(spark):
     assert {r.account: r.depth for r in graph.rapid_chains(e, cut_lineage).collect()} == {"a": 2, "b": 1, "c": 1}
 
 
+def _cycle_truth(pairs, most):
+    out = {}
+    for seed in {a for p in pairs for a in p}:
+        front, seen = {seed}, set()
+        for hop in range(1, most + 1):
+            front = {b for a, b in pairs if a in front} - seen
+            if seed in front:
+                out[seed] = hop
+                break
+            seen |= front
+    return out
+
+
+def test_cycles_of_every_account(spark):
+    rings = {(f"r{n}_{i}", f"r{n}_{(i + 1) % n}") for n in range(2, 9) for i in range(n)}
+    loose = {("r2_0", "r7_0"), ("r7_0", "tail"), ("r8_1", "r8_5"), ("r4_0", "r6_3"), ("r6_5", "r4_2")}
+    mixed = {(f"m{i}", f"m{(i * 7 + k * k + 1) % 40}") for i in range(40) for k in range(i % 3)}
+    pairs = {(a, b) for a, b in rings | loose | mixed if a != b}
+    e = edges(spark, [(a, b, 1.0, None) for a, b in sorted(pairs)])
+    rows = graph.cycle_lengths(e, cut_lineage).collect()
+    assert len(rows) == len({r.account for r in rows}) and {r.account: r.length for r in rows} == _cycle_truth(pairs, 6)
+
+
+def test_patterns_name_circular_flow(spark):
+    from riskweave.plans import core
+    from tests.helpers.compare import SMALL
+
+    e = edges(spark, [("a", "b", 1.0, None), ("b", "c", 1.0, None), ("c", "a", 1.0, None), ("c", "d", 1.0, None)])
+    got = graph.structures(graph.account_metrics(e), graph.dwell_medians(e), graph.rapid_chains(e, cut_lineage, 3), graph.cycle_lengths(e, cut_lineage))
+    assert {r.account: r.patterns for r in got.collect()} == {"a": "CIRCULAR_FLOW", "b": "CIRCULAR_FLOW", "c": "CIRCULAR_FLOW", "d": ""}
+    four = {r.account: r.patterns for r in core.queries()["graph_patterns"](spark, SMALL).collect()}
+    assert {r.account: r.patterns.replace(",CIRCULAR_FLOW", "") for r in core.queries()["graph_patterns_all"](spark, SMALL).where("patterns LIKE '%CIRCULAR_FLOW'").collect()} == four
+
+
 def test_edge_headers_by_alias(spark):
     df = spark.createDataFrame([("a", "b", 1.0)], "Sender string, RECEIVER string, Value double")
     assert graph.edge_columns(df).columns == ["account_from", "account_to", "amount", "timestamp"]
