@@ -141,6 +141,22 @@ def test_patterns_name_circular_flow(spark):
     assert {r.account: r.patterns.replace(",CIRCULAR_FLOW", "") for r in core.queries()["graph_patterns_all"](spark, SMALL).where("patterns LIKE '%CIRCULAR_FLOW'").collect()} == four
 
 
+def test_chains_of_every_depth_to_eight(spark):
+    from riskweave.plans import core
+    from tests.helpers.compare import SMALL
+
+    hops = [(f"n{i:02d}", f"n{i + 1:02d}", 5 * i) for i in range(11)] + [("n03", "n08", 0), ("m0", "n06", 7), ("n09", "q", 200)]
+    e = edges(spark, [(a, b, 1.0, f"2026-01-{1 + h // 24:02d} {h % 24:02d}:00:00") for a, b, h in hops])
+
+    def longest(node, t, left):
+        return max((1 + longest(b, h, left - 1) for a, b, h in hops if left and a == node and (t is None or 0 <= h - t <= 24)), default=0)
+
+    truth = {a: longest(a, None, 8) for a, _, _ in hops}
+    assert set(truth.values()) == set(range(1, 9))
+    assert {r.account: r.depth for r in graph.rapid_chains(e, cut_lineage).collect()} == truth
+    assert core.queries()["rapid_chains_eight"](spark, SMALL).where("depth > 4").count() > 0
+
+
 def test_edge_headers_by_alias(spark):
     df = spark.createDataFrame([("a", "b", 1.0)], "Sender string, RECEIVER string, Value double")
     assert graph.edge_columns(df).columns == ["account_from", "account_to", "amount", "timestamp"]
