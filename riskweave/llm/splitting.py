@@ -6,8 +6,9 @@ stretch of the whole text (but for blanks at its end, which then are one piece a
 counted as such). Boundaries are sorted arrays of piece
 numbers by strength; the end of a part is found by binary search for the last
 boundary under the limit, strongest kind first, and the next part begins by
-stepping back over the overlap in the same way. A single piece longer than the
-limit (a run without any place to cut) is cut hard by its prefix table.
+stepping back over the overlap in the same way. A piece without any place to cut
+that doesn't fit is cut hard by its prefix table; a part that begins within a piece
+is laid out anew from there, until its pieces meet those of the whole text.
 """
 
 from __future__ import annotations
@@ -84,47 +85,76 @@ def split_text(tool: BytePairCodec, text: str, limit: int = MAX_TOKENS, overlap:
     if total <= limit:
         return [(0, len(text), total, "end")]
     lay.place()
-    tokens, chars = lay.tokens, lay.chars
-    out, start, last = [], 0, len(lay.pieces)
+    whole, origin, start, reached, window = lay, 0, 0, 0, 8 * limit
+    out = []
     while True:
-        base = tokens[start]
+        tokens, chars, last = lay.tokens, lay.chars, len(lay.pieces)
+        base, begin, complete = tokens[start], origin + int(chars[start]), origin + int(chars[-1]) == len(text)
         furthest = int(np.searchsorted(tokens, base + limit, "right")) - 1
+        if furthest >= last - 1 and not complete:  # the layout ends too soon for this part
+            window *= 2
+            lay, origin, start = _laid_out(tool, text[begin : begin + window]), begin, 0
+            continue
         if furthest >= last:
-            out.append((int(chars[start]), len(text), total - int(base), "end"))
+            out.append((begin, len(text), total - int(base) if lay is whole else lay.standalone(start, last), "end"))
             return out
-        if furthest == start:  # one piece alone is over the limit
-            out += hard_cut(tool, lay.pieces[start], int(chars[start]), limit, overlap)
-            start += 1
-            if start == last:
-                return out
-            continue
-        low = base + int(limit * fill)
-        end, how = furthest, "hard"
-        for floor in (low, base + overlap):  # full enough first; any boundary beyond the overlap rather than a hard cut
-            for number, kind in enumerate(KINDS):
-                places = lay.boundaries(number)
-                k = int(np.searchsorted(places, furthest, "right")) - 1
-                if k >= 0 and tokens[places[k]] > floor and places[k] > start:
-                    end, how = int(places[k]), kind
+        end, how = start, "hard"
+        if furthest > start:
+            low = base + int(limit * fill)
+            end = furthest
+            for floor in (low, base + overlap):  # full enough first; any boundary beyond the overlap rather than a hard cut
+                for number, kind in enumerate(KINDS):
+                    places = lay.boundaries(number)
+                    k = int(np.searchsorted(places, furthest, "right")) - 1
+                    if k >= 0 and tokens[places[k]] > floor and places[k] > start and origin + chars[places[k]] > reached:
+                        end, how = int(places[k]), kind
+                        break
+                if how != "hard":
                     break
-            if how != "hard":
-                break
-        size = lay.standalone(start, end)
-        while size > limit and end > start + 1:  # a blank stretch may weigh more by itself
-            end, how = end - 1, "hard"
             size = lay.standalone(start, end)
-        out.append((int(chars[start]), int(chars[end]), size, how))
-        start = step_back(lay, start, end, overlap, limit)
+            while size > limit and end > start + 1:  # a blank stretch may weigh more by itself
+                end, how = end - 1, "hard"
+                size = lay.standalone(start, end)
+        stop = origin + int(chars[end])
+        after = None
+        if end > start and size <= limit and stop > reached:
+            at = step_back(lay, start, end, overlap, limit)
+            after = shared_from(tool, text, begin, stop, overlap, None if at is None else origin + int(chars[at]))
+        if after is None:  # the next piece doesn't fit and has no place to cut, or the part is too short to share the overlap
+            stop, size = hard_end(tool, text, begin, origin + int(chars[furthest]), lay.pieces[furthest], limit, max(begin, reached))
+            how, after = "hard", stop
+            if stop < len(text) and overlap:
+                after = shared_from(tool, text, begin, stop, overlap) or stop
+        out.append((begin, stop, size, how))
+        if stop == len(text):
+            return out
+        reached = stop
+        # back to the layout of the whole text where its pieces begin, else one of the text from here
+        k = int(np.searchsorted(whole.chars, after))
+        if whole.chars[k] == after:
+            lay, origin, start = whole, 0, k
+        else:
+            window = max(8 * limit, window // 2)
+            lay, origin, start = _laid_out(tool, text[after : after + window]), after, 0
+
+
+def _laid_out(tool: BytePairCodec, text: str) -> Layout:
+    lay = Layout(tool, text)
+    lay.place()
+    return lay
+
 
+def step_back(lay: Layout, start: int, end: int, overlap: int, limit: int) -> int | None:
+    """Where the next part begins: at least `overlap` tokens before `end`, at a boundary if one is near, after `start`.
 
-def step_back(lay: Layout, start: int, end: int, overlap: int, limit: int) -> int:
-    """Where the next part begins: at least `overlap` tokens before `end`, at a boundary if one is near, after `start`."""
+    None if that is within a large piece.
+    """
     tokens = lay.tokens
     if not overlap:
         return end
     latest = int(np.searchsorted(tokens, tokens[end] - overlap, "right")) - 1
-    if latest <= start:
-        return end
+    if latest <= start or tokens[end] - tokens[latest] > limit // 2:
+        return None
     earliest = max(start + 1, int(np.searchsorted(tokens, tokens[end] - min(4 * overlap, limit // 2), "left")))
     for number in range(2, len(KINDS)):
         places = lay.boundaries(number)
@@ -134,23 +164,36 @@ def step_back(lay: Layout, start: int, end: int, overlap: int, limit: int) -> in
     return latest
 
 
-def hard_cut(tool: BytePairCodec, piece: str, offset: int, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """Parts of a piece that has no place to cut: whole characters, as many as the prefix table allows."""
-    out, at = [], 0
-    while True:
-        part = piece[at:]
-        data = part.encode("utf-8", "replace")
-        table = PrefixTable(tool, data[: limit * tool.longest])
-        sizes = np.cumsum([len(c.encode("utf-8", "replace")) for c in part[: limit * tool.longest]])
-        sizes = sizes[sizes <= len(table.data)]
-        fits = np.nonzero(np.asarray(table.count)[sizes] <= limit)[0]
-        taken = int(fits[-1]) + 1 if len(fits) else 1
-        used = int(table.count[int(sizes[taken - 1])])
-        out.append((offset + at, offset + at + taken, used, "hard"))
-        if at + taken >= len(piece):
-            return out
-        back = int(np.searchsorted(np.asarray(table.count)[sizes[:taken]], used - overlap, "right"))
-        at += min(taken, max(1, back)) if overlap else taken
+def shared_from(tool: BytePairCodec, text: str, begin: int, stop: int, overlap: int, at: int | None = None) -> int | None:
+    """`at` if at least `overlap` tokens lie between it and `stop`, else the last character that has them; None if there is none after `begin`."""
+    if not overlap or at is not None and tool.count(text[at:stop]) >= overlap:
+        return stop if at is None else at
+    wide, most = overlap, stop - begin - 1
+    while wide < most and tool.count(text[stop - wide : stop]) < overlap:
+        wide *= 2
+    wide = min(wide, most)
+    if wide < 1 or tool.count(text[stop - wide : stop]) < overlap:
+        return None
+    low = 0
+    while low + 1 < wide:
+        middle = (low + wide) // 2
+        low, wide = (low, middle) if tool.count(text[stop - middle : stop]) >= overlap else (middle, wide)
+    return stop - wide
+
+
+def hard_end(tool: BytePairCodec, text: str, begin: int, at: int, piece: str, limit: int, beyond: int) -> tuple[int, int]:
+    """End and tokens of the part that begins at `begin` and ends within `piece`, which lies at `at`: as many whole characters as fit, by the prefix table."""
+    spare = limit - (tool.count(text[begin:at]) if at > begin else 0)
+    part = piece[: max(1, spare) * tool.longest]
+    sizes = np.cumsum([len(c.encode("utf-8", "replace")) for c in part])
+    table = PrefixTable(tool, part.encode("utf-8", "replace"))
+    fits = np.nonzero(np.asarray(table.count)[sizes] <= spare)[0]
+    stop = max(at + (int(fits[-1]) + 1 if len(fits) else 0), beyond + 1)
+    size = tool.count(text[begin:stop])
+    while size > limit and stop > beyond + 1:  # the beginning of a piece may split in another way by itself
+        stop -= 1
+        size = tool.count(text[begin:stop])
+    return stop, size
 
 
 def split_documents(

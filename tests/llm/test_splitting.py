@@ -29,6 +29,22 @@ def test_parts(text):
     assert len(parts_of(text)) > 1
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x" * 4000, "漢字" * 900, "=" * 20000, "\n" * 5000, "a" * 1500 + " tail " * 400, PARAGRAPH * 2 + "q" * 900 + PARAGRAPH * 2, "👩‍👩‍👧" * 300, "some words " + "z" * 850 + " " + "y" * 850 + " and more" * 90,
+        ("=-" * 130 + "\n") * 9, PARAGRAPH + "=" * 9000 + "abc " * 300 + "\r\n" * 900 + "end. " * 100, (" " * 700 + "ab") * 9, "abc\t \n" * 900, "ЖЩ" * 700 + "!?" * 500,
+    ],
+)
+@pytest.mark.parametrize(("limit", "overlap"), [(128, 16), (1024, 64), (100, 45), (64, 0)])
+def test_every_joint_overlaps(text, limit, overlap):
+    parts = splitting.split_text(CODEC, text, limit, overlap)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text)
+    assert all(CODEC.count(text[a:b]) == n <= limit for a, b, n, _ in parts)
+    for (a, b, _, _), (c, d, _, _) in zip(parts, parts[1:]):
+        assert a < c <= b < d and CODEC.count(text[c:b]) >= overlap
+
+
 def test_small_texts_are_one_part():
     assert splitting.split_text(CODEC, "short", 128, 16) == [(0, 5, 1, "end")]
 
