@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Guard of the denominators, share of a week in a month, columns of the peer deviation (fixed values).
 EPS = 1e-6
 BURST_BASELINE = 7.0 / 31.0
+PEER_COLUMNS = ("D_AVG_BAL_7DAYS_OCC", "D_AVG_BAL_14DAYS_OCC", "D_AVG_BAL_31DAYS_OCC", "D_AVG_BAL_7TO31DAYS_OCC")
 #: Rails that fragment a trail (fixed values).
 RAILS = ("UPI", "ELEC_XFER", "NET_BNKING", "MBNKING", "CASH", "ATM", "POS_PYMT", "BBPS", "NON_CASH_CHQ", "CHQ", "GST")
 #: Alert flags that may converge (fixed values).
@@ -32,7 +34,6 @@ TYPOLOGIES = (
     ("alert_convergence", "MG_ALERT_CONVERGENCE", 3.0, "above", 5.0),
     ("odd_hour", "MG_ODD_HOUR_ALERT_RATIO", 0.50, "above", 0.50),
 )
-PEER_COLUMNS = ("D_AVG_BAL_7DAYS_OCC", "D_AVG_BAL_14DAYS_OCC", "D_AVG_BAL_31DAYS_OCC", "D_AVG_BAL_7TO31DAYS_OCC")
 
 
 def clipped(value: Column, low: float, high: float) -> Column:

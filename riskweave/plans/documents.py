@@ -260,7 +260,7 @@ def run_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count_distinct(F.struct("model", "rep")).alias("n_runs"), F.max(F.greatest("score", F.col("fold") / 10.0)).alias("top"), F.count_if(F.col("score") < 0.1).alias("n_open"))
 
 
-@R.add("SELECT rail, list_sort(list(feature)) AS features FROM (SELECT feature, CASE WHEN regexp_matches(variable_name, '(?:^|_)(?:UPI)(?:_|$)') THEN 'UPI' ELSE 'REST' END AS rail FROM feature_registry) GROUP BY rail")
+@R.add("SELECT rail, list_sort(list(feature)) AS features FROM (SELECT feature, CASE WHEN list_contains(string_split(variable_name, '_'), 'UPI') AND NOT contains(variable_name, 'UPI_XFER') THEN 'UPI' ELSE 'REST' END AS rail FROM feature_registry) GROUP BY rail")
 def families(spark: SparkSession, folder: str) -> DataFrame:
     """EXT-14, SPL-07, DIC-07: features of each family."""
     f = read_table(spark, folder, "feature_registry").select("feature", F.when(dic.rail(F.col("variable_name")) == "UPI", "UPI").otherwise("REST").alias("rail"))

@@ -18,6 +18,12 @@ def _case(patterns, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(variable_name, '{p}') THEN '{n}'" for n, p in patterns) + f" ELSE '{default}' END"
 
 
+def _rails() -> str:
+    """The rails in SQL: words as list members, stretches by contains."""
+    tests = lambda words, stretches: " OR ".join([*(f"list_contains(string_split(variable_name, '_'), '{w}')" for w in words), *(f"contains(variable_name, '{s}')" for s in stretches)])
+    return "CASE " + " ".join(f"WHEN {tests(w, s)} THEN '{n}'" for n, w, s in dic.RAILS) + " ELSE 'OTHER' END"
+
+
 _W = [f"regexp_extract(variable_name, '{dic.WINDOW}', {i})" for i in range(1, 6)]
 _WINDOW = f"CASE WHEN {_W[0]} <> '' AND {_W[1]} <> '' THEN 'L' || {_W[0]} || '_' || {_W[1]} || 'D' WHEN {_W[0]} <> '' THEN 'L' || {_W[0]} || 'D' WHEN {_W[2]} <> '' AND {_W[3]} <> '' THEN 'L' || {_W[2]} || '_' || {_W[3]} || 'D' WHEN {_W[4]} <> '' THEN 'L' || {_W[4]} || 'D' ELSE 'NONE' END"
 _CR, _DB = f"regexp_matches(variable_name, '{dic.CREDIT}')", f"regexp_matches(variable_name, '{dic.DEBIT}')"
@@ -26,7 +32,7 @@ _FACETS = f"""
 WITH named AS (SELECT feature, variable_name, description, bank_finalized FROM feature_registry UNION ALL SELECT * FROM (VALUES
   ('X1', 'NON_CASH_CHQ_AMT_DB_L14D', 'amount', true), ('X2', 'STDNG_INSTR_TXNS_CR_L7_14D', 'Count of alerts raised', false), ('X3', 'CUST_RISK', 'Customer risk level', true),
   ('X4', 'ALERT_STATUS', 'Alert resolution status', true), ('X5', 'LABEL', 'target variable', false), ('X6', 'MM_UPI_XFER_7 TO 14DAYS_OCC', 'segment range', false)) v(feature, variable_name, description, bank_finalized)),
-facets AS (SELECT feature, variable_name, bank_finalized, {_case(dic.RAILS, 'OTHER')} AS rail, {_case(dic.TRANSFORMS, 'LEVEL')} AS transform, {_WINDOW} AS win, {_WAY} AS way, upper(variable_name || ' ' || description) AS txt,
+facets AS (SELECT feature, variable_name, bank_finalized, {_rails()} AS rail, {_case(dic.TRANSFORMS, 'LEVEL')} AS transform, {_WINDOW} AS win, {_WAY} AS way, upper(variable_name || ' ' || description) AS txt,
    CASE WHEN contains(lower(description), 'resolution status') THEN 'POST_RESOLUTION_LEAKAGE' WHEN contains(lower(description), 'target variable') THEN 'TARGET' WHEN contains(lower(description), 'customer risk level') THEN 'PRE_EXISTING_RISK_CONTEXT'
         WHEN contains(lower(description), 'alert description flag') OR starts_with(lower(description), 'count of alerts') THEN 'ALERT_CONTEXT' ELSE 'BEHAVIORAL' END AS availability FROM named),
 full_facets AS (SELECT *, CASE WHEN availability IN ('POST_RESOLUTION_LEAKAGE', 'TARGET', 'INDEX_OR_ID') THEN 'QUARANTINED' WHEN availability IN ('PRE_EXISTING_RISK_CONTEXT', 'UNKNOWN_REVIEW') THEN 'REVIEW' ELSE 'SAFE' END AS leakage,
