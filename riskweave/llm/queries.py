@@ -43,23 +43,34 @@ def p1_source_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.percentiles(sketches.merge_sketches(_day_sketches(spark, folder), ["source_name"]), ["source_name"], RANGES, FRACTIONS)
 
 
+def _scored(spark: SparkSession, folder: str, *extra: str) -> tuple[DataFrame, DataFrame]:
+    # the valid rows are counted and then filtered: stored once
+    rows = cut_lineage(cutoffs.scored_rows(read_table(spark, folder, "scores"), *extra))
+    return rows, cut_lineage(cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The records that the latest capacity request of their source and day keeps."""
-    # the valid latest rows are counted and then filtered: stored once; the cutoffs are one row a request
-    records = cut_lineage(cutoffs.latest_scores(read_table(spark, folder, "scores")))
-    cuts = cut_lineage(cutoffs.capacity_cutoffs(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests"))))
-    return cutoffs.kept(records, cuts, cutoffs.KEYS, "calibrated_risk").select("capacity_id", "id")
+    rows, capacities = _scored(spark, folder)
+    cuts = cut_lineage(cutoffs.capacity_cutoffs(rows, capacities, cut_lineage))
+    return cutoffs.kept(cutoffs.latest(rows), cuts, cutoffs.KEYS, "calibrated_risk").select("capacity_id", "id")
 
 
 def p2_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     """Cutoff, kept size and tiers of every capacity request that counts."""
-    records = cut_lineage(cutoffs.latest_scores(read_table(spark, folder, "scores"), "risk_tier"))
-    return cutoffs.cutoff_report(records, cutoffs.latest_capacities(read_table(spark, folder, "capacity_requests")))
+    rows, capacities = _scored(spark, folder, "risk_tier")
+    return cutoffs.cutoff_report(rows, capacities, cut_lineage)
+
+
+def p2_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Cutoff and kept size of every capacity request as they were at the end of the screening day and two days later."""
+    return cutoffs.cutoff_history(*_scored(spark, folder), cut_lineage)
 
 
 def p2_fraction(spark: SparkSession, folder: str) -> DataFrame:
     """Cutoff per source that keeps at most a twentieth of its records."""
-    return cutoffs.fraction_cutoffs(cut_lineage(cutoffs.latest_scores(read_table(spark, folder, "scores"))), ["source_name"], "calibrated_risk", 0.05)
+    rows = cut_lineage(cutoffs.scored_rows(read_table(spark, folder, "scores")))
+    return cutoffs.fraction_cutoffs(cutoffs.score_events(rows), ["source_name"], "calibrated_risk", 0.05, cut_lineage)
 
 
 def _classes(spark: SparkSession, folder: str, k: int = neighbours.NEIGHBOURS) -> tuple[DataFrame, np.ndarray]:
@@ -130,7 +141,7 @@ def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_fraction, p4_found, p4_nearest)
+    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_history, p2_fraction, p4_found, p4_nearest)
     return {f.__name__: f for f in (*found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
 
 
@@ -194,6 +205,16 @@ SELECT c.capacity_id, c.source_name, c.screen_date, CAST(c.review_capacity AS BI
        CAST(count(p.id) FILTER (WHERE at_or_above <= review_capacity) AS BIGINT) AS n_kept,
        coalesce(string_agg(DISTINCT tier, ',' ORDER BY tier) FILTER (WHERE at_or_above <= review_capacity), '') AS tiers
 FROM capacities c LEFT JOIN placed p USING (source_name, screen_date) GROUP BY ALL""",
+        "p2_history": _LATEST + f"""
+, told AS (
+  SELECT id, lower(trim(source_name, {_BLANKS})) AS source_name, screen_date, calibrated_risk, coalesce(CAST(created_utc AS DATE), DATE '1970-01-01') AS batch,
+         lag(coalesce(CAST(created_utc AS DATE), DATE '1970-01-01')) OVER (PARTITION BY coalesce(request_id, chr(1) || id) ORDER BY created_utc DESC NULLS LAST, id DESC) AS replaced_in
+  FROM scores),
+alive AS (SELECT source_name, screen_date, calibrated_risk, days_after FROM told, (VALUES (0), (2)) d(days_after)
+          WHERE batch <= screen_date + days_after AND (replaced_in IS NULL OR replaced_in > screen_date + days_after) AND NOT isnan(calibrated_risk) AND calibrated_risk BETWEEN 0 AND 1),
+then_placed AS (SELECT *, count(*) OVER (PARTITION BY source_name, screen_date, days_after ORDER BY calibrated_risk DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM alive)
+SELECT capacity_id, days_after, CAST(count(*) AS BIGINT) AS n_records, min(calibrated_risk) FILTER (WHERE above <= review_capacity) AS cutoff, CAST(count(*) FILTER (WHERE above <= review_capacity) AS BIGINT) AS n_kept
+FROM then_placed JOIN capacities USING (source_name, screen_date) GROUP BY capacity_id, days_after""",
         "p2_fraction": _LATEST + """
 , sized AS (
   SELECT source_name, calibrated_risk, count(*) OVER (PARTITION BY source_name) AS n_records,
