@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, read_table
@@ -43,6 +43,24 @@ def p1_source_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.percentiles(sketches.merge_sketches(_day_sketches(spark, folder), ["source_name"]), ["source_name"], RANGES, FRACTIONS)
 
 
+def p1_rank_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the counters' percentiles per source are within the stated rank error of the exact ones, over the latest row of every request.
+
+    All rows are added and the replaced ones deleted again; no sketch is kept sparse here, whatever its size.
+    """
+    scores = read_table(spark, folder, "scores")
+    newest = Window.partitionBy(F.coalesce("request_id", F.concat(F.lit("\u0000"), F.col("id").cast("string")))).orderBy(F.col("created_utc").desc_nulls_last(), F.col("id").desc())
+    rows = cut_lineage(scores.select(plain_source("source_name").alias("source_name"), *RANGES, (F.row_number().over(newest) > 1).alias("is_replaced")))
+    codes = {name: sketches.encoded(F.col(name), *span) for name, span in RANGES.items()}
+    every = sketches.build_sketches(rows, ["source_name"], codes, sparse_codes=0)
+    gone = sketches.build_sketches(rows.where("is_replaced"), ["source_name"], codes, F.lit(-1), sparse_codes=0)
+    answers = cut_lineage(sketches.percentiles(sketches.merge_sketches(every.union(gone), ["source_name"], 0), ["source_name"], RANGES, FRACTIONS))
+    long = rows.where("NOT is_replaced").select("source_name", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), c.alias("code")) for m, c in codes.items()))).alias("c")).select("source_name", "c.*")
+    exact = long.where("code IS NOT NULL").groupBy("source_name", "metric", "code").agg(F.count(F.lit(1)).alias("n"))
+    ranks = sketches.exact_ranks(exact, answers, ["source_name"], RANGES, FRACTIONS)
+    return ranks.select("source_name", "metric", "n", "fraction", (F.col("is_whole") & (F.col("rank_error") <= sketches.RANK_ERROR)).alias("is_within"))
+
+
 def _scored(spark: SparkSession, folder: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     # the valid rows are counted and then filtered: stored once
     rows = cut_lineage(cutoffs.scored_rows(read_table(spark, folder, "scores"), *extra))
@@ -141,7 +159,7 @@ def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p2_found, p2_cutoffs, p2_history, p2_fraction, p4_found, p4_nearest)
+    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p1_rank_check, p2_found, p2_cutoffs, p2_history, p2_fraction, p4_found, p4_nearest)
     return {f.__name__: f for f in (*found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
 
 
@@ -197,6 +215,11 @@ SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM near"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_day_percentiles": _percentile_sql(),
+        "p1_rank_check": _LATEST + f"""
+, own AS (SELECT lower(trim(source_name, {_BLANKS})) AS source_name, id, calibrated_risk, anomaly_percentile FROM scores JOIN (SELECT id FROM ranked WHERE n = 1) USING (id)),
+sized AS (SELECT source_name, 'calibrated_risk' AS metric, count(*) AS n FROM own WHERE NOT isnan(calibrated_risk) AND calibrated_risk BETWEEN 0 AND 1 GROUP BY ALL
+  UNION ALL SELECT source_name, 'anomaly_percentile', count(*) FROM own WHERE NOT isnan(anomaly_percentile) AND anomaly_percentile BETWEEN 0 AND 100 GROUP BY ALL)
+SELECT source_name, metric, n, fraction, true AS is_within FROM sized, (VALUES {", ".join(f"('{f}')" for f in FRACTIONS)}) f(fraction) WHERE source_name IS NOT NULL""",
         "p4_found": _PAIRS,
         "p2_found": _LATEST + "SELECT capacity_id, id FROM placed JOIN capacities USING (source_name, screen_date) WHERE at_or_above <= review_capacity",
         "p2_cutoffs": _LATEST + """

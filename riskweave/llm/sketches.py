@@ -52,9 +52,10 @@ def _places(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class DyadicSketch:
     """Mergeable summary of weighted codes of one group."""
 
-    __slots__ = ("codes", "weights", "exact", "signed")
+    __slots__ = ("codes", "weights", "exact", "signed", "sparse_codes")
 
-    def __init__(self):
+    def __init__(self, sparse_codes: int | None = None):
+        self.sparse_codes = SPARSE_CODES if sparse_codes is None else sparse_codes
         self.codes, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.exact = self.signed = None
 
@@ -71,7 +72,7 @@ class DyadicSketch:
         if not self.weights.all():
             kept = self.weights != 0
             self.codes, self.weights = self.codes[kept], self.weights[kept]
-        if len(self.codes) > SPARSE_CODES:
+        if len(self.codes) > self.sparse_codes:
             self.densify()
         return self
 
@@ -135,9 +136,9 @@ class DyadicSketch:
         return b"d" + zlib.compress(self.exact.astype("<i8").tobytes() + self.signed.astype("<i8").tobytes(), 1)
 
     @staticmethod
-    def load(data: bytes) -> DyadicSketch:
+    def load(data: bytes, sparse_codes: int | None = None) -> DyadicSketch:
         """A sketch from its bytes."""
-        out, body = DyadicSketch(), data[1:]
+        out, body = DyadicSketch(sparse_codes), data[1:]
         if data[:1] == b"s":
             n = len(body) // 12
             out.codes, out.weights = np.frombuffer(body, "<i4", n).astype(np.int64), np.frombuffer(body, "<i8", n, 4 * n).astype(np.int64)
@@ -171,7 +172,8 @@ def _groups(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, list[tu
 class _Partials:
     """Sketches of the groups that one worker meets, in bounded memory."""
 
-    def __init__(self, metrics: list[str]):
+    def __init__(self, metrics: list[str], sparse_codes: int | None = None):
+        self.sparse_codes = SPARSE_CODES if sparse_codes is None else sparse_codes
         self.metrics, self.group, self.names, self.dense = metrics, {}, [], {}
         self.cells, self.counts, self.fresh, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
@@ -199,10 +201,10 @@ class _Partials:
         if len(self.cells) > WORKER_CODES // 2:  # groups with many codes move into counters
             group = self.cells >> BITS
             size = np.bincount(group, minlength=1)
-            for g in np.nonzero(size > SPARSE_CODES)[0]:
+            for g in np.nonzero(size > self.sparse_codes)[0]:
                 own = slice(*np.searchsorted(group, (g, g + 1)))
-                self.dense.setdefault(int(g), DyadicSketch()).add(self.cells[own] & ((1 << BITS) - 1), self.counts[own])
-            rest = size[group] <= SPARSE_CODES
+                self.dense.setdefault(int(g), DyadicSketch(self.sparse_codes)).add(self.cells[own] & ((1 << BITS) - 1), self.counts[own])
+            rest = size[group] <= self.sparse_codes
             self.cells, self.counts = self.cells[rest], self.counts[rest]
         self.held = len(self.cells)
 
@@ -216,7 +218,7 @@ class _Partials:
         edges = np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1, [len(group)])) if len(group) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1], edges[1:]):
             g = int(group[a])
-            sketch = self.dense.pop(g, None) or DyadicSketch()
+            sketch = self.dense.pop(g, None) or DyadicSketch(self.sparse_codes)
             sketch.add(self.cells[a:b] & ((1 << BITS) - 1), self.counts[a:b])
             yield self.names[g // len(self.metrics)], self.metrics[g % len(self.metrics)], sketch
         for g, sketch in self.dense.items():
@@ -242,11 +244,12 @@ def _key_fields(df: DataFrame, keys: list[str]) -> tuple[str, list[pa.Field]]:
     return "".join(f"`{k}` {kinds[k]}, " for k in keys), [pa.field(k, arrow[kinds[k]]) for k in keys]
 
 
-def build_sketches(df: DataFrame, keys: list[str], metrics: dict[str, F.Column], weight: F.Column | None = None) -> DataFrame:
+def build_sketches(df: DataFrame, keys: list[str], metrics: dict[str, F.Column], weight: F.Column | None = None, sparse_codes: int | None = None) -> DataFrame:
     """(keys, metric, sketch) with one sketch a group and metric over all rows.
 
     metrics: for each metric a column of codes (see `encoded`); rows whose code is null are not
-    counted there. weight: +1 by default, negative to delete. Rows with null keys form groups of
+    counted there. weight: +1 by default, negative to delete. sparse_codes: SPARSE_CODES by default; 0
+    keeps every sketch as counters. Rows with null keys form groups of
     their own. Every partition makes partial sketches where it is read; only those are shuffled,
     so a group of any size costs each reader one bounded sketch. An empty table has no group.
     """
@@ -256,7 +259,7 @@ def build_sketches(df: DataFrame, keys: list[str], metrics: dict[str, F.Column],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            held = _Partials(names)
+            held = _Partials(names, sparse_codes)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -265,7 +268,7 @@ def build_sketches(df: DataFrame, keys: list[str], metrics: dict[str, F.Column],
                 held.take(number, groups, codes, batch.column("__weight").to_numpy(zero_copy_only=False))
                 if held.full():
                     yield from ((*g, m, s.dump()) for g, m, s in held.rows())
-                    held = _Partials(names)
+                    held = _Partials(names, sparse_codes)
             yield from ((*g, m, s.dump()) for g, m, s in held.rows())
 
         yield from _batches(rows(), schema)
@@ -273,10 +276,10 @@ def build_sketches(df: DataFrame, keys: list[str], metrics: dict[str, F.Column],
     one = F.lit(1) if weight is None else weight
     source = df.select(*keys, *(c.alias(f"__code{i}") for i, c in enumerate(metrics.values())), one.cast("bigint").alias("__weight"))
     partial = source.mapInArrow(run, f"{spark_keys}metric string, sketch binary")
-    return merge_sketches(partial, keys)
+    return merge_sketches(partial, keys, sparse_codes)
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+def merge_sketches(sketches: DataFrame, keys: list[str], sparse_codes: int | None = None) -> DataFrame:
     """Adds the sketches of equal keys and metric: days into weeks, partitions into a whole.
 
     The rows of a group stream, sorted, into one sketch; none is collected.
@@ -294,7 +297,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
                             yield (*now, held.dump() if isinstance(held, DyadicSketch) else held)
                         now, held = name, data
                     else:
-                        held = (held if isinstance(held, DyadicSketch) else DyadicSketch.load(held)).merge(DyadicSketch.load(data))
+                        held = (held if isinstance(held, DyadicSketch) else DyadicSketch.load(held, sparse_codes)).merge(DyadicSketch.load(data))
             if now is not None:
                 yield (*now, held.dump() if isinstance(held, DyadicSketch) else held)
 
@@ -324,3 +327,22 @@ def percentiles(sketches: DataFrame, keys: list[str], ranges: dict[str, tuple[fl
 
     columns = ", ".join(f"`{f}` double" for f in fractions)
     return sketches.mapInArrow(run, f"{spark_keys}metric string, n bigint, {columns}")
+
+
+def exact_ranks(codes: DataFrame, answers: DataFrame, keys: list[str], ranges: dict[str, tuple[float, float]], fractions: dict[str, float]) -> DataFrame:
+    """(keys, metric, n, is_whole, fraction, rank_error): how far the rank of each answer of `percentiles` is from the wanted one, as a share of n.
+
+    codes: (keys, metric, code, n), the exact counts; is_whole: the sketch holds as many values. Each
+    count meets the one row of its group's answers, so nothing is multiplied. A group without an answer
+    or with a null key has no row.
+    """
+    code = lambda name: F.coalesce(*(F.when(F.col("metric") == m, encoded(F.col(name), *span)) for m, span in ranges.items()))
+    wanted = answers.select(*keys, "metric", F.col("n").alias("__all"), *(code(f).alias(f) for f in fractions))
+    sums = [F.sum(F.when(F.col("code") < F.col(f), F.col("n")).otherwise(0)).alias(f"below_{f}") for f in fractions] + [F.sum(F.when(F.col("code") == F.col(f), F.col("n")).otherwise(0)).alias(f"at_{f}") for f in fractions]
+    placed = codes.join(wanted, [*keys, "metric"]).groupBy(*keys, "metric").agg(F.sum("n").alias("n"), F.max("__all").alias("__all"), *sums)
+    cells = []
+    for f, q in fractions.items():
+        rank = F.greatest(F.lit(1.0), F.ceil(F.lit(q) * F.col("n") - 1e-9).cast("double"))
+        off = F.greatest(F.lit(0.0), F.col(f"below_{f}") + 1 - rank, rank - F.col(f"below_{f}") - F.col(f"at_{f}"))
+        cells.append(F.struct(F.lit(f).alias("fraction"), (off / F.col("n")).alias("rank_error")))
+    return placed.select(*keys, "metric", "n", (F.col("n") == F.col("__all")).alias("is_whole"), F.explode(F.array(*cells)).alias("c")).select(*keys, "metric", "n", "is_whole", "c.*")

@@ -36,6 +36,17 @@ def test_error_is_within_the_stated_bound(name):
     assert merged.size() == len(codes) and worst(codes, merged) <= (RANK_ERROR if merged.exact is not None else 0)
 
 
+@pytest.mark.parametrize("name", COLUMNS)
+def test_counters_alone_are_within_the_stated_bound(name):
+    """No sketch stays sparse, however few its codes; small groups as well."""
+    for codes in (COLUMNS[name], COLUMNS[name][:300], COLUMNS[name][:7]):
+        merged = DyadicSketch(0)
+        for part in np.array_split(codes, 3):
+            merged.merge(DyadicSketch.load(DyadicSketch(0).add(part, np.ones(len(part), np.int64)).dump(), 0))
+        assert merged.exact is not None and merged.size() == len(codes)
+        assert worst(codes, merged) <= max(RANK_ERROR, 1 / len(codes))
+
+
 def test_merging_order_does_not_matter():
     a, b, c = np.array_split(COLUMNS["lognormal"], 3)
     left, right = built(a).merge(built(b)).merge(built(c)), built(c).merge(built(a).merge(built(b)))
