@@ -52,3 +52,8 @@ def as_number(value) -> float | None:
     if kind is str and _NUMBER.fullmatch(text := value.strip()):
         return float(text)
     return None
+
+
+def words_of(value) -> str:
+    """A value that is not missing as trimmed text; what is no text as its JSON."""
+    return value.strip() if type(value) is str else json.dumps(value, ensure_ascii=False)

@@ -1,16 +1,18 @@
 """Schemas that drift between files (problem 3): matching by similarity flooding, casting, reporting.
 
 Each file has a schema graph: its root, its fields, and for each field a node for its
-plain name, for the tokens of the name, for its type and for the registry feature it
-resolves to. The graphs of a file and the one before it are laid over each other: a
-pair of nodes gets a starting score (equal names, features and types; the share of
-the accounts of both files whose values agree), and scores flow along equally named
-edges until they settle. Consistent correspondences are selected from the settled
-scores. Fields that stay under their name need no match, so the pairs are those of
-fields that vanish and fields that appear.
+plain name, for each token of the name, for its type, for the registry feature it
+resolves to and for the names nested in it. The graphs of a file and the one before it
+are laid over each other: a pair of nodes gets a starting score (equal names, features
+and types; the share of the accounts of both files whose values agree), and scores
+flow along equally named edges until they settle. A field that stays is an anchor, the
+pair all others are measured against. The pairs whose settled score stands out are
+selected; nothing else can be reported as a rename, and a selected pair is reported if
+the exact rule holds for it. Pairs are those of fields that vanish and fields that appear.
 
 A first scan counts the types of each field of each file (every worker sends one row a
-file and field); values are read again only for the fields that vanish or appear.
+file and field); values are read again only for the fields that vanish or appear, and
+meet by equality, never as a product of fields.
 """
 
 from __future__ import annotations
@@ -20,18 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import as_number, is_missing, json_object, plain_name
+from ..functions.values import as_number, is_missing, json_object, plain_name, words_of
 from ..session import checked_broadcast, python_tasks
 from ..sources.feature_files import NUMBER_KINDS, Feature, counted_lines, file_sequence, names_of
 
 TYPES = ("number", "string", "boolean")
 #: Values agree if at least this share of the accounts with both, and so many in all, hold the same.
 AGREE_SHARE, AGREE_ACCOUNTS = 0.9, 10
-#: Selection keeps a pair whose settled score is at least this share of the best of its row and of its column.
-KEEP_SHARE = 0.2
+#: Selection keeps a pair whose settled score is at least this share of the anchor's. A pair gets no less flow than the anchor, so its share
+#: never falls below that of their starting scores: 0.9 and more for all that the exact rule may accept.
+KEEP_SCORE = 0.6
+#: How much of a score flows along names, features, tokens, nested names and types.
+FLOWS = (1.0, 1.0, 0.1, 0.1, 0.05)
+#: Places in the signature of the names nested in a field.
+NESTED_BITS = 63
 #: Flooding stops when no score moves by more than this, or after so many rounds.
 SETTLED, MOST_ROUNDS = 1e-4, 60
 #: Files whose wanted fields are broadcast at most (a few short names each).
@@ -40,13 +48,21 @@ MOST_FILES = 50_000
 WORKER_FIELDS = 200_000
 
 
+def _nested(value: dict) -> int:
+    """Signature of the names in an object: one bit each, by hash of the plain name, so that it stays bounded and adds up by OR."""
+    mask = 0
+    for name in value:
+        mask |= 1 << (xxhash.xxh64_intdigest(plain_name(name)) % NESTED_BITS)
+    return mask
+
+
 def field_counts(lines: DataFrame) -> DataFrame:
-    """(file_id, field, n_number, n_string, n_boolean): the types of a field's values that are not missing.
+    """(file_id, field, n_number, n_string, n_boolean, nested): the types of a field's values that are not missing, and the names nested in it.
 
     Lines that are not one complete JSON object count nothing. A field whose values are all
     missing, or lists or objects, has a row of zeros.
     """
-    schema = pa.schema([("file_id", pa.int64()), ("field", pa.string()), *((f"n_{t}", pa.int64()) for t in TYPES)])
+    schema = pa.schema([("file_id", pa.int64()), ("field", pa.string()), *((f"n_{t}", pa.int64()) for t in TYPES), ("nested", pa.int64())])
 
     def emit(counts: dict) -> pa.RecordBatch:
         rows = [(file, field, *n) for (file, field), n in counts.items()]
@@ -63,9 +79,12 @@ def field_counts(lines: DataFrame) -> DataFrame:
                 for field, value in found.items():
                     own = counts.get((file, field))
                     if own is None:
-                        own = counts[file, field] = [0, 0, 0]
+                        own = counts[file, field] = [0, 0, 0, 0]
                     at = place.get(type(value))
-                    if at is not None and not (at == 1 and is_missing(value)):
+                    if at is None:
+                        if type(value) is dict:
+                            own[3] |= _nested(value)
+                    elif not (at == 1 and is_missing(value)):
                         own[at] += 1
             if len(counts) > WORKER_FIELDS:
                 yield emit(counts)
@@ -73,8 +92,8 @@ def field_counts(lines: DataFrame) -> DataFrame:
         if counts:
             yield emit(counts)
 
-    partial = lines.select("file_id", "features").mapInArrow(run, "file_id bigint, field string, n_number bigint, n_string bigint, n_boolean bigint")
-    return partial.groupBy("file_id", "field").agg(*(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES))
+    partial = lines.select("file_id", "features").mapInArrow(run, "file_id bigint, field string, n_number bigint, n_string bigint, n_boolean bigint, nested bigint")
+    return partial.groupBy("file_id", "field").agg(*(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES), F.bit_or("nested").alias("nested"))
 
 
 def dominant_type() -> F.Column:
@@ -93,23 +112,24 @@ def _resolver(registry: list[Feature]) -> F.Column:
 
 
 def field_steps(counts: DataFrame, files: DataFrame, registry: list[Feature]) -> DataFrame:
-    """(file_id, prev_file_id, field, in_file, in_prev, type, prev_type, feature) for each file with one before it."""
-    typed = counts.select("file_id", "field", dominant_type().alias("type"))
+    """(file_id, prev_file_id, field, in_file, in_prev, type, prev_type, nested, prev_nested, feature) for each file with one before it."""
+    typed = counts.select("file_id", "field", dominant_type().alias("type"), "nested")
     later = files.where("prev_file_id IS NOT NULL").select("file_id", "prev_file_id")
-    now = typed.join(later, "file_id").select("file_id", "prev_file_id", "field", F.lit(1).alias("now"), "type")
-    then = typed.withColumnsRenamed({"file_id": "prev_file_id", "type": "prev_type"}).join(later, "prev_file_id").select("file_id", "prev_file_id", "field", F.lit(1).alias("then"), "prev_type")
+    now = typed.join(later, "file_id").select("file_id", "prev_file_id", "field", F.lit(1).alias("now"), "type", "nested")
+    then = typed.toDF("prev_file_id", "field", "prev_type", "prev_nested").join(later, "prev_file_id").select("file_id", "prev_file_id", "field", F.lit(1).alias("then"), "prev_type", "prev_nested")
     both = now.unionByName(then, allowMissingColumns=True).groupBy("file_id", "prev_file_id", "field").agg(
-        F.max("now").isNotNull().alias("in_file"), F.max("then").isNotNull().alias("in_prev"), F.max("type").alias("type"), F.max("prev_type").alias("prev_type")
+        F.max("now").isNotNull().alias("in_file"), F.max("then").isNotNull().alias("in_prev"), *(F.max(c).alias(c) for c in ("type", "prev_type", "nested", "prev_nested"))
     )
     return both.withColumn("feature", _resolver(registry))
 
 
 def field_values(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(file_id, account_reference, field, number, words): the values of the wanted fields that are not missing.
+    """(file_id, account_reference, field, value): the values of the wanted fields that are not missing, as texts that are equal if the values are.
 
-    wanted: (file_id, fields) with an array of names. Of an account's lines of a file the last counts.
+    wanted: (file_id, fields) with an array of names. Numbers are compared as numbers, all else as trimmed
+    text. Of an account's lines of a file the last that has a value counts.
     """
-    schema = pa.schema([("file_id", pa.int64()), ("account_reference", pa.string()), ("line_no", pa.int32()), ("field", pa.string()), ("number", pa.float64()), ("words", pa.string())])
+    schema = pa.schema([("file_id", pa.int64()), ("account_reference", pa.string()), ("line_no", pa.int32()), ("field", pa.string()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,78 +138,92 @@ def field_values(lines: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = json_object(text)
                 for field in fields if found else ():
                     value = found.get(field)
-                    if not is_missing(value):
-                        words = value.strip() if type(value) is str else str(value).lower() if type(value) is bool else repr(value)
-                        rows.append((file, account, no, field, as_number(value), words))
+                    if is_missing(value):
+                        continue
+                    number = as_number(value)
+                    rows.append((file, account, no, field, f"t{words_of(value)}" if number is None else f"n{number + 0.0!r}"))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     chosen = lines.where("account_reference IS NOT NULL").join(checked_broadcast(wanted, MOST_FILES), "file_id").select("file_id", "account_reference", "line_no", "features", "fields")
-    read = chosen.mapInArrow(run, "file_id bigint, account_reference string, line_no int, field string, number double, words string")
-    last = F.max_by(F.struct("number", "words"), "line_no")
-    return read.groupBy("file_id", "account_reference", "field").agg(last.alias("v")).select("file_id", "account_reference", "field", "v.number", "v.words")
+    read = chosen.mapInArrow(run, "file_id bigint, account_reference string, line_no int, field string, value string")
+    last = F.max(F.struct(F.coalesce("line_no", F.lit(-1)).alias("no"), "value"))
+    return read.groupBy("file_id", "account_reference", "field").agg(last["value"].alias("value"))
 
 
 def value_agreement(lines: DataFrame, pairs: DataFrame, settle) -> DataFrame:
-    """(file_id, old, new, n_both, n_same) for pairs (file_id, prev_file_id, old, new) of fields.
+    """(file_id, old, new, n_both, n_same) for the pairs (file_id, prev_file_id, old, new) of fields that AGREE_ACCOUNTS or more accounts agree on.
 
     n_both counts the accounts of both files with a value under both names, n_same those where the
-    two are the same (as numbers if both are, else as trimmed texts).
+    two are the same. Equal values find each other by an equi-join on account and value; n_both is
+    worked out only for the few pairs left, so the work grows with the lines and not with the product
+    of vanished and new fields.
     """
     wanted = pairs.select("prev_file_id", "old").union(pairs.select("file_id", "new")).toDF("file_id", "field")
-    fields = wanted.groupBy("file_id").agg(F.collect_set("field").alias("fields"))
-    values = field_values(lines, settle(fields))
-    before = pairs.join(values.select(F.col("file_id").alias("prev_file_id"), F.col("field").alias("old"), "account_reference", F.col("number").alias("n0"), F.col("words").alias("w0")), ["prev_file_id", "old"])
-    after = values.select("file_id", F.col("field").alias("new"), "account_reference", F.col("number").alias("n1"), F.col("words").alias("w1"))
-    same = F.when(F.col("n0").isNotNull() & F.col("n1").isNotNull(), F.col("n0") == F.col("n1")).otherwise(F.col("w0") == F.col("w1"))
-    return (
-        before.join(after, ["file_id", "new", "account_reference"])
-        .groupBy("file_id", "old", "new")
-        .agg(F.count(F.lit(1)).alias("n_both"), F.sum(same.cast("bigint")).alias("n_same"))
-    )
+    values = settle(field_values(lines, settle(wanted.groupBy("file_id").agg(F.collect_set("field").alias("fields")))))
+    old, new = pairs.select("file_id", "prev_file_id", "old").distinct(), pairs.select("file_id", "new").distinct()
+    then = values.toDF("prev_file_id", "account_reference", "old", "value")
+    now = values.toDF("file_id", "account_reference", "new", "value")
+    equal = then.join(old, ["prev_file_id", "old"]).join(now.join(new, ["file_id", "new"]), ["file_id", "account_reference", "value"])
+    same = equal.groupBy("file_id", "prev_file_id", "old", "new").agg(F.count(F.lit(1)).alias("n_same")).where(F.col("n_same") >= AGREE_ACCOUNTS)
+    likely = settle(same.join(pairs, ["file_id", "prev_file_id", "old", "new"], "left_semi"))
+    both = then.join(likely, ["prev_file_id", "old"]).join(now.drop("value"), ["file_id", "new", "account_reference"])
+    return both.groupBy("file_id", "old", "new").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_same").alias("n_same"))
 
 
-def _tokens(name: str) -> frozenset[str]:
-    return frozenset(re.findall(r"[A-Z]+|[0-9]+", name.upper()))
+def _tokens(name: str) -> list[str]:
+    return re.findall(r"[A-Z]+|[0-9]+", name.upper())
+
+
+def _layers(old: list[tuple], new: list[tuple]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of property: which old and new fields have which values, and which pairs of values are equal."""
+    bits = lambda f: [i for i in range(NESTED_BITS) if f[3] >> i & 1]
+    layers = []
+    for weight, pick in zip(FLOWS, (lambda f: [plain_name(f[0])], lambda f: [f[2]], lambda f: _tokens(f[0]), bits, lambda f: [f[1]])):
+        left, right = ([[x for x in pick(f) if x is not None and x != ""] for f in side] for side in (old, new))
+        lv, rv = sorted({x for own in left for x in own}), sorted({x for own in right for x in own})
+        if lv and rv:
+            a = np.array([[float(v in own) for v in lv] for own in left])
+            b = np.array([[float(v in own) for v in rv] for own in right])
+            layers.append((weight * a, b, np.array([[float(x == y) for y in rv] for x in lv])))
+    return layers
 
 
 def flood(old: list[tuple], new: list[tuple], agreement: np.ndarray) -> np.ndarray:
-    """Settled scores of the pairs of old and new fields, each (name, type, feature).
+    """Settled scores of the pairs of old and new fields, each (name, type, feature, nested), as shares of the anchor's.
 
-    agreement: the share of agreeing values of each pair, 0 where there is no evidence. Pairs of
-    fields exchange scores with the pairs of their names, tokens, types and features, and, through
-    the pair of roots, with one another.
+    agreement: the share of agreeing values of each pair, 0 where there is no evidence. A field that is
+    in both files (the anchor) lies beside the given ones. Pairs of fields exchange scores with the
+    pairs of their names, tokens, types, features and nested names, and with the pair of roots.
     """
-    fields = agreement.astype(float)
-    layers = []
-    for pick in (lambda f: plain_name(f[0]), lambda f: f[1], lambda f: f[2]):
-        left, right = [pick(f) for f in old], [pick(f) for f in new]
-        lv, rv = sorted({x for x in left if x}), sorted({x for x in right if x})
-        if lv and rv:
-            a = np.array([[float(x == v) for v in lv] for x in left])
-            b = np.array([[float(x == v) for v in rv] for x in right])
-            layers.append((a, b, np.array([[float(x == y) for y in rv] for x in lv])))
-    ot, nt = [_tokens(f[0]) for f in old], [_tokens(f[0]) for f in new]
+    anchor = ("\0", None, None, 0)
+    left, right = [*old, anchor], [*new, anchor]
+    layers = _layers(left, right)
+    ot, nt = [set(_tokens(f[0])) for f in left], [set(_tokens(f[0])) for f in right]
     overlap = np.array([[len(x & y) / max(1, len(x | y)) for y in nt] for x in ot])
-    names_equal = np.array([[float(plain_name(x[0]) == plain_name(y[0]) or x[2] is not None and x[2] == y[2]) for y in new] for x in old])
-    start = np.maximum(names_equal, np.maximum(fields, 0.2 * overlap)) + 1e-3
-    score, starts, scores = start.copy(), [s for *_, s in layers], [s.copy() for *_, s in layers]
+    alike = np.array([[float(plain_name(x[0]) == plain_name(y[0]) and x[0] != "\0" and y[0] != "\0" or x[2] is not None and x[2] == y[2]) for y in right] for x in left])
+    start = np.maximum(alike, 0.2 * overlap)
+    start[:-1, :-1] = np.maximum(start[:-1, :-1], agreement)
+    start[-1, -1] = 1.0
+    start = start + 1e-3
+    score, starts, root = start.copy(), [s for *_, s in layers], 1.0
+    scores = [s.copy() for s in starts]
     for _ in range(MOST_ROUNDS):
-        flow = np.full_like(score, score.mean() / max(score.shape))  # by way of the roots
+        flow = np.full_like(score, root / score.size)
         nexts = []
         for (a, b, s0), s in zip(layers, scores):
             # a property pair gives to the field pairs that share it, evenly, and gets from them
-            share = np.maximum(1.0, np.outer(a.sum(0), b.sum(0)))
+            share = np.maximum(1.0, np.outer((a > 0).sum(0), b.sum(0)))
             flow += a @ (s / share) @ b.T
             nexts.append(s0 + s + a.T @ score @ b / share)
-        fresh = start + score + flow
-        top = max(fresh.max(), *(n.max() for n in nexts)) if nexts else fresh.max()
-        fresh = fresh / top
+        fresh, root = start + score + flow, 1.0 + root + score.mean()
+        top = max(fresh.max(), root, *(n.max() for n in nexts)) if nexts else max(fresh.max(), root)
+        fresh, root = fresh / top, root / top
         moved = np.abs(fresh - score).max()
         score, scores = fresh, [n / top for n in nexts]
         if moved < SETTLED:
             break
-    return score
+    return score[:-1, :-1] / score[-1, -1]
 
 
 _STEP = pa.schema([("file_id", pa.int64()), ("prev_file_id", pa.int64()), ("old", pa.string()), ("new", pa.string()), ("score", pa.float64()), ("by_name", pa.bool_()), ("rank_pair", pa.bool_())])
@@ -202,8 +236,8 @@ def correspondences(steps: DataFrame, agreement: DataFrame) -> DataFrame:
     resolve); is_best: the pair also is a stable match, one partner each, best scores first.
     A file's vanished and new fields are as many as its fields, whatever the number of lines.
     """
-    vanished = steps.where("in_prev AND NOT in_file").select("file_id", "prev_file_id", F.struct("field", F.col("prev_type").alias("type"), "feature").alias("f"), F.lit(0).alias("side"))
-    fresh = steps.where("in_file AND NOT in_prev").select("file_id", "prev_file_id", F.struct("field", "type", "feature").alias("f"), F.lit(1).alias("side"))
+    vanished = steps.where("in_prev AND NOT in_file").select("file_id", "prev_file_id", F.struct("field", F.col("prev_type").alias("type"), "feature", F.col("prev_nested").alias("nested")).alias("f"), F.lit(0).alias("side"))
+    fresh = steps.where("in_file AND NOT in_prev").select("file_id", "prev_file_id", F.struct("field", "type", "feature", "nested").alias("f"), F.lit(1).alias("side"))
     grouped = vanished.unionByName(fresh).groupBy("file_id", "prev_file_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("f")))).alias("old"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("f")))).alias("new")
     )
@@ -215,7 +249,7 @@ def correspondences(steps: DataFrame, agreement: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                old, new = ([(f["field"], f["type"], f["feature"]) for f in r[side]] for side in ("old", "new"))
+                old, new = ([(f["field"], f["type"], f["feature"], f["nested"] or 0) for f in r[side]] for side in ("old", "new"))
                 place = ({f[0]: i for i, f in enumerate(old)}, {f[0]: i for i, f in enumerate(new)})
                 agree, holds = np.zeros((len(old), len(new))), np.zeros((len(old), len(new)), bool)
                 for p in r["agreed"] or ():
@@ -225,7 +259,7 @@ def correspondences(steps: DataFrame, agreement: DataFrame) -> DataFrame:
                         holds[i, j] = p["n_same"] >= AGREE_ACCOUNTS and p["n_same"] * 10 >= p["n_both"] * 9
                 by_name = np.array([[plain_name(x[0]) == plain_name(y[0]) or bool(x[2]) and x[2] == y[2] for y in new] for x in old])
                 score = flood(old, new, agree)
-                keep = (score >= KEEP_SHARE * score.max(0)[None, :]) & (score >= KEEP_SHARE * score.max(1)[:, None])
+                keep = score >= KEEP_SCORE
                 true = keep & (holds | by_name)
                 left, right, best = set(), set(), set()
                 for i, j in sorted(zip(*np.nonzero(true)), key=lambda p: (-score[p], p)):
@@ -332,12 +366,12 @@ def united_table(lines: DataFrame, columns: DataFrame, registry: list[Feature],
                         known[field] = own.get(plain_name(field))
                     column = known[field] or to.get(field, field)
                     if column not in numbers:
-                        other.setdefault(column, value if type(value) is str else repr(value))
+                        other.setdefault(column, value if type(value) is str else words_of(value))
                     elif row.get(column) is None:
                         if numbers[column]:
                             row[column] = float(value) if type(value) is bool else as_number(value)
                         else:
-                            row[column] = value.strip() if type(value) is str else repr(value)
+                            row[column] = words_of(value)
                 out["file_id"].append(file)
                 out["line_no"].append(no)
                 out["account_reference"].append(account)

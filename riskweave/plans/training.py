@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..operators.schema_drift import SchemaDrift
@@ -26,6 +27,14 @@ def p3_table(spark: SparkSession, folder: str) -> DataFrame:
     return _drift(spark, folder).table()
 
 
+def p3_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of p3_table in long form: one row a line and feature that has a value."""
+    table = p3_table(spark, folder)
+    kinds = [(f.name, f.dataType.simpleString()) for f in table.schema if f.name not in ("file_id", "line_no", "account_reference", "other")]
+    cell = [F.struct(F.lit(c).alias("column_name"), (F.col(c) if k == "double" else F.lit(None).cast("double")).alias("number"), (F.col(c) if k == "string" else F.lit(None).cast("string")).alias("words")) for c, k in kinds]
+    return table.select("file_id", "line_no", F.explode(F.array(*cell)).alias("c")).select("file_id", "line_no", "c.*").where("number IS NOT NULL OR words IS NOT NULL")
+
+
 def _profile(spark: SparkSession, folder: str) -> DataFrame:
     registry = load_registry(read_table(spark, folder, "feature_registry"))
     return quality.file_profile(read_table(spark, folder, "score_requests"), registry, cut_lineage)
@@ -49,7 +58,7 @@ def p5_control(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_table, p5_found, p5_profile, p5_control)}
+    return {f.__name__: f for f in (p3_found, p3_table, p3_cells, p5_found, p5_profile, p5_control)}
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -65,7 +74,7 @@ kv AS (SELECT v.*, regexp_replace(upper(field), '[^A-Z0-9]+', '', 'g') AS plain,
          CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' END AS kind,
          CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') OR t = 'VARCHAR' AND regexp_full_match(trim(s, {_BLANKS}), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim(s, {_BLANKS}) AS DOUBLE) END AS num FROM each_value v)
 """
-_CHANGES = _VALUES + """
+_RENAMES = _VALUES + """
 , fields AS (SELECT file_id, field, any_value(plain) AS plain, count(*) FILTER (WHERE NOT missing AND kind = 'number') AS a, count(*) FILTER (WHERE NOT missing AND kind = 'string') AS b, count(*) FILTER (WHERE NOT missing AND kind = 'boolean') AS c FROM kv GROUP BY file_id, field),
 typed AS (SELECT f.*, feature, CASE WHEN a + b + c = 0 THEN NULL WHEN a >= b AND a >= c THEN 'number' WHEN b >= c THEN 'string' ELSE 'boolean' END AS kind FROM fields f LEFT JOIN named USING (plain)),
 now AS (SELECT t.*, prev_id FROM typed t JOIN files USING (file_id) WHERE prev_id IS NOT NULL),
@@ -73,15 +82,28 @@ old AS (SELECT f.file_id, f.prev_id, t.field, t.plain, t.feature, t.kind FROM fi
 gone AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.file_id = o.file_id AND n.field = o.field)),
 fresh AS (SELECT * FROM now n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE n.file_id = o.file_id AND n.field = o.field)),
 pairs AS (SELECT g.file_id, g.prev_id, g.field AS f0, n.field AS f1, g.kind AS k0, n.kind AS k1, g.plain = n.plain OR coalesce(g.feature = n.feature, false) AS by_name, g.feature IS NOT NULL AND n.feature IS NOT NULL AS both_resolve FROM gone g JOIN fresh n USING (file_id)),
-agreed AS (SELECT p.file_id, f0, f1, count(*) AS n, count(*) FILTER (WHERE CASE WHEN x.num IS NOT NULL AND y.num IS NOT NULL THEN x.num = y.num ELSE x.words = y.words END) AS same FROM pairs p
-  JOIN kv x ON x.file_id = p.prev_id AND x.field = f0 AND NOT x.missing JOIN kv y ON y.file_id = p.file_id AND y.field = f1 AND NOT y.missing AND x.account_reference = y.account_reference WHERE NOT by_name AND NOT both_resolve GROUP BY ALL),
+held AS (SELECT file_id, account_reference, field, arg_max(num, coalesce(line_no, -1)) AS num, arg_max(words, coalesce(line_no, -1)) AS words, arg_max(num IS NOT NULL, coalesce(line_no, -1)) AS is_number
+  FROM kv WHERE NOT missing AND account_reference IS NOT NULL GROUP BY ALL),
+agreed AS (SELECT p.file_id, f0, f1, count(*) AS n, count(*) FILTER (WHERE CASE WHEN x.is_number AND y.is_number THEN x.num = y.num ELSE x.is_number = y.is_number AND x.words = y.words END) AS same FROM pairs p
+  JOIN held x ON x.file_id = p.prev_id AND x.field = f0 JOIN held y ON y.file_id = p.file_id AND y.field = f1 AND x.account_reference = y.account_reference WHERE NOT by_name AND NOT both_resolve GROUP BY ALL),
 renamed AS (SELECT p.file_id, f0, f1, k0, k1 FROM pairs p LEFT JOIN agreed USING (file_id, f0, f1) WHERE by_name OR coalesce(same >= 10 AND same * 10 >= 9 * n, false))
+"""
+_CHANGES = _RENAMES + """
 SELECT file_id, 'renamed' AS change_kind, f0 AS field_name, f1 AS new_name FROM renamed
 UNION ALL SELECT file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = g.file_id AND r.f0 = g.field)
 UNION ALL SELECT file_id, 'added', field, '' FROM fresh g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.file_id = g.file_id AND r.f1 = g.field)
 UNION ALL SELECT file_id, 'type_changed', field, '' FROM (SELECT n.file_id, n.field FROM now n JOIN old o USING (file_id, field) WHERE n.kind <> o.kind UNION SELECT file_id, f1 FROM renamed WHERE k0 <> k1)
 UNION ALL SELECT d.file_id, 'miscounted', 'n_unexpected_columns', '' FROM organiser_dry_run d JOIN files f USING (file_id) WHERE n_unexpected_columns <> (SELECT count(*) FROM typed t WHERE t.file_id = d.file_id AND feature IS NULL)
 """
+#: Columns of the one table: a field that resolves, else what its name or its renames lead back to.
+_CELLS = _RENAMES.replace("WITH firsts", "WITH RECURSIVE firsts") + """
+, linked AS (SELECT t.file_id, t.field, t.feature, f.prev_id AS up_file, coalesce(r.f0, t.field) AS up_field FROM typed t JOIN files f USING (file_id) LEFT JOIN renamed r ON r.file_id = t.file_id AND r.f1 = t.field),
+goes AS (SELECT file_id, field, feature FROM linked WHERE feature IS NOT NULL UNION ALL SELECT l.file_id, l.field, g.feature FROM goes g JOIN linked l ON l.up_file = g.file_id AND l.up_field = g.field WHERE l.feature IS NULL),
+cells AS (SELECT v.file_id, v.line_no, g.feature, r.value_kind, v.field, v.t, v.words, CASE WHEN r.value_kind IN ('code', 'date') THEN NULL WHEN v.t = 'BOOLEAN' THEN (v.s = 'true')::INT::DOUBLE ELSE v.num END AS number
+  FROM kv v JOIN goes g USING (file_id, field) JOIN feature_registry r ON r.feature = g.feature WHERE NOT missing),
+fit AS (SELECT * FROM cells WHERE value_kind IN ('code', 'date') OR number IS NOT NULL)
+SELECT file_id, line_no, feature AS column_name, first(number ORDER BY field) AS number, first(CASE WHEN value_kind IN ('code', 'date') THEN words END ORDER BY field) AS words FROM fit GROUP BY ALL
+"""
 _ISSUES = _VALUES + """
 , has AS (SELECT DISTINCT file_id, feature FROM kv JOIN named USING (plain)),
 vals AS (SELECT file_id, line_id, feature, first(s ORDER BY field) AS s, first(t ORDER BY field) AS t, first(num ORDER BY field) AS num FROM kv JOIN named USING (plain) WHERE NOT missing GROUP BY ALL),
@@ -100,4 +122,4 @@ UNION ALL SELECT file_id, 'schema_completeness', CASE WHEN schema_completeness I
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _CHANGES, "p5_found": _ISSUES}
+    return {"p3_found": _CHANGES, "p3_cells": _CELLS, "p5_found": _ISSUES}

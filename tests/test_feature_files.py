@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from riskweave.functions.values import as_number, is_missing, json_object
-from riskweave.operators import quality
-from riskweave.operators.schema_drift import SchemaDrift, flood
+from riskweave.operators import quality, schema_drift
+from riskweave.operators.schema_drift import KEEP_SCORE, SchemaDrift, flood
 from riskweave.session import cut_lineage, read_table
 from riskweave.sources.feature_files import Feature, load_registry
 from tests.helpers import feature_file_truth as truth
@@ -105,10 +105,33 @@ def test_united_table_follows_renames(spark):
 
 
 def test_flooding_prefers_agreement():
-    score = flood([("alpha", "number", None), ("beta", "string", None)], [("beta2", "string", None), ("zzz", "number", None)], np.array([[0.0, 1.0], [0.0, 0.0]]))
+    score = flood([("alpha", "number", None, 0), ("beta", "string", None, 0)], [("beta2", "string", None, 0), ("zzz", "number", None, 0)], np.array([[0.0, 1.0], [0.0, 0.0]]))
     assert score[0, 1] == score.max() and score[1, 0] > score[1, 1] and score[1, 0] > score[0, 0]
 
 
+def test_flooding_rejects_what_nothing_speaks_for():
+    fields = lambda names: [(n, "number", None, 0) for n in names]
+    old, new = fields(["alpha_7", "beta", "gamma", "one", "two"]), fields(["alpha-7", "delta", "zeta", "three", "four"])
+    agreement = np.zeros((5, 5))
+    agreement[1, 2] = 0.9
+    kept = {(int(i), int(j)) for i, j in zip(*np.nonzero(flood(old, new, agreement) >= KEEP_SCORE))}
+    assert kept == {(0, 0), (1, 2)}
+
+
+def test_nested_names_speak_for_a_pair():
+    mask = schema_drift._nested({"city": 1, "zip": 2})
+    assert mask == schema_drift._nested({"ZIP": "", "City ": None}) != schema_drift._nested({"street": 1})
+    score = flood([("a", None, None, mask), ("b", None, None, 0)], [("c", None, None, 0), ("d", None, None, mask)], np.zeros((2, 2)))
+    assert score[0, 1] == score.max()
+
+
+def test_last_line_of_an_account_counts(spark):
+    accounts = [f"a{i}" for i in range(12)]
+    first = [(a, {"before": i}) for i, a in enumerate(accounts)]
+    second = [(a, {"after": -1}) for a in accounts] + [(a, {"after": str(i)}) for i, a in enumerate(accounts)] + [(a, {"after": "NA"}) for a in accounts]
+    assert (2, "renamed", "before", "after") in drift(spark, table(spark, {("s", 1): first, ("s", 2): second}))
+
+
 def issues(spark, files):
     return {tuple(r) for r in quality.column_issues(quality.file_profile(table(spark, files), REGISTRY, cut_lineage)).collect()}
 
