@@ -2,10 +2,12 @@
 
 Checks are declared per column from the registry and compiled into one scan: every
 worker keeps, for each file and column it meets, one state that all checks share
-(values present, faults, values out of bounds, and the values themselves), and
-states merge by addition, so files may arrive in parts and in any order. From the
-merged states follow the metrics of a file's column; issues compare them with fixed
-limits and with the source's previous file, and control limits with its history.
+(values present, faults, values out of bounds, and the distinct numbers). A file that
+one worker reads whole is closed there: its metrics, of a fixed size, take the place
+of the values. States of files that lie in several partitions or loads merge by
+addition, in any order, so a stored load never has to be read again. Every check
+compares a metric with limits: fixed ones, or control limits from the source's
+history - its previous file, or up to HISTORY_FILES files.
 """
 
 from __future__ import annotations
@@ -29,13 +31,18 @@ from .quantiles import linear_quantiles, value_counts
 NULL_RATE_CHANGE, LEAST_NUMBERS, SLACK = 0.30, 10, 1e-7
 #: Lines of a file from which on its columns' values are ranked in pieces.
 LARGE_FILE = 5_000_000
+#: Files whose sizes are broadcast at most (16 bytes each), so that workers know which files they have read whole.
+MOST_FILES = 2_000_000
 #: Values a worker holds before it passes its states on.
 WORKER_VALUES = 2_000_000
 #: Control limits: so many files of history at most and at least, and so many standard deviations.
 HISTORY_FILES, LEAST_HISTORY, SIGMAS = 20, 5, 3.0
 
-_STATE = pa.schema([("file_id", pa.int64()), ("feature", pa.int32()), ("n_lines", pa.int64()), ("n_valued", pa.int64()), ("n_fault", pa.int64()), ("n_outside", pa.int64()), ("held", pa.binary())])
-_METRICS = pa.schema([("file_id", pa.int64()), ("feature", pa.int32()), *((c, pa.int64()) for c in ("n_lines", "n_valued", "n_fault", "n_outside", "n_numbers", "n_distinct")), *((c, pa.float64()) for c in ("low", "p10", "p50", "p90", "high"))])
+_POINTS = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "high": 1.0}
+_COUNTS = ("n_lines", "n_valued", "n_fault", "n_outside")
+_METRICS = pa.schema([("file_id", pa.int64()), ("feature", pa.int32()), *((c, pa.int64()) for c in (*_COUNTS, "n_numbers", "n_distinct")), *((c, pa.float64()) for c in _POINTS)])
+#: A state is open while it has its values (held), and closed when it has metrics instead.
+_STATE = pa.schema([*_METRICS, ("held", pa.binary())])
 _DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double"}
 
 
@@ -50,7 +57,11 @@ class _State:
 
     def __init__(self, numeric: bool):
         self.n_valued = self.n_fault = self.n_outside = 0
-        self.held = array("d" if numeric else "q")
+        self.held = array("d") if numeric else set()
+
+    def blob(self) -> bytes:
+        """The numbers, or the digests of the distinct values."""
+        return (self.held if type(self.held) is array else array("q", self.held)).tobytes()
 
 
 def compile_checks(registry: list[Feature]) -> list:
@@ -79,13 +90,13 @@ def compile_checks(registry: list[Feature]) -> list:
             state.n_valued += 1
             if whole and not (type(value) is str and whole(value)):
                 state.n_fault += 1
-            state.held.append(_digest(value))
+            state.held.add(_digest(value))
 
         return take
 
     def flag(state: _State, value) -> None:
         state.n_valued += 1
-        state.held.append(_digest(value))
+        state.held.add(_digest(value))
 
     return [numeric(f.lo_bound, f.hi_bound) if f.value_kind in NUMBER_KINDS else text(f.value_pattern) if f.value_kind in TEXT_KINDS else flag for f in registry]
 
@@ -96,29 +107,82 @@ def _digest(value) -> int:
     return xxhash.xxh64_intdigest(repr(number) if number is not None else str(value).strip()) - (1 << 63)
 
 
-def scan_states(lines: DataFrame, registry: list[Feature]) -> DataFrame:
+def _measure(states: pa.Table, numeric: np.ndarray) -> pa.RecordBatch:
+    """Metrics of states that are sorted by file and column; states of one key are added. Percentiles by linear interpolation."""
+    file, feature = states["file_id"].to_numpy(), states["feature"].to_numpy()
+    starts = np.nonzero(np.concatenate(([True], (file[1:] != file[:-1]) | (feature[1:] != feature[:-1]))))[0]
+    sums = [np.add.reduceat(states[c].to_numpy(), starts) for c in _COUNTS]
+    blobs = states["held"].to_pylist()
+    size = np.add.reduceat(np.array([len(b) // 8 for b in blobs], np.int64), starts)
+    raw = np.frombuffer(b"".join(blobs), np.int64)
+    group = np.repeat(np.arange(len(starts)), size)
+    is_number = numeric[feature[starts]]
+    n_distinct = np.zeros(len(starts), np.int64)
+    own = ~is_number[group]
+    if own.any():
+        g, v = group[own], raw[own]
+        order = np.lexsort((v, g))
+        g, v = g[order], v[order]
+        np.add.at(n_distinct, g, np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
+    count = np.where(is_number, size, 0)
+    points = {c: np.full(len(starts), np.nan) for c in _POINTS}
+    if count.any():
+        g, v = group[~own], raw.view(np.float64)[~own]
+        order = np.lexsort((v, g))
+        g, v = g[order], v[order]
+        np.add.at(n_distinct, g, np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
+        has = np.nonzero(count)[0]
+        begin, last = np.concatenate(([0], np.cumsum(count)[:-1]))[has], count[has] - 1
+        for c, q in _POINTS.items():
+            at = q * last
+            low = np.floor(at).astype(np.int64)
+            a, b = v[begin + low], v[begin + np.minimum(low + 1, last)]
+            with np.errstate(invalid="ignore"):
+                points[c][has] = np.where(a == b, a, a + (b - a) * (at - low))
+    empty = pa.array(count == 0)
+    cut = [pc.if_else(empty, pa.scalar(None, pa.float64()), pa.array(points[c])) for c in points]
+    arrays = [pa.array(file[starts]), pa.array(feature[starts]), *map(pa.array, sums), pa.array(count), pa.array(n_distinct), *cut]
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, _METRICS)], schema=_METRICS)
+
+
+def scan_states(lines: DataFrame, registry: list[Feature], sizes: DataFrame | None = None) -> DataFrame:
     """Partial states (file_id, feature, n_lines, ..., held); feature -1 holds the file's number of lines.
 
-    Lines that are not one complete JSON object are left out. `held` has the column's values (for
-    codes, dates and flags their digests), 8 bytes each.
+    Lines that are not one complete JSON object are left out. An open state has the column's values in
+    `held` (for codes, dates and flags the digests of the distinct ones), 8 bytes each. sizes: (file_id,
+    n_rows), how many of the lines each file has; states of a file of which a worker has read so many
+    are closed: `held` is null and the metrics are set.
     """
     names, kinds = names_of(registry), [f.value_kind in NUMBER_KINDS for f in registry]
+    numeric = np.array([*kinds, False])
+    n_counts = len(_COUNTS)
 
-    def emit(states: dict, sizes: dict) -> Iterator[pa.RecordBatch]:
+    def emit(states: dict, sizes: dict, whole: set) -> Iterator[pa.RecordBatch]:
         rows = [(file, -1, n, 0, 0, 0, b"") for file, n in sizes.items()]
-        rows += [(file, at, 0, s.n_valued, s.n_fault, s.n_outside, s.held.tobytes()) for (file, at), s in states.items()]
+        rows += [(file, at, 0, s.n_valued, s.n_fault, s.n_outside, s.blob()) for (file, at), s in states.items()]
+        fields = [_STATE.field(c) for c in ("file_id", "feature", *_COUNTS, "held")]
+        rows.sort(key=lambda r: r[:2])
         for i in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 20_000]), _STATE)], schema=_STATE)
+            part = rows[i : i + 20_000]
+            if closed := [r for r in part if r[0] in whole]:
+                done = _measure(pa.table([pa.array(c, f.type) for c, f in zip(zip(*closed), fields)], schema=pa.schema(fields)), numeric)
+                yield pa.RecordBatch.from_arrays([*done.columns, pa.nulls(done.num_rows, pa.binary())], schema=_STATE)
+            if open_ := [r for r in part if r[0] not in whole]:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*open_), fields)]
+                gaps = [pa.nulls(len(open_), f.type) for f in list(_METRICS)[2 + n_counts :]]
+                yield pa.RecordBatch.from_arrays([*columns[:-1], *gaps, columns[-1]], schema=_STATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         checks, place = compile_checks(registry), {}
-        states, sizes, held = {}, {}, 0
+        states, counted, read, want, held = {}, {}, {}, {}, 0
         for batch in batches:
-            for file, text in zip(batch.column("file_id").to_pylist(), batch.column("features").to_pylist()):
+            for file, text, n_rows in zip(*(batch.column(c).to_pylist() for c in ("file_id", "features", "n_rows"))):
+                read[file] = read.get(file, 0) + 1
+                want[file] = n_rows
                 found = json_object(text)
                 if found is None:
                     continue
-                sizes[file] = sizes.get(file, 0) + 1
+                counted[file] = counted.get(file, 0) + 1
                 held += len(found)
                 seen = {}
                 for field, value in found.items():
@@ -138,59 +202,24 @@ def scan_states(lines: DataFrame, registry: list[Feature]) -> DataFrame:
                     seen[at] = True
                     checks[at](state, value)
             if held > WORKER_VALUES:
-                yield from emit(states, sizes)
-                states, sizes, held = {}, {}, 0
-        if sizes:
-            yield from emit(states, sizes)
+                yield from emit(states, counted, {f for f, n in read.items() if n == want[f]})
+                states, counted, read, held = {}, {}, {}, 0
+        if counted:
+            yield from emit(states, counted, {f for f, n in read.items() if n == want[f]})
 
-    return lines.select("file_id", "features").mapInArrow(run, _ddl(_STATE))
+    plain = lines.select("file_id", "features")
+    told = plain.withColumn("n_rows", F.lit(-1).cast("bigint")) if sizes is None else plain.join(F.broadcast(sizes), "file_id", "left")  # callers bound the sizes
+    return told.select("file_id", "features", "n_rows").mapInArrow(run, _ddl(_STATE))
 
 
 def merge_states(states: DataFrame, registry: list[Feature]) -> DataFrame:
-    """(file_id, feature, metrics...) of every file's column: states of one key stream in sorted order and are added.
+    """(file_id, feature, metrics...) of every file's column: open states of one key stream in sorted order and are added.
 
     Percentiles are exact (linear interpolation): the values of one column of one file are held in
     memory at a time, 8 bytes a line. For files of more than LARGE_FILE lines see `merge_large_states`.
     """
     numeric = np.array([f.value_kind in NUMBER_KINDS for f in registry] + [False])
 
-    def measure(batch: pa.Table) -> pa.RecordBatch:
-        file, feature = batch["file_id"].to_numpy(), batch["feature"].to_numpy()
-        first = np.concatenate(([True], (file[1:] != file[:-1]) | (feature[1:] != feature[:-1])))
-        starts = np.nonzero(first)[0]
-        sums = {c: np.add.reduceat(batch[c].to_numpy(), starts) for c in ("n_lines", "n_valued", "n_fault", "n_outside")}
-        blobs = batch["held"].to_pylist()
-        size = np.add.reduceat(np.array([len(b) // 8 for b in blobs], np.int64), starts)
-        raw = np.frombuffer(b"".join(blobs), np.int64)
-        group = np.repeat(np.arange(len(starts)), size)
-        is_number = numeric[feature[starts]]
-        n_distinct = np.zeros(len(starts), np.int64)
-        own = ~is_number[group]
-        if own.any():
-            g, v = group[own], raw[own]
-            order = np.lexsort((v, g))
-            g, v = g[order], v[order]
-            np.add.at(n_distinct, g, np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
-        count = np.where(is_number, size, 0)
-        points = {c: np.full(len(starts), np.nan) for c in ("low", "p10", "p50", "p90", "high")}
-        if count.any():
-            g, v = group[~own], raw.view(np.float64)[~own]
-            order = np.lexsort((v, g))
-            g, v = g[order], v[order]
-            np.add.at(n_distinct, g, np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
-            has = np.nonzero(count)[0]
-            begin, last = np.concatenate(([0], np.cumsum(count)[:-1]))[has], count[has] - 1
-            for c, q in (("low", 0.0), ("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("high", 1.0)):
-                at = q * last
-                low = np.floor(at).astype(np.int64)
-                a, b = v[begin + low], v[begin + np.minimum(low + 1, last)]
-                with np.errstate(invalid="ignore"):
-                    points[c][has] = np.where(a == b, a, a + (b - a) * (at - low))
-        empty = pa.array(count == 0)
-        cut = [pc.if_else(empty, pa.scalar(None, pa.float64()), pa.array(points[c])) for c in points]
-        arrays = [pa.array(file[starts]), pa.array(feature[starts]), *(pa.array(s) for s in sums.values()), pa.array(count), pa.array(n_distinct), *cut]
-        return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, _METRICS)], schema=_METRICS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         for batch in batches:
@@ -202,17 +231,17 @@ def merge_states(states: DataFrame, registry: list[Feature]) -> DataFrame:
             if cut:  # all but the last key is complete
                 table = pa.Table.from_batches([*kept[:-1], batch.slice(0, cut)]).combine_chunks()
                 kept = [batch.slice(cut)]
-                yield measure(table)
+                yield _measure(table, numeric)
             elif len(kept) > 1:
                 previous = kept[-2]
                 if (previous.column("file_id")[-1], previous.column("feature")[-1]) != (batch.column("file_id")[0], batch.column("feature")[0]):
                     table = pa.Table.from_batches(kept[:-1]).combine_chunks()
                     kept = [batch]
-                    yield measure(table)
+                    yield _measure(table, numeric)
         if kept:
-            yield measure(pa.Table.from_batches(kept).combine_chunks())
+            yield _measure(pa.Table.from_batches(kept).combine_chunks(), numeric)
 
-    keyed = states.repartition("file_id", "feature").sortWithinPartitions("file_id", "feature")
+    keyed = states.select("file_id", "feature", *_COUNTS, "held").repartition("file_id", "feature").sortWithinPartitions("file_id", "feature")
     return keyed.mapInArrow(run, _ddl(_METRICS))
 
 
@@ -242,14 +271,31 @@ def merge_large_states(states: DataFrame, registry: list[Feature]) -> DataFrame:
     return joined.select(*(F.coalesce(f.name, zero).alias(f.name) if f.name in ("n_numbers", "n_distinct") else F.col(f.name) for f in _METRICS))
 
 
-def file_metrics(lines: DataFrame, files: DataFrame, registry: list[Feature], settle) -> DataFrame:
-    """Merged metrics of all files; those of more than LARGE_FILE lines take the way that gathers nothing."""
-    states = scan_states(counted_lines(lines, settle), registry)
-    large = files.where(F.col("n_rows") > LARGE_FILE).select("file_id")
+def load_states(lines: DataFrame, registry: list[Feature], settle) -> DataFrame:
+    """The stored states of one load, all open: those of several loads, put together by union, are what `metrics_of` takes.
+
+    A file may come in several loads; a (file_id, line_no) in one only.
+    """
+    return settle(scan_states(counted_lines(lines, settle), registry))
+
+
+def metrics_of(states: DataFrame, registry: list[Feature], settle) -> DataFrame:
+    """Metrics of all files from stored states: closed ones as they are, open ones merged; files of more than LARGE_FILE lines the way that gathers nothing."""
+    closed = states.where("held IS NULL").select(*_METRICS.names)
+    open_ = states.where("held IS NOT NULL")
+    large = settle(open_.where("feature < 0").groupBy("file_id").agg(F.sum("n_lines").alias("n")).where(F.col("n") > LARGE_FILE).select("file_id"))
     if large.isEmpty():
-        return settle(merge_states(states, registry))
-    states = settle(states)
-    return settle(merge_states(states.join(large, "file_id", "left_anti"), registry).unionByName(merge_large_states(states.join(large, "file_id", "left_semi"), registry)))
+        return closed.unionByName(settle(merge_states(open_, registry)))
+    small = settle(merge_states(open_.join(large, "file_id", "left_anti"), registry))
+    return closed.unionByName(small).unionByName(settle(merge_large_states(open_.join(large, "file_id", "left_semi"), registry)))
+
+
+def file_metrics(lines: DataFrame, registry: list[Feature], settle) -> DataFrame:
+    """Metrics of all files of one scan."""
+    counted = counted_lines(lines, settle)
+    sizes = settle(counted.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows")))
+    fits = sizes.limit(MOST_FILES + 1).count() <= MOST_FILES  # beyond it all states stay open and are merged
+    return metrics_of(settle(scan_states(counted, registry, sizes if fits else None)), registry, settle)
 
 
 def _registry_table(spark, registry: list[Feature]) -> DataFrame:
@@ -264,12 +310,15 @@ def file_profile(lines: DataFrame, registry: list[Feature], settle) -> DataFrame
     without a value. Columns without numbers have null percentiles; a feature that no line of a
     file names has no row; an empty table has none. settle(df) stores rows used more than once.
     """
-    files = settle(file_sequence(lines))
-    merged = file_metrics(lines, files, registry, settle)
+    return profile_of(file_metrics(lines, registry, settle), settle(file_sequence(lines)), registry)
+
+
+def profile_of(merged: DataFrame, files: DataFrame, registry: list[Feature]) -> DataFrame:
+    """`file_profile` from metrics and the sequence of files."""
     sizes = merged.where("feature < 0").select("file_id", "n_lines")
     own = merged.where("feature >= 0").drop("n_lines").join(sizes, "file_id")
     measured = own.withColumn("missing_share", 1 - F.col("n_valued") / F.col("n_lines"))
-    named = measured.join(_registry_table(lines.sparkSession, registry), "feature").join(files.drop("n_rows"), "file_id")
+    named = measured.join(_registry_table(files.sparkSession, registry), "feature").join(files.drop("n_rows"), "file_id")
     before = measured.select(
         F.col("file_id").alias("prev_file_id"), "feature", *(F.col(c).alias(f"prev_{c}") for c in ("missing_share", "n_numbers", "p10", "p50", "p90"))
     )
@@ -279,22 +328,40 @@ def file_profile(lines: DataFrame, registry: list[Feature], settle) -> DataFrame
     )
 
 
-def _issues(found: dict[str, Column]) -> Column:
-    return F.explode(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in found.items()))))
+def _limited(issue: str, value: Column, low: Column | float | None, high: Column | float | None, applies: Column | None = None) -> Column:
+    """A check: the metric's value and the limits it must lie within; null where the check doesn't apply."""
+    cast = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+    cell = F.struct(F.lit(issue).alias("issue"), cast(value).alias("value"), cast(low).alias("low"), cast(high).alias("high"))
+    return cell if applies is None else F.when(applies, cell)
+
+
+def _outside(checks: list[Column]) -> Column:
+    """The checks whose value is outside its limits by more than SLACK, one row each."""
+    beyond = lambda c: F.coalesce(c["value"] < c["low"] - SLACK, F.lit(False)) | F.coalesce(c["value"] > c["high"] + SLACK, F.lit(False))
+    return F.explode(F.filter(F.array_compact(F.array(*checks)), beyond))
+
+
+def limit_violations(profile: DataFrame) -> DataFrame:
+    """(file_id, column_name, issue, value, low, high) of the metrics of a `file_profile` that are outside their limits.
+
+    The limits of null_rate and shift are control limits from the source's previous file, the others fixed.
+    """
+    number = F.col("value_kind").isin(*NUMBER_KINDS)
+    enough = number & (F.col("n_numbers") >= LEAST_NUMBERS)
+    before = F.col("prev_missing_share")
+    checks = [
+        _limited("null_rate", F.col("missing_share"), before - NULL_RATE_CHANGE, before + NULL_RATE_CHANGE),
+        _limited("range", F.col("n_outside"), None, 0, number),
+        _limited("constant", (F.col("low") == F.col("high")).cast("int"), None, 0, enough),
+        _limited("pattern", F.col("n_fault"), None, 0, F.col("value_kind").isin(*NUMBER_KINDS, *TEXT_KINDS)),
+        _limited("shift", F.col("p50"), F.col("prev_p10"), F.col("prev_p90"), enough & (F.col("prev_n_numbers") >= LEAST_NUMBERS)),
+    ]
+    return profile.select("file_id", "column_name", _outside(checks).alias("c")).select("file_id", "column_name", "c.*")
 
 
 def column_issues(profile: DataFrame) -> DataFrame:
     """(file_id, column_name, issue) of a `file_profile`."""
-    number = F.col("value_kind").isin(*NUMBER_KINDS)
-    enough = F.col("n_numbers") >= LEAST_NUMBERS
-    found = {
-        "null_rate": F.abs(F.col("missing_share") - F.col("prev_missing_share")) > NULL_RATE_CHANGE + SLACK,
-        "range": number & (F.col("n_outside") > 0),
-        "constant": number & enough & (F.col("low") == F.col("high")),
-        "pattern": F.col("value_kind").isin(*NUMBER_KINDS, *TEXT_KINDS) & (F.col("n_fault") > 0),
-        "shift": number & enough & (F.col("prev_n_numbers") >= LEAST_NUMBERS) & ((F.col("p50") < F.col("prev_p10") - SLACK) | (F.col("p50") > F.col("prev_p90") + SLACK)),
-    }
-    return profile.select("file_id", "column_name", _issues(found).alias("issue"))
+    return limit_violations(profile).select("file_id", "column_name", "issue")
 
 
 def dry_run_issues(dry_runs: DataFrame, registry: list[Feature]) -> DataFrame:
@@ -303,8 +370,9 @@ def dry_run_issues(dry_runs: DataFrame, registry: list[Feature]) -> DataFrame:
     rows = None
     for name, most in figures.items():
         value = F.col(name).cast("double")
-        found = {"null_rate": value.isNull() | F.isnan(value), "range": ~F.isnan(value) & ((value < -SLACK) | (value > most + SLACK))}
-        part = dry_runs.where("file_id IS NOT NULL").select("file_id", F.lit(name).alias("column_name"), _issues(found).alias("issue"))
+        given = value.isNotNull() & ~F.isnan(value)
+        checks = [_limited("null_rate", (~given).cast("int"), None, 0), _limited("range", value, 0.0, most, given)]
+        part = dry_runs.where("file_id IS NOT NULL").select("file_id", F.lit(name).alias("column_name"), _outside(checks).alias("c")).select("file_id", "column_name", "c.issue")
         rows = part if rows is None else rows.union(part)
     return rows
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import quality
 from ..operators.schema_drift import SchemaDrift
 from ..session import cut_lineage, read_table
-from ..sources.feature_files import load_registry
+from ..sources.feature_files import file_sequence, load_registry
 
 
 def _drift(spark: SparkSession, folder: str) -> SchemaDrift:
@@ -47,18 +47,38 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.column_issues(_profile(spark, folder)).union(runs)
 
 
+def p5_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every metric of a file's column that is outside its limits, with both."""
+    return quality.limit_violations(_profile(spark, folder)).select("file_id", "column_name", "issue", *(F.round(c, 6).alias(c) for c in ("value", "low", "high")))
+
+
+def _rounded(profile: DataFrame) -> DataFrame:
+    digits = {c: 9 for c in ("missing_share", "prev_missing_share")} | {f"{p}{c}": 6 for c in ("low", "p10", "p50", "p90", "high") for p in ("", "prev_")}
+    return profile.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in profile.columns))
+
+
 def p5_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile of every registry feature of every file, beside its source's previous file."""
-    return _profile(spark, folder)
+    return _rounded(_profile(spark, folder))
+
+
+def p5_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same profile from the stored states of two loads, each of which has half of the lines of every file."""
+    registry = load_registry(read_table(spark, folder, "feature_registry"))
+    lines = read_table(spark, folder, "score_requests")
+    first = quality.load_states(lines.where("coalesce(line_no, 0) % 2 = 0"), registry, cut_lineage)
+    second = quality.load_states(lines.where("coalesce(line_no, 0) % 2 <> 0"), registry, cut_lineage)
+    merged = quality.metrics_of(first.unionByName(second), registry, cut_lineage)
+    return _rounded(quality.profile_of(merged, cut_lineage(file_sequence(lines)), registry))
 
 
 def p5_control(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics outside the control limits of their source's history."""
-    return quality.control_limits(_profile(spark, folder))
+    return quality.control_limits(_profile(spark, folder)).select("file_id", "column_name", "metric", *(F.round(c, 6).alias(c) for c in ("value", "mean", "sd")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_table, p3_cells, p5_found, p5_profile, p5_control)}
+    return {f.__name__: f for f in (p3_found, p3_table, p3_cells, p5_found, p5_limits, p5_profile, p5_incremental, p5_control)}
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -104,13 +124,15 @@ cells AS (SELECT v.file_id, v.line_no, g.feature, r.value_kind, v.field, v.t, v.
 fit AS (SELECT * FROM cells WHERE value_kind IN ('code', 'date') OR number IS NOT NULL)
 SELECT file_id, line_no, feature AS column_name, first(number ORDER BY field) AS number, first(CASE WHEN value_kind IN ('code', 'date') THEN words END ORDER BY field) AS words FROM fit GROUP BY ALL
 """
-_ISSUES = _VALUES + """
+_METRICS = _VALUES + """
 , has AS (SELECT DISTINCT file_id, feature FROM kv JOIN named USING (plain)),
-vals AS (SELECT file_id, line_id, feature, first(s ORDER BY field) AS s, first(t ORDER BY field) AS t, first(num ORDER BY field) AS num FROM kv JOIN named USING (plain) WHERE NOT missing GROUP BY ALL),
-m AS (SELECT h.file_id, h.feature, any_value(r.value_kind) AS kind, 1 - count(v.line_id) / any_value(n_lines)::DOUBLE AS share, count(v.num) AS n, min(v.num) AS low, max(v.num) AS high, quantile_cont(v.num, 0.1) AS p10, quantile_cont(v.num, 0.5) AS p50, quantile_cont(v.num, 0.9) AS p90,
+vals AS (SELECT file_id, line_id, feature, first(s ORDER BY field) AS s, first(t ORDER BY field) AS t, first(num ORDER BY field) AS num, first(words ORDER BY field) AS words FROM kv JOIN named USING (plain) WHERE NOT missing GROUP BY ALL),
+m AS (SELECT h.file_id, h.feature, any_value(r.value_kind) AS kind, any_value(n_lines) AS n_lines, CASE WHEN any_value(r.value_kind) IN ('amount', 'ratio', 'count') THEN count(DISTINCT v.num) ELSE count(DISTINCT coalesce('n' || v.num, 't' || v.words)) END AS n_distinct, 1 - count(v.line_id) / any_value(n_lines)::DOUBLE AS share, count(v.num) AS n, min(v.num) AS low, max(v.num) AS high, quantile_cont(v.num, 0.1) AS p10, quantile_cont(v.num, 0.5) AS p50, quantile_cont(v.num, 0.9) AS p90,
          count(*) FILTER (WHERE v.num < r.lo_bound - 1e-7 OR v.num > r.hi_bound + 1e-7) AS outside, count(*) FILTER (WHERE v.line_id IS NOT NULL AND v.num IS NULL) AS not_number, count(*) FILTER (WHERE v.line_id IS NOT NULL AND NOT (v.t = 'VARCHAR' AND coalesce(regexp_full_match(v.s, r.value_pattern), true))) AS bad_text
   FROM has h JOIN feature_registry r USING (feature) JOIN sizes USING (file_id) LEFT JOIN vals v USING (file_id, feature) GROUP BY h.file_id, h.feature),
-p AS (SELECT m.*, b.share AS share0, b.n AS n0, b.p10 AS p10_0, b.p90 AS p90_0, m.kind IN ('amount', 'ratio', 'count') AS is_number FROM m JOIN files USING (file_id) LEFT JOIN m b ON b.file_id = prev_id AND b.feature = m.feature)
+p AS (SELECT m.*, prev_id, b.share AS share0, b.n AS n0, b.p10 AS p10_0, b.p50 AS p50_0, b.p90 AS p90_0, m.kind IN ('amount', 'ratio', 'count') AS is_number FROM m JOIN files USING (file_id) LEFT JOIN m b ON b.file_id = prev_id AND b.feature = m.feature)
+"""
+_ISSUES = _METRICS + """
 SELECT file_id, feature AS column_name, 'null_rate' AS issue FROM p WHERE abs(share - share0) > 0.30 + 1e-7
 UNION ALL SELECT file_id, feature, 'range' FROM p WHERE is_number AND outside > 0
 UNION ALL SELECT file_id, feature, 'constant' FROM p WHERE is_number AND n >= 10 AND low = high
@@ -121,5 +143,32 @@ UNION ALL SELECT file_id, 'schema_completeness', CASE WHEN schema_completeness I
 """
 
 
+_PROFILE = _METRICS + """
+, heads AS (SELECT file_id, min(source_name) AS source_name, min(file_seq) AS file_seq FROM score_requests WHERE file_id IS NOT NULL GROUP BY file_id),
+q AS (SELECT p.*, source_name, file_seq, CASE WHEN is_number THEN n ELSE 0 END AS n_numbers FROM p JOIN heads USING (file_id)),
+profile AS (
+  SELECT file_id, source_name, file_seq, prev_id AS prev_file_id, feature AS column_name, kind AS value_kind, n_lines, round(share, 9) AS missing_share, n_distinct,
+         CASE WHEN is_number THEN not_number WHEN kind IN ('code', 'date') THEN bad_text ELSE 0 END AS n_fault, CASE WHEN is_number THEN outside ELSE 0 END AS n_outside, n_numbers,
+         CASE WHEN is_number THEN round(low, 6) END AS low, CASE WHEN is_number THEN round(p10, 6) END AS p10, CASE WHEN is_number THEN round(p50, 6) END AS p50, CASE WHEN is_number THEN round(p90, 6) END AS p90, CASE WHEN is_number THEN round(high, 6) END AS high,
+         round(share0, 9) AS prev_missing_share, CASE WHEN is_number THEN n0 WHEN share0 IS NOT NULL THEN 0 END AS prev_n_numbers,
+         CASE WHEN is_number THEN round(p10_0, 6) END AS prev_p10, CASE WHEN is_number THEN round(p50_0, 6) END AS prev_p50, CASE WHEN is_number THEN round(p90_0, 6) END AS prev_p90 FROM q)
+"""
+_LIMITS = _METRICS + """
+, found AS (
+  SELECT file_id, feature, 'null_rate' AS issue, share AS value, share0 - 0.30::DOUBLE AS low, share0 + 0.30::DOUBLE AS high FROM p
+  UNION ALL SELECT file_id, feature, 'range', outside, NULL, 0 FROM p WHERE is_number UNION ALL SELECT file_id, feature, 'constant', 1, NULL, 0 FROM p WHERE is_number AND n >= 10 AND low = high
+  UNION ALL SELECT file_id, feature, 'pattern', CASE WHEN is_number THEN not_number ELSE bad_text END, NULL, 0 FROM p WHERE is_number OR kind IN ('code', 'date')
+  UNION ALL SELECT file_id, feature, 'shift', p50, p10_0, p90_0 FROM p WHERE is_number AND n >= 10 AND n0 >= 10)
+SELECT file_id, feature AS column_name, issue, round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high FROM found WHERE value < low - 1e-7 OR value > high + 1e-7
+"""
+_CONTROL = _PROFILE + """
+, long AS (SELECT file_id, source_name, file_seq, feature AS column_name, metric, value FROM (
+  SELECT q.file_id, source_name, file_seq, feature, unnest(['missing_share', 'p50', 'n_distinct']) AS metric, unnest([share, CASE WHEN is_number THEN p50 END, n_distinct::DOUBLE]) AS value FROM q) WHERE value IS NOT NULL),
+judged AS (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd FROM long WINDOW w AS (PARTITION BY source_name, column_name, metric ORDER BY file_seq, file_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT file_id, column_name, metric, round(value, 6) AS value, round(mean, 6) AS mean, round(sd, 6) AS sd FROM judged WHERE n >= 5 AND abs(value - mean) > 3 * sd + 1e-7
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _CHANGES, "p3_cells": _CELLS, "p5_found": _ISSUES}
+    profile = _PROFILE + "SELECT * FROM profile"
+    return {"p3_found": _CHANGES, "p3_cells": _CELLS, "p5_found": _ISSUES, "p5_limits": _LIMITS, "p5_profile": profile, "p5_incremental": profile, "p5_control": _CONTROL}

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.functions.values import as_number, is_missing, json_object
 from riskweave.operators import quality, schema_drift
@@ -150,14 +151,34 @@ def test_range_slack_and_booleans(spark):
 def test_states_merge_in_any_partitioning(spark):
     registry = load_registry(read_table(spark, SMALL, "feature_registry"))
     lines = read_table(spark, SMALL, "score_requests")
-    metrics = lambda df: {tuple(r) for r in quality.merge_states(quality.scan_states(df, registry), registry).collect()}
-    assert metrics(lines.coalesce(1)) == metrics(lines.repartition(9))
+    sizes = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+    def metrics(df, sizes=None):
+        states = quality.scan_states(df, registry, sizes)
+        return {tuple(r) for r in quality.metrics_of(states, registry, cut_lineage).collect()}
+
+    open_ = metrics(lines.coalesce(1))
+    assert open_ == metrics(lines.repartition(9)) == metrics(lines.coalesce(1), sizes) == metrics(lines.repartition(9), sizes)
+    closed = quality.scan_states(lines.coalesce(1), registry, sizes)
+    assert closed.where("held IS NOT NULL").count() == 0 and closed.count() == len(open_)
+
+
+def test_loads_add_up(spark):
+    registry = load_registry(read_table(spark, SMALL, "feature_registry"))
+    lines = read_table(spark, SMALL, "score_requests")
+    parts = [quality.load_states(lines.where(f"line_id % 3 = {k}"), registry, cut_lineage) for k in range(3)]
+    once = lines.dropDuplicates(["file_id", "line_no"])
+    merged = quality.metrics_of(parts[2].unionByName(parts[0]).unionByName(parts[1]), registry, cut_lineage)
+    n = {r.file_id: r.n_lines for r in merged.where("feature < 0").collect()}
+    assert set(n) <= {r.file_id for r in once.select("file_id").distinct().collect()} and sum(n.values()) >= 300
 
 
 def test_large_files_give_the_same_profile(spark, monkeypatch):
     registry = load_registry(read_table(spark, SMALL, "feature_registry"))
     profile = lambda: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in quality.file_profile(read_table(spark, SMALL, "score_requests"), registry, cut_lineage).collect()}
     plain = profile()
+    monkeypatch.setattr(quality, "MOST_FILES", 0)
+    assert profile() == plain
     monkeypatch.setattr(quality, "LARGE_FILE", 50)
     assert profile() == plain
 
