@@ -1,6 +1,6 @@
 """Most similar vectors for every vector (problem 4).
 
-Vectors of DIMENSIONS coordinates, some missing, are compared by the root of the
+Vectors with a coordinate for each position of the registry, some missing, are compared by the root of the
 sum of ((a-b)/scale)^2 over coordinates present in both plus the count of those
 present in only one. They are projected onto PROJECTIONS random directions with
 normal (2-stable) entries, so that a projected distance divided by the true one
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from ..functions.arrow_runs import key_runs
 from ..functions.values import as_number, json_object
 from ..session import checked_broadcast
+from ..sources.feature_files import MAX_REGISTRY_ROWS
 
-DIMENSIONS = 28
 SEED = 41
+#: Bits that tell patterns of present coordinates apart; wider vectors have a hash of so many bits.
+PATTERN_BITS = 38
 #: Vectors with fewer coordinates have no neighbours.
 LEAST_PRESENT = 10
 #: Neighbours asked for, and the distance beyond which none counts in the join.
@@ -51,6 +53,7 @@ DENSE_SHARE = 0.03
 #: Vectors in a leaf of a cell's own tree.
 LEAF_ROWS = 48
 
+
 def chi_square_quantile(p: float, dof: int) -> float:
     """Inverse of the chi-square distribution for an even number of degrees of freedom."""
     if dof % 2:
@@ -163,10 +166,10 @@ class CellIndex:
 def fit_index(sample: list[tuple[int, bytes]], total: int, scale: np.ndarray, by_mask: bool, cell_rows: int = CELL_ROWS, projections: int = PROJECTIONS) -> CellIndex:
     """Index from sampled (mask, vector) of `total` vectors; every vector is indexed by it, sampled or not."""
     masks = np.array([m for m, _ in sample], np.int64)
-    vectors = np.frombuffer(b"".join(v for _, v in sample), np.float64).reshape(-1, DIMENSIONS)
+    vectors = _matrix([v for _, v in sample], len(scale))
     with np.errstate(all="ignore"):
-        centre = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in vectors.T]) if len(vectors) else np.zeros(DIMENSIONS)
-    index = CellIndex(scale, centre, np.random.default_rng(SEED).standard_normal((DIMENSIONS, projections)), {}, by_mask)
+        centre = np.array([np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 0.0 for c in vectors.T]) if len(vectors) else np.zeros(len(scale))
+    index = CellIndex(scale, centre, np.random.default_rng(SEED).standard_normal((len(scale), projections)), {}, by_mask)
     if not len(vectors):
         return index
     points, group = index.project(vectors), masks if by_mask else np.zeros(len(masks), np.int64)
@@ -284,14 +287,21 @@ class Block:
         return own[q], r, d
 
 
-_CLASS = "h1 bigint, h2 bigint, mask int, vec binary, keys array<string>"
-_CLASS_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("mask", pa.int32()), ("vec", pa.binary()), ("keys", pa.list_(pa.string()))])
+_CLASS = "h1 bigint, h2 bigint, mask bigint, vec binary, keys array<string>"
+_CLASS_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("mask", pa.int64()), ("vec", pa.binary()), ("keys", pa.list_(pa.string()))])
 
 
 def _digest(data: bytes) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 7) - (1 << 63)
 
 
+def _pattern(present: np.ndarray) -> int:
+    """Number of a pattern of present coordinates."""
+    if len(present) <= PATTERN_BITS:
+        return int((present * (1 << np.arange(len(present)))).sum())
+    return xxhash.xxh64_intdigest(present.tobytes()) & ((1 << PATTERN_BITS) - 1)
+
+
 def _emit_classes(groups: dict[bytes, list[str]], most: int) -> pa.RecordBatch:
     """Per class one row with its `most` smallest keys, and rows without vector for the others."""
     rows = []
@@ -299,7 +309,7 @@ def _emit_classes(groups: dict[bytes, list[str]], most: int) -> pa.RecordBatch:
         h1, h2 = _digest(data)
         keys = sorted(set(keys))
         present = ~np.isnan(np.frombuffer(data, np.float64))
-        rows.append((h1, h2, int((present * (1 << np.arange(DIMENSIONS))).sum()), data, keys[:most]))
+        rows.append((h1, h2, _pattern(present), data, keys[:most]))
         rows += [(h1, h2, 0, None, keys[i : i + 1000]) for i in range(most, len(keys), 1000)]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CLASS_ARROW)], schema=_CLASS_ARROW)
 
@@ -314,11 +324,12 @@ def query_classes(k: int) -> Column:
     return F.exists("keys", in_query_set) | (F.size("keys") > k)
 
 
-def vector_classes(rows: DataFrame, names: dict[str, int], k: int = NEIGHBOURS, least: int = LEAST_PRESENT) -> DataFrame:
+def vector_classes(rows: DataFrame, names: dict[str, int], width: int, k: int = NEIGHBOURS, least: int = LEAST_PRESENT) -> DataFrame:
     """(h1, h2, mask, vec, keys) of vectors given as (key, features, numbers).
 
     features: a JSON object of raw names (names: name -> coordinate), numbers: the coordinates
-    themselves; one of both is set. NaN, null, infinite and non-numeric coordinates are missing;
+    themselves, in order of position; one of both is set. Elements beyond the registry's `width`
+    positions are no coordinates. NaN, null, infinite and non-numeric coordinates are missing;
     vectors with fewer than `least` are left out. Equal vectors form one class: a row with its
     k + 1 smallest keys, and rows with a null vec for further keys. Copies are gathered where they
     are read, then once more by class, so no class passes through a task as rows of vectors.
@@ -329,9 +340,9 @@ def vector_classes(rows: DataFrame, names: dict[str, int], k: int = NEIGHBOURS,
         for batch in batches:
             groups: dict[bytes, list[str]] = {}
             for key, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("key", "features", "numbers"))):
-                vector = np.full(DIMENSIONS, np.nan)
+                vector = np.full(width, np.nan)
                 if numbers is not None:
-                    own = [np.nan if v is None else v for v in numbers[:DIMENSIONS]]
+                    own = [np.nan if v is None else v for v in numbers[:width]]
                     vector[: len(own)] = own
                 else:
                     for name, value in (json_object(text) or {}).items():
@@ -386,8 +397,8 @@ def vector_classes(rows: DataFrame, names: dict[str, int], k: int = NEIGHBOURS,
     return partial.repartition("h1").sortWithinPartitions("h1").mapInArrow(merge, _CLASS)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, DIMENSIONS)
+def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), width)
 
 
 def sample_index(classes: DataFrame, scale: np.ndarray, by_mask: bool, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, projections: int = PROJECTIONS) -> CellIndex:
@@ -399,8 +410,8 @@ def sample_index(classes: DataFrame, scale: np.ndarray, by_mask: bool, fit_rows:
     return fit_index([(r[0], bytes(r[1])) for r in picked.collect()], total, scale, by_mask, cell_rows, projections)
 
 
-_ROW = "cell bigint, role int, h1 bigint, h2 bigint, name string, mask int, vec binary, bound double"
-_ROW_ARROW = pa.schema([("cell", pa.int64()), ("role", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("name", pa.string()), ("mask", pa.int32()), ("vec", pa.binary()), ("bound", pa.float64())])
+_ROW = "cell bigint, role int, h1 bigint, h2 bigint, name string, mask bigint, vec binary, bound double"
+_ROW_ARROW = pa.schema([("cell", pa.int64()), ("role", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("name", pa.string()), ("mask", pa.int64()), ("vec", pa.binary()), ("bound", pa.float64())])
 _FOUND = "q1 bigint, q2 bigint, h1 bigint, h2 bigint, name string, d2 double"
 _FOUND_ARROW = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("name", pa.string()), ("d2", pa.float64())])
 
@@ -417,7 +428,7 @@ def place(classes: DataFrame, index: CellIndex, asks: Column | None = None) -> D
         for batch in batches:
             if batch.num_rows:
                 table = pa.Table.from_batches([batch])
-                cells = index.home(batch.column("mask").to_numpy(), index.project(_matrix(table["vec"])))
+                cells = index.home(batch.column("mask").to_numpy(), index.project(_matrix(table["vec"].to_pylist(), len(index.scale))))
                 n = batch.num_rows
                 columns = [pa.array(cells), batch.column("role"), batch.column("h1"), batch.column("h2"), batch.column("name"), batch.column("mask"), batch.column("vec"), pa.nulls(n, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ROW_ARROW)
@@ -427,7 +438,7 @@ def place(classes: DataFrame, index: CellIndex, asks: Column | None = None) -> D
 
 
 def _table(rows: pa.Table, index: CellIndex) -> tuple:
-    vectors = _matrix(rows["vec"])
+    vectors = _matrix(rows["vec"].to_pylist(), len(index.scale))
     return vectors, index.project(vectors), rows["h1"].to_numpy(), rows["h2"].to_numpy(), rows["name"].to_pylist()
 
 
@@ -443,8 +454,8 @@ def _found(q1, q2, h1, h2, names, q, r, d) -> pa.RecordBatch:
     )
 
 
-_BOTH = f"{_FOUND}, cell bigint, mask int, vec binary, bound double"
-_BOTH_ARROW = pa.schema([*_FOUND_ARROW, ("cell", pa.int64()), ("mask", pa.int32()), ("vec", pa.binary()), ("bound", pa.float64())])
+_BOTH = f"{_FOUND}, cell bigint, mask bigint, vec binary, bound double"
+_BOTH_ARROW = pa.schema([*_FOUND_ARROW, ("cell", pa.int64()), ("mask", pa.int64()), ("vec", pa.binary()), ("bound", pa.float64())])
 
 
 def search_home(placed: DataFrame, index: CellIndex, k: int, radius: float, ratio: float) -> DataFrame:
@@ -564,10 +575,16 @@ def account_vectors(fingerprints: DataFrame, cohort: DataFrame, twins: DataFrame
 
 
 def coordinates(registry: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """Names of the vectors' coordinates (features and variable names) and their scales; the registry is a fixed, small table."""
-    rows = registry.where("vec_pos IS NOT NULL").select("feature", "variable_name", "vec_pos", "vec_scale").limit(DIMENSIONS).collect()
-    names, scale = {}, np.ones(DIMENSIONS)
-    for feature, variable, at, size in rows:
-        names[feature] = names[variable] = at
-        scale[at] = size
+    """Names of the vectors' coordinates (features and variable names) and the scale of every position.
+
+    The registry is a fixed, small table: one of more than MAX_REGISTRY_ROWS positions is refused. A
+    position that no row has, or whose scale is null, counts with scale 1.
+    """
+    rows = registry.where("vec_pos IS NOT NULL").select("vec_pos", "feature", "variable_name", "vec_scale").orderBy("vec_pos", "feature").limit(MAX_REGISTRY_ROWS + 1).collect()
+    if len(rows) > MAX_REGISTRY_ROWS:
+        raise ValueError(f"a registry of more than {MAX_REGISTRY_ROWS} positions")
+    names, scale = {}, np.ones(max((r[0] for r in rows), default=-1) + 1)
+    for at, feature, variable, size in rows:
+        names |= {name: at for name in (feature, variable) if name is not None}
+        scale[at] = 1.0 if size is None else size
     return names, scale

@@ -94,7 +94,7 @@ def p2_fraction(spark: SparkSession, folder: str) -> DataFrame:
 def _classes(spark: SparkSession, folder: str, k: int = neighbours.NEIGHBOURS) -> tuple[DataFrame, np.ndarray]:
     names, scale = neighbours.coordinates(read_table(spark, folder, "feature_registry"))
     tables = [read_table(spark, folder, t) for t in ("score_fingerprints", "cohort_index", "twin_index")]
-    return cut_lineage(neighbours.vector_classes(neighbours.account_vectors(*tables, cut_lineage), names, k)), scale
+    return cut_lineage(neighbours.vector_classes(neighbours.account_vectors(*tables, cut_lineage), names, len(scale), k)), scale
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

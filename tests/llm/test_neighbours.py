@@ -8,8 +8,9 @@ import pytest
 from riskweave.llm import neighbours as nb
 from riskweave.session import cut_lineage
 
-SCALE = np.linspace(0.5, 2.0, nb.DIMENSIONS)
-NAMES = {f"f{i}": i for i in range(nb.DIMENSIONS)}
+WIDTH = 28
+SCALE = np.linspace(0.5, 2.0, WIDTH)
+NAMES = {f"f{i}": i for i in range(WIDTH)}
 ROWS = "key string, features string, numbers array<double>"
 
 
@@ -23,7 +24,7 @@ def brute(keys, x, k=nb.NEIGHBOURS, radius=nb.RADIUS):
 
 def pairs(spark, keys, x, cell_rows=64):
     rows = spark.createDataFrame([(k, None, [None if v != v else float(v) for v in row]) for k, row in zip(keys, x)], ROWS)
-    classes = cut_lineage(nb.vector_classes(rows, NAMES))
+    classes = cut_lineage(nb.vector_classes(rows, NAMES, WIDTH))
     index = nb.sample_index(classes, SCALE, by_mask=True, cell_rows=cell_rows)
     return {tuple(r) for r in nb.near_pairs(nb.member_neighbours(classes, nb.class_neighbours(classes, index, cut_lineage))).collect()}
 
@@ -31,9 +32,9 @@ def pairs(spark, keys, x, cell_rows=64):
 @pytest.mark.parametrize("seed", range(2))
 def test_against_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
-    base = rng.lognormal(0, 0.6, (150, nb.DIMENSIONS)) * SCALE
-    lump = base[:1] + rng.normal(0, 0.004, (60, nb.DIMENSIONS)) * SCALE  # many vectors within the radius of one another
-    near = base[:40] + rng.normal(0, 0.05, (40, nb.DIMENSIONS)) * SCALE
+    base = rng.lognormal(0, 0.6, (150, WIDTH)) * SCALE
+    lump = base[:1] + rng.normal(0, 0.004, (60, WIDTH)) * SCALE  # many vectors within the radius of one another
+    near = base[:40] + rng.normal(0, 0.05, (40, WIDTH)) * SCALE
     x = np.concatenate((base, lump, near, base[:9], base[:3], np.repeat(base[5:6], 12, 0)))
     x[rng.random(x.shape) < 0.02] = np.nan
     x[-1, 5:] = np.nan  # too few coordinates
@@ -44,24 +45,49 @@ def test_against_brute_force(spark, seed):
 
 def test_cells_do_not_matter(spark):
     rng = np.random.default_rng(9)
-    base = rng.normal(0, 1, (400, nb.DIMENSIONS))
-    x = np.concatenate((base, base[:200] + rng.normal(0, 0.04, (200, nb.DIMENSIONS)) * SCALE))
+    base = rng.normal(0, 1, (400, WIDTH))
+    x = np.concatenate((base, base[:200] + rng.normal(0, 0.04, (200, WIDTH)) * SCALE))
     keys = [f"k{i}" for i in range(len(x))]
     assert pairs(spark, keys, x, 16) == pairs(spark, keys, x, 100_000) == brute(keys, x)
 
 
 def test_reading_vectors(spark):
-    full = {f"f{i}": i + 0.5 for i in range(nb.DIMENSIONS)}
+    full = {f"f{i}": i + 0.5 for i in range(WIDTH)}
     text = {**full, "f0": " 0.5 ", "f1": "NA", "f2": None, "f3": True, "extra": 1}
-    rows = [("a", json.dumps(full), None), ("b", json.dumps(text), None), ("c", "broken", None), ("d", None, None), (None, json.dumps(full), None), ("e", None, [float("nan")] * nb.DIMENSIONS), ("f", None, [1.0] * 12), ("a", json.dumps(full), None)]
-    classes = nb.vector_classes(spark.createDataFrame(rows, ROWS), NAMES).collect()
+    rows = [("a", json.dumps(full), None), ("b", json.dumps(text), None), ("c", "broken", None), ("d", None, None), (None, json.dumps(full), None), ("e", None, [float("nan")] * WIDTH), ("f", None, [1.0] * 12), ("a", json.dumps(full), None)]
+    classes = nb.vector_classes(spark.createDataFrame(rows, ROWS), NAMES, WIDTH).collect()
     got = {c.keys[0]: np.isfinite(np.frombuffer(c.vec)).sum() for c in classes}
-    assert got == {"a": nb.DIMENSIONS, "b": nb.DIMENSIONS - 3, "f": 12} and all(len(c.keys) == 1 for c in classes)
+    assert got == {"a": WIDTH, "b": WIDTH - 3, "f": 12} and all(len(c.keys) == 1 for c in classes)
 
 
 def test_empty_and_single(spark):
-    assert pairs(spark, [], np.zeros((0, nb.DIMENSIONS))) == set()
-    assert pairs(spark, ["a"], np.ones((1, nb.DIMENSIONS))) == set()
+    assert pairs(spark, [], np.zeros((0, WIDTH))) == set()
+    assert pairs(spark, ["a"], np.ones((1, WIDTH))) == set()
+
+
+@pytest.mark.parametrize("width", [12, 40, 70])
+def test_any_width_of_the_registry(spark, width):
+    fields = "feature string, variable_name string, vec_pos int, vec_scale double"
+    registry = spark.createDataFrame([(f"F{i}", f"name_{i}", i, 0.5 + i) for i in range(width)] + [("flag", "FLAG", None, None)], fields)
+    names, scale = nb.coordinates(registry)
+    assert len(scale) == width and scale[width - 1] == width - 0.5 and names[f"name_{width - 1}"] == width - 1
+    rng = np.random.default_rng(width)
+    x = rng.normal(0, 1, (30, width)) * scale
+    x = np.concatenate((x, x + 0.01 * scale * rng.normal(0, 1, x.shape)))
+    x[5:35, width - 1] = np.nan
+    texts = [json.dumps({(f"F{j}" if i % 2 else f"name_{j}"): None if v != v else float(v) for j, v in enumerate(row)}) for i, row in enumerate(x)]
+    rows = [(f"k{i:02d}", texts[i], None) if i % 3 else (f"k{i:02d}", None, [None if v != v else float(v) for v in x[i]] + [9.0]) for i in range(len(x))]
+    classes = cut_lineage(nb.vector_classes(spark.createDataFrame(rows, ROWS), names, width))
+    index = nb.sample_index(classes, scale, by_mask=True, cell_rows=16)
+    got = {tuple(r) for r in nb.near_pairs(nb.member_neighbours(classes, nb.class_neighbours(classes, index, cut_lineage))).collect()}
+    want = {(f"k{i:02d}", f"k{i + 30:02d}") for i in range(30) if np.isnan(x[i, -1]) == np.isnan(x[i + 30, -1])}
+    assert got == want
+
+
+def test_an_empty_registry(spark):
+    names, scale = nb.coordinates(spark.createDataFrame([], "feature string, variable_name string, vec_pos int, vec_scale double"))
+    assert names == {} and len(scale) == 0
+    assert nb.vector_classes(spark.createDataFrame([("a", "{}", None)], ROWS), names, 0).count() == 0
 
 
 def test_latest_fingerprint_counts(spark):
@@ -78,12 +104,12 @@ def test_chi_square_quantiles():
 
 def test_search_without_a_radius_finds_the_nearest(spark):
     rng = np.random.default_rng(2)
-    x = rng.lognormal(0, 0.6, (1500, nb.DIMENSIONS)) * SCALE
+    x = rng.lognormal(0, 0.6, (1500, WIDTH)) * SCALE
     x[rng.random(x.shape) < 0.03] = np.nan
     x = np.concatenate((x, np.repeat(x[50:51], 20, 0)))
     keys = [f"RV-{i}" for i in range(len(x))]
     rows = spark.createDataFrame([(k, None, [None if v != v else float(v) for v in row]) for k, row in zip(keys, x)], ROWS)
-    classes = cut_lineage(nb.vector_classes(rows, NAMES, 10))
+    classes = cut_lineage(nb.vector_classes(rows, NAMES, WIDTH, 10))
     index = nb.sample_index(classes, SCALE, by_mask=False, cell_rows=200, projections=nb.KNN_PROJECTIONS)
     near = nb.class_neighbours(classes, index, cut_lineage, 10, float("inf"), nb.KNN_CONFIDENCE, nb.query_classes(10))
     got = {}
@@ -99,8 +125,8 @@ def test_search_without_a_radius_finds_the_nearest(spark):
 
 
 def test_a_class_of_very_many_copies(spark):
-    many = [(f"c{i:06d}", None, [1.0] * nb.DIMENSIONS) for i in range(30_000)] + [("z", None, [1.05] * nb.DIMENSIONS)]
-    classes = cut_lineage(nb.vector_classes(spark.createDataFrame(many, ROWS).repartition(6), NAMES))
+    many = [(f"c{i:06d}", None, [1.0] * WIDTH) for i in range(30_000)] + [("z", None, [1.05] * WIDTH)]
+    classes = cut_lineage(nb.vector_classes(spark.createDataFrame(many, ROWS).repartition(6), NAMES, WIDTH))
     heads = classes.where("vec IS NOT NULL").collect()
     assert sorted(len(c.keys) for c in heads) == [1, nb.NEIGHBOURS + 1] and max(heads, key=lambda c: len(c.keys)).keys == [f"c{i:06d}" for i in range(nb.NEIGHBOURS + 1)]
     loose = classes.where("vec IS NULL").selectExpr("explode(keys) AS key")
