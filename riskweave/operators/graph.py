@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import release
+from .quantiles import running_counts, value_counts
 from .ranking import divide
 
 #: Limits of the structures (fixed values).
@@ -84,35 +86,39 @@ def dwell_times(edges: DataFrame) -> DataFrame:
     """(account, t, hours): for each inbound edge the hours to the account's next outbound edge at or after it.
 
     Outbound edges may serve many inbound ones; inbound edges without a later outbound have no row. An
-    as-of join: within each (account, day) by a window, else the first outbound of a later day.
+    as-of join: within each (account, day) by a window, else the first outbound of a later day. Windows
+    run from the latest row back, so that each row is added once.
     """
     inn = _stamps(edges, "account_to").withColumn("out", F.lit(None).cast("bigint"))
     out = _stamps(edges, "account_from").withColumn("out", F.col("t"))
-    ahead = Window.partitionBy("account", "day").orderBy("t").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("account", "day").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
     same = inn.withColumn("is_in", F.lit(True)).unionByName(out.withColumn("is_in", F.lit(False))).withColumn("next", F.min("out").over(ahead)).where("is_in")
     days = inn.select("account", "day").union(out.select("account", "day")).distinct().join(out.groupBy("account", "day").agg(F.min("out").alias("first")), ["account", "day"], "left")
-    later = Window.partitionBy("account").orderBy("day").rowsBetween(1, Window.unboundedFollowing)  # one row a day
+    later = Window.partitionBy("account").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
     following = days.select("account", "day", F.min("first").over(later).alias("later"))
     hours = (F.coalesce("next", "later") - F.col("t")) / 3.6e9
     return same.join(following, ["account", "day"]).select("account", "t", hours.alias("hours")).where("hours IS NOT NULL")
 
 
-def upper_median(column: str) -> Column:
-    """The value at place n // 2 (from 0) of the sorted values."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
+def upper_medians(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(account, n, name): the value at place n // 2 (from 0) of each account's sorted values, from counts in pieces."""
+    run = running_counts(value_counts(rows, ["account"], value), ["account"])
+    place = F.floor(F.col("total") / 2)
+    return run.where((F.col("cum_n") > place) & (F.col("cum_n") - F.col("n") <= place)).select("account", F.col("total").alias("n"), F.col("value").alias(name))
 
 
 def dwell_medians(edges: DataFrame) -> DataFrame:
     """(account, n_matched, median_dwell_hours) with the upper median."""
-    return dwell_times(edges).groupBy("account").agg(F.count(F.lit(1)).alias("n_matched"), upper_median("hours").alias("median_dwell_hours"))
+    return upper_medians(dwell_times(edges), "hours", "median_dwell_hours").withColumnRenamed("n", "n_matched")
 
 
 def smurfing(edges: DataFrame) -> DataFrame:
     """(account, senders, median_inbound, largest_outbound, ratio, detected) of accounts with edges both ways."""
-    inn = edges.groupBy(F.col("account_to").alias("account")).agg(F.count_distinct("account_from").alias("senders"), upper_median("amount").alias("median_inbound"))
+    inn = edges.groupBy(F.col("account_to").alias("account")).agg(F.count_distinct("account_from").alias("senders"))
+    median = upper_medians(edges.select(F.col("account_to").alias("account"), "amount"), "amount", "median_inbound").drop("n")
     out = edges.groupBy(F.col("account_from").alias("account")).agg(F.max("amount").alias("largest_outbound"))
     ratio = F.col("median_inbound") / F.col("largest_outbound")
-    return inn.join(out, "account").withColumn("ratio", ratio).withColumn("detected", (F.col("senders") >= SMURF_SENDERS) & (F.col("ratio") <= SMURF_RATIO))
+    return inn.join(median, "account").join(out, "account").withColumn("ratio", ratio).withColumn("detected", (F.col("senders") >= SMURF_SENDERS) & (F.col("ratio") <= SMURF_RATIO))
 
 
 def distributors(metrics: DataFrame) -> DataFrame:
@@ -150,52 +156,85 @@ def weak_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame])
     """(account, component): the smallest account of each weakly connected component.
 
     Labels move along links and then jump to their label's label, so rounds grow with the logarithm
-    of a component's width; settle(df) writes each round.
+    of a component's width; settle(df) writes each round, and the round before last is removed.
     """
     pairs = links(edges)
     both = settle(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
     label = settle(both.groupBy(F.col("a").alias("account")).agg(F.least("account", F.min("b")).alias("component")))
     while True:
-        heard = both.join(label.withColumnRenamed("account", "b"), "b").groupBy(F.col("a").alias("account")).agg(F.min("component").alias("near"))
-        better = label.join(heard, "account").select("account", F.least("component", "near").alias("component"), F.col("component").alias("was"))
+        now = label.select("account", "component")
+        heard = both.join(now.withColumnRenamed("account", "b"), "b").groupBy(F.col("a").alias("account")).agg(F.min("component").alias("near"))
+        better = now.join(heard, "account").select("account", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jump = better.select(F.col("account").alias("component"), F.col("component").alias("root"))
         nxt = settle(better.join(jump, "component", "left").select("account", F.least("component", F.coalesce("root", "component")).alias("component"), "was"))
-        if nxt.where("component <> was").isEmpty():
-            return nxt.select("account", "component")
-        label = nxt.select("account", "component")
+        release(label)
+        label = nxt
+        if label.where("component <> was").isEmpty():
+            return label.select("account", "component")
 
 
-def strong_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(account, scc): strongly connected components, named by their largest account, by forward colouring.
+def _reached(pairs: DataFrame, start: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(account): the accounts that links lead to from the start, itself included; each link is followed once."""
+    seen = front = settle(start)
+    while True:
+        ahead = pairs.join(front.select(F.col("account").alias("a")), "a").select(F.col("b").alias("account")).distinct()
+        front = settle(ahead.join(seen, "account", "left_anti"))
+        if front.isEmpty():
+            return seen
+        wider = settle(seen.unionByName(front))
+        release(seen)
+        seen = wider
+
+
+def _inside(pairs: DataFrame, rest: DataFrame) -> DataFrame:
+    return pairs.join(rest.withColumnRenamed("account", "a"), "a", "left_semi").join(rest.withColumnRenamed("account", "b"), "b", "left_semi").select("a", "b")
 
-    Each round sends the largest reachable-from label forward until it settles; the accounts of a
-    colour that reach its root backwards are that root's component; the rest goes on.
+
+def strong_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], trims: int = 2) -> DataFrame:
+    """(account, scc): strongly connected components, named by their largest account.
+
+    Accounts without a way in or out are components of their own and are trimmed first. The large
+    component is what is reached both forward and backward from the account with the most links. The
+    rest goes by forward colouring: the largest label that reaches an account moves on until it settles,
+    and the accounts of a colour that reach its root backwards are that root's component; then again
+    with what is left.
     """
     pairs = settle(links(edges))
-    rest = settle(edges.select(F.col("account_from").alias("account")).union(edges.select("account_to")).distinct())
-    found = None
+    ins, outs = pairs.groupBy(F.col("b").alias("account")).agg(F.count(F.lit(1)).alias("i")), pairs.groupBy(F.col("a").alias("account")).agg(F.count(F.lit(1)).alias("o"))
+    pivot = ins.join(outs, "account").orderBy((F.col("i") * F.col("o")).desc(), "account").limit(1).select("account")
+    found = []
+    forward = _reached(pairs, pivot, settle)
+    backward = _reached(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), pivot, settle)
+    large = settle(forward.join(backward, "account", "left_semi"))
+    found.append(large.crossJoin(large.agg(F.max("account").alias("scc"))))  # one row
+    everyone = edges.select(F.col("account_from").alias("account")).union(edges.select("account_to")).distinct()
+    rest = settle(everyone.join(large, "account", "left_anti"))
     while not rest.isEmpty():
-        inside = settle(pairs.join(rest.withColumnRenamed("account", "a"), "a", "left_semi").join(rest.withColumnRenamed("account", "b"), "b", "left_semi").select("a", "b"))
+        inside = settle(_inside(pairs, rest))
+        for _ in range(trims):
+            core = settle(inside.select(F.col("a").alias("account")).intersect(inside.select("b")))
+            found.append(rest.join(core, "account", "left_anti").select("account", F.col("account").alias("scc")))
+            rest, inside = core, settle(_inside(inside, core))
+        if rest.isEmpty():
+            break
         colour = rest.select("account", F.col("account").alias("colour"))
         while True:
-            sent = inside.join(colour.withColumnRenamed("account", "a"), "a").groupBy(F.col("b").alias("account")).agg(F.max("colour").alias("near"))
-            nxt = settle(colour.join(sent, "account", "left").select("account", F.greatest("colour", F.coalesce("near", "colour")).alias("colour"), F.col("colour").alias("was")))
-            colour = nxt.select("account", "colour")
-            if nxt.where("colour <> was").isEmpty():
+            sent = inside.join(colour.select(F.col("account").alias("a"), "colour"), "a").groupBy(F.col("b").alias("account")).agg(F.max("colour").alias("near"))
+            nxt = settle(colour.drop("was").join(sent, "account", "left").select("account", F.greatest("colour", F.coalesce("near", "colour")).alias("colour"), F.col("colour").alias("was")))
+            release(colour)
+            colour = nxt
+            if colour.where("colour <> was").isEmpty():
                 break
-        reached = settle(colour.where("account = colour"))
-        back = inside.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").where("ca = cb").select("a", "b", "ca")
-        front = reached
-        while True:
-            new = back.join(front.select(F.col("account").alias("b")), "b", "left_semi").select(F.col("a").alias("account"), F.col("ca").alias("colour")).distinct()
-            front = settle(new.join(reached, "account", "left_anti"))
-            if front.isEmpty():
-                break
-            reached = settle(reached.union(front))
-        done = reached.select("account", F.col("colour").alias("scc"))
-        found = done if found is None else found.union(done)
-        rest = settle(rest.join(done, "account", "left_anti"))
-    return found if found is not None else rest.select("account", F.col("account").alias("scc"))
+        label = colour.select("account", "colour")
+        roots = label.where("account = colour")
+        back = inside.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))
+        own = settle(_reached(settle(back), roots.select("account"), settle).join(label, "account"))
+        found.append(own.select("account", F.col("colour").alias("scc")))
+        rest = settle(rest.join(own, "account", "left_anti"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def component_sizes(labels: DataFrame, label: str) -> DataFrame:
@@ -247,32 +286,54 @@ def cycle_lengths(edges: DataFrame, settle, most: int = CYCLE_MAX) -> DataFrame:
 
 
 def ego_network(edges: DataFrame, seeds: DataFrame, settle, hops: int = 2, most_nodes: int = 60) -> DataFrame:
-    """(seed, account, hop) within `hops` edges in any direction, the nearest `most_nodes` (then by account), the seed at hop 0."""
+    """(seed, account, hop) within `hops` edges in any direction, the nearest `most_nodes` (then by account), the seed at hop 0.
+
+    A seed whose net is full goes no further, and each hop keeps only what still has room, so a net
+    never grows beyond most_nodes rows before its hubs are expanded.
+    """
     pairs = links(edges)
     both = settle(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
-    around = _hops(both, seeds, hops, settle).where("account <> seed").unionByName(seeds.toDF("seed").select("seed", F.col("seed").alias("account"), F.lit(0).alias("hop")))
-    near = Window.partitionBy("seed").orderBy("hop", "account")
-    return around.withColumn("n", F.row_number().over(near)).where(F.col("n") <= most_nodes).drop("n")
+    seen = front = settle(seeds.toDF("seed").select("seed", F.col("seed").alias("account"), F.lit(0).alias("hop")))
+    near = Window.partitionBy("seed").orderBy("account")
+    for hop in range(1, hops + 1):
+        room = seen.groupBy("seed").agg((F.lit(most_nodes) - F.count(F.lit(1))).alias("room")).where("room > 0")
+        asks = front.join(room.select("seed"), "seed", "left_semi").select("seed", F.col("account").alias("a"))
+        new = both.join(asks, "a").select("seed", F.col("b").alias("account")).distinct().join(seen, ["seed", "account"], "left_anti")
+        placed = new.withColumn("n", F.row_number().over(near)).where(F.col("n") < most_nodes).join(room, "seed").where("n <= room")
+        front = settle(placed.select("seed", "account", F.lit(hop).alias("hop")))
+        seen = settle(seen.unionByName(front))
+    return seen
 
 
 def rapid_chains(edges: DataFrame, settle, most: int = 8, hours: int = HOP_HOURS) -> DataFrame:
     """(account, depth): the most hops, up to `most`, of a chain that starts at the account, each hop 0..hours after the one before.
 
     Exact for chains that may pass an account again (the pruned search it stands for is order
-    dependent). Each round an edge learns the depth of the edges that may follow it, by an
-    interval join on pieces of time.
+    dependent). Each round an edge learns the depth of the edges that may follow it. The stretch of
+    time an edge looks at is the end of one piece of time and the beginning of the next, so the two
+    maxima are running ones in windows over (account, piece): edges never meet as pairs.
     """
     width = hours * 3_600_000_000
     t = F.unix_micros("timestamp")
     base = settle(edges.where("timestamp IS NOT NULL").select("account_from", "account_to", t.alias("t")).distinct())
-    after = base.select(F.col("account_from").alias("account_to"), F.col("t").alias("t2"), F.floor(F.col("t") / width).alias("piece"), F.col("account_to").alias("next_to"))
+    asked = base.select(F.col("account_to").alias("account"), "t").distinct()
+    piece = lambda c: F.floor(c / width)
+    none = F.lit(None)
+    asks = settle(
+        asked.select("account", piece(F.col("t")).alias("piece"), F.col("t").alias("at"), none.cast("int").alias("d"), F.col("t").alias("own"), F.lit(1).alias("side"))
+        .unionByName(asked.select("account", (piece(F.col("t")) + 1).alias("piece"), (F.col("t") + width).alias("at"), none.cast("int").alias("d"), F.col("t").alias("own"), F.lit(2).alias("side")))
+    )
+    up = Window.partitionBy("account", "piece").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("account", "piece").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)
     deep = base.withColumn("depth", F.lit(1))
     for _ in range(most - 1):
-        level = deep.select(F.col("account_from").alias("account_to"), F.col("t").alias("t2"), F.floor(F.col("t") / width).alias("piece"), "depth").groupBy("account_to", "t2", "piece").agg(F.max("depth").alias("d2"))
-        piece = F.floor(F.col("t") / width)
-        ask = base.select("account_from", "account_to", "t", F.explode(F.array(piece, piece + 1)).alias("piece"))
-        best = ask.join(level, ["account_to", "piece"]).where((F.col("t2") >= F.col("t")) & (F.col("t2") <= F.col("t") + width)).groupBy("account_from", "account_to", "t").agg((F.max("d2") + 1).alias("d"))
-        deep = settle(base.join(best, ["account_from", "account_to", "t"], "left").select("account_from", "account_to", "t", F.least(F.coalesce("d", F.lit(1)), F.lit(most)).alias("depth")))
+        level = deep.groupBy(F.col("account_from").alias("account"), "t").agg(F.max("depth").alias("d"))
+        rows = asks.unionByName(level.select("account", piece(F.col("t")).alias("piece"), F.col("t").alias("at"), "d", none.cast("bigint").alias("own"), F.lit(0).alias("side")))
+        seen = rows.withColumn("best", F.when(F.col("side") == 1, F.max("d").over(down)).when(F.col("side") == 2, F.max("d").over(up))).where("side > 0 AND best IS NOT NULL")
+        best = seen.groupBy(F.col("account").alias("account_to"), F.col("own").alias("t")).agg((F.max("best") + 1).alias("d"))
+        nxt = settle(base.join(best, ["account_to", "t"], "left").select("account_from", "account_to", "t", F.least(F.coalesce("d", F.lit(1)), F.lit(most)).alias("depth")))
+        release(deep)
+        deep = nxt
     return deep.groupBy(F.col("account_from").alias("account")).agg(F.max("depth").alias("depth"))
 
 
