@@ -61,8 +61,9 @@ class PrefixTable:
         self.append(inserted)
         base, need, run, done = len(self.data), self.codec.longest, 0, len(inserted)
         self.data += old_tail
+        whole = bytes(self.data)
         for i in range(len(old_tail)):
-            self._fill(base + i, base + i + 1)
+            self._fill(base + i, base + i + 1, whole)
             done += 1
             run = run + 1 if self.last[-1] == old_last[i] else 0
             if run >= need:
@@ -74,8 +75,8 @@ class PrefixTable:
                 break
         return done
 
-    def _fill(self, start: int, stop: int | None = None) -> None:
-        codec, data, last, count = self.codec, bytes(self.data), self.last, self.count
+    def _fill(self, start: int, stop: int | None = None, whole: bytes | None = None) -> None:
+        codec, data, last, count = self.codec, bytes(self.data) if whole is None else whole, self.last, self.count
         find, reach, fits = codec.ranks.get, codec.reach, codec.fits
         for end in range(start + 1, (len(data) if stop is None else stop) + 1):
             most = min(end, reach.get(data[max(0, end - 2) : end], 1))
@@ -174,6 +175,10 @@ class BytePairCodec:
         known, fresh = self.cache.get, self.piece_ids
         return sum([len(known(piece) or fresh(piece)) for piece in self.pieces(text)])
 
+    def decode(self, ids) -> bytes:
+        """Bytes of a list of ids."""
+        return b"".join([self.tokens[i] for i in ids])
+
     def reencode(self, old_text: str, old_ids: array, text: str) -> array:
         """Ids of a text that is an edit of `old_text`, whose ids are known.
 

@@ -69,7 +69,11 @@ def emit_copies(drawn: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def mixture_report(drawn: DataFrame, rates: DataFrame) -> DataFrame:
-    """Per target source: wanted and emitted tokens, documents, copies and the actual share of the mixture."""
+    """Per target source: wanted and emitted tokens, documents, copies, and the actual share.
+
+    actual_share is taken of the mixture as it came out, share_of_total of the size aimed at: where
+    a capped source leaves the mixture smaller, the others still have their target share of the latter.
+    """
     used = drawn.groupBy("source_name").agg(
         F.sum(F.col("n_copies") * F.col("n_tokens")).alias("emitted_tokens"),
         F.sum("n_copies").alias("emitted_docs"),
@@ -86,6 +90,7 @@ def mixture_report(drawn: DataFrame, rates: DataFrame) -> DataFrame:
             F.coalesce("emitted_tokens", zero).alias("emitted_tokens"),
             F.coalesce("most_copies", zero).alias("most_copies"),
             F.round(F.coalesce(F.coalesce("emitted_tokens", zero) / F.when(F.col("mixture_tokens") > 0, F.col("mixture_tokens")), F.lit(0.0)), 6).alias("actual_share"),
+            F.round(F.coalesce(F.coalesce("emitted_tokens", zero) / F.when(F.col("total_tokens") > 0, F.col("total_tokens")), F.lit(0.0)), 6).alias("share_of_total"),
         )
     )
 
@@ -93,3 +98,14 @@ def mixture_report(drawn: DataFrame, rates: DataFrame) -> DataFrame:
 def sized_documents(documents: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """(doc_id, source, n_tokens) of every document."""
     return count_tokens(documents, ["doc_id", "source"], vocab=vocab)
+
+
+def draw_checks(drawn: DataFrame, rates: DataFrame) -> DataFrame:
+    """(source_name, is_within, is_capped_right): whether the tokens drawn are within six standard deviations of rate * tokens, and no document beyond its cap."""
+    fraction = F.col("rate") - F.floor("rate")
+    used = drawn.join(rates.select("source_name", F.col("rate").alias("rate")), "source_name").groupBy("source_name").agg(
+        F.sum(F.col("n_copies") * F.col("n_tokens")).alias("got"), F.sum(F.col("rate") * F.col("n_tokens")).alias("want"),
+        F.sqrt(F.sum(F.col("n_tokens").cast("double") ** 2 * fraction * (1 - fraction))).alias("sd"), F.max("n_copies").alias("most"),
+    )
+    gap = F.abs(F.coalesce("got", F.lit(0)) - F.coalesce("want", F.lit(0.0)))
+    return rates.join(used, "source_name", "left").select("source_name", (gap <= 6 * F.coalesce("sd", F.lit(0.0)) + 1e-6).alias("is_within"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("is_capped_right"))

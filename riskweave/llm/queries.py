@@ -158,9 +158,31 @@ def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_documents(read_table(spark, folder, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, those without a text, and those whose ids don't decode to their text (or, without one, are not empty)."""
+    documents = read_table(spark, folder, "documents")
+    decoded = tokens.decode_ids(tokens.encode_texts(documents), ["doc_id"])
+    both = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(decoded, "doc_id", "left")
+    wrong = F.count_if(~F.coalesce(F.col("decoded") == F.col("text"), F.lit(False)))
+    return both.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("text") == "").alias("n_empty"), wrong.alias("n_wrong"))
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every source's draw is what its rate says, and within its cap."""
+    return mixing.draw_checks(*_mixture(spark, folder))
+
+
+def p8_joints(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and, over all of them, parts that break a rule: the limit, the overlap at every joint, the cover of the whole text."""
+    documents = read_table(spark, folder, "documents")
+    # the parts are ordered within their texts and then counted: stored once
+    parts = cut_lineage(splitting.split_documents(documents, oversized_only=False))
+    return splitting.joint_faults(parts, documents).agg(F.count(F.lit(1)).alias("n_texts"), F.coalesce(F.sum("n_faults"), F.lit(0)).alias("n_faults"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p1_rank_check, p2_found, p2_cutoffs, p2_history, p2_fraction, p4_found, p4_nearest)
-    return {f.__name__: f for f in (*found, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_parts)}
+    return {f.__name__: f for f in (*found, p6_ids, p6_round_trip, p7_found, p7_mixture, p7_shares, p7_checks, p8_found, p8_parts, p8_joints)}
 
 
 _BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -220,6 +242,9 @@ def oracle_sql() -> dict[str, str]:
 sized AS (SELECT source_name, 'calibrated_risk' AS metric, count(*) AS n FROM own WHERE NOT isnan(calibrated_risk) AND calibrated_risk BETWEEN 0 AND 1 GROUP BY ALL
   UNION ALL SELECT source_name, 'anomaly_percentile', count(*) FROM own WHERE NOT isnan(anomaly_percentile) AND anomaly_percentile BETWEEN 0 AND 100 GROUP BY ALL)
 SELECT source_name, metric, n, fraction, true AS is_within FROM sized, (VALUES {", ".join(f"('{f}')" for f in FRACTIONS)}) f(fraction) WHERE source_name IS NOT NULL""",
+        "p6_round_trip": "SELECT count(*) AS n_docs, count(*) FILTER (WHERE coalesce(text, '') = '') AS n_empty, 0::BIGINT AS n_wrong FROM documents",
+        "p7_checks": "SELECT source_name, true AS is_within, true AS is_capped_right FROM mix_targets",
+        "p8_joints": "SELECT count(*) AS n_texts, 0::BIGINT AS n_faults FROM documents WHERE coalesce(text, '') <> ''",
         "p4_found": _PAIRS,
         "p2_found": _LATEST + "SELECT capacity_id, id FROM placed JOIN capacities USING (source_name, screen_date) WHERE at_or_above <= review_capacity",
         "p2_cutoffs": _LATEST + """

@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_VOCAB, BytePairCodec, PrefixTable, codec
-from .tokens import _slices
+from .tokens import _slices, count_tokens
 
 #: Most tokens of a part.
 MAX_TOKENS = 1024
@@ -238,3 +239,23 @@ def split_documents(
 def oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = MAX_TOKENS, overlap: int = OVERLAP, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """(key) of the texts that split_documents cuts: those whose second part exists."""
     return split_documents(df, key, text, limit, overlap, vocab).where("part_no = 2").select(key)
+
+
+def joint_faults(parts: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = MAX_TOKENS, overlap: int = OVERLAP, vocab: str = DEFAULT_VOCAB) -> DataFrame:
+    """(key, n_parts, n_faults) of every text with parts: parts that begin late, end early, hold too much or share too little with the one before.
+
+    parts: what `split_documents` gives for a unique key. The shared stretch of a joint is the end of the
+    part before, counted anew by the vocabulary. One row a part is ordered within its text.
+    """
+    order = Window.partitionBy(key).orderBy("part_no")
+    told = parts.select(
+        key, "part_no", "start_char", "end_char", "n_tokens", "part", F.lag("end_char").over(order).alias("before"), F.lag("part").over(order).alias("part_before"), F.lead("part_no").over(order).isNull().alias("is_last")
+    )
+    shared = F.when(F.col("before") > F.col("start_char"), F.expr("right(part_before, before - start_char)")).otherwise("")
+    own = told.select(key, "part_no", "start_char", "end_char", F.col("n_tokens").alias("n_own"), "before", "is_last", F.length("part").alias("size"), (F.expr("left(part, before - start_char)") == shared).alias("is_same"), shared.alias("shared"))
+    counted = count_tokens(own, [c for c in own.columns if c != "shared"], "shared", vocab).withColumnRenamed("n_tokens", "n_shared")
+    lengths = df.select(key, F.length(text).alias("__chars"))
+    joined = counted.join(lengths, key)
+    begins = F.when(F.col("before").isNull(), F.col("start_char") == 0).otherwise((F.col("n_shared") >= overlap) & F.col("is_same"))
+    fine = begins & (F.col("n_own") <= limit) & (F.col("size") == F.col("end_char") - F.col("start_char")) & (~F.col("is_last") | (F.col("end_char") == F.col("__chars")))
+    return joined.groupBy(key).agg(F.count(F.lit(1)).alias("n_parts"), F.count_if(~F.coalesce(fine, F.lit(False))).alias("n_faults"))

@@ -61,3 +61,18 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocab: str
     source = df.select(*keep, df[text].alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text")
     return source.mapInArrow(run, f"{kinds}, n_tokens bigint")
+
+
+def decode_ids(df: DataFrame, keep: list[str], ids: str = "ids", vocab: str = DEFAULT_VOCAB) -> DataFrame:
+    """The `keep` columns of every row and decoded, the text of its ids (null ids give an empty text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = codec(vocab).decode
+        for batch in batches:
+            texts = pa.array([decode(x or ()).decode("utf-8", "replace") for x in batch.column("__ids").to_pylist()], pa.string())
+            kept = [n for n in batch.schema.names if n != "__ids"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), texts], names=[*kept, "decoded"])
+
+    source = df.select(*keep, df[ids].alias("__ids"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__ids")
+    return source.mapInArrow(run, f"{kinds}, decoded string")

@@ -13,7 +13,7 @@ def parts_of(text, limit=128, overlap=16):
     assert parts[0][0] == 0 and parts[-1][1] == len(text)
     for (a, b, n, _), (c, d, _, _) in zip(parts, parts[1:]):
         assert a < c <= b < d, "parts overlap or touch, and go on"
-        assert CODEC.count(text[c:b]) >= overlap or c == b or "hard" in {p[3] for p in parts}
+        assert CODEC.count(text[c:b]) >= overlap
     for a, b, n, _ in parts:
         assert CODEC.count(text[a:b]) == n <= limit
     return parts
@@ -66,6 +66,18 @@ def test_bad_overlap_is_refused():
         splitting.split_text(CODEC, "x", 100, 50)
 
 
+def test_faults_are_found(spark):
+    df = spark.createDataFrame([(1, "word " * 3000), (2, "x" * 9000), (3, "short"), (4, None)], "doc_id bigint, text string")
+    parts = splitting.split_documents(df, oversized_only=False)
+    sound = {r.doc_id: r for r in splitting.joint_faults(parts, df).collect()}
+    assert set(sound) == {1, 2, 3} and not any(r.n_faults for r in sound.values()) and sound[3].n_parts == 1
+    for change in ("start_char + IF(part_no = 2, 200, 0)", "start_char + IF(part_no = 1, 1, 0)"):
+        bad = parts.selectExpr("doc_id", "part_no", f"{change} AS start_char", "end_char", "n_tokens", "cut", "part")
+        assert {r.doc_id: r.n_faults > 0 for r in splitting.joint_faults(bad, df).collect()}[1]
+    assert {r.n_faults for r in splitting.joint_faults(parts.where("part_no > 1"), df).collect()} != {0}
+    assert splitting.joint_faults(parts.limit(0), df).count() == 0
+
+
 def test_split_documents(spark):
     rows = [(1, "word " * 3000, "clash"), (2, "short", None), (3, None, None), (4, "", None), (1, "word " * 3000, "again")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, part string")
