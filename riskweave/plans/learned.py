@@ -11,25 +11,48 @@ from ..operators import resampling as rs
 from ..session import cut_lineage
 from ..streaming import events as st
 from .fixtures import OOF, oof, wide
-from .ranking import UNIFORM_EDGES, r6
+from .ranking import POINTS, UNIFORM_EDGES, r6
 from .registry import Registry
 
 R = Registry()
 
-_POISSON = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(rs.POISSON)) + f" ELSE {len(rs.POISSON)} END"
-_BOOT = OOF + f"""
-, drawn AS (SELECT model, replicate, score, target, {_POISSON} AS w FROM (SELECT *, ((row_index * 7919 + replicate * 104729) % 10007 + 0.5::DOUBLE) / 10007.0::DOUBLE AS u FROM oof, range(40) r(replicate) WHERE rep = 0)),
-pts AS (SELECT model, replicate, score, sum(w) AS n, sum(w * target) AS p FROM drawn WHERE w > 0 GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER z AS cum_n, sum(p) OVER z AS cum_p FROM pts WINDOW z AS (PARTITION BY model, replicate ORDER BY score DESC)),
-boot AS (SELECT model, replicate, sum(p::DOUBLE * cum_p / cum_n) / sum(p) AS ap FROM cum GROUP BY ALL)
-"""
+_METRICS = ["ap", "roc_auc", *(f"tp_{b}" for b in rk.BUDGETS)]
 
 
-@R.add(_BOOT + "SELECT model, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.975), 6) AS high FROM boot GROUP BY model")
+def _replicates(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(rs.replicate_metrics(oof(spark, folder), ["model", "rep"], cut_lineage))
+
+
+@R.add()
 def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
-    """MET-09/22, CAP-04, EXT-06: interval of the average precision over replicates."""
-    reps = cut_lineage(rs.replicate_metrics(oof(spark, folder).where("rep = 0"), ["model"], 40))
-    return rs.intervals(reps, ["model"], "ap").select("model", *r6("low", "high"))
+    """MET-22, EXT-06: intervals of ranking metrics and hits at budgets over 2,000 shared draws, by both schemes."""
+    return rs.intervals(_replicates(spark, folder), ["model", "rep"], _METRICS)
+
+
+@R.add(POINTS + f"""
+, hits AS (SELECT model, rep, budget, sum(CASE WHEN cum_n <= budget THEN p WHEN cum_n - n < budget THEN (budget - cum_n + n) / n::DOUBLE * p ELSE 0 END) AS tp FROM cum, (VALUES {", ".join(f"({b})" for b in rk.BUDGETS)}) b(budget) GROUP BY ALL),
+long AS (SELECT model, rep, 'ap' AS metric, ap AS point FROM ap UNION ALL SELECT model, rep, 'roc_auc', roc_auc FROM ap UNION ALL SELECT model, rep, 'tp_' || budget, tp FROM hits)
+SELECT model, rep, scheme, metric, round(point, 6) AS point, true AS is_inside FROM long, (VALUES ('resample_accounts'), ('stratified')) s(scheme)""")
+def bootstrap_points(spark: SparkSession, folder: str) -> DataFrame:
+    """MET-09, CAP-04: the sample's own metrics by the same machinery, and whether its interval holds them."""
+    found = rs.intervals(_replicates(spark, folder), ["model", "rep"], _METRICS)
+    return found.select("model", "rep", "scheme", "metric", *r6("point"), F.col("point").between(F.col("low") - 1e-9, F.col("high") + 1e-9).alias("is_inside"))
+
+
+@R.add(POINTS + f"""
+, spot AS (SELECT model, rep, budget, count(*) FILTER (WHERE rn <= budget AND target = 1) AS tp, max(n_pos) AS n_pos FROM ranked, (VALUES {", ".join(f"({b})" for b in rk.BUDGETS)}) b(budget) GROUP BY ALL)
+SELECT model, budget::BIGINT AS budget, round(avg(tp / n_pos), 6) AS recall_mean, round(min(tp / n_pos), 6) AS recall_min, round(max(tp / n_pos), 6) AS recall_max, round(avg(tp / budget), 6) AS precision_mean, true AS has_band FROM spot GROUP BY model, budget""")
+def capacity_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """CAP-04/06, EXT-27: recall and precision of each budget over the repeats, beside its bootstrap bands."""
+    rows = oof(spark, folder)
+    spread = rk.at_budgets(rk.ranked_rows(rows, ["model", "rep"]), ["model", "rep"]).groupBy("model", "budget").agg(
+        F.avg("recall").alias("recall_mean"), F.min("recall").alias("recall_min"), F.max("recall").alias("recall_max"), F.avg("precision").alias("precision_mean")
+    )
+    hits = [m for m in _METRICS if m.startswith("tp_")]
+    found = rs.intervals(_replicates(spark, folder), ["model", "rep"], hits).where("scheme = 'stratified'").withColumn("budget", F.substring_index("metric", "_", -1).cast("bigint"))
+    bands = found.groupBy("model", "budget").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.avg("point").alias("point"))
+    held = (F.col("low") <= F.col("point") + 1e-9) & (F.col("point") <= F.col("high") + 1e-9)
+    return spread.join(bands, ["model", "budget"]).select("model", "budget", *r6("recall_mean", "recall_min", "recall_max", "precision_mean"), held.alias("has_band"))
 
 
 @R.add(OOF + """
