@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as dr
 from ..operators import profiling as pf
 from ..operators.quantiles import linear_quantiles, value_counts
+from ..session import cut_lineage
 from .fixtures import GRID, WIDE, WIDE_COLUMNS, grid, wide
 from .ranking import r6
 from .registry import Registry
@@ -32,7 +33,7 @@ SELECT feature, n_rows, n_rows - n_valued AS n_missing, round(1 - n_valued / n_r
        n_unique <= 1 OR top_n / n_valued >= 0.99 OR 1 - n_valued / n_rows >= 0.99 AS is_quasi_constant, round(zeros / n_valued, 6) AS zero_rate, low, high, round(mean, 4) AS mean, round(std, 4) AS std, """ + ", ".join(f"round({n}, 6) AS {n}" for n in _Q) + ", is_integer FROM agg JOIN tops USING (feature)")
 def profile_columns(spark: SparkSession, folder: str) -> DataFrame:
     """PROF-01/03: the profile of every column."""
-    p = pf.profile_columns(_long(spark, folder))
+    p = pf.profile_columns(wide(spark, folder), COLS, cut_lineage)
     return p.select("feature", "n_rows", "n_missing", *r6("missing_rate"), "n_unique", "is_constant", "top_value", *r6("top_share"), "is_quasi_constant", *r6("zero_rate"), "low", "high", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), *r6(*_Q), "is_integer")
 
 
@@ -96,7 +97,7 @@ single AS (SELECT feature, avg(ap) AS ap, avg(auc) AS auc FROM m JOIN best USING
 
 
 def _single(spark: SparkSession, folder: str) -> DataFrame:
-    return pf.single_feature_scores(_long(spark, folder).withColumn("fold", F.col("row_index") % 5))
+    return pf.single_feature_scores(_long(spark, folder).withColumn("fold", F.col("row_index") % 5), 5)
 
 
 @R.add(_SINGLE + "SELECT feature, round(ap, 6) AS ap, round(auc, 6) AS auc FROM single")
@@ -114,7 +115,7 @@ SELECT feature, concat_ws(',', CASE WHEN isfinite(r) AND abs(r) >= 0.95 THEN 'hi
 def leakage_flags(spark: SparkSession, folder: str) -> DataFrame:
     """PROF-09, FW-09: columns that may give the label away, with the grounds."""
     long = _long(spark, folder)
-    return pf.leakage_flags(pf.profile_columns(long), pf.label_correlation(long), _single(spark, folder), pf.label_reconstruction(long))
+    return pf.leakage_flags(pf.profile_columns(wide(spark, folder), COLS, cut_lineage), pf.label_correlation(long), _single(spark, folder), pf.label_reconstruction(long))
 
 
 @R.add(WIDE + """

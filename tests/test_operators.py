@@ -1,6 +1,7 @@
 """Core operators on inline rows: ties, nulls, single classes, empty inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,11 +167,54 @@ def test_edge_headers_by_alias(spark):
 
 def test_profile_of_constant_null_and_negative_zero(spark):
     df = spark.createDataFrame([(1, 0.0, None, -0.0), (2, 0.0, None, 0.0)], "row_index bigint, a double, b double, c double")
-    p = {r.feature: r for r in profiling.profile_columns(profiling.long_form(df, ["a", "b", "c"], ["row_index"])).collect()}
+    p = {r.feature: r for r in profiling.profile_columns(df, ["a", "b", "c"], cut_lineage).collect()}
     assert p["a"].is_constant and p["a"].zero_rate == 1.0 and p["b"].n_unique == 0 and p["b"].is_quasi_constant
     assert {r.feature: r.duplicate_of for r in profiling.duplicate_columns(df, ["a", "b", "c"], "row_index").collect()} == {"a": None, "b": None, "c": "a"}
 
 
+def test_profile_in_pieces_is_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    pool = [0.0, -0.0, 1.5, -2.0, 1e300, -1e-300, float("nan"), None, 7.0]
+    rows = [(rng.gauss(0, 1000), rng.choice(pool), float(i % 50), None if i % 9 else 3.25) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, `c d` double, e double").repartition(5)
+    profile = lambda: {tuple(round(v, 9) if isinstance(v, float) and abs(v) < 1e9 else v for v in r) for r in profiling.profile_columns(df, df.columns, cut_lineage).collect()}
+    whole = profile()
+    monkeypatch.setattr(profiling, "WHOLE_ROWS", 10)
+    assert profile() == whole
+    a = sorted(r[0] for r in rows)
+    row = next(r for r in whole if r[0] == "a")
+    assert row[1] == 3000 and row[4] == 3000 and row[10] == round(a[0], 9) and row[11] == round(a[-1], 9) and row[16] == pytest.approx((a[1499] + a[1500]) / 2)
+    assert profiling.profile_columns(df.limit(0), ["a"], cut_lineage).count() == 0
+
+
+@pytest.mark.parametrize("gap", [0.0, 0.3])
+def test_single_feature_scores_are_those_of_each_fold(spark, gap):
+    rng = random.Random(int(gap * 10))
+    rows = [(i % 3, int(rng.random() < 0.2), None if rng.random() < gap else rng.choice([rng.gauss(5, 9), 4.0, -1.0])) for i in range(240)]
+    df = spark.createDataFrame([("x", *r) for r in rows] + [("none", i % 3, int(i % 4 == 0), None) for i in range(24)], "feature string, fold int, target int, value double")
+
+    def figures(points):
+        ap = roc = cp = cq = 0
+        for s in sorted({s for s, _ in points}, reverse=True):
+            p = sum(t for v, t in points if v == s)
+            q = sum(1 - t for v, t in points if v == s)
+            roc += q * (cp + p / 2)
+            cp, cq = cp + p, cq + q
+            ap += p * cp / (cp + cq)
+        return ap / cp, roc / (cp * cq)
+
+    want = []
+    for held in range(3):
+        known = sorted(v for f, _, v in rows if f != held and v is not None)
+        median = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
+        side = lambda keep, sign: figures([(sign * (median if v is None else v), t) for f, t, v in rows if (f == held) == keep])  # noqa: E731, B023
+        sign = 1 if side(False, 1)[0] >= side(False, -1)[0] else -1
+        want.append(side(True, sign))
+    got = {r.feature: r for r in profiling.single_feature_scores(df, 3).collect()}
+    assert (got["x"].ap, got["x"].auc) == pytest.approx((sum(w[0] for w in want) / 3, sum(w[1] for w in want) / 3))
+    assert got["none"].auc == pytest.approx(0.5)
+
+
 def test_holdout_never_splits_a_group(spark):
     rows = spark.createDataFrame([(i, i % 7, int(i % 21 == 0)) for i in range(210)], "row_index bigint, grp bigint, target int")
     h = splits.holdout(rows, "grp", "target", 0.3, 1)
