@@ -17,9 +17,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import average_precision_roc, binned_calibration, calibration_error, probability_quality, ranked_points
+from .ranking import average_precision_roc, ranked_points
 from .splits import shuffle_hash
 
+#: Boosting rounds.
+ROUNDS = 20
 #: Isolation forest: trees, and rows a tree is grown on (a bound whatever the input's size).
 TREES, TREE_ROWS = 100, 256
 
@@ -62,16 +64,6 @@ def cross_fitted(rows: DataFrame, method: str, fold: str = "fold", folds: int =
     return out
 
 
-def calibration_comparison(rows: DataFrame, edges: list[float]) -> DataFrame:
-    """(method, brier, ece) of raw, Platt and isotonic scores, cross-fitted."""
-    base = rows.select("row_index", "fold", "target", "score")
-    parts = [base.select(F.lit("raw").alias("method"), "target", "score")]
-    parts += [cross_fitted(base, m).select(F.lit(m).alias("method"), "target", F.col("calibrated").alias("score")) for m in ("platt", "isotonic")]
-    every = parts[0].union(parts[1]).union(parts[2])
-    ece = calibration_error(binned_calibration(every, ["method"], edges), ["method"]).select("method", "ece")
-    return probability_quality(every, ["method"]).select("method", "brier").join(ece, "method")
-
-
 def out_of_fold(rows: DataFrame, features: list[str], scorer: Callable[[DataFrame, DataFrame], DataFrame], fold: str = "fold", folds: int = 5) -> DataFrame:
     """(row_index, target, score): every row scored by a model of the other folds.
 
@@ -91,7 +83,7 @@ def out_of_fold(rows: DataFrame, features: list[str], scorer: Callable[[DataFram
     return out
 
 
-def boosted_trees(train: DataFrame, held: DataFrame, rounds: int = 5, depth: int = 3, seed: int = 42) -> DataFrame:
+def boosted_trees(train: DataFrame, held: DataFrame, rounds: int = ROUNDS, depth: int = 3, seed: int = 42) -> DataFrame:
     """Scorer: gradient boosted trees with balanced weights."""
     model = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
     return model.transform(held).withColumn("score", F.element_at(vector_to_array("probability"), 2))

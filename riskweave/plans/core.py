@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, features, graph, learned, ranking, records, similarity, storage, tables, training, validation
+from . import documents, ensembles, features, governance, graph, learned, ranking, records, similarity, storage, tables, training, validation
 
-_MODULES = (training, ranking.R, graph.R, features.R, tables.R, similarity.R, records.R, learned.R, storage.R, validation.R, documents.R)
+_MODULES = (training, ranking.R, graph.R, features.R, tables.R, similarity.R, records.R, learned.R, storage.R, validation.R, documents.R, ensembles.R, governance.R)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -229,14 +229,6 @@ def evidence_packets(spark: SparkSession, folder: str) -> DataFrame:
     return ev.packet(oof(spark, folder).where("model = 'm_a' AND rep = 0"), "row_index", ["model", "rep"])
 
 
-@R.add(OOF + """SELECT 'score_in_range' AS "check", count(*) FILTER (WHERE NOT score BETWEEN 0 AND 1) AS n_violations, CASE WHEN count(*) FILTER (WHERE NOT score BETWEEN 0 AND 1) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM oof
-UNION ALL SELECT 'known_model', 0, 'PASS' UNION ALL SELECT 'low_score', count(*) FILTER (WHERE score > 0.5), 'FAIL' FROM oof""")
-def release_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """SV-11, 13, 14, 16, EXT-56, 66: assertions over a table in one pass."""
-    c = F.col
-    return sc.checked(oof(spark, folder), {"score_in_range": c("score").between(0, 1), "known_model": c("model").isin("m_a", "m_b", "m_c"), "low_score": c("score") <= 0.5})
-
-
 @R.add("WITH o AS (SELECT o_orderkey, (o_orderkey * 7919 + 42 * 104729) % 10007 AS h FROM orders) SELECT o_orderkey FROM o ORDER BY h, o_orderkey LIMIT 400")
 def probe_rows(spark: SparkSession, folder: str) -> DataFrame:
     """EXT-58: 400 rows in hash order."""

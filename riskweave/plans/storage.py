@@ -31,16 +31,6 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return can.canonicalise(files.read_csv_tolerantly(spark, f"{out}/*.csv").drop(files.CORRUPT), dates=("date_txt",))
 
 
-@R.add(OOF + "SELECT rep, count(*) AS n, true AS is_intact FROM oof WHERE model = 'm_a' GROUP BY rep")
-def sealed_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-21, 27, LAB-06..09: predictions sealed, verified and joined to their labels."""
-    out = _folder(spark, "seal")
-    rows = oof(spark, folder).where("model = 'm_a'").select(F.concat_ws("-", "rep", "row_index").alias("key"), "rep", "score")
-    files.seal(rows, out, "key", {"model": "m_a"})
-    labels = rows.select("key")
-    return files.reveal(spark, out, labels).groupBy("rep").agg(F.count(F.lit(1)).alias("n")).withColumn("is_intact", F.lit(files.verify_seal(spark, out)))
-
-
 @R.add(OOF + "SELECT count(*) FILTER (WHERE score <= 0.9) AS n_kept, count(*) FILTER (WHERE score > 0.9) AS n_refused FROM oof")
 def append_checked(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-15, 16, 19, SV-03/04: appended rows, those against a check set aside."""
