@@ -19,6 +19,9 @@ from .splits import PIECES, numbered, shuffle_hash
 GRADES = {"HIGH": (0.15, 0.06, 0.90, 0.30), "MEDIUM": (0.30, 0.12, 0.75, 0.50)}
 SELECTION_MIN, IMPORTANCE_CV, MISSING_RANGE, PSI_MAX, PSI_WATCH = 0.40, 1.25, 0.15, 0.25, 0.10
 
+#: Labelled rows that synthetic ones are drawn from at most.
+MOST_POSITIVES = 20_000
+
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -69,6 +72,20 @@ def selection_frequencies(rows: DataFrame, features: list[str], subsamples: int
     return long.groupBy("feature").agg(F.avg((F.col("rank") <= top).cast("double")).alias("frequency"), F.avg("rank").alias("mean_rank"), mean.alias("mean_importance"), F.coalesce(divide(F.stddev_pop("importance"), mean), F.lit(0.0)).alias("importance_cv"))
 
 
+def selection_optimism(rows: DataFrame, features: list[str], scorer: Scorer, k: int, folds: int = 5) -> DataFrame:
+    """One row (ap_selected_once, ap_selected_in_fold, optimism): AP with the k best features chosen on all rows, and chosen anew on the training rows of each fold."""
+    best = lambda own: sorted(features, key=lambda f: (-own[f], f))[:k]
+    once = _ap(models.out_of_fold(rows, best(importances(rows, features)), scorer, folds=folds))
+    inside = None
+    for f in range(folds):
+        chosen = best(importances(rows.where(F.col("fold") != f), features))
+        both = rows.withColumn("fold", F.when(F.col("fold") == f, 0).otherwise(1))
+        part = models.out_of_fold(both, chosen, scorer, folds=1)
+        inside = part if inside is None else inside.unionByName(part)
+    own = _ap(inside)
+    return rows.sparkSession.createDataFrame([(once, own, once - own)], "ap_selected_once double, ap_selected_in_fold double, optimism double")
+
+
 def top_features(frequencies: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     """The k most frequent features, at least `least` frequent, ties by name."""
     return frequencies.where(F.col("frequency") >= least).orderBy(F.col("frequency").desc(), "feature").limit(k)
@@ -126,24 +143,26 @@ def family_dropout(rows: DataFrame, families: dict[str, list[str]], scorer: Scor
     return rows.sparkSession.createDataFrame([(n, ap, (base - ap) / base) for n, ap in got.items()], "family string, ap double, relative_drop double")
 
 
-def robustness_grade(drop: float | None, spread: float | None, rank: float | None, dropout: float | None = None) -> str:
-    """HIGH, MEDIUM or LOW: the worst of the criteria; a criterion without a measurement isn't met, but for the dropout."""
-    for name, (a, b, c, d) in GRADES.items():
-        if drop is not None and drop <= a and spread is not None and spread <= b and rank is not None and rank >= c and (dropout is None or dropout <= d):
-            return name
-    return "LOW"
+def robustness_grades(measured: DataFrame) -> DataFrame:
+    """measured (relative_drop, spread, steady) with grade: HIGH, MEDIUM or LOW, the worst of the criteria; a missing one isn't met."""
+    c, grade = F.col, F.lit("LOW")
+    for name, (drop, spread, steady, _) in reversed(GRADES.items()):
+        grade = F.when((c("relative_drop") <= drop) & (c("spread") <= spread) & (c("steady") >= steady), name).otherwise(grade)
+    return measured.withColumn("grade", grade)
 
 
-def smote(rows: DataFrame, features: list[str], ratio: float, k: int = 5, seed: int = 0, key: str = "row_index", target: str = "target") -> DataFrame:
+def smote(rows: DataFrame, features: list[str], ratio: float, k: int = 5, seed: int = 0, key: str = "row_index", target: str = "target", most_positives: int = MOST_POSITIVES) -> DataFrame:
     """(key, neighbour, features...) of synthetic positives between positives and their near positives, until they are `ratio` of the negatives.
 
     Distances are taken on standardised columns with gaps at the mean; a coordinate that one parent
     lacks stays missing. Parents, neighbours and gaps come from a hash. Fewer than two positives give none.
+    Parents are taken from most_positives labelled rows at most, the first in hash order: the search among
+    them is bounded whatever the table's size.
     """
-    pos = rows.where(F.col(target) == 1)
+    pos = rows.where(F.col(target) == 1).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most_positives)
     sums = pos.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in features), *(F.stddev_pop(c).alias(f"s_{c}") for c in features)).first()
-    negatives, n_pos = rows.where(F.col(target) == 0).count(), sums["n"]
-    n_new = max(0, round(ratio * negatives) - n_pos)
+    every = rows.agg(F.count_if(F.col(target) == 0).alias("q"), F.count_if(F.col(target) == 1).alias("p")).first()
+    n_pos, n_new = sums["n"], max(0, round(ratio * every["q"]) - every["p"])
     z = [F.coalesce((F.col(c) - F.lit(sums[f"m_{c}"])) / F.lit(sums[f"s_{c}"] if sums[f"s_{c}"] and sums[f"s_{c}"] > 1e-12 else 1.0), F.lit(0.0)) for c in features]
     points = pos.select(F.col(key).cast("bigint").alias("row"), F.array(*z).alias("v"))
     near = topk_in_blocks(points, points, min(k, max(1, n_pos - 1)), euclidean).select("query", "row", "rank")
@@ -156,6 +175,12 @@ def smote(rows: DataFrame, features: list[str], ratio: float, k: int = 5, seed:
     return b.select("id", key, F.col("row").alias("neighbour"), *((F.col(f"a_{c}") + F.col("gap") * (F.col(f"b_{c}") - F.col(f"a_{c}"))).alias(c) for c in features))
 
 
+def empirical_p(drawn: DataFrame, observed: float, figure: str = "modal_share") -> DataFrame:
+    """One row (n_draws, n_as_high, p): one-sided, (1 + draws at least as high) / (1 + draws)."""
+    high = F.count_if(F.col(figure) >= F.lit(observed))
+    return drawn.agg(F.count(F.lit(1)).alias("n_draws"), high.alias("n_as_high"), ((high + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
 def concentration_control(values: DataFrame, n_rows: int, draws: int, key: str = "row_index", value: str = "value") -> DataFrame:
     """(draw, n_distinct, modal_share) of hash-chosen draws of about n_rows rows: how concentrated chance alone is."""
     total = max(1, values.count())

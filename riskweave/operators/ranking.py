@@ -202,21 +202,21 @@ def average_rank_percentile(rows: DataFrame, keys: list[str], score: str = "scor
     return rows.join(shares, [*keys, score])
 
 
-def rank_stability(rows: DataFrame, budgets: tuple[int, ...] = BUDGETS, rep: str = "rep", row: str = "row_index") -> DataFrame:
-    """(rep_a, rep_b, spearman, jaccard_<budget>...): pairs of repeats, by ordinal ranks and their top sets."""
-    ranked = ranked_rows(rows, [rep]).select(F.col(rep).alias("rep"), F.col(row).alias("row"), "rn")
-    other = ranked.select(F.col("rep").alias("rep_b"), "row", F.col("rn").alias("rn_b"))
-    both = ranked.withColumnsRenamed({"rep": "rep_a", "rn": "rn_a"}).join(other, "row").where("rep_a < rep_b")
+def rank_stability(rows: DataFrame, keys: list[str], budgets: tuple[int, ...] = BUDGETS, rep: str = "rep", row: str = "row_index") -> DataFrame:
+    """(keys, rep_a, rep_b, spearman, jaccard_<budget>...): pairs of repeats, by ordinal ranks and their top sets."""
+    ranked = ranked_rows(rows, [*keys, rep]).select(*keys, F.col(rep).alias("rep"), F.col(row).alias("row"), "rn")
+    other = ranked.select(*keys, F.col("rep").alias("rep_b"), "row", F.col("rn").alias("rn_b"))
+    both = ranked.withColumnsRenamed({"rep": "rep_a", "rn": "rn_a"}).join(other, [*keys, "row"]).where("rep_a < rep_b")
     a, b = F.col("rn_a"), F.col("rn_b")
     jaccard = [divide(F.count_if((a <= k) & (b <= k)), F.count_if((a <= k) | (b <= k))).alias(f"jaccard_{k}") for k in budgets]
-    return both.groupBy("rep_a", "rep_b").agg(pearson(a.cast("double"), b.cast("double")).alias("spearman"), *jaccard)
+    return both.groupBy(*keys, "rep_a", "rep_b").agg(pearson(a.cast("double"), b.cast("double")).alias("spearman"), *jaccard)
 
 
-def slice_rates(ranked: DataFrame, group: str, budget: int, least_rows: int = 50, least_positives: int = 3, target: str = "target") -> DataFrame:
-    """(group, n_rows, n_pos, selection_rate, recall): small groups are suppressed, recall needs least_positives."""
+def slice_rates(ranked: DataFrame, keys: list[str], group: str, budget: int, least_rows: int = 50, least_positives: int = 3, target: str = "target") -> DataFrame:
+    """(keys, group, n_rows, n_pos, selection_rate, recall): small groups are suppressed, recall needs least_positives."""
     top = F.col("rn") <= budget
-    cells = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(target).cast("bigint")).alias("n_pos"), F.count_if(top).alias("k"), F.count_if(top & (F.col(target) == 1)).alias("tp"))
+    cells = ranked.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(target).cast("bigint")).alias("n_pos"), F.count_if(top).alias("k"), F.count_if(top & (F.col(target) == 1)).alias("tp"))
     shown = F.col("n_rows") >= least_rows
     return cells.select(
-        group, "n_rows", "n_pos", F.when(shown, F.col("k") / F.col("n_rows")).alias("selection_rate"), F.when(shown & (F.col("n_pos") >= least_positives), divide(F.col("tp"), F.col("n_pos"))).alias("recall"), (~shown).alias("is_suppressed")
+        *keys, group, "n_rows", "n_pos", F.when(shown, F.col("k") / F.col("n_rows")).alias("selection_rate"), F.when(shown & (F.col("n_pos") >= least_positives), divide(F.col("tp"), F.col("n_pos"))).alias("recall"), (~shown).alias("is_suppressed")
     )

@@ -219,6 +219,23 @@ def sign_test(up: int, down: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2.0**n)
 
 
+def sign_test_column(up: Column, down: Column) -> Column:
+    """The same as a column: the tail of the binomial distribution by logarithms of factorials."""
+    n, k = up + down, F.least(up, down)
+    log_fact = lambda x: F.aggregate(F.sequence(F.lit(0).cast("bigint"), x.cast("bigint")), F.lit(0.0), lambda a, i: a + F.log(F.greatest(i, F.lit(1).cast("bigint")).cast("double")))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), F.lit(0.0), lambda a, i: a + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def t_critical(df: int, alpha: float = 0.05) -> float:
+    """The t value beyond which a two-sided test rejects, by bisection."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if incomplete_beta(df / 2, 0.5, df / (df + mid * mid)) > alpha else (low, mid)
+    return high
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)

@@ -30,8 +30,8 @@ K = ["model", "rep"]
 
 @R.add()
 def table_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-01, 03, 24, EXT-70: size and sha256 of a table's files."""
-    return files.file_digests(spark, f"{folder}/nation.parquet")
+    """SRC-01, 03, 24, EXT-70: size and sha256 of every table's files."""
+    return files.file_digests(spark, f"{folder}/*.parquet")
 
 
 @R.add(EDGES + "SELECT account_from, count(*) AS n, round(sum(amount), 4) AS total FROM raw_edges GROUP BY account_from")
@@ -67,13 +67,13 @@ def row_groups_and_labels(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "customer").select("c_custkey", sc.binarised(F.col("c_acctbal")).alias("has_balance"), sc.edge_group(age).alias("age_group"), label.alias("label"), sc.label_row(label).alias("row_again"))
 
 
-@R.add(OOF + "SELECT row_index, 'A=' || (row_index % 9) || '.00 (' || CASE WHEN row_index % 2 = 0 THEN 'raises' ELSE 'lowers' END || '); B=' || (row_index % 5) || '.50 (raises)' AS reasons FROM oof WHERE model = 'm_a' AND rep = 0")
+@R.add(OOF + "SELECT model, rep, row_index, 'A=' || (row_index % 9) || '.00 (' || CASE WHEN row_index % 2 = 0 THEN 'raises' ELSE 'lowers' END || '); B=' || (row_index % 5) || '.50 (raises)' AS reasons FROM oof")
 def analyst_export(spark: SparkSession, folder: str) -> DataFrame:
     """PRJ-10, 13, 14: scores without their label, with their reasons as text."""
     i = F.col("row_index")
     reasons = F.array(F.struct(F.lit("A").alias("feature"), (i % 9).cast("double").alias("value"), (i % 2 == 0).alias("raises")), F.struct(F.lit("B").alias("feature"), (i % 5 + 0.5).cast("double").alias("value"), F.lit(True).alias("raises")))
-    rows = oof(spark, folder).where("model = 'm_a' AND rep = 0").drop("target")
-    return rows.select("row_index", F.array_join(F.transform(F.slice(reasons, 1, 2), sc.reason_text), "; ").alias("reasons"))
+    rows = oof(spark, folder).drop("target")
+    return rows.select(*K, "row_index", F.array_join(F.transform(F.slice(reasons, 1, 2), sc.reason_text), "; ").alias("reasons"))
 
 
 @R.add("SELECT feature, 'share of ' || lower(variable_name) || ' that is missing' AS gloss FROM feature_registry")
@@ -121,47 +121,48 @@ def metric_battery(spark: SparkSession, folder: str) -> DataFrame:
     return sc.battery(oof(spark, folder), K, 0.6).select(*K, "metric", *r6("value"))
 
 
-@R.add(POINTS + """, rr AS (SELECT rep, sum(target) FILTER (WHERE rn <= 100) / max(n_pos) AS r FROM ranked WHERE model = 'm_a' GROUP BY rep),
-mean AS (SELECT row_index, max(target) AS target, round(avg(score), 9) AS s, round(avg(-rn), 6) AS k FROM ranked WHERE model = 'm_a' GROUP BY row_index),
-a AS (SELECT target, row_number() OVER (ORDER BY s DESC, row_index) AS ra, row_number() OVER (ORDER BY k DESC, row_index) AS rb FROM mean)
-SELECT round((SELECT avg(r) FROM rr), 6) AS per_repeat, round(count(*) FILTER (WHERE ra <= 100 AND target = 1) / sum(target), 6) AS score_average, round(count(*) FILTER (WHERE rb <= 100 AND target = 1) / sum(target), 6) AS rank_average FROM a""")
+@R.add(POINTS + """, rr AS (SELECT model, avg(r) AS r FROM (SELECT model, rep, sum(target) FILTER (WHERE rn <= 100) / max(n_pos) AS r FROM ranked GROUP BY ALL) GROUP BY model),
+mean AS (SELECT model, row_index, max(target) AS target, round(avg(score), 9) AS s, round(avg(-rn), 6) AS k FROM ranked GROUP BY ALL),
+a AS (SELECT model, target, row_number() OVER (PARTITION BY model ORDER BY s DESC, row_index) AS ra, row_number() OVER (PARTITION BY model ORDER BY k DESC, row_index) AS rb FROM mean)
+SELECT model, round(any_value(r), 6) AS per_repeat, round(count(*) FILTER (WHERE ra <= 100 AND target = 1) / sum(target), 6) AS score_average, round(count(*) FILTER (WHERE rb <= 100 AND target = 1) / sum(target), 6) AS rank_average FROM a JOIN rr USING (model) GROUP BY model""")
 def recall_conventions(spark: SparkSession, folder: str) -> DataFrame:
-    """MET-38/39, REL-10, EXT-13, 17, 26, 53: recall at 100 by three conventions."""
-    ranked = rk.ranked_rows(oof(spark, folder).where("model = 'm_a'"), ["rep"])
-    per = rk.at_budgets(ranked, ["rep"], (100,)).agg(F.avg("recall").alias("per_repeat"))
-    mean = ranked.groupBy("row_index").agg(F.max("target").alias("target"), F.round(F.avg("score"), 9).alias("s"), F.round(F.avg(-F.col("rn")), 6).alias("k"))
-    of = lambda c, name: rk.at_budgets(rk.ranked_rows(mean, [], c), [], (100,)).select(F.col("recall").alias(name))
-    return per.crossJoin(of("s", "score_average")).crossJoin(of("k", "rank_average")).select(*r6("per_repeat", "score_average", "rank_average"))  # one row each
+    """MET-38/39, REL-10, EXT-13, 17, 26, 53: recall at 100 of every model by three conventions."""
+    ranked = rk.ranked_rows(oof(spark, folder), K)
+    per = rk.at_budgets(ranked, K, (100,)).groupBy("model").agg(F.avg("recall").alias("per_repeat"))
+    # ranks are scaled into 0..1, so that their order spreads over the pieces of a ranking
+    mean = ranked.groupBy("model", "row_index").agg(F.max("target").alias("target"), F.round(F.avg("score"), 9).alias("s"), F.round(F.avg(1 - (F.col("rn") - 1) / F.col("n_rows")), 12).alias("k"))
+    of = lambda c, name: rk.at_budgets(rk.ranked_rows(mean, ["model"], c), ["model"], (100,)).select("model", F.col("recall").alias(name))
+    return per.join(of("s", "score_average"), "model").join(of("k", "rank_average"), "model").select("model", *r6("per_repeat", "score_average", "rank_average"))
 
 
-@R.add(POINTS + "SELECT DISTINCT model, CASE WHEN score >= 0.9 THEN 'at or above CRITICAL_REVIEW' WHEN score >= 0.7 THEN 'between URGENT_REVIEW and CRITICAL_REVIEW' WHEN score >= 0.4 THEN 'between STANDARD_REVIEW and URGENT_REVIEW' ELSE 'below STANDARD_REVIEW' END AS band FROM ranked WHERE rep = 0 AND rn IN (25, 100, 1000)")
+@R.add(POINTS + "SELECT DISTINCT model, rep, CASE WHEN score >= 0.9 THEN 'at or above CRITICAL_REVIEW' WHEN score >= 0.7 THEN 'between URGENT_REVIEW and CRITICAL_REVIEW' WHEN score >= 0.4 THEN 'between STANDARD_REVIEW and URGENT_REVIEW' ELSE 'below STANDARD_REVIEW' END AS band FROM ranked WHERE rn IN (25, 100, 1000)")
 def threshold_bands(spark: SparkSession, folder: str) -> DataFrame:
     """CAP-09: the bands that three budgets' thresholds lie in."""
-    ranked = rk.ranked_rows(oof(spark, folder).where("rep = 0"), ["model"]).where(F.col("rn").isin(25, 100, 1000))
-    return ranked.select("model", sc.band_of(F.col("score"), F.lit(0.9), F.lit(0.7), F.lit(0.4)).alias("band")).distinct()
+    ranked = rk.ranked_rows(oof(spark, folder), K).where(F.col("rn").isin(25, 100, 1000))
+    return ranked.select(*K, sc.band_of(F.col("score"), F.lit(0.9), F.lit(0.7), F.lit(0.4)).alias("band")).distinct()
 
 
-@R.add(OOF + "SELECT CASE (row_index % 3 = 0)::INT + ((row_index % 10) / 10.0 < 0.5)::INT + (row_index % 7 = 0)::INT WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, count(*) AS n FROM oof WHERE model = 'm_a' AND rep = 0 GROUP BY 1")
+@R.add(OOF + "SELECT CASE (row_index % 3 = 0)::INT + ((row_index % 10) / 10.0 < 0.5)::INT + (row_index % 7 = 0)::INT WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, count(*) AS n FROM oof GROUP BY 1")
 def escalation_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """POL-03, 05, 06: how sure an escalation is."""
     i = F.col("row_index")
     c = sc.escalation_confidence(F.when(i % 3 == 0, "UNCERTAIN_SET").otherwise("LOW_RISK_SET"), (i % 10) / 10.0, i % 7 == 0)
-    return oof(spark, folder).where("model = 'm_a' AND rep = 0").groupBy(c.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    return oof(spark, folder).groupBy(c.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(OOF + """, s AS (SELECT model, score, row_number() OVER (PARTITION BY model ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM oof WHERE rep = 0)
-SELECT model, place, score FROM s, range(101) t(place) WHERE i = floor((n - 1) * place / 100)""")
+@R.add(OOF + """, s AS (SELECT model, rep, score, row_number() OVER (PARTITION BY model, rep ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY model, rep) AS n FROM oof)
+SELECT model, rep, place, score FROM s, range(101) t(place) WHERE i = floor((n - 1) * place / 100)""")
 def reference_grid(spark: SparkSession, folder: str) -> DataFrame:
     """POL-08, EXT-16, UI-03: the scores thinned to 101 points."""
-    return sc.thinned_grid(rk.ranked_points(oof(spark, folder).where("rep = 0"), ["model"]), ["model"], 101)
+    return sc.thinned_grid(rk.ranked_points(oof(spark, folder), K), K, 101)
 
 
-@R.add(OOF + """, s AS (SELECT row_index, cume_dist() OVER (ORDER BY score) AS p FROM oof WHERE model = 'm_b' AND rep = 0)
-SELECT CASE WHEN p >= 0.8 THEN 'STRONG' WHEN p >= 0.5 THEN 'SOME' ELSE 'LITTLE' END AS band, count(*) AS n FROM s GROUP BY 1""")
+@R.add(OOF + """, s AS (SELECT model, rep, cume_dist() OVER (PARTITION BY model, rep ORDER BY score) AS p FROM oof)
+SELECT model, rep, CASE WHEN p >= 0.8 THEN 'STRONG' WHEN p >= 0.5 THEN 'SOME' ELSE 'LITTLE' END AS band, count(*) AS n FROM s GROUP BY ALL""")
 def percentile_bands(spark: SparkSession, folder: str) -> DataFrame:
     """EXT-40, REL-19: bands by the share of scores at or below."""
-    rows = oof(spark, folder).where("model = 'm_b' AND rep = 0").select("row_index", "score")
-    return sc.percentile_band(rows, [], "score", ((0.8, "STRONG"), (0.5, "SOME")), "LITTLE").groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    rows = oof(spark, folder).select(*K, "row_index", "score")
+    return sc.percentile_band(rows, K, "score", ((0.8, "STRONG"), (0.5, "SOME")), "LITTLE").groupBy(*K, "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add()
@@ -175,12 +176,18 @@ def similarity_null(spark: SparkSession, folder: str) -> DataFrame:
     return linear_quantiles(value_counts(pairs.select(F.lit(1).alias("k"), s.alias("value")), ["k"]), ["k"], {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p995": 0.995}).drop("k")
 
 
-@R.add("""SELECT * FROM (VALUES ('a', 0.45::DOUBLE), ('b', 0.35::DOUBLE), ('c', 0.15::DOUBLE), ('d', 0.05::DOUBLE)) v(feature, weight)""")
+@R.add(WIDE + """, c AS (SELECT feature, round(CASE WHEN isfinite(coalesce(corr(value, target), 'nan'::DOUBLE)) THEN abs(corr(value, target)) ELSE 0 END, 9) AS r FROM long WHERE value IS NOT NULL GROUP BY feature),
+head AS (SELECT feature, r AS share FROM c WHERE r >= 0.5), gains AS (SELECT feature, round(r, 9) + 0.001::DOUBLE AS gain FROM c),
+w AS (SELECT feature, share / sum(share) OVER () * 0.8::DOUBLE AS w FROM head UNION ALL SELECT feature, gain / sum(gain) OVER () * 0.2::DOUBLE FROM gains WHERE feature NOT IN (SELECT feature FROM head))
+SELECT feature, round(w / sum(w) OVER (), 6) AS weight FROM w""")
 def fingerprint_weights(spark: SparkSession, folder: str) -> DataFrame:
-    """SIM-07, 14, 15: weights of head features by share, of the others by gain."""
-    head = spark.createDataFrame([("a", 0.9), ("b", 0.7)], "feature string, share double")
-    gains = spark.createDataFrame([("a", 5.0), ("c", 3.0), ("d", 1.0)], "feature string, gain double")
-    return sc.weights_by_share(head, gains, 0.2).select("feature", F.round("weight", 9).alias("weight"))
+    """SIM-07, 14: weights of the columns that say most about the label by their share, of the others by gain."""
+    from ..operators import profiling as pf
+    from .fixtures import WIDE_COLUMNS
+
+    told = pf.label_correlation(pf.long_form(wide(spark, folder), list(WIDE_COLUMNS), ["row_index", "target"])).select("feature", F.round(F.abs("r"), 9).alias("r"))
+    head = told.where("r >= 0.5").select("feature", F.col("r").alias("share"))
+    return sc.weights_by_share(head, told.select("feature", (F.col("r") + 0.001).alias("gain")), 0.2).select("feature", *r6("weight"))
 
 
 @R.add(POINTS + "SELECT DISTINCT model FROM ap GROUP BY model HAVING avg(ap) >= 0.4")
@@ -190,9 +197,22 @@ def competent_models(spark: SparkSession, folder: str) -> DataFrame:
     return m.groupBy("model").agg(F.avg("ap").alias("ap")).where("ap >= 0.4").select("model")
 
 
+@R.add(POINTS + """, fp AS (SELECT model, rep, fold, score, count(*) AS n, sum(target) AS p FROM oof GROUP BY ALL), fc AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM fp WINDOW w AS (PARTITION BY model, rep, fold ORDER BY score DESC)),
+fa AS (SELECT model, rep, fold, sum(p::DOUBLE * cp / cn) / nullif(sum(p), 0) AS ap FROM fc GROUP BY ALL),
+d AS (SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (WHERE b.ap > a.ap) AS n_up, count(*) FILTER (WHERE b.ap < a.ap) AS n_down FROM fa a JOIN fa b ON a.rep = b.rep AND a.fold = b.fold AND a.model < b.model GROUP BY ALL)
+SELECT model_a, model_b, n_up, n_down, round(least(1, 2 * (SELECT sum(factorial(CAST(n_up + n_down AS INTEGER)) / (factorial(i) * factorial(CAST(n_up + n_down - i AS INTEGER)))) FROM (SELECT CAST(unnest(range(0, least(n_up, n_down) + 1)) AS INTEGER) AS i)) / power(2::DOUBLE, n_up + n_down)), 6) AS p FROM d""")
+def sign_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """ST-01: exact sign test of the fold-wise differences of every pair of models."""
+    keys = ["rep", "fold"]
+    ap = rk.average_precision_roc(rk.ranked_points(oof(spark, folder), ["model", *keys]), ["model", *keys]).select("model", *keys, "ap")
+    pairs = ap.toDF("model_a", *keys, "a").join(ap.toDF("model_b", *keys, "b"), keys).where("model_a < model_b")
+    sums = pairs.groupBy("model_a", "model_b").agg(F.count_if(F.col("b") > F.col("a")).alias("n_up"), F.count_if(F.col("b") < F.col("a")).alias("n_down"))
+    return sums.withColumn("p", F.round(rs.sign_test_column(F.col("n_up"), F.col("n_down")), 6))
+
+
 @R.add()
 def paired_tests(spark: SparkSession, folder: str) -> DataFrame:
-    """ST-01, 02, 04, EXT-44, 48, 74: p values of a fold-wise difference (a row a fold)."""
+    """ST-02, 04: p values of a fold-wise difference (a row a fold)."""
     keys = ["rep", "fold"]
     ap = rk.average_precision_roc(rk.ranked_points(oof(spark, folder), ["model", *keys]), ["model", *keys])
     d = [r["m_b"] - r["m_a"] for r in ap.groupBy(*keys).pivot("model", ["m_a", "m_b"]).agg(F.first("ap")).collect() if r["m_a"] is not None and r["m_b"] is not None]
@@ -203,10 +223,16 @@ def paired_tests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([("sign", rs.sign_test(up, down)), ("wilcoxon", rs.wilcoxon(d)), ("t", rs.t_test(mean, sd, n))], "test string, p double")
 
 
-@R.add("SELECT 'HIGH' AS grade UNION ALL SELECT 'MEDIUM' UNION ALL SELECT 'LOW'")
+@R.add(POINTS + """, d AS (SELECT model, (max(ap) - min(ap)) / max(ap) AS drop_, stddev_pop(ap) / avg(ap) AS spread FROM ap GROUP BY model),
+pr AS (SELECT a.model, a.rep AS ra, b.rep AS rb, corr(a.rn::DOUBLE, b.rn::DOUBLE) AS c FROM ranked a JOIN ranked b ON a.model = b.model AND a.row_index = b.row_index AND a.rep < b.rep GROUP BY ALL), st AS (SELECT model, min(c) AS steady FROM pr GROUP BY model)
+SELECT model, round(drop_, 6) AS relative_drop, round(spread, 6) AS spread, round(steady, 6) AS steady, CASE WHEN drop_ <= 0.15 AND spread <= 0.06 AND steady >= 0.90 THEN 'HIGH' WHEN drop_ <= 0.30 AND spread <= 0.12 AND steady >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS grade FROM d JOIN st USING (model)""")
 def robustness_grades(spark: SparkSession, folder: str) -> DataFrame:
-    """NST-11, EXT-52: grades as the worst of their criteria."""
-    return spark.createDataFrame([(ne.robustness_grade(0.1, 0.05, 0.95, 0.2),), (ne.robustness_grade(0.2, 0.05, 0.95, 0.2),), (ne.robustness_grade(0.2, 0.2, 0.95),)], "grade string")
+    """NST-11, EXT-52: every model's grade as the worst of its measured drop, spread and rank stability over the repeats."""
+    rows = oof(spark, folder)
+    ap = rk.average_precision_roc(rk.ranked_points(rows, K), K)
+    measured = ap.groupBy("model").agg(((F.max("ap") - F.min("ap")) / F.max("ap")).alias("relative_drop"), (F.stddev_pop("ap") / F.avg("ap")).alias("spread"))
+    steady = rk.rank_stability(rows, ["model"]).groupBy("model").agg(F.min("spearman").alias("steady"))
+    return ne.robustness_grades(measured.join(steady, "model")).select("model", *r6("relative_drop", "spread", "steady"), "grade")
 
 
 @R.add()
@@ -223,10 +249,10 @@ def scored_batch(spark: SparkSession, folder: str) -> DataFrame:
     return cut.crossJoin(F.broadcast(tiers)).select("row_index", "risk", tier.alias("tier"), F.when(F.col("risk").isNull(), "unreadable").alias("error"))  # one row
 
 
-@R.add(OOF + "SELECT row_index, json_object('model', model, 'rep', rep) AS packet FROM oof WHERE model = 'm_a' AND rep = 0")
+@R.add(OOF + "SELECT row_index, json_object('model', model, 'rep', rep) AS packet FROM oof")
 def evidence_packets(spark: SparkSession, folder: str) -> DataFrame:
     """EX-14: a case as one JSON text."""
-    return ev.packet(oof(spark, folder).where("model = 'm_a' AND rep = 0"), "row_index", ["model", "rep"])
+    return ev.packet(oof(spark, folder), "row_index", ["model", "rep"])
 
 
 @R.add("WITH o AS (SELECT o_orderkey, (o_orderkey * 7919 + 42 * 104729) % 10007 AS h FROM orders) SELECT o_orderkey FROM o ORDER BY h, o_orderkey LIMIT 400")

@@ -133,7 +133,10 @@ def graph_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return g.structures(g.account_metrics(e), g.dwell_medians(e), g.rapid_chains(e, cut_lineage, 3))
 
 
-@R.add()
+@R.add(_DWELL.replace("WITH raw_edges", "WITH RECURSIVE raw_edges", 1) + _chain_sql(3) + """, links AS (SELECT DISTINCT account_from AS a, account_to AS b FROM edges),
+walk(seed, node, hop) AS (SELECT a, b, 1 FROM links UNION SELECT seed, b, hop + 1 FROM walk JOIN links ON a = node WHERE node <> seed AND hop < 6), looped AS (SELECT DISTINCT seed AS account FROM walk WHERE node = seed)
+SELECT account, concat_ws(',', CASE WHEN senders >= 10 THEN 'FAN_IN_COLLECTION' END, CASE WHEN recipients >= 10 THEN 'FAN_OUT_DISPERSAL' END, CASE WHEN passthrough >= 0.9 AND median_dwell_hours <= 48 THEN 'RAPID_PASSTHROUGH' END,
+       CASE WHEN depth >= 3 THEN 'LAYERING_CHAIN' END, CASE WHEN account IN (SELECT account FROM looped) THEN 'CIRCULAR_FLOW' END) AS patterns FROM metrics LEFT JOIN dwell USING (account) LEFT JOIN chains USING (account)""")
 def graph_patterns_all(spark: SparkSession, folder: str) -> DataFrame:
     """GR-11: the five structures of every account, cycles of up to six edges among them."""
     e = _edges(spark, folder)

@@ -98,7 +98,7 @@ def load_separability(spark: SparkSession, folder: str) -> DataFrame:
 def isolation_anomaly(spark: SparkSession, folder: str) -> DataFrame:
     """ANO-01: isolation-forest scores of every row."""
     rows = wide(spark, folder)
-    return ml.isolation_forest(rows, _FEATURES, rows.where("target = 0"), trees=50)
+    return ml.isolation_forest(rows, _FEATURES, rows.where("target = 0"), trees=300)
 
 
 @R.add("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

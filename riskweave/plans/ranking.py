@@ -218,23 +218,23 @@ def fold_level_ap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add(POINTS + """
-, pairs AS (SELECT a.rep AS rep_a, b.rep AS rep_b, a.rn AS ra, b.rn AS rb FROM ranked a JOIN ranked b ON a.row_index = b.row_index AND a.rep < b.rep AND a.model = 'm_a' AND b.model = 'm_a')
-SELECT rep_a, rep_b, round(corr(ra::DOUBLE, rb::DOUBLE), 6) AS spearman, """ + ", ".join(f"round(count(*) FILTER (WHERE ra <= {k} AND rb <= {k}) / count(*) FILTER (WHERE ra <= {k} OR rb <= {k}), 6) AS jaccard_{k}" for k in rk.BUDGETS) + " FROM pairs GROUP BY ALL")
+, pairs AS (SELECT a.model, a.rep AS rep_a, b.rep AS rep_b, a.rn AS ra, b.rn AS rb FROM ranked a JOIN ranked b ON a.model = b.model AND a.row_index = b.row_index AND a.rep < b.rep)
+SELECT model, rep_a, rep_b, round(corr(ra::DOUBLE, rb::DOUBLE), 6) AS spearman, """ + ", ".join(f"round(count(*) FILTER (WHERE ra <= {k} AND rb <= {k}) / count(*) FILTER (WHERE ra <= {k} OR rb <= {k}), 6) AS jaccard_{k}" for k in rk.BUDGETS) + " FROM pairs GROUP BY ALL")
 def rank_stability(spark: SparkSession, folder: str) -> DataFrame:
     """MET-26/40: rank correlation and overlap of the top sets between repeats."""
-    out = rk.rank_stability(oof(spark, folder).where("model = 'm_a'"))
-    return out.select("rep_a", "rep_b", *r6("spearman", *(f"jaccard_{k}" for k in rk.BUDGETS)))
+    out = rk.rank_stability(oof(spark, folder), ["model"])
+    return out.select("model", "rep_a", "rep_b", *r6("spearman", *(f"jaccard_{k}" for k in rk.BUDGETS)))
 
 
-@R.add(OOF + """
-, r AS (SELECT o_orderpriority AS grp, target, row_number() OVER (ORDER BY score DESC, row_index) AS rn FROM oof JOIN orders ON o_orderkey = row_index WHERE model = 'm_a' AND rep = 0)
-SELECT grp, count(*) AS n_rows, CAST(sum(target) AS BIGINT) AS n_pos, CASE WHEN count(*) >= 50 THEN round(count(*) FILTER (WHERE rn <= 100) / count(*), 6) END AS selection_rate,
-       CASE WHEN count(*) >= 50 AND sum(target) >= 3 THEN round(count(*) FILTER (WHERE rn <= 100 AND target = 1) / sum(target), 6) END AS recall, count(*) < 50 AS is_suppressed FROM r GROUP BY grp""")
+@R.add(POINTS + """
+, r AS (SELECT model, rep, o_orderpriority AS grp, target, rn FROM ranked JOIN orders ON o_orderkey = row_index)
+SELECT model, rep, grp, count(*) AS n_rows, CAST(sum(target) AS BIGINT) AS n_pos, CASE WHEN count(*) >= 50 THEN round(count(*) FILTER (WHERE rn <= 100) / count(*), 6) END AS selection_rate,
+       CASE WHEN count(*) >= 50 AND sum(target) >= 3 THEN round(count(*) FILTER (WHERE rn <= 100 AND target = 1) / sum(target), 6) END AS recall, count(*) < 50 AS is_suppressed FROM r GROUP BY ALL""")
 def slice_fairness(spark: SparkSession, folder: str) -> DataFrame:
-    """MET-32: selection rate and recall by group."""
+    """MET-32: selection rate and recall by group, of every model and repeat."""
     groups = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_index"), F.col("o_orderpriority").alias("grp"))
-    ranked = rk.ranked_rows(oof(spark, folder).where("model = 'm_a' AND rep = 0"), ["model"]).join(groups, "row_index")
-    return rk.slice_rates(ranked, "grp", 100).select("grp", "n_rows", "n_pos", *r6("selection_rate", "recall"), "is_suppressed")
+    ranked = rk.ranked_rows(oof(spark, folder), K).join(groups, "row_index")
+    return rk.slice_rates(ranked, K, "grp", 100).select(*K, "grp", "n_rows", "n_pos", *r6("selection_rate", "recall"), "is_suppressed")
 
 
 _CURVE_SQL = POINTS + """
@@ -380,16 +380,16 @@ def best_single(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add(OOF + """
 , g AS (SELECT a, b, 4 - a - b AS c, row_number() OVER (ORDER BY a, b) - 1 AS grid FROM range(5) x(a), range(5) y(b) WHERE a + b <= 4),
-mix AS (SELECT grid, row_index, max(target) AS target, round(sum(score * (CASE model WHEN 'm_a' THEN a WHEN 'm_b' THEN b ELSE c END) / 4.0::DOUBLE), 9) AS score FROM oof, g WHERE rep = 0 GROUP BY ALL),
-pts AS (SELECT grid, score, count(*) AS n, sum(target) AS p FROM mix GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER w AS cum_n, sum(p) OVER w AS cum_p FROM pts WINDOW w AS (PARTITION BY grid ORDER BY score DESC))
-SELECT CAST(grid AS INTEGER) AS grid, round(sum(p::DOUBLE * cum_p / cum_n) / sum(p), 6) AS ap FROM cum GROUP BY grid""")
+mix AS (SELECT rep, grid, row_index, max(target) AS target, round(sum(score * (CASE model WHEN 'm_a' THEN a WHEN 'm_b' THEN b ELSE c END) / 4.0::DOUBLE), 9) AS score FROM oof, g GROUP BY ALL),
+pts AS (SELECT rep, grid, score, count(*) AS n, sum(target) AS p FROM mix GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER w AS cum_n, sum(p) OVER w AS cum_p FROM pts WINDOW w AS (PARTITION BY rep, grid ORDER BY score DESC))
+SELECT rep, CAST(grid AS INTEGER) AS grid, round(sum(p::DOUBLE * cum_p / cum_n) / sum(p), 6) AS ap FROM cum GROUP BY rep, grid""")
 def blend_simplex(spark: SparkSession, folder: str) -> DataFrame:
     """ENS-09/10: average precision of every blend on a grid of weights."""
     grid = dec.simplex_grid(spark, ["m_a", "m_b", "m_c"], 4)
-    rows = oof(spark, folder).where("rep = 0").join(F.broadcast(grid), "model")  # the grid has 45 rows
-    mix = rows.groupBy("grid", "row_index").agg(F.max("target").alias("target"), F.round(F.sum(F.col("score") * F.col("weight")), 9).alias("score"))
-    return rk.average_precision_roc(rk.ranked_points(mix, ["grid"]), ["grid"]).select("grid", *r6("ap"))
+    rows = oof(spark, folder).join(F.broadcast(grid), "model")  # the grid has 45 rows
+    mix = rows.groupBy("rep", "grid", "row_index").agg(F.max("target").alias("target"), F.round(F.sum(F.col("score") * F.col("weight")), 9).alias("score"))
+    return rk.average_precision_roc(rk.ranked_points(mix, ["rep", "grid"]), ["rep", "grid"]).select("rep", "grid", *r6("ap"))
 
 
 _PCT = OOF + """
@@ -476,6 +476,16 @@ def _misses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@R.add(POINTS.replace("WITH oof", "WITH " + _MISS.strip()[5:] + ", oof", 1) + """
+, missed AS (SELECT model, rep, row_index FROM ranked WHERE target = 1 AND rn > 50)
+SELECT model, rep, CASE WHEN a THEN 'MISSING_DATA' WHEN b THEN 'OOD_PATTERN' WHEN c THEN 'THRESHOLD_MISS' WHEN d THEN 'MODEL_DISAGREEMENT' WHEN e THEN 'LOOKALIKE_MULE' ELSE 'LOW_SIGNAL_MULE' END AS category, count(*) AS n FROM missed JOIN t USING (row_index) GROUP BY ALL""")
+def error_atlas(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-37: the positives that a budget of 50 misses, by the first rule that explains them, of every model and repeat."""
+    missed = rk.ranked_rows(oof(spark, folder), K).where("target = 1 AND rn > 50").select(*K, "row_index")
+    named = dec.miss_category(_misses(spark, folder)).select("row_index", "category")
+    return missed.join(named, "row_index").groupBy(*K, "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.add(_MISS + "SELECT round(avg(a::INT), 6) AS missing_data, round(avg(b::INT), 6) AS ood_pattern, round(avg(c::INT), 6) AS threshold_miss, round(avg(d::INT), 6) AS model_disagreement, round(avg(e::INT), 6) AS lookalike_mule FROM t")
 def rule_firing_rates(spark: SparkSession, folder: str) -> DataFrame:
     """EA-02: how often each rule holds."""

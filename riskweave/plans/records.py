@@ -142,7 +142,7 @@ def forbidden_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 _CASE = OOF + """
 , c AS (SELECT row_index, score AS risk, CASE WHEN score >= 0.6 THEN 'CRITICAL_REVIEW' WHEN score >= 0.3 THEN 'STANDARD_REVIEW' ELSE 'MONITOR' END AS tier, CASE WHEN row_index % 3 = 0 THEN 'MODEL_DISAGREEMENT' ELSE 'MODEL_CONSENSUS' END AS status,
-   (row_index % 7) / 10.0::DOUBLE AS w1, row_index % 2 = 0 AS r1, (row_index % 5) / 10.0::DOUBLE AS w2, row_index % 5 <> 0 AS r2, (row_index % 100) / 100.0::DOUBLE AS agreement, row_index % 11 = 0 AS ood FROM oof WHERE model = 'm_a' AND rep = 0),
+   (row_index % 7) / 10.0::DOUBLE AS w1, row_index % 2 = 0 AS r1, (row_index % 5) / 10.0::DOUBLE AS w2, row_index % 5 <> 0 AS r2, (row_index % 100) / 100.0::DOUBLE AS agreement, row_index % 11 = 0 AS ood FROM oof),
 w AS (SELECT *, r1::INT * w1 + r2::INT * w2 AS pro, (1 - r1::INT) * w1 + (1 - r2::INT) * w2 + CASE WHEN agreement < 0.85 THEN 1 - agreement ELSE 0 END + CASE WHEN ood THEN 0.6::DOUBLE ELSE 0 END AS con, agreement < 0.85 OR ood AS doubted FROM c),
 b AS (SELECT *, coalesce(pro / nullif(pro + con, 0), 0) AS balance, status = 'MODEL_DISAGREEMENT' OR doubted AS contested FROM w)
 """
@@ -155,7 +155,7 @@ def evidence_balance(spark: SparkSession, folder: str) -> DataFrame:
     """EX-05..09: evidence for and against, with the doubts of the score itself."""
     i = F.col("row_index")
     reason = lambda n, raises: F.struct(((i % n) / 10.0).alias("weight"), raises.alias("raises"))
-    rows = oof(spark, folder).where("model = 'm_a' AND rep = 0").select(
+    rows = oof(spark, folder).select(
         "row_index", F.col("score").alias("risk"), F.when(F.col("score") >= 0.6, "CRITICAL_REVIEW").when(F.col("score") >= 0.3, "STANDARD_REVIEW").otherwise("MONITOR").alias("tier"),
         F.when(i % 3 == 0, "MODEL_DISAGREEMENT").otherwise("MODEL_CONSENSUS").alias("status"), F.array(reason(7, i % 2 == 0), reason(5, i % 5 != 0)).alias("reasons"),
         store.doubts((i % 100) / 100.0, F.lit("HIGH_RISK_SET"), F.when(i % 11 == 0, "OUT_OF_DISTRIBUTION").otherwise("IN_DISTRIBUTION"), F.lit(99.0), F.lit(True)).alias("doubts"),

@@ -99,20 +99,39 @@ def nearest_twin(spark: SparkSession, folder: str) -> DataFrame:
     return topk_in_blocks(v(legit), v(c.where("row % 50 = 0")), 1, distance).select("query", F.col("row").alias("twin"), "distance")
 
 
-@R.add(POINTS + """, at AS (SELECT model, rep, sum(target) FILTER (WHERE rn <= 100) / max(n_pos) AS r FROM ranked GROUP BY ALL)
-SELECT model, round(avg(ap), 6) AS ap_mean, round(stddev_pop(ap), 6) AS ap_std, round(avg(r), 6) AS recall_mean, round(avg(ap) - 0.5 * stddev_pop(ap) + 0.1 * avg(r), 6) AS generalization,
-       CASE WHEN avg(ap) = max(avg(ap)) OVER () THEN 'CHAMPION' WHEN avg(ap) >= max(avg(ap)) OVER () - 0.01 THEN 'FINALIST' ELSE 'CHALLENGER' END AS status FROM ap JOIN at USING (model, rep) GROUP BY model""".replace(", at AS", ", top100 AS").replace("JOIN at ", "JOIN top100 "))
+#: Measured seconds a row of the models, and the budget beyond which one is refused.
+_LATENCY, _SECONDS = {"m_a": 0.2, "m_b": 0.3, "m_c": 9.0}, 5.0
+
+
+@R.add(POINTS + """, hit AS (SELECT model, rep, """ + ", ".join(f"sum(target) FILTER (WHERE rn <= {b}) / max(n_pos) AS r{b}" for b in rk.BUDGETS) + """ FROM ranked GROUP BY ALL),
+q AS (SELECT model, rep, avg((score - target) ** 2) AS brier, -avg(target * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - target) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15))) AS log_loss FROM oof GROUP BY ALL),
+j AS (SELECT * FROM ap JOIN hit USING (model, rep) JOIN q USING (model, rep)), lat(model, seconds) AS (VALUES ('m_a', 0.2::DOUBLE), ('m_b', 0.3::DOUBLE), ('m_c', 9.0::DOUBLE)),
+m AS (SELECT model, count(*) AS n_repeats, """ + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_sd" for c in ("ap", "roc_auc", "brier", "log_loss", *(f"r{b}" for b in rk.BUDGETS))) + """ FROM j GROUP BY model),
+top AS (SELECT max(ap_mean) AS best FROM m JOIN lat USING (model) WHERE seconds <= 5)
+SELECT model, n_repeats, """ + ", ".join(f"round({c}_mean, 6) AS {c}_mean, round({c}_sd, 6) AS {c}_sd" for c in ("ap", "roc_auc", "brier", "log_loss", *(f"r{b}" for b in rk.BUDGETS))) + """,
+  round(ap_mean - 4.302652729696142::DOUBLE * ap_sd / sqrt(n_repeats), 6) AS ap_low, round(ap_mean + 4.302652729696142::DOUBLE * ap_sd / sqrt(n_repeats), 6) AS ap_high, seconds, round(ap_mean - 0.5 * ap_sd + 0.1 * r100_mean, 6) AS generalization,
+  CASE WHEN seconds > 5 THEN 'REJECTED' WHEN ap_mean = best THEN 'CHAMPION' WHEN ap_mean >= best - 0.01 THEN 'FINALIST' ELSE 'CHALLENGER' END AS status FROM m JOIN lat USING (model), top""")
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """MET-30/31/34/36/37, SV-15: models side by side, with a score for steadiness and a status."""
+    """MET-30/31/34/36/37, SV-15, EXT-31: models side by side with deviations, t intervals, measured latency and a status."""
+    from ..operators.resampling import t_critical
+
     rows = oof(spark, folder)
     keys = ["model", "rep"]
-    ap = rk.average_precision_roc(rk.ranked_points(rows, keys), keys).select(*keys, "ap")
-    recall = rk.at_budgets(rk.ranked_rows(rows, keys), keys, (100,)).select(*keys, "recall")
-    m = ap.join(recall, keys).groupBy("model").agg(F.avg("ap").alias("ap_mean"), F.stddev_pop("ap").alias("ap_std"), F.avg("recall").alias("recall_mean"))
-    best = F.max("ap_mean").over(Window.partitionBy(F.lit(1)))  # one row a model
-    status = F.when(F.col("ap_mean") == best, "CHAMPION").when(F.col("ap_mean") >= best - 0.01, "FINALIST").otherwise("CHALLENGER")
-    general = F.col("ap_mean") - 0.5 * F.col("ap_std") + 0.1 * F.col("recall_mean")
-    return m.select("model", general.alias("generalization"), status.alias("status"), "ap_mean", "ap_std", "recall_mean").select("model", *r6("ap_mean", "ap_std", "recall_mean", "generalization"), "status")
+    out = _folder(spark, "latency")
+    spark.createDataFrame(list(_LATENCY.items()), "model string, seconds double").coalesce(1).write.json(out)
+    latency = spark.read.schema("model string, seconds double").json(out)
+    ap = rk.average_precision_roc(rk.ranked_points(rows, keys), keys).select(*keys, "ap", "roc_auc")
+    hits = rk.at_budgets(rk.ranked_rows(rows, keys), keys).groupBy(*keys).pivot("budget", list(rk.BUDGETS)).agg(F.first("recall")).toDF(*keys, *(f"r{b}" for b in rk.BUDGETS))
+    quality = rk.probability_quality(rows, keys).select(*keys, "brier", "log_loss")
+    names = ["ap", "roc_auc", "brier", "log_loss", *(f"r{b}" for b in rk.BUDGETS)]
+    m = ap.join(hits, keys).join(quality, keys).groupBy("model").agg(F.count(F.lit(1)).alias("n_repeats"), *(f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
+    told = m.join(latency, "model")  # one row a model
+    fits = F.col("seconds") <= _SECONDS
+    best = F.max(F.when(fits, F.col("ap_mean"))).over(Window.partitionBy(F.lit(1)))
+    half = F.lit(t_critical(2)) * F.col("ap_sd") / F.sqrt("n_repeats")
+    status = F.when(~fits, "REJECTED").when(F.col("ap_mean") == best, "CHAMPION").when(F.col("ap_mean") >= best - 0.01, "FINALIST").otherwise("CHALLENGER")
+    figures = told.select("*", (F.col("ap_mean") - half).alias("ap_low"), (F.col("ap_mean") + half).alias("ap_high"), (F.col("ap_mean") - 0.5 * F.col("ap_sd") + 0.1 * F.col("r100_mean")).alias("generalization"), status.alias("status"))
+    return figures.select("model", "n_repeats", *r6(*(f"{c}_{n}" for c in names for n in ("mean", "sd")), "ap_low", "ap_high"), "seconds", *r6("generalization"), "status")
 
 
 @R.add("""

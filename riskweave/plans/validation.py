@@ -26,21 +26,35 @@ def _rows(spark: SparkSession, folder: str, folds: int = 2) -> DataFrame:
 
 @R.add()
 def nested_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """NST-01..05, ENS-11, HN-01: outer scores by models chosen on inner folds."""
-    candidates = {"ridge": ml.logistic, "lasso": partial(ml.logistic, l1=1.0, reg=0.001)}
-    return ne.nested_scores(_rows(spark, folder), FEATURES, candidates, cut_lineage, outer=2, inner=2)[0]
+    """NST-01..03, 05: outer scores by models chosen on inner folds (3 x 3), from a grid of penalties."""
+    candidates = {"ridge": ml.logistic, "strong_ridge": partial(ml.logistic, reg=0.1), "lasso": partial(ml.logistic, l1=1.0, reg=0.001)}
+    return ne.nested_scores(_rows(spark, folder, 3), FEATURES, candidates, cut_lineage, outer=3, inner=3)[0]
 
 
 @R.add()
 def selection_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    """SPL-13..17, EXT-01..03: how often a feature is among the best of a subsample."""
-    return ne.selection_frequencies(_rows(spark, folder), FEATURES, subsamples=4, top=2)
+    """SPL-13..15, EXT-02: how often a feature is among the best of 40 subsamples."""
+    return ne.selection_frequencies(_rows(spark, folder), FEATURES, subsamples=40, top=2)
+
+
+@R.add()
+def selection_optimism(spark: SparkSession, folder: str) -> DataFrame:
+    """SPL-17: what choosing features outside the folds adds to the AP."""
+    return ne.selection_optimism(_rows(spark, folder, 3), FEATURES, ml.logistic, 2, folds=3)
+
+
+@R.add()
+def fold_importances(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-15: gain of every feature in trees fit without each fold."""
+    rows = _rows(spark, folder, 3)
+    found = [(f, name, gain) for f in range(3) for name, gain in ne.importances(rows.where(F.col("fold") != f), FEATURES, "gain").items()]
+    return spark.createDataFrame(found, "fold int, feature string, gain double")
 
 
 @R.add()
 def positive_removal(spark: SparkSession, folder: str) -> DataFrame:
-    """NST-06/07/09: AP when positives are left out of training."""
-    return ne.positive_removal(_rows(spark, folder), FEATURES, ml.logistic, rounds=2)
+    """NST-06: AP when positives are left out of training, in five rounds."""
+    return ne.positive_removal(_rows(spark, folder), FEATURES, ml.logistic, rounds=5)
 
 
 @R.add()
@@ -67,7 +81,7 @@ def feature_stability(spark: SparkSession, folder: str) -> DataFrame:
     """SHD-02: how steady features are from fold to fold."""
     rows = _rows(spark, folder, 3)
     long = pf.long_form(rows, FEATURES, ["row_index", "fold"])
-    return ne.feature_stability(long, 3, ne.selection_frequencies(rows, FEATURES, subsamples=3, top=2), ["rare_flag"])
+    return ne.feature_stability(long, 3, ne.selection_frequencies(rows, FEATURES, subsamples=40, top=2), ["rare_flag"])
 
 
 @R.add(OOF + """
@@ -89,9 +103,21 @@ def cohort_shape(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add()
 def concentration_control(spark: SparkSession, folder: str) -> DataFrame:
-    """MISS-07: how concentrated draws of the same size are by chance."""
+    """MISS-07: how concentrated 200 draws of the same size are by chance."""
+    return _draws(spark, folder)
+
+
+def _draws(spark: SparkSession, folder: str) -> DataFrame:
     rows = wide(spark, folder)
-    return ne.concentration_control(rows.where("target = 0").select("row_index", F.col("nation").alias("value")), rows.where("target = 1").count(), 20)
+    return ne.concentration_control(rows.where("target = 0").select("row_index", F.col("nation").alias("value")), rows.where("target = 1").count(), 200)
+
+
+@R.add()
+def concentration_p(spark: SparkSession, folder: str) -> DataFrame:
+    """MISS-07: the empirical p of the positives' own concentration against these draws."""
+    counts = wide(spark, folder).where("target = 1").groupBy("nation").agg(F.count(F.lit(1)).alias("c"))
+    observed = counts.agg((F.max("c") / F.sum("c")).alias("s")).first()["s"] or 0.0  # one row
+    return ne.empirical_p(_draws(spark, folder), float(observed))
 
 
 @R.add(GRID + """
@@ -110,12 +136,12 @@ def _graphs(spark: SparkSession, folder: str) -> DataFrame:
     i = F.col("row_index")
     reason = lambda name, n, raises: F.struct(F.lit(name).alias("feature"), ((i % n) / 10.0).alias("weight"), raises.alias("raises"))
     doubt = F.array_compact(F.array(F.when(i % 3 == 0, F.struct(F.lit("ood").alias("doubt"), F.lit(0.6).alias("weight")))))
-    rows = oof(spark, folder).where("model = 'm_a' AND rep = 0").select("row_index", F.col("score").alias("risk"), F.array(reason("A", 7, i % 2 == 0), reason("B", 5, i % 5 != 0)).alias("reasons"), doubt.alias("doubts"))
+    rows = oof(spark, folder).select("row_index", F.col("score").alias("risk"), F.array(reason("A", 7, i % 2 == 0), reason("B", 5, i % 5 != 0)).alias("reasons"), doubt.alias("doubts"))
     return ev.evidence_graph(rows, "row_index")
 
 
 @R.add(OOF + """
-, s AS (SELECT row_index, score FROM oof WHERE model = 'm_a' AND rep = 0)
+, s AS (SELECT row_index, score FROM oof)
 SELECT relation, count(*) AS n, round(sum(weight), 4) AS weight FROM (
   SELECT CASE WHEN row_index % 2 = 0 THEN 'RAISED_BY' ELSE 'MITIGATED_BY' END AS relation, (row_index % 7) / 10.0::DOUBLE AS weight FROM s UNION ALL SELECT CASE WHEN row_index % 5 <> 0 THEN 'RAISED_BY' ELSE 'MITIGATED_BY' END, (row_index % 5) / 10.0::DOUBLE FROM s
   UNION ALL SELECT 'QUALIFIED_BY', 0.6::DOUBLE FROM s WHERE row_index % 3 = 0 UNION ALL SELECT 'RESULTS_IN', score FROM s) GROUP BY relation""")
@@ -125,7 +151,7 @@ def evidence_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges.groupBy("e.relation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("e.weight"), 4).alias("weight"))
 
 
-@R.add(OOF + "SELECT count(*) AS n, count(*) AS n_traceable, CAST(sum(4 + (row_index % 3 = 0)::INT) AS BIGINT) AS n_tokens FROM oof WHERE model = 'm_a' AND rep = 0")
+@R.add(OOF + "SELECT count(*) AS n, count(*) AS n_traceable, CAST(sum(4 + (row_index % 3 = 0)::INT) AS BIGINT) AS n_tokens FROM oof")
 def evidence_checks(spark: SparkSession, folder: str) -> DataFrame:
     """EX-10/11: every node has a source, every edge its ends; the sources named."""
     g = _graphs(spark, folder)
