@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import drift, models
 from .ranking import average_precision_roc, divide, pearson, ranked_points
 from .similarity import euclidean, topk_in_blocks
-from .splits import PIECES, numbered, shuffle_hash
+from .splits import MODULUS, numbered, shuffle_hash
 
 #: Limits of the robustness grades and of feature stability (fixed values).
 GRADES = {"HIGH": (0.15, 0.06, 0.90, 0.30), "MEDIUM": (0.30, 0.12, 0.75, 0.50)}
@@ -61,7 +61,7 @@ def selection_frequencies(rows: DataFrame, features: list[str], subsamples: int
     """(feature, frequency, mean_rank, mean_importance, importance_cv) over hash-chosen subsamples; mean_rank over the subsamples alone."""
     seen = []
     for s in range(subsamples):
-        sample = rows.where(shuffle_hash(F.col("row_index"), 1000 + s) < int(share * PIECES))
+        sample = rows.where(shuffle_hash(F.col("row_index"), 1000 + s) < int(share * MODULUS))
         own = importances(sample, features, method)
         order = sorted(features, key=lambda f: (-own[f], f))
         total = sum(own.values()) or 1.0
@@ -121,7 +121,7 @@ def positive_removal(rows: DataFrame, features: list[str], scorer: Scorer, round
     """(round, ap, relative_drop): AP with a hash-chosen share of the positives left out of training, against round 0 with all."""
     got = []
     for r in range(rounds + 1):
-        gone = (F.col("target") == 1) & (shuffle_hash(F.col("row_index"), 500 + r) < int(share * PIECES)) & F.lit(r > 0)
+        gone = (F.col("target") == 1) & (shuffle_hash(F.col("row_index"), 500 + r) < int(share * MODULUS)) & F.lit(r > 0)
         folded = rows.withColumn("fold", (shuffle_hash(F.col("row_index"), 77) % folds).cast("int"))
         part = None
         for f in range(folds):
@@ -168,7 +168,7 @@ def smote(rows: DataFrame, features: list[str], ratio: float, k: int = 5, seed:
     near = topk_in_blocks(points, points, min(k, max(1, n_pos - 1)), euclidean).select("query", "row", "rank")
     placed = numbered(pos.withColumn("__h", shuffle_hash(F.col(key), seed)), [], "__h", key).select(key, F.col("before").alias("place"), *features)
     new = rows.sparkSession.range(n_new if n_pos > 1 else 0).select(
-        "id", F.pmod(F.col("id") * 7919 + seed, F.lit(max(1, n_pos))).alias("place"), (F.pmod(F.col("id") * 104729 + seed, F.lit(min(k, max(1, n_pos - 1)))) + 1).alias("rank"), ((F.pmod(F.col("id") * 31337 + seed, F.lit(PIECES)) + 0.5) / PIECES).alias("gap")
+        "id", (shuffle_hash(F.col("id"), seed + 1) % max(1, n_pos)).alias("place"), (shuffle_hash(F.col("id"), seed + 2) % min(k, max(1, n_pos - 1)) + 1).alias("rank"), ((shuffle_hash(F.col("id"), seed + 3) + 0.5) / MODULUS).alias("gap")
     )
     a = new.join(placed, "place").withColumnsRenamed({c: f"a_{c}" for c in features})
     b = a.join(near.withColumnRenamed("query", key), [key, "rank"]).join(pos.select(F.col(key).alias("row"), *(F.col(c).alias(f"b_{c}") for c in features)), "row")
@@ -184,8 +184,8 @@ def empirical_p(drawn: DataFrame, observed: float, figure: str = "modal_share")
 def concentration_control(values: DataFrame, n_rows: int, draws: int, key: str = "row_index", value: str = "value") -> DataFrame:
     """(draw, n_distinct, modal_share) of hash-chosen draws of about n_rows rows: how concentrated chance alone is."""
     total = max(1, values.count())
-    cut = max(1, int(n_rows / total * PIECES * 97))
-    hashed = F.pmod(F.xxhash64(F.col(key), F.col("draw")), F.lit(PIECES * 97))
+    cut = max(1, int(n_rows / total * MODULUS))
+    hashed = F.pmod(F.xxhash64(F.col(key), F.col("draw")), F.lit(MODULUS))
     drawn = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).where(hashed < cut)
     counts = drawn.groupBy("draw", value).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("draw").agg(F.count(F.lit(1)).alias("n_distinct"), (F.max("n") / F.sum("n")).alias("modal_share"))

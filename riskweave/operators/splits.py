@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 from .quantiles import linear_quantiles, value_counts
 
-#: The hash's modulus: also the number of pieces in which an order is numbered.
-PIECES = 10007
+#: The hash's modulus, a prime (fixed value), and the number of pieces in which an order is numbered.
+MODULUS, PIECES = 2_147_483_647, 10_007
 
 
-def shuffle_hash(key: Column, seed: int) -> Column:
-    """A number of 0..PIECES-1 that orders integer keys at random."""
-    return F.pmod(key * 7919 + seed * 104729, F.lit(PIECES))
+def shuffle_hash(key: Column, seed: int | Column) -> Column:
+    """A number of 0..MODULUS-1 that orders integer keys at random, in whole-number arithmetic that any engine can repeat.
+
+    It is not linear in key or seed: orders of two seeds have nothing to do with each other.
+    """
+    k = F.pmod(key.cast("bigint"), F.lit(MODULUS).cast("bigint"))
+    x = F.pmod(k * 7919 + (seed if isinstance(seed, Column) else F.lit(seed)).cast("bigint") * 104729, F.lit(MODULUS).cast("bigint"))
+    y = F.pmod(x * x + k, F.lit(MODULUS).cast("bigint"))
+    return F.pmod(y * 48271 + F.pmod(y * y, F.lit(MODULUS).cast("bigint")) + x, F.lit(MODULUS).cast("bigint"))
+
+
+def shuffle_sql(key: str, seed: str) -> str:
+    """The same in SQL."""
+    k = f"(({key})::BIGINT % {MODULUS})"
+    x = f"(({k} * 7919 + ({seed})::BIGINT * 104729) % {MODULUS})"
+    y = f"(({x} * {x} + {k}) % {MODULUS})"
+    return f"(({y} * 48271 + ({y} * {y}) % {MODULUS} + {x}) % {MODULUS})"
 
 
-def numbered(df: DataFrame, keys: list[str], piece: str, then: str, size: Column | None = None) -> DataFrame:
-    """The rows with before, the sum of `size` (1 by default) of the key's rows ahead in order of (piece, then), and all, the key's sum.
+def numbered(df: DataFrame, keys: list[str], order: str, then: str, size: Column | None = None) -> DataFrame:
+    """The rows with before, the sum of `size` (1 by default) of the key's rows ahead in order of (order, then), and all, the key's sum.
 
-    Pieces are summed first (they are few), then each piece is numbered by itself.
+    order: a `shuffle_hash`. Pieces of its range are summed first (they are few), then each piece is numbered by itself.
     """
     own = F.lit(1) if size is None else size
-    marked = df.withColumn("__size", own.cast("bigint"))
-    ahead = Window.partitionBy(*keys).orderBy(piece)
-    sums = marked.groupBy(*keys, piece).agg(F.sum("__size").alias("__p"))
-    offsets = sums.select(*keys, piece, (F.sum("__p").over(ahead) - F.col("__p")).alias("__o"), F.sum("__p").over(Window.partitionBy(*keys)).alias("all"))
-    inside = Window.partitionBy(*keys, piece).orderBy(then).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.join(offsets, [*keys, piece]).withColumn("before", F.col("__o") + F.sum("__size").over(inside) - F.col("__size")).drop("__o", "__size")
+    marked = df.withColumn("__size", own.cast("bigint")).withColumn("__piece", F.floor(F.col(order) / (MODULUS // PIECES)))
+    ahead = Window.partitionBy(*keys).orderBy("__piece")
+    sums = marked.groupBy(*keys, "__piece").agg(F.sum("__size").alias("__p"))
+    offsets = sums.select(*keys, "__piece", (F.sum("__p").over(ahead) - F.col("__p")).alias("__o"), F.sum("__p").over(Window.partitionBy(*keys)).alias("all"))
+    inside = Window.partitionBy(*keys, "__piece").orderBy(order, then).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.join(offsets, [*keys, "__piece"]).withColumn("before", F.col("__o") + F.sum("__size").over(inside) - F.col("__size")).drop("__o", "__size", "__piece")
 
 
 def row_groups(df: DataFrame, columns: list[str], row: str) -> DataFrame:
@@ -55,7 +69,7 @@ def folds(groups: DataFrame, group: str, repeats: int, k: int, seed: int) -> Dat
     groups: (group, is_positive).
     """
     each = groups.select(group, "is_positive", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    hashed = each.withColumn("__h", F.pmod(F.col(group) * 7919 + (F.col("rep") + seed) * 104729, F.lit(PIECES)))
+    hashed = each.withColumn("__h", shuffle_hash(F.col(group), F.col("rep") + seed))
     return numbered(hashed, ["rep", "is_positive"], "__h", group).select(group, "rep", (F.col("before") % k).cast("int").alias("fold"))
 
 
@@ -79,7 +93,7 @@ def oversample(rows: DataFrame, ratio: float, seed: int, row: str = "row_index",
     """The rows with copy_no: positives repeat (whole times plus a hash-drawn one) until they are `ratio` of the negatives."""
     sizes = rows.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q"))
     rate = F.greatest(F.lit(1.0), F.col("q") * ratio / F.greatest(F.col("p"), F.lit(1)))
-    draw = (shuffle_hash(F.col(row), seed) + 0.5) / PIECES
+    draw = (shuffle_hash(F.col(row), seed) + 0.5) / MODULUS
     copies = F.when(F.col(target) == 1, F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).otherwise(1)
     return rows.crossJoin(F.broadcast(sizes)).select(*rows.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy_no"))  # one row
 

@@ -17,6 +17,7 @@ from ..operators import nested as ne
 from ..operators import ranking as rk
 from ..operators import resampling as rs
 from ..operators import scoring as sc
+from ..operators.splits import shuffle_sql
 from ..session import cut_lineage, read_table
 from ..sources import files
 from .features import facets
@@ -255,7 +256,7 @@ def evidence_packets(spark: SparkSession, folder: str) -> DataFrame:
     return ev.packet(oof(spark, folder), "row_index", ["model", "rep"])
 
 
-@R.add("WITH o AS (SELECT o_orderkey, (o_orderkey * 7919 + 42 * 104729) % 10007 AS h FROM orders) SELECT o_orderkey FROM o ORDER BY h, o_orderkey LIMIT 400")
+@R.add(f"WITH o AS (SELECT o_orderkey, {shuffle_sql('o_orderkey', '42')} AS h FROM orders) SELECT o_orderkey FROM o ORDER BY h, o_orderkey LIMIT 400")
 def probe_rows(spark: SparkSession, folder: str) -> DataFrame:
     """EXT-58: 400 rows in hash order."""
     return sc.probe_rows(read_table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", 400)

@@ -16,6 +16,13 @@ from .registry import Registry
 
 R = Registry()
 
+def _hashed(sql: str) -> str:
+    """SQL with @H1..@H4 written out: the shuffle hashes of groups, folds and rows."""
+    for name, key, seed in (("@H1", "grp", "42"), ("@H2", "grp", "rep + 42"), ("@H3", "row_index", "42"), ("@H4", "row_index", "7")):
+        sql = sql.replace(name, sp.shuffle_sql(key, seed))
+    return sql
+
+
 _ORDERS = "WITH o AS (SELECT o_orderkey AS row_index, o_custkey AS grp, CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS target FROM orders)\n"
 
 
@@ -31,10 +38,10 @@ def row_groups(spark: SparkSession, folder: str) -> DataFrame:
     return sp.row_groups(df, ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "row_id")
 
 
-_HOLD = _ORDERS + """
-, g AS (SELECT grp, max(target) = 1 AS is_positive, count(*) AS n_rows, (grp * 7919 + 42 * 104729) % 10007 AS h FROM o GROUP BY grp),
+_HOLD = _ORDERS + _hashed("""
+, g AS (SELECT grp, max(target) = 1 AS is_positive, count(*) AS n_rows, @H1 AS h FROM o GROUP BY grp),
 hold AS (SELECT grp, is_positive, n_rows, coalesce(sum(n_rows) OVER (PARTITION BY is_positive ORDER BY h, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.2::DOUBLE * sum(n_rows) OVER (PARTITION BY is_positive) AS is_test FROM g)
-"""
+""")
 
 
 def _holdout(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +54,7 @@ def locked_holdout(spark: SparkSession, folder: str) -> DataFrame:
     return _holdout(spark, folder)
 
 
-_FOLDS = _HOLD + """, folds AS (SELECT grp, rep, CAST((row_number() OVER (PARTITION BY rep, is_positive ORDER BY (grp * 7919 + (rep + 42) * 104729) % 10007, grp) - 1) % 5 AS INTEGER) AS fold FROM hold, (VALUES (0), (1), (2), (3), (4)) r(rep) WHERE NOT is_test)\n"""
+_FOLDS = _HOLD + _hashed(""", folds AS (SELECT grp, rep, CAST((row_number() OVER (PARTITION BY rep, is_positive ORDER BY @H2, grp) - 1) % 5 AS INTEGER) AS fold FROM hold, (VALUES (0), (1), (2), (3), (4)) r(rep) WHERE NOT is_test)\n""")
 
 
 @R.add(_FOLDS + "SELECT * FROM folds")
@@ -71,11 +78,11 @@ def fold_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("rep_a", "rep_b").agg(F.round(F.avg((F.col("fold_a") == F.col("fold_b")).cast("double")), 6).alias("same_share"))
 
 
-_HARD = OOF + """
+_HARD = OOF + _hashed("""
 , s AS (SELECT row_index, target, score FROM oof WHERE model = 'm_a' AND rep = 0), c AS (SELECT quantile_cont(score, 0.98) AS cut FROM s WHERE target = 0),
 m AS (SELECT row_index, CASE WHEN score >= cut THEN 'HARD' ELSE 'BACKGROUND' END AS kind FROM s, c WHERE target = 0),
-p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY (row_index * 7919 + 42 * 104729) % 10007, row_index) AS n, count(*) FILTER (WHERE kind = 'HARD') OVER () AS n_hard FROM m)
-"""
+p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY @H3, row_index) AS n, count(*) FILTER (WHERE kind = 'HARD') OVER () AS n_hard FROM m)
+""")
 
 
 @R.add(_HARD + "SELECT row_index, kind FROM p WHERE kind = 'HARD' OR n <= 3 * n_hard UNION ALL SELECT row_index, 'POSITIVE' FROM s WHERE target = 1")
@@ -84,15 +91,15 @@ def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return sp.hard_negatives(oof(spark, folder).where("model = 'm_a' AND rep = 0").select("row_index", "target", "score"))
 
 
-@R.add(_ORDERS + """, n AS (SELECT greatest(1, count(*) FILTER (WHERE target = 0) * 0.05::DOUBLE / count(*) FILTER (WHERE target = 1)) AS rate FROM o)
-SELECT target, count(*) AS n FROM (SELECT target, unnest(range(1, 1 + CASE WHEN target = 1 THEN CAST(floor(rate) AS BIGINT) + (((row_index * 7919 + 7 * 104729) % 10007 + 0.5) / 10007 < rate - floor(rate))::INT ELSE 1 END)) AS copy_no FROM o, n) GROUP BY target""")
+@R.add(_ORDERS + _hashed(""", n AS (SELECT greatest(1, count(*) FILTER (WHERE target = 0) * 0.05::DOUBLE / count(*) FILTER (WHERE target = 1)) AS rate FROM o)
+SELECT target, count(*) AS n FROM (SELECT target, unnest(range(1, 1 + CASE WHEN target = 1 THEN CAST(floor(rate) AS BIGINT) + ((@H4 + 0.5::DOUBLE) / 2147483647.0::DOUBLE < rate - floor(rate))::INT ELSE 1 END)) AS copy_no FROM o, n) GROUP BY target"""))
 def random_oversample(spark: SparkSession, folder: str) -> DataFrame:
     """SPL-10: positives repeated to a share of the negatives."""
     return sp.oversample(_orders(spark, folder), 0.05, 7).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(_ORDERS + """, q AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY (row_index * 7919 + 7 * 104729) % 10007, row_index) AS k FROM o)
-SELECT row_index, grp, target FROM q WHERE target = 1 OR k <= ceil((SELECT count(*) FROM o WHERE target = 1) / 0.1::DOUBLE)""")
+@R.add(_ORDERS + _hashed(""", q AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY @H4, row_index) AS k FROM o)
+SELECT row_index, grp, target FROM q WHERE target = 1 OR k <= ceil((SELECT count(*) FROM o WHERE target = 1) / 0.1::DOUBLE)"""))
 def random_undersample(spark: SparkSession, folder: str) -> DataFrame:
     """SPL-11: negatives dropped until the positives are a share of them."""
     return sp.undersample(_orders(spark, folder), 0.1, 7)

@@ -36,9 +36,23 @@ def test_smote_lies_between_its_parents(rows):
     assert nested.smote(rows.where("target = 0"), ["good"], 0.2).count() == 0
 
 
-def test_grades():
-    assert nested.robustness_grade(0.1, 0.05, 0.95) == "HIGH" and nested.robustness_grade(0.1, 0.05, 0.95, 0.4) == "MEDIUM"
-    assert nested.robustness_grade(0.1, None, 0.95) == "LOW" and nested.robustness_grade(0.5, 0.05, 0.95) == "LOW"
+def test_grades(spark):
+    rows = [("a", 0.1, 0.05, 0.95), ("b", 0.2, 0.05, 0.95), ("c", 0.1, None, 0.95), ("d", 0.5, 0.05, 0.95)]
+    df = spark.createDataFrame(rows, "model string, relative_drop double, spread double, steady double")
+    assert {r.model: r.grade for r in nested.robustness_grades(df).collect()} == {"a": "HIGH", "b": "MEDIUM", "c": "LOW", "d": "LOW"}
+
+
+def test_smote_bounds_its_parents(spark):
+    df = spark.createDataFrame([(i, int(i < 60), float(i), None if i % 7 == 0 else float(-i)) for i in range(600)], "row_index bigint, target int, a double, b double")
+    new = nested.smote(df, ["a", "b"], 0.5, most_positives=10).collect()
+    assert len(new) == 270 - 60 and len({r.row_index for r in new}) <= 10 and all(r.row_index < 60 and r.neighbour < 60 for r in new)
+    assert all(min(r.row_index, r.neighbour) - 1e-9 <= r.a <= max(r.row_index, r.neighbour) + 1e-9 for r in new)
+
+
+def test_empirical_p(spark):
+    drawn = spark.createDataFrame([(i, i / 10) for i in range(9)], "draw int, modal_share double")
+    r = nested.empirical_p(drawn, 0.6).first()
+    assert (r.n_draws, r.n_as_high, r.p) == (9, 3, 0.4)
 
 
 def test_isolation_forest_finds_the_odd_row(spark):
