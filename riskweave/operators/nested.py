@@ -185,7 +185,7 @@ def concentration_control(values: DataFrame, n_rows: int, draws: int, key: str =
     """(draw, n_distinct, modal_share) of hash-chosen draws of about n_rows rows: how concentrated chance alone is."""
     total = max(1, values.count())
     cut = max(1, int(n_rows / total * MODULUS))
-    hashed = F.pmod(F.xxhash64(F.col(key), F.col("draw")), F.lit(MODULUS))
+    hashed = shuffle_hash(F.col(key), F.col("draw") + 9000)
     drawn = values.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).where(hashed < cut)
     counts = drawn.groupBy("draw", value).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("draw").agg(F.count(F.lit(1)).alias("n_distinct"), (F.max("n") / F.sum("n")).alias("modal_share"))

@@ -100,14 +100,16 @@ def battery(rows: DataFrame, keys: list[str], threshold: float, budgets: tuple[i
     return reduce(DataFrame.unionByName, parts)
 
 
-def random_pairs(rows: DataFrame, key: str, values: list[str], n_rounds: int, seed: int) -> DataFrame:
-    """(round, a, b, values of both): each row beside another of its hash-shuffled order, n_rounds times: random pairs without a product of rows."""
-    piece = 256
+def random_pairs(rows: DataFrame, key: str, values: list[str], n_rounds: int, seed: int, pieces: int = 256) -> DataFrame:
+    """(round, key, values of both): each row beside the next of its hash-shuffled order, n_rounds times: random pairs without a product of rows.
+
+    An order is cut into pieces by the hash; the last row of a piece has no partner.
+    """
     each = rows.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit(n_rounds - 1))).alias("round"))
-    h = F.xxhash64(F.col(key), F.col("round"), F.lit(seed))
+    h = shuffle_hash(F.col(key), F.col("round") + seed)
     order = Window.partitionBy("round", "__p").orderBy("__h", key)
     nxt = [F.lead(c).over(order).alias(f"{c}_b") for c in (key, *values)]
-    return each.withColumns({"__h": h, "__p": F.pmod(h, F.lit(piece))}).select("round", key, *values, *nxt).where(F.col(f"{key}_b").isNotNull())
+    return each.withColumn("__h", h).withColumn("__p", F.pmod("__h", F.lit(pieces))).select("round", key, *values, *nxt).where(F.col(f"{key}_b").isNotNull())
 
 
 def checked(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dictionary as dic
 from ..operators import canonical as can
 from ..operators import decisions as dec
+from ..operators import ensembles as en
 from ..operators import evidence as ev
 from ..operators import features as ft
 from ..operators import firewall as fw
@@ -20,7 +21,7 @@ from ..operators import scoring as sc
 from ..operators.splits import shuffle_sql
 from ..session import cut_lineage, read_table
 from ..sources import files
-from .features import facets
+from .features import FACETS, facets
 from .fixtures import EDGES, GRID, OOF, WIDE, edges, grid, oof, wide
 from .ranking import POINTS, r6
 from .registry import Registry
@@ -118,7 +119,7 @@ doc AS (SELECT model, rep, 'ap' AS metric, ap AS value FROM ap UNION ALL SELECT
   UNION ALL SELECT model, rep, 'brier', avg((score - target) ** 2) FROM oof GROUP BY model, rep UNION ALL SELECT model, rep, 'log_loss', -avg(target * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - target) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15))) FROM oof GROUP BY model, rep)
 SELECT model, rep, metric, round(value, 6) AS value FROM doc""")
 def metric_battery(spark: SparkSession, folder: str) -> DataFrame:
-    """MET-10, 12, 23, 24, 27..29, EXT-07..11, 18..20, 54, 59: all metrics of every model and repeat as one document."""
+    """MET-23, 27, EXT-07, 08, 10, 11, 20, 59: ranking, budget, threshold and probability metrics of every model and repeat as one document."""
     return sc.battery(oof(spark, folder), K, 0.6).select(*K, "metric", *r6("value"))
 
 
@@ -166,15 +167,39 @@ def percentile_bands(spark: SparkSession, folder: str) -> DataFrame:
     return sc.percentile_band(rows, K, "score", ((0.8, "STRONG"), (0.5, "SOME")), "LITTLE").groupBy(*K, "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add()
+_PAIRS = f"""
+WITH k AS (SELECT c_custkey AS row, c_acctbal AS a, c_nationkey AS b, c_custkey % 11 = 0 AS is_positive, r.round FROM customer, range(20) r(round)), h AS (SELECT *, {shuffle_sql('row', 'round + 7')} AS h FROM k),
+pr AS (SELECT round, a, b, is_positive, lead(a) OVER w AS a2, lead(b) OVER w AS b2, lead(is_positive) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY round, h % 256 ORDER BY h, row)),
+s AS (SELECT *, 1 - (least(abs(a - a2) / 8000.0::DOUBLE, 1.0::DOUBLE) + (b <> b2)::INT) / 2 AS s FROM pr WHERE a2 IS NOT NULL)
+"""
+
+
+def _random_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    c = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("row"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"), (F.col("c_custkey") % 11 == 0).alias("is_positive"))
+    s = 1 - (F.least(F.abs(F.col("a") - F.col("a_b")) / 8000.0, F.lit(1.0)) + (F.col("b") != F.col("b_b")).cast("double")) / 2
+    return sc.random_pairs(c, "row", ["a", "b", "is_positive"], 20, 7).withColumn("value", s)
+
+
+_NULLS = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p995": 0.995}
+
+
+@R.add(_PAIRS + "SELECT " + ", ".join(f"round(quantile_cont(s, {q}), 6) AS {n}" for n, q in _NULLS.items()) + " FROM s")
 def similarity_null(spark: SparkSession, folder: str) -> DataFrame:
-    """SIM-05, 22, EXT-55: how close random pairs are."""
+    """SIM-05: how close random pairs are."""
     from ..operators.quantiles import linear_quantiles, value_counts
 
-    c = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("row"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
-    pairs = sc.random_pairs(c, "row", ["a", "b"], 20, 7)
-    s = 1 - (F.least(F.abs(F.col("a") - F.col("a_b")) / 8000.0, F.lit(1.0)) + (F.col("b") != F.col("b_b")).cast("double")) / 2
-    return linear_quantiles(value_counts(pairs.select(F.lit(1).alias("k"), s.alias("value")), ["k"]), ["k"], {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p995": 0.995}).drop("k")
+    pairs = _random_pairs(spark, folder).select(F.lit(1).alias("k"), "value")
+    return linear_quantiles(value_counts(pairs, ["k"]), ["k"], _NULLS).select(*r6(*_NULLS))
+
+
+@R.add(_PAIRS + "SELECT " + ", ".join(f"round(quantile_cont(s, {q}), 6) AS {n}" for n, q in _NULLS.items()) + ", round(avg((b = b2)::INT), 6) AS concordance FROM s WHERE NOT is_positive AND NOT p2")
+def similarity_null_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """SIM-22, EXT-55: the same over pairs of negatives only, and how often chance alone agrees on an attribute."""
+    from ..operators.quantiles import linear_quantiles, value_counts
+
+    pairs = _random_pairs(spark, folder).where("NOT is_positive AND NOT is_positive_b").withColumn("k", F.lit(1))
+    agree = pairs.agg(F.round(F.avg((F.col("b") == F.col("b_b")).cast("double")), 6).alias("concordance"))
+    return linear_quantiles(value_counts(pairs, ["k"]), ["k"], _NULLS).crossJoin(agree).select(*r6(*_NULLS), "concordance")  # one row each
 
 
 @R.add(WIDE + """, c AS (SELECT feature, round(CASE WHEN isfinite(coalesce(corr(value, target), 'nan'::DOUBLE)) THEN abs(corr(value, target)) ELSE 0 END, 9) AS r FROM long WHERE value IS NOT NULL GROUP BY feature),
@@ -238,16 +263,27 @@ def robustness_grades(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add()
 def scored_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """POL-09, SV-05/06, OOF-09, EX-03: rows scored end to end with calibration, tiers and a counterfactual score; unreadable rows are marked."""
-    rows = cut_lineage(wide(spark, folder))
+    """POL-09, SV-05/06, OOF-09: every row scored out of fold and by a fit on all rows, calibrated, with its conformal set, its distribution check and its tier; rows that can't be scored are marked."""
     features = ["price", "acctbal", "nation"]
-    scored = ml.out_of_fold(rows.withColumn("fold", (F.col("row_index") % 2).cast("int")), features, ml.logistic, folds=2)
-    a, b = ml.platt_fit(scored)
-    risk = ml.platt_apply(F.col("score"), a, b)
-    cut = cut_lineage(scored.withColumn("risk", risk))
-    tiers = dec.tier_thresholds(cut.withColumns({"k": F.lit(1), "score": F.col("risk")}), ["k"]).drop("k")
-    tier = dec.risk_tier(F.col("risk"), F.col("critical_risk"), F.col("urgent_risk"), F.col("standard_risk"), F.lit("LOW_RISK_SET"), F.lit("IN_DISTRIBUTION"), F.lit(None).cast("double"), F.lit(True))
-    return cut.crossJoin(F.broadcast(tiers)).select("row_index", "risk", tier.alias("tier"), F.when(F.col("risk").isNull(), "unreadable").alias("error"))  # one row
+    median = {"price": 0.0, "acctbal": 0.0, "nation": 0.0}
+    spread = {"price": 1e5, "acctbal": 1e3, "nation": 10.0}
+    plain = wide(spark, folder).select("row_index", "target", *features, (F.col("row_index") % 5).cast("int").alias("fold"), F.lit(1).alias("k"))
+    ready = cut_lineage(plain.select("*", *((F.coalesce(F.col(c), F.lit(median[c])) / spread[c]).alias(f"z_{c}") for c in features)))
+    names = [f"z_{c}" for c in features]
+    scored = en.out_of_fold_logistics(ready, ["k"], names, 5)
+    whole = en.predict_logistics(scored, en.fit_logistics(ready, ["k"], names, 1.0, balanced=True), ["k"], names, "refit")
+    base = cut_lineage(whole.withColumn("score", F.col("stacked")))
+    fits = en.platt_fits(base, ["k"])
+    risk = cut_lineage(base.join(F.broadcast(fits), "k").withColumn("score", ml.platt_apply(F.col("score"), F.col("a"), F.col("b"))).drop("a", "b"))  # one row
+    told = risk.join(F.broadcast(dec.conformal_quantiles(risk, ["k"])), "k").join(F.broadcast(dec.tier_thresholds(risk, ["k"])), "k")  # one row each
+    conformal = dec.conformal_set(F.col("score"), F.col("q_pos"), F.col("q_neg"))
+    from ..operators import drift as dr
+    from ..operators import profiling as pf
+
+    seen = dr.out_of_distribution(pf.long_form(plain, features, ["row_index"]).withColumn("is_reference", F.lit(True)), "row_index")
+    judged = told.join(seen.select("row_index", "status"), "row_index", "left").withColumn("ood", F.coalesce("status", F.lit("IN_DISTRIBUTION")))
+    tier = dec.risk_tier(F.col("score"), F.col("critical_risk"), F.col("urgent_risk"), F.col("standard_risk"), conformal, F.col("ood"), F.lit(None).cast("double"), F.lit(True))
+    return judged.select("row_index", F.col("score").alias("risk"), "refit", conformal.alias("conformal"), "ood", tier.alias("tier"), F.when(F.col("score").isNull(), "unreadable").alias("error"))
 
 
 @R.add(OOF + "SELECT row_index, json_object('model', model, 'rep', rep) AS packet FROM oof")
@@ -286,7 +322,8 @@ def families(spark: SparkSession, folder: str) -> DataFrame:
     return f.groupBy("rail").agg(F.array_sort(F.collect_list("feature")).alias("features"))  # the registry is a fixed table
 
 
-@R.add()
+@R.add(FACETS + """SELECT feature, variable_name, reason FROM (SELECT feature, variable_name, CASE WHEN feature = 'F0902' THEN 'HARD_QUARANTINE' WHEN availability IN ('TARGET', 'POST_RESOLUTION_LEAKAGE', 'INDEX_OR_ID') THEN 'FORBIDDEN_CLASS'
+  WHEN availability <> 'BEHAVIORAL' THEN 'CLASS_NOT_IN_VIEW' END AS reason FROM full_facets) WHERE reason IS NOT NULL""")
 def availability_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """FW-05, EXT-05, 61: the columns that a policy refuses, with the grounds."""
     return fw.judge(facets(spark, folder), fw.Policy(hard=("F0902",), allow=("BEHAVIORAL",))).where("reason IS NOT NULL").select("feature", "variable_name", "reason")

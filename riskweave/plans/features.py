@@ -28,7 +28,7 @@ _W = [f"regexp_extract(variable_name, '{dic.WINDOW}', {i})" for i in range(1, 6)
 _WINDOW = f"CASE WHEN {_W[0]} <> '' AND {_W[1]} <> '' THEN 'L' || {_W[0]} || '_' || {_W[1]} || 'D' WHEN {_W[0]} <> '' THEN 'L' || {_W[0]} || 'D' WHEN {_W[2]} <> '' AND {_W[3]} <> '' THEN 'L' || {_W[2]} || '_' || {_W[3]} || 'D' WHEN {_W[4]} <> '' THEN 'L' || {_W[4]} || 'D' ELSE 'NONE' END"
 _CR, _DB = f"regexp_matches(variable_name, '{dic.CREDIT}')", f"regexp_matches(variable_name, '{dic.DEBIT}')"
 _WAY = f"CASE WHEN {_CR} AND NOT {_DB} THEN 'CREDIT' WHEN {_DB} AND NOT {_CR} THEN 'DEBIT' ELSE 'BOTH' END"
-_FACETS = f"""
+FACETS = f"""
 WITH named AS (SELECT feature, variable_name, description, bank_finalized FROM feature_registry UNION ALL SELECT * FROM (VALUES
   ('X1', 'NON_CASH_CHQ_AMT_DB_L14D', 'amount', true), ('X2', 'STDNG_INSTR_TXNS_CR_L7_14D', 'Count of alerts raised', false), ('X3', 'CUST_RISK', 'Customer risk level', true),
   ('X4', 'ALERT_STATUS', 'Alert resolution status', true), ('X5', 'LABEL', 'target variable', false), ('X6', 'MM_UPI_XFER_7 TO 14DAYS_OCC', 'segment range', false)) v(feature, variable_name, description, bank_finalized)),
@@ -61,13 +61,13 @@ def facets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@R.add(_FACETS + "SELECT feature, variable_name, bank_finalized, rail, transform, win, way, availability, leakage, tags FROM full_facets")
+@R.add(FACETS + "SELECT feature, variable_name, bank_finalized, rail, transform, win, way, availability, leakage, tags FROM full_facets")
 def dict_facets(spark: SparkSession, folder: str) -> DataFrame:
     """DIC-01..07, SRC-09: rail, transform, window, direction, availability, tags."""
     return facets(spark, folder)
 
 
-@R.add(_FACETS + "SELECT availability, leakage, rail, transform, count(*) AS n FROM full_facets GROUP BY GROUPING SETS ((availability), (leakage), (rail), (transform))")
+@R.add(FACETS + "SELECT availability, leakage, rail, transform, count(*) AS n FROM full_facets GROUP BY GROUPING SETS ((availability), (leakage), (rail), (transform))")
 def dict_counts_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
     """DIC-08, SRC-10, EXT-60: four counts of the registry in one pass."""
     f = facets(spark, folder)
@@ -75,13 +75,13 @@ def dict_counts_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
     return f.groupingSets([[a], [leak], [rail], [tr]], a, leak, rail, tr).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(_FACETS + f"SELECT feature, nullif(regexp_extract(variable_name, '{dic.STEM}', 1), '') AS stem FROM named")
+@R.add(FACETS + f"SELECT feature, nullif(regexp_extract(variable_name, '{dic.STEM}', 1), '') AS stem FROM named")
 def dict_stems(spark: SparkSession, folder: str) -> DataFrame:
     """DIC-09: names without their window."""
     return _named(spark, folder).select("feature", dic.stem(F.col("variable_name")).alias("stem"))
 
 
-_ADMIT = _FACETS + """
+_ADMIT = FACETS + """
 , ruled AS (SELECT feature, rail, availability, CASE WHEN feature = 'F0902' THEN 'HARD_QUARANTINE' WHEN availability IN ('TARGET', 'POST_RESOLUTION_LEAKAGE', 'INDEX_OR_ID') THEN 'FORBIDDEN_CLASS'
    WHEN feature = 'F0911' THEN 'CONDITIONAL_QUARANTINE' WHEN feature = 'F0938' THEN 'FAIRNESS_EXCLUDED' WHEN availability NOT IN ('BEHAVIORAL', 'ALERT_CONTEXT') THEN 'CLASS_NOT_IN_VIEW' WHEN {fin} AND NOT bank_finalized THEN 'NOT_BANK_FINALIZED'
    WHEN {fam} AND rail NOT IN ('UPI', 'CASH', 'ATM') THEN 'FAMILY_NOT_IN_VIEW' END AS reason FROM full_facets)

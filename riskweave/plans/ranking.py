@@ -503,3 +503,57 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     at = rk.at_budgets(rk.ranked_rows(rows, ["rep"]), ["rep"], (25, 50, 100))
     wide = at.groupBy("rep").agg(*(F.round(F.max(F.when(F.col("budget") == b, F.col("recall"))), 6).alias(f"recall_{b}") for b in (25, 50, 100)))
     return ap.select("rep", *r6("ap", "roc_auc")).join(wide, "rep")
+
+
+@R.add(POINTS + """
+, ordered AS (SELECT model, rep, score, cum_n, cum_p, n_rows, n_pos, n, row_number() OVER (PARTITION BY model, rep ORDER BY score) AS i FROM cum),
+wanted AS (SELECT model, rep, n_rows, place, floor((n_rows - 1) * place / 199) AS spot FROM (SELECT model, rep, max(n_rows) AS n_rows FROM cum GROUP BY ALL), range(200) t(place))
+SELECT w.model, w.rep, CAST(place AS BIGINT) AS place, score AS threshold, round(cum_p / n_pos, 6) AS recall, round(cum_p / cum_n, 6) AS "precision" FROM wanted w JOIN ordered o ON o.model = w.model AND o.rep = w.rep AND o.n_rows - o.cum_n <= spot AND spot < o.n_rows - o.cum_n + o.n""")
+def pr_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """MET-10: precision and recall at 200 even steps of the ranking."""
+    from ..operators.scoring import thinned_grid
+
+    points = _points(spark, folder)
+    totals = points.groupBy(*K).agg(F.max("cum_p").alias("n_pos"))
+    placed = thinned_grid(points, K, 200).join(points, [*K, "score"]).join(totals, K)
+    return placed.select(*K, "place", F.col("score").alias("threshold"), F.round(F.col("cum_p") / F.col("n_pos"), 6).alias("recall"), F.round(F.col("cum_p") / F.col("cum_n"), 6).alias("precision"))
+
+
+@R.add(POINTS + """
+, b AS (SELECT DISTINCT CAST(unnest([10, 18, 25, 50, 100, floor(n * 0.01::DOUBLE + 0.5), floor(n * 0.02::DOUBLE + 0.5)]) AS BIGINT) AS budget FROM (SELECT count(*) AS n FROM orders))
+SELECT model, rep, budget, CAST(count(*) FILTER (WHERE rn <= budget AND target = 1) AS BIGINT) AS tp, round(count(*) FILTER (WHERE rn <= budget AND target = 1) / max(n_pos), 6) AS recall FROM ranked, b GROUP BY ALL""")
+def dynamic_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """MET-12: the fixed budgets and one and two per cent of the rows, each once."""
+    n = read_table(spark, folder, "orders").count()
+    budgets = tuple(sorted({*rk.BUDGETS, int(n * 0.01 + 0.5), int(n * 0.02 + 0.5)}))
+    return rk.at_budgets(rk.ranked_rows(oof(spark, folder), K), K, budgets).select(*K, "budget", "tp", *r6("recall"))
+
+
+@R.add(_TIERS + """
+, cells AS (SELECT model, rep, tier, count(*) FILTER (WHERE score >= threshold AND target = 1)::DOUBLE AS tp, count(*) FILTER (WHERE score >= threshold AND target = 0)::DOUBLE AS fp, count(*) FILTER (WHERE score < threshold AND target = 1)::DOUBLE AS fn,
+  count(*) FILTER (WHERE score < threshold AND target = 0)::DOUBLE AS tn FROM oof JOIN (UNPIVOT cuts ON critical_risk, urgent_risk, standard_risk INTO NAME tier VALUE threshold) USING (model, rep) GROUP BY ALL)
+SELECT model, rep, tier, round(tp / nullif(tp + fp, 0), 6) AS "precision", round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fn + fp, 0), 6) AS f1, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS mcc FROM cells""")
+def tier_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """MET-24, 28, EXT-09, 54: precision, recall, F1 and MCC at the tiers' thresholds."""
+    rows = oof(spark, folder)
+    cuts = dec.tier_thresholds(rows, K).unpivot(K, ["critical_risk", "urgent_risk", "standard_risk"], "tier", "threshold")
+    cells = rk.confusion(rows.join(cuts, K), [*K, "tier"], F.col("threshold"))
+    return rk.confusion_metrics(cells).select(*K, "tier", *r6("precision", "recall", "f1", "mcc"))
+
+
+@R.add(_AT + """
+SELECT model, rep, budget, CAST(tp AS BIGINT) AS tp, CAST(k - tp AS BIGINT) AS fp, CAST(n_pos - tp AS BIGINT) AS fn, CAST(n_rows - n_pos - k + tp AS BIGINT) AS tn, round(tp / k, 6) AS "precision", round(2 * tp / (k + n_pos), 6) AS f1, round((tp + n_rows - n_pos - k + tp) / n_rows, 6) AS accuracy FROM topk""")
+def budget_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    """MET-29: the four cells and their metrics at each budget, of every repeat."""
+    at = _budgets(spark, folder)
+    cells = at.select(*K, "budget", "tp", (F.col("k") - F.col("tp")).alias("fp"), (F.col("n_pos") - F.col("tp")).alias("fn"), (F.col("n_rows") - F.col("n_pos") - F.col("k") + F.col("tp")).alias("tn"))
+    return rk.confusion_metrics(cells).select(*K, "budget", "tp", "fp", "fn", "tn", *r6("precision", "f1", "accuracy"))
+
+
+@R.add(POINTS + """, long AS (SELECT model, 'ap' AS metric, ap AS value FROM ap UNION ALL SELECT model, 'roc_auc', roc_auc FROM ap UNION ALL SELECT model, 'brier', avg((score - target) ** 2) FROM oof GROUP BY model, rep)
+SELECT model, metric, count(*) AS n_repeats, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM long GROUP BY ALL""")
+def pooled_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-18: mean and deviation of the metrics over the repeats."""
+    rows = oof(spark, folder)
+    long = rk.average_precision_roc(rk.ranked_points(rows, K), K).unpivot(K, ["ap", "roc_auc"], "metric", "value").unionByName(rk.probability_quality(rows, K).unpivot(K, ["brier"], "metric", "value"))
+    return long.groupBy("model", "metric").agg(F.count(F.lit(1)).alias("n_repeats"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))

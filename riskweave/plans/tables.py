@@ -227,3 +227,50 @@ def compat_score(spark: SparkSession, folder: str) -> DataFrame:
     u = F.col("user_id")
     score = dr.compatibility(F.least(F.lit(1.0), u / 100.0), 0.5 + (u % 50) / 100.0, (u % 11) / 10.0, (u % 7) / 6.0)
     return grid(spark, folder).select("user_id", F.round(score, 6).alias("score"), dr.compatibility_band(score).alias("band"))
+
+
+_KS = """
+u AS (SELECT feature, value, count(*) FILTER (WHERE is_reference) AS a, count(*) FILTER (WHERE NOT is_reference) AS b FROM glong WHERE value IS NOT NULL GROUP BY ALL),
+c AS (SELECT feature, sum(a) OVER w / sum(a) OVER p AS fa, sum(b) OVER w / sum(b) OVER p AS fb FROM u WINDOW w AS (PARTITION BY feature ORDER BY value), p AS (PARTITION BY feature)), ks AS (SELECT feature, max(abs(fa - fb)) AS ks FROM c GROUP BY feature)
+"""
+
+
+@R.add(_REPORT + "," + _KS + """, span AS (SELECT feature, quantile_cont(value, 0.01) FILTER (WHERE is_reference) AS p1, quantile_cont(value, 0.99) FILTER (WHERE is_reference) AS p99, quantile_cont(value, 0.5) FILTER (WHERE NOT is_reference) AS m FROM glong GROUP BY feature)
+SELECT (SELECT round(max(psi), 6) FROM report) AS psi_max, (SELECT round(max(ks), 6) FROM ks) AS ks_max, (SELECT round(1 - avg(abs(missing_shift)), 6) FROM report) AS missing_consistency, (SELECT round(avg((m BETWEEN p1 AND p99)::INT), 6) FROM span) AS range_share,
+  (SELECT CASE WHEN count(*) FILTER (WHERE band = 'ALERT') > 0 THEN 'ALERT' WHEN count(*) FILTER (WHERE band = 'MODERATE') > 2 THEN 'MODERATE' ELSE 'STABLE' END FROM report) AS status""")
+def shield_report(spark: SparkSession, folder: str) -> DataFrame:
+    """LAB-05: a load against the reference in one row: drift, gap of distributions, gaps, ranges, status."""
+    long = cut_lineage(_glong(spark, folder))
+    report = cut_lineage(dr.drift_report(long))  # one row a feature
+    figures = report.agg(F.max("psi").alias("psi_max"), (1 - F.avg(F.abs("missing_shift"))).alias("missing_consistency"))
+    ks = pf.kolmogorov_smirnov(long, "is_reference").agg(F.max("ks").alias("ks_max"))
+    ranges = dr.range_coverage(long).agg(F.avg(F.col("is_inside").cast("double")).alias("range_share"))
+    one = figures.crossJoin(ks).crossJoin(ranges).crossJoin(dr.drift_status(report).select("status"))  # one row each
+    return one.select(*r6("psi_max", "ks_max", "missing_consistency", "range_share"), "status")
+
+
+@R.add(_GLONG + """
+, w AS (SELECT feature, min(value) - 0.2 * CASE WHEN max(value) - min(value) <= 0 THEN 1 ELSE max(value) - min(value) END AS lo, max(value) + 0.2 * CASE WHEN max(value) - min(value) <= 0 THEN 1 ELSE max(value) - min(value) END AS hi FROM glong WHERE is_reference GROUP BY feature),
+r AS (SELECT user_id, is_reference, avg((value IS NULL)::INT) AS missing, avg(coalesce(value < lo OR value > hi, false)::INT) AS violation_share FROM glong JOIN w USING (feature) GROUP BY ALL),
+b AS (SELECT avg(missing) AS mu, stddev_pop(missing) + 1e-12 AS sd FROM r WHERE is_reference)
+SELECT user_id % 5 = 0 AS is_positive, count(*) AS n, count(*) FILTER (WHERE (missing - mu) / sd > 4) AS n_gaps, count(*) FILTER (WHERE violation_share > 0.2) AS n_ranges FROM r, b GROUP BY 1""")
+def ood_lens(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-38: how many rows of each class the distribution checks mark, and by which ground."""
+    seen = dr.out_of_distribution(_glong(spark, folder), "user_id")
+    return seen.groupBy((F.col("user_id") % 5 == 0).alias("is_positive")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("missing_z") > dr.Z_LIMIT).alias("n_gaps"), F.count_if(F.col("violation_share") > dr.VIOLATION_SHARE).alias("n_ranges")
+    )
+
+
+@R.add(GRID + f", sided AS (SELECT user_id, held, user_id % 3 <> held AS is_reference, {', '.join(f'round({c}, 4) AS {c}' for c in _G)} FROM grid, range(3) h(held)), glong AS (SELECT held || '|' || feature AS feature, is_reference, value FROM (FROM sided UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_G)})))), " + _KS + """,
+g AS (SELECT feature, avg((value IS NULL)::INT) FILTER (WHERE NOT is_reference) - avg((value IS NULL)::INT) FILTER (WHERE is_reference) AS shift FROM glong GROUP BY feature)
+SELECT CAST(string_split(feature, '|')[1] AS INTEGER) AS held, round(max(ks), 6) AS ks_max, round(max(abs(shift)), 6) AS missing_shift FROM ks JOIN g USING (feature) GROUP BY 1""")
+def fold_shift(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-50: how each fold differs from the others: the largest gap of distributions and of missing shares."""
+    g = grid(spark, folder).select("user_id", *(F.round(c, 4).alias(c) for c in _G))
+    each = pf.long_form(g, _G, ["user_id"]).withColumn("held", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    sided = cut_lineage(each.select(F.concat_ws("|", F.col("held").cast("string"), "feature").alias("feature"), "value", (F.col("user_id") % 3 != F.col("held")).alias("is_reference")))
+    empty = lambda side: F.avg(F.when(F.col("is_reference") == side, F.col("value").isNull().cast("double")))
+    shift = sided.groupBy("feature").agg(F.abs(empty(False) - empty(True)).alias("shift"))
+    both = pf.kolmogorov_smirnov(sided, "is_reference").join(shift, "feature")
+    return both.groupBy(F.substring_index("feature", "|", 1).cast("int").alias("held")).agg(F.round(F.max("ks"), 6).alias("ks_max"), F.round(F.max("shift"), 6).alias("missing_shift"))

@@ -11,6 +11,7 @@ from ..operators import evidence as ev
 from ..operators import models as ml
 from ..operators import nested as ne
 from ..operators import profiling as pf
+from ..operators.splits import shuffle_sql
 from ..session import cut_lineage
 from .fixtures import GRID, OOF, WIDE, grid, oof, wide
 from .ranking import r6
@@ -101,10 +102,16 @@ def cohort_shape(spark: SparkSession, folder: str) -> DataFrame:
     return counts.groupBy("target").agg(F.sum("c").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"), F.max_by("nation", F.struct("c", -F.col("nation"))).alias("modal_value"), F.round(F.max("c") / F.sum("c"), 6).alias("modal_share"))
 
 
-@R.add()
+_DRAWN = WIDE + f"""
+, n AS (SELECT count(*) FILTER (WHERE target = 0) AS total, count(*) FILTER (WHERE target = 1) AS n_pos FROM wide), d AS (SELECT draw, nation FROM wide, range(200) r(draw), n WHERE target = 0 AND {shuffle_sql('row_index', 'draw + 9000')} < greatest(1, floor(n_pos / total * 2147483647.0::DOUBLE))),
+k AS (SELECT draw, nation, count(*) AS n FROM d GROUP BY ALL), shape AS (SELECT CAST(draw AS INTEGER) AS draw, count(*) AS n_distinct, max(n) / sum(n) AS modal_share FROM k GROUP BY draw)
+"""
+
+
+@R.add(_DRAWN + "SELECT draw, n_distinct, round(modal_share, 6) AS modal_share FROM shape")
 def concentration_control(spark: SparkSession, folder: str) -> DataFrame:
     """MISS-07: how concentrated 200 draws of the same size are by chance."""
-    return _draws(spark, folder)
+    return _draws(spark, folder).select("draw", "n_distinct", *r6("modal_share"))
 
 
 def _draws(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,12 +119,13 @@ def _draws(spark: SparkSession, folder: str) -> DataFrame:
     return ne.concentration_control(rows.where("target = 0").select("row_index", F.col("nation").alias("value")), rows.where("target = 1").count(), 200)
 
 
-@R.add()
+@R.add(_DRAWN + """, o AS (SELECT max(c) / sum(c) AS s FROM (SELECT nation, count(*) AS c FROM wide WHERE target = 1 GROUP BY nation))
+SELECT count(*) AS n_draws, count(*) FILTER (WHERE modal_share >= s) AS n_as_high, round((count(*) FILTER (WHERE modal_share >= s) + 1) / (count(*) + 1), 6) AS p FROM shape, o""")
 def concentration_p(spark: SparkSession, folder: str) -> DataFrame:
     """MISS-07: the empirical p of the positives' own concentration against these draws."""
     counts = wide(spark, folder).where("target = 1").groupBy("nation").agg(F.count(F.lit(1)).alias("c"))
     observed = counts.agg((F.max("c") / F.sum("c")).alias("s")).first()["s"] or 0.0  # one row
-    return ne.empirical_p(_draws(spark, folder), float(observed))
+    return ne.empirical_p(_draws(spark, folder), float(observed)).select("n_draws", "n_as_high", *r6("p"))
 
 
 @R.add(GRID + """
