@@ -9,10 +9,9 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 #: Texts that a CSV may use for a missing value, and the suffixes an upload may have (fixed values).
 NULL_TOKENS = ("NA", "N/A", "null", "")
@@ -102,46 +101,39 @@ def workbook_rows(data: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
             row.clear()
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class WorkbookSource(DataSource):
-    """spark.read.format("workbook").schema(...).load(path): the first sheet of each file, a partition a file, without the header row."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _WorkbookReader(schema, self.options)
-
-
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.width, self.paths, self.sheet = len(schema.fields), options["path"].split(","), int(options.get("sheet", 1))
-
-    def partitions(self):
-        return [_Files(p) for p in self.paths]
-
-    def read(self, partition: _Files):
-        with open(partition.path.removeprefix("file://"), "rb") as file:
-            rows = workbook_rows(file.read(), self.sheet)
-            next(rows, None)
-            for cells in rows:
-                if any(c is not None for c in cells):
-                    yield tuple((cells + [None] * self.width)[: self.width])
-
-
 def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """One sheet of a workbook as text columns."""
-    with open(path.removeprefix("file://"), "rb") as file:
-        header = next(workbook_rows(file.read(), sheet), [])
+    """One sheet of workbooks as text columns, a task a file, without the header row; files come through Spark, so any storage will do.
+
+    The header is that of the first file in order of path. Rows without a value are left out.
+    """
+    books = spark.read.format("binaryFile").load(path)
+    first = books.orderBy("path").select("content").first()
+    if first is None:
+        raise UploadError("the file is empty")
+    header = next(workbook_rows(bytes(first[0]), sheet), [])
     names = [c if c is not None else f"_c{i}" for i, c in enumerate(header)]
     check_header(names)
-    spark.dataSource.register(WorkbookSource)
-    df = spark.read.format("workbook").schema(", ".join(f"`{n}` string" for n in names)).option("sheet", sheet).load(path)
+    if not names:
+        raise UploadError("the file is empty")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(rows: list[list[str | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                held, cells = [], workbook_rows(content, sheet)
+                next(cells, None)
+                for row in cells:
+                    if any(c is not None for c in row):
+                        held.append((row + [None] * len(names))[: len(names)])
+                    if len(held) >= 10_000:
+                        yield emit(held)
+                        held = []
+                if held:
+                    yield emit(held)
+
+    df = books.select("content").mapInArrow(run, ", ".join(f"`{n}` string" for n in names))
     return df.select(*(F.when(~F.trim(F.col(f"`{n}`")).isin(*NULL_TOKENS), F.trim(F.col(f"`{n}`"))).alias(n) for n in names))
 
 
