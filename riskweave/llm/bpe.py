@@ -19,6 +19,8 @@ import os
 from array import array
 
 import regex
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 #: Split pattern of the byte_bpe vocabularies (fixed value).
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -202,12 +204,21 @@ class BytePairCodec:
 
 
 _CODECS: dict[str, BytePairCodec] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends a rank file along with the jobs of a session whose workers may lack it, and returns its path."""
+    if not spark.sparkContext.master.startswith("local") and path not in _SHIPPED:
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(path)
+    return path
 
 
 def codec(path: str = DEFAULT_VOCAB) -> BytePairCodec:
-    """The codec of a rank file, built once in a process."""
+    """The codec of a rank file, built once in a process; the file lies at its path, or was shipped."""
     if path not in _CODECS:
-        with open(path, "rb") as file:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
         _CODECS[path] = BytePairCodec(ranks)
     return _CODECS[path]

@@ -61,6 +61,17 @@ def p1_rank_check(spark: SparkSession, folder: str) -> DataFrame:
     return ranks.select("source_name", "metric", "n", "fraction", (F.col("is_whole") & (F.col("rank_error") <= sketches.RANK_ERROR)).alias("is_within"))
 
 
+def p1_month_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the percentiles of months, put together from the days' sketches, are within the stated rank error of the exact ones."""
+    keys = ["source_name", "month_start", "risk_tier"]
+    answers = cut_lineage(p1_month_percentiles(spark, folder))
+    rows = read_table(spark, folder, "scores").select(plain_source("source_name").alias("source_name"), F.trunc("screen_date", "month").alias("month_start"), plain_tier("risk_tier").alias("risk_tier"), *RANGES)
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), sketches.encoded(F.col(m), *span).alias("code")) for m, span in RANGES.items()))
+    exact = rows.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("code IS NOT NULL").groupBy(*keys, "metric", "code").agg(F.count(F.lit(1)).alias("n"))
+    ranks = sketches.exact_ranks(exact, answers, keys, RANGES, FRACTIONS)
+    return ranks.select(*keys, "metric", "n", "fraction", (F.col("is_whole") & (F.col("rank_error") <= sketches.RANK_ERROR)).alias("is_within"))
+
+
 def _scored(spark: SparkSession, folder: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     # the valid rows are counted and then filtered: stored once
     rows = cut_lineage(cutoffs.scored_rows(read_table(spark, folder, "scores"), *extra))
@@ -181,7 +192,7 @@ def p8_joints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p1_rank_check, p2_found, p2_cutoffs, p2_history, p2_fraction, p4_found, p4_nearest)
+    found = (p1_day_percentiles, p1_month_percentiles, p1_source_percentiles, p1_rank_check, p1_month_check, p2_found, p2_cutoffs, p2_history, p2_fraction, p4_found, p4_nearest)
     return {f.__name__: f for f in (*found, p6_ids, p6_round_trip, p7_found, p7_mixture, p7_shares, p7_checks, p8_found, p8_parts, p8_joints)}
 
 
@@ -206,12 +217,12 @@ placed AS (
 
 
 def _percentile_sql() -> str:
-    """Exact percentiles of the codes: what the sketches' sparse form gives (up to 4,096 distinct codes a group, as in the test tables)."""
+    """Exact percentiles of the codes: what the sketches' sparse form gives (up to 4,096 distinct codes a group, as in the days of the test tables)."""
     parts = []
-    for name, (low, high) in RANGES.items():
-        code = f"floor(({name} - {low}::DOUBLE) / {high - low}::DOUBLE * 1048575.0::DOUBLE + 0.5::DOUBLE)"
-        parts.append(f"SELECT source_name, screen_date, tier AS risk_tier, '{name}' AS metric, {code} AS code FROM every WHERE {name} IS NOT NULL AND NOT isnan({name}) AND {name} BETWEEN {low} AND {high}")
-    picked = ", ".join(f"0.0::DOUBLE + top * l[CAST(greatest(1, ceil({q}::DOUBLE * n - 1e-9::DOUBLE)) AS BIGINT)] / 1048575 AS {name}" for name, q in FRACTIONS.items())
+    for metric, (low, high) in RANGES.items():
+        code = f"floor(({metric} - {low}::DOUBLE) / {high - low}::DOUBLE * 1048575.0::DOUBLE + 0.5::DOUBLE)"
+        parts.append(f"SELECT source_name, screen_date, tier AS risk_tier, '{metric}' AS metric, {code} AS code FROM every WHERE {metric} IS NOT NULL AND NOT isnan({metric}) AND {metric} BETWEEN {low} AND {high}")
+    picked = ", ".join(f"0.0::DOUBLE + top * l[CAST(greatest(1, ceil({q}::DOUBLE * n - 1e-9::DOUBLE)) AS BIGINT)] / 1048575 AS {f}" for f, q in FRACTIONS.items())
     return f"""
 WITH every AS (SELECT lower(trim(source_name, {_BLANKS})) AS source_name, screen_date, regexp_replace(upper(trim(risk_tier, {_BLANKS})), '[\\s_-]+', '_', 'g') AS tier, calibrated_risk, anomaly_percentile FROM scores),
 codes AS ({" UNION ALL ".join(parts)}),
@@ -242,6 +253,11 @@ def oracle_sql() -> dict[str, str]:
 sized AS (SELECT source_name, 'calibrated_risk' AS metric, count(*) AS n FROM own WHERE NOT isnan(calibrated_risk) AND calibrated_risk BETWEEN 0 AND 1 GROUP BY ALL
   UNION ALL SELECT source_name, 'anomaly_percentile', count(*) FROM own WHERE NOT isnan(anomaly_percentile) AND anomaly_percentile BETWEEN 0 AND 100 GROUP BY ALL)
 SELECT source_name, metric, n, fraction, true AS is_within FROM sized, (VALUES {", ".join(f"('{f}')" for f in FRACTIONS)}) f(fraction) WHERE source_name IS NOT NULL""",
+        "p1_month_check": f"""
+WITH every AS (SELECT lower(trim(source_name, {_BLANKS})) AS source_name, CAST(date_trunc('month', screen_date) AS DATE) AS month_start, regexp_replace(upper(trim(risk_tier, {_BLANKS})), '[\\s_-]+', '_', 'g') AS risk_tier, calibrated_risk, anomaly_percentile FROM scores),
+sized AS (SELECT source_name, month_start, risk_tier, 'calibrated_risk' AS metric, count(*) AS n FROM every WHERE NOT isnan(calibrated_risk) AND calibrated_risk BETWEEN 0 AND 1 GROUP BY ALL
+  UNION ALL SELECT source_name, month_start, risk_tier, 'anomaly_percentile', count(*) FROM every WHERE NOT isnan(anomaly_percentile) AND anomaly_percentile BETWEEN 0 AND 100 GROUP BY ALL)
+SELECT source_name, month_start, risk_tier, metric, n, fraction, true AS is_within FROM sized, (VALUES {", ".join(f"('{f}')" for f in FRACTIONS)}) f(fraction) WHERE source_name IS NOT NULL AND month_start IS NOT NULL AND risk_tier IS NOT NULL""",
         "p6_round_trip": "SELECT count(*) AS n_docs, count(*) FILTER (WHERE coalesce(text, '') = '') AS n_empty, 0::BIGINT AS n_wrong FROM documents",
         "p7_checks": "SELECT source_name, true AS is_within, true AS is_capped_right FROM mix_targets",
         "p8_joints": "SELECT count(*) AS n_texts, 0::BIGINT AS n_faults FROM documents WHERE coalesce(text, '') <> ''",

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import DEFAULT_VOCAB, BytePairCodec, PrefixTable, codec
+from .bpe import DEFAULT_VOCAB, BytePairCodec, PrefixTable, codec, ship
 from .tokens import _slices, count_tokens
 
 #: Most tokens of a part.
@@ -207,6 +207,8 @@ def split_documents(
     Nothing is shuffled.
     """
 
+    ship(df.sparkSession, vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocab)
         for whole in batches:

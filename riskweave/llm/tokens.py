@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import DEFAULT_VOCAB, codec
+from .bpe import DEFAULT_VOCAB, codec, ship
 
 
 def _slices(batch: pa.RecordBatch, text: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -30,6 +30,8 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
     other columns are not read. Nothing is shuffled: each partition is encoded where it is read.
     """
 
+    ship(df.sparkSession, vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(vocab).encode
         for whole in batches:
@@ -50,6 +52,8 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """The `keep` columns of every row and n_tokens, the length of its encoding (0 for null and empty texts)."""
 
+    ship(df.sparkSession, vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = codec(vocab).count
         for whole in batches:
@@ -66,6 +70,8 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", vocab: str
 def decode_ids(df: DataFrame, keep: list[str], ids: str = "ids", vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """The `keep` columns of every row and decoded, the text of its ids (null ids give an empty text)."""
 
+    ship(df.sparkSession, vocab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(vocab).decode
         for batch in batches:
