@@ -112,12 +112,6 @@ def random_pairs(rows: DataFrame, key: str, values: list[str], n_rounds: int, se
     return each.withColumn("__h", h).withColumn("__p", F.pmod("__h", F.lit(pieces))).select("round", key, *values, *nxt).where(F.col(f"{key}_b").isNotNull())
 
 
-def checked(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """(check, n_violations, verdict): all assertions over a table in one pass."""
-    one = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()))
-    return one.unpivot([], list(checks), "check", "n_violations").withColumn("verdict", F.when(F.col("n_violations") == 0, "PASS").otherwise("FAIL"))
-
-
 def probe_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows that come first in hash order, in order of key."""
     return df.orderBy(shuffle_hash(F.col(key), seed), key).limit(n).orderBy(key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +77,18 @@ _FEATURES = ["price", "acctbal", "nation", "rare_flag"]
 
 @R.add()
 def oof_boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """OOF-01, 05..08: out-of-fold scores of boosted trees."""
+    """OOF-01, 05, 07, 08: out-of-fold scores of boosted trees."""
     rows = cut_lineage(wide(spark, folder).withColumn("fold", (F.col("row_index") % 3).cast("int")))
     return ml.out_of_fold(rows, _FEATURES, ml.boosted_trees, folds=3)
 
 
+@R.add()
+def oof_early_stopped(spark: SparkSession, folder: str) -> DataFrame:
+    """OOF-06: out-of-fold scores of boosted trees that stop when a fifth of the training rows no longer gains."""
+    rows = cut_lineage(wide(spark, folder).withColumn("fold", (F.col("row_index") % 3).cast("int")))
+    return ml.out_of_fold(rows, _FEATURES, partial(ml.boosted_trees, rounds=40, validation=0.2), folds=3)
+
+
 @R.add()
 def oof_logistic(spark: SparkSession, folder: str) -> DataFrame:
     """OOF-03/04: out-of-fold scores of a logistic regression."""

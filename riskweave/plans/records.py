@@ -106,9 +106,16 @@ def frame_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return a.crossJoin(b).select(((F.col("digest") == F.col("d2")) & (F.col("check") == F.col("c2"))).alias("same_in_any_order"), "n_rows")  # one row each
 
 
+@R.add("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || CASE WHEN c_nationkey % 5 <> 0 THEN ',"c_nationkey":' || c_nationkey ELSE '' END || '}') AS digest FROM customer""")
+def feature_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-17: the digest of each row's features as JSON, keys in order, nulls left out."""
+    rows = read_table(spark, folder, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey"))
+    return rows.select("c_custkey", store.fingerprint(["c_nationkey", "c_custkey"]).alias("digest"))
+
+
 @R.add("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """SV-08, REL-28, SRC-17: the last row of each key."""
+    """SV-08, REL-28: the last row of each key."""
     return store.latest(read_table(spark, folder, "events"), ["user_id", "event_type"], F.col("ts").desc(), F.col("event_id").desc()).select("user_id", "event_id", "event_type", "value")
 
 
