@@ -86,7 +86,7 @@ def missing_gloss(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add(GRID + "SELECT user_id, round(CASE WHEN TOT_TXNAMT_DB_L7D / (abs(TOT_TXNAMT_CR_L7D) + 1e-6) IS NOT NULL THEN least(greatest(TOT_TXNAMT_DB_L7D / (abs(TOT_TXNAMT_CR_L7D) + 1e-6), 0), 100) END, 6) AS MG_PASSTHROUGH_7D, CAST(CASE upper(trim(ACCT_OPN_BUCKET)) WHEN 'G365D' THEN 0 WHEN 'L180D' THEN 1 WHEN 'L31D' THEN 2 WHEN 'L365D' THEN 3 WHEN 'L7D' THEN 4 WHEN 'L90D' THEN 5 WHEN 'UNKNOWN' THEN 6 END AS DOUBLE) AS bucket_code FROM grid")
 def model_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """FW-04..08, PRJ-04, PROF-04, EXT-04/67/68, POL-10, SIM-29: derived features, the policy's columns, encoded."""
+    """FW-06..08, PRJ-04, EXT-04/67/68, POL-10, SIM-29: derived features, the policy's columns, encoded."""
     df = ft.fill_meta(grid(spark, folder)).withColumn("bucket", F.upper(F.trim("ACCT_OPN_BUCKET")))
     fw.assert_clean(df.columns, fw.Policy(hard=("F3912",)))
     coded = can.ordinal_encode(df, can.ordinal_levels(df, "bucket"), "bucket")
@@ -310,7 +310,7 @@ def busiest_minute(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add(OOF + "SELECT count(DISTINCT (model, rep)) AS n_runs, max(greatest(score, fold / 10.0::DOUBLE)) AS top, count(*) FILTER (WHERE score < 0.1) AS n_open FROM oof")
 def run_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """REL-16, 22, 23, UI-04, SV-07: distinct runs, a horizontal maximum, counts by a filter."""
+    """REL-16, 22: distinct runs, a horizontal maximum, counts by a filter."""
     rows = oof(spark, folder)
     return rows.agg(F.count_distinct(F.struct("model", "rep")).alias("n_runs"), F.max(F.greatest("score", F.col("fold") / 10.0)).alias("top"), F.count_if(F.col("score") < 0.1).alias("n_open"))
 

@@ -160,3 +160,34 @@ def ordered_top(spark: SparkSession, folder: str) -> DataFrame:
     """REL-18: the top rows of each group under a total order."""
     order = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber")
     return read_table(spark, folder, "lineitem").withColumn("place", F.row_number().over(order)).where("place <= 2").select("l_orderkey", "l_linenumber", "place")
+
+
+@R.add(OOF + "SELECT model, rep, count(*) FILTER (WHERE score >= 0.3) AS n_open, count(*) FILTER (WHERE score >= 0.6) AS n_above_monitor, round(max(score) FILTER (WHERE score >= 0.3), 6) AS top_risk FROM oof GROUP BY ALL")
+def case_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """UI-04, SV-07: open cases and those above the lowest tier, of every model and repeat."""
+    s = F.col("score")
+    return oof(spark, folder).groupBy(*K).agg(F.count_if(s >= 0.3).alias("n_open"), F.count_if(s >= 0.6).alias("n_above_monitor"), F.round(F.max(F.when(s >= 0.3, s)), 6).alias("top_risk"))
+
+
+@R.add("SELECT p_partkey, p_size, CASE p_size WHEN 1 THEN 'one' WHEN 7 THEN 'seven' WHEN 31 THEN 'month' END AS named FROM part")
+def mapped_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """REL-23: a dictionary laid over a column; values it lacks are null."""
+    names = F.create_map(*(F.lit(x) for pair in ((1, "one"), (7, "seven"), (31, "month")) for x in pair))
+    return read_table(spark, folder, "part").select("p_partkey", "p_size", F.try_element_at(names, F.col("p_size").cast("int")).alias("named"))
+
+
+@R.add("SELECT * FROM (VALUES ('clean', false), ('hard', true), ('conditional', true), ('fairness', true)) v(frame, is_refused)")
+def firewall_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """FW-04: frames that name a column of one of the policy's lists are refused, whichever list it is."""
+    from ..operators import firewall as fw
+
+    policy = fw.Policy(hard=("o_comment",), conditional=("o_clerk",), fairness=("o_orderpriority",))
+    columns = ["o_orderkey", "o_totalprice"]
+    found = []
+    for name, extra in (("clean", []), ("hard", ["o_comment"]), ("conditional", ["o_clerk"]), ("fairness", ["o_orderpriority"])):
+        try:
+            fw.assert_clean([*columns, *extra], policy)
+            found.append((name, False))
+        except ValueError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "frame string, is_refused boolean")
