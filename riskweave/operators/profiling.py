@@ -24,6 +24,7 @@ from .ranking import divide, pearson
 QUASI_CONSTANT, CORRELATION, SINGLE_AP, RECONSTRUCTION, AUC_EDGE, ID_RATIO, ID_VALUES, MOST_LEVELS = 0.99, 0.95, 0.90, 0.95, 0.999, 0.98, 1000, 25
 #: Rows up to which a column's distinct values are held as one piece, and pieces whose offsets are broadcast at most (40 bytes each).
 WHOLE_ROWS, MOST_PIECES = 2_000_000, 1_000_000
+_NUMERIC = re.compile("tinyint|smallint|int|bigint|float|double|decimal.*")
 QUANTILES = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
 
 
@@ -103,9 +104,8 @@ def value_pieces(df: DataFrame, columns: list[str], bits: int = 0) -> DataFrame:
             yield _held(done)
 
     kinds = dict(df.dtypes)
-    numeric = re.compile("tinyint|smallint|int|bigint|float|double|decimal.*")
     # numbers are converted where they are counted: a cast for each of thousands of columns costs the driver more
-    plain = [f"`{c}`" if numeric.fullmatch(kinds[c]) else F.col(f"`{c}`").cast("double") for c in columns]
+    plain = [f"`{c}`" if _NUMERIC.fullmatch(kinds[c]) else F.col(f"`{c}`").cast("double") for c in columns]
     return df.select(*plain).mapInArrow(count, _HELD_DDL).repartition("slot").sortWithinPartitions("slot").mapInArrow(merge, _HELD_DDL)
 
 
@@ -288,6 +288,71 @@ def single_feature_scores(long: DataFrame, folds: int, fold: str = "fold", targe
     return got.select("feature", F.explode(F.array(*fold_scores)).alias("s")).groupBy("feature").agg(F.avg("s.ap").alias("ap"), F.avg("s.auc").alias("auc"))
 
 
+def _ranking(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+    """Sums for AP and ROC-AUC of a column, highest value first and lowest value first, ties sharing a rank."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    starts = np.nonzero(np.concatenate(([True], x[1:] != x[:-1])))[0]
+    p, n = np.add.reduceat(y, starts), np.diff(np.append(starts, len(x)))
+    out = []
+    for a, b in ((p[::-1], n[::-1]), (p, n)):
+        cp, cn = np.cumsum(a), np.cumsum(b)
+        out += [float((a * cp / cn).sum()), float(((b - a) * (cp - a / 2)).sum())]
+    return tuple(out)
+
+
+def _fold_scores(x: np.ndarray, fold: np.ndarray, y: np.ndarray, folds: int) -> tuple[float | None, float | None]:
+    """Means over the held-out folds of AP and ROC-AUC of one whole column, as of `single_feature_scores`."""
+    lost, found = np.isnan(x), []
+    for held in range(folds):
+        own = fold == held
+        known = x[~own & ~lost]
+        filled = np.where(lost, np.median(known) if len(known) else 0.0, x)
+        pos, neg = y[own].sum(), (1 - y[own]).sum()
+        if not (pos and neg):
+            continue
+        up, _, down, _ = _ranking(filled[~own], y[~own]) if (~own).any() else (0.0, 0.0, 0.0, 0.0)
+        trained = y[~own].sum()
+        rises = not trained or round(up / trained, 12) >= round(down / trained, 12)
+        ap_up, roc_up, ap_down, roc_down = _ranking(filled[own], y[own])
+        found.append((ap_up / pos, roc_up / (pos * neg)) if rises else (ap_down / pos, roc_down / (pos * neg)))
+    return tuple(float(np.mean(c)) for c in zip(*found)) if found else (None, None)
+
+
+def column_scores(df: DataFrame, columns: list[str], folds: int, fold: str = "fold", target: str = "target") -> DataFrame:
+    """(feature, ap, auc) as of `single_feature_scores`, for the columns of a wide table.
+
+    Up to WHOLE_ROWS rows a column fits a task: its values travel as one block a batch, with no name and no
+    row for each cell. Beyond it columns are counted and ranked in pieces. Exact and equal both ways; rows
+    without a fold of 0..folds-1 or a label are left out.
+    """
+    rows = df.where(F.col(fold).between(0, folds - 1) & F.col(target).isin(0, 1))
+    if rows.limit(WHOLE_ROWS + 1).count() > WHOLE_ROWS:
+        return single_feature_scores(long_form(rows, columns, [fold, target]), folds, fold, target)
+    names, schema = list(columns), pa.schema([("slot", pa.int64()), ("held", pa.binary())])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = (batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False) * 2 + batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)).astype(np.int8).tobytes()
+            for at in range(0, len(names), 1000):
+                blocks = [batch.column(i).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).tobytes() + code for i in range(at, min(at + 1000, len(names)))]
+                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], schema=schema)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, blocks in key_runs(batches, "slot"):
+            parts = [(np.frombuffer(h, np.float64, len(h) // 9), np.frombuffer(h, np.int8, len(h) // 9, len(h) // 9 * 8)) for h in blocks["held"].to_pylist()]
+            x, code = (np.concatenate(c) for c in zip(*parts))
+            ap, auc = _fold_scores(x + 0.0, code // 2, (code % 2).astype(np.int64), folds)
+            yield pa.RecordBatch.from_arrays([pa.array([names[slot]]), pa.array([ap], pa.float64()), pa.array([auc], pa.float64())], names=["feature", "ap", "auc"])
+
+    kinds = dict(df.dtypes)
+    plain = [f"`{c}`" if _NUMERIC.fullmatch(kinds[c]) else F.col(f"`{c}`").cast("double") for c in columns]
+    blocks = rows.select(*plain, F.col(fold).cast("int").alias("__fold"), F.col(target).cast("int").alias("__target")).mapInArrow(cells, "slot bigint, held binary")
+    return blocks.repartition("slot").sortWithinPartitions("slot").mapInArrow(judge, "feature string, ap double, auc double")
+
+
 def leakage_flags(profile: DataFrame, correlation: DataFrame, single: DataFrame, reconstruction: DataFrame) -> DataFrame:
     """(feature, flags): the grounds on which a column may give the label away, joined by commas."""
     rows = profile.join(correlation.select("feature", "r"), "feature", "left").join(single, "feature", "left").join(reconstruction, "feature", "left")

@@ -97,7 +97,7 @@ single AS (SELECT feature, avg(ap) AS ap, avg(auc) AS auc FROM m JOIN best USING
 
 
 def _single(spark: SparkSession, folder: str) -> DataFrame:
-    return pf.single_feature_scores(_long(spark, folder).withColumn("fold", F.col("row_index") % 5), 5)
+    return pf.column_scores(wide(spark, folder).withColumn("fold", F.col("row_index") % 5), COLS, 5)
 
 
 @R.add(_SINGLE + "SELECT feature, round(ap, 6) AS ap, round(auc, 6) AS auc FROM single")

@@ -188,7 +188,7 @@ def test_profile_in_pieces_is_the_same(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("gap", [0.0, 0.3])
-def test_single_feature_scores_are_those_of_each_fold(spark, gap):
+def test_single_feature_scores_are_those_of_each_fold(spark, gap, monkeypatch):
     rng = random.Random(int(gap * 10))
     rows = [(i % 3, int(rng.random() < 0.2), None if rng.random() < gap else rng.choice([rng.gauss(5, 9), 4.0, -1.0])) for i in range(240)]
     df = spark.createDataFrame([("x", *r) for r in rows] + [("none", i % 3, int(i % 4 == 0), None) for i in range(24)], "feature string, fold int, target int, value double")
@@ -213,6 +213,11 @@ def test_single_feature_scores_are_those_of_each_fold(spark, gap):
     got = {r.feature: r for r in profiling.single_feature_scores(df, 3).collect()}
     assert (got["x"].ap, got["x"].auc) == pytest.approx((sum(w[0] for w in want) / 3, sum(w[1] for w in want) / 3))
     assert got["none"].auc == pytest.approx(0.5)
+    table = df.where("feature = 'x'").selectExpr("fold", "target", "value AS `a b`", "CAST(NULL AS DOUBLE) AS none", "CAST(value AS STRING) AS text")
+    for most in (2_000_000, 10):
+        monkeypatch.setattr(profiling, "WHOLE_ROWS", most)
+        wide = {r.feature: (r.ap, r.auc) for r in profiling.column_scores(table, ["a b", "none", "text"], 3).collect()}
+        assert wide["a b"] == wide["text"] == pytest.approx((got["x"].ap, got["x"].auc)) and wide["none"][1] == pytest.approx(0.5)
 
 
 def test_holdout_never_splits_a_group(spark):
