@@ -204,14 +204,15 @@ class BytePairCodec:
 
 
 _CODECS: dict[str, BytePairCodec] = {}
-_SHIPPED: set[str] = set()
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession, path: str) -> str:
     """Sends a rank file along with the jobs of a session whose workers may lack it, and returns its path."""
-    if not spark.sparkContext.master.startswith("local") and path not in _SHIPPED:
-        spark.sparkContext.addFile(path)
-        _SHIPPED.add(path)
+    context = spark.sparkContext
+    if not context.master.startswith("local") and (context.applicationId, path) not in _SHIPPED:
+        context.addFile(path)
+        _SHIPPED.add((context.applicationId, path))
     return path
 
 
