@@ -40,7 +40,7 @@ KEEP_SCORE = 0.6
 FLOWS = (1.0, 1.0, 0.1, 0.1, 0.05)
 #: Places in the signature of the names nested in a field.
 NESTED_BITS = 63
-#: Flooding stops when no score moves by more than this, or after so many rounds.
+#: Flooding stops when no score moves by more than this, or after so many rounds; what selection guarantees holds after any round.
 SETTLED, MOST_ROUNDS = 1e-4, 60
 #: Files whose wanted fields are broadcast at most (a few short names each).
 MOST_FILES = 50_000
