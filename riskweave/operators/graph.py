@@ -63,6 +63,11 @@ def edge_report(raw: DataFrame) -> DataFrame:
     )
 
 
+def availability(edges: DataFrame) -> DataFrame:
+    """One row (status, n_edges): AVAILABLE, or NO_EDGES where nothing was given or nothing is left after cleaning."""
+    return edges.agg(F.count(F.lit(1)).alias("n_edges")).select(F.when(F.col("n_edges") > 0, "AVAILABLE").otherwise("NO_EDGES").alias("status"), "n_edges")
+
+
 def account_metrics(edges: DataFrame) -> DataFrame:
     """(account, n_in, n_out, senders, recipients, value_in, value_out, passthrough, fan_ratio) of every account.
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as gv
 from ..operators import graph as g
+from ..operators import nested as ne
+from ..operators import profiling as pf
 from ..operators import ranking as rk
 from ..session import read_table, shared_checkpoint_dir
 from ..sources import files
-from .fixtures import EDGES, OOF, edges, oof
+from .fixtures import EDGES, OOF, WIDE, WIDE_COLUMNS, edges, oof, wide
 from .ranking import POINTS, r6
 from .registry import Registry
 
@@ -191,3 +193,40 @@ def firewall_refusals(spark: SparkSession, folder: str) -> DataFrame:
         except ValueError:
             found.append((name, True))
     return spark.createDataFrame(found, "frame string, is_refused boolean")
+
+
+@R.add("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def workbook_table(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-02: a sheet of a workbook made a Parquet table (of nation, a fixed table of 25 rows)."""
+    rows = read_table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").limit(1000)
+    out = _folder(spark, "book")
+    files.write_bytes(spark, f"{out}/nation.xlsx", files.workbook_bytes(rows.columns, [tuple(r) for r in rows.collect()]))
+    files.read_upload(spark, f"{out}/nation.xlsx").write.option("compression", "zstd").parquet(f"{out}/table")
+    return spark.read.parquet(f"{out}/table")
+
+
+@R.add(WIDE + "SELECT feature, count(*) AS n_rows, count(value) AS n_values, round(sum(value), 2) AS total FROM long GROUP BY feature")
+def float_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """PROF-04: all columns but the label as one numeric matrix, by its column sums."""
+    long = pf.long_form(wide(spark, folder), list(WIDE_COLUMNS), ["row_index"])
+    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@R.add(WIDE + """, m AS (SELECT row_index % 7 AS fold, feature, round(corr(value, target), 9) AS r FROM long WHERE feature IN ('price', 'acctbal', 'nation', 'rare_flag') GROUP BY ALL), k AS (SELECT feature, row_number() OVER (PARTITION BY fold ORDER BY abs(coalesce(r, 0)) DESC, feature) AS rank FROM m),
+f AS (SELECT feature, avg((rank <= 2)::INT) AS frequency FROM k GROUP BY feature)
+SELECT feature, round(frequency, 6) AS frequency FROM f WHERE frequency >= 0.4 ORDER BY frequency DESC, feature LIMIT 3""".replace("round(corr(value, target), 9)", "round(CASE WHEN isfinite(coalesce(corr(value, target), 'nan'::DOUBLE)) THEN corr(value, target) ELSE 0 END, 9)"))
+def stable_features(spark: SparkSession, folder: str) -> DataFrame:
+    """SPL-14, 16: the most frequent of the columns that are among the two best in two fifths of the folds."""
+    long = pf.long_form(wide(spark, folder), ["price", "acctbal", "nation", "rare_flag"], ["row_index", "target"]).withColumn("fold", F.col("row_index") % 7)
+    told = long.groupBy("fold", "feature").agg(F.round(F.coalesce(rk.pearson(F.col("value"), F.col("target").cast("double")), F.lit(0.0)), 9).alias("r"))
+    rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.abs("r").desc(), "feature"))  # one row a column
+    frequency = told.withColumn("rank", rank).groupBy("feature").agg(F.avg((F.col("rank") <= 2).cast("double")).alias("frequency"))
+    return ne.top_features(frequency, 3, 0.4).select("feature", *r6("frequency"))
+
+
+@R.add("SELECT 'none' AS given, 'NO_EDGES' AS status, 0::BIGINT AS n_edges UNION ALL SELECT 'events', 'AVAILABLE', count(*) FROM (" + EDGES + "SELECT * FROM edges)")
+def edge_availability(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-73: what the graph answers without edges, and with them."""
+    kept = g.clean_edges(edges(spark, folder))
+    none = g.availability(kept.limit(0)).select(F.lit("none").alias("given"), "*")
+    return none.unionByName(g.availability(kept).select(F.lit("events").alias("given"), "*"))

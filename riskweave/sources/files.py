@@ -137,6 +137,29 @@ def read_workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
     return df.select(*(F.when(~F.trim(F.col(f"`{n}`")).isin(*NULL_TOKENS), F.trim(F.col(f"`{n}`"))).alias(n) for n in names))
 
 
+def workbook_bytes(header: list[str], rows: list[tuple]) -> bytes:
+    """A workbook of one sheet with a header; values as text, empty cells for nulls."""
+    from xml.sax.saxutils import escape
+
+    def line(number: int, cells: list | tuple) -> str:
+        inner = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' if v is not None else "<c/>" for v in cells)
+        return f'<row r="{number}">{inner}</row>'
+
+    body = "".join(line(i, cells) for i, cells in enumerate([header, *rows], 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one small file through Spark's storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    stream.write(bytearray(data))
+    stream.close()
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(name, size, sha256) of every file of a path."""
     files = spark.read.format("binaryFile").load(path)
