@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import drift, models
-from .ranking import average_precision_roc, divide, pearson, ranked_points
+from .ranking import average_precision_roc, divide, pearson, ranked_points, ranked_rows
 from .similarity import euclidean, topk_in_blocks
 from .splits import MODULUS, numbered, shuffle_hash
 
@@ -118,8 +118,8 @@ def feature_stability(long: DataFrame, folds: int, frequencies: DataFrame, forbi
 
 
 def positive_removal(rows: DataFrame, features: list[str], scorer: Scorer, rounds: int = 3, share: float = 0.2, folds: int = 2) -> DataFrame:
-    """(round, ap, relative_drop): AP with a hash-chosen share of the positives left out of training, against round 0 with all."""
-    got = []
+    """(round, ap, relative_drop, steady): AP with a hash-chosen share of the positives left out of training, against round 0 with all, and the rank correlation of its scores with round 0's."""
+    got, first = [], None
     for r in range(rounds + 1):
         gone = (F.col("target") == 1) & (shuffle_hash(F.col("row_index"), 500 + r) < int(share * MODULUS)) & F.lit(r > 0)
         folded = rows.withColumn("fold", (shuffle_hash(F.col("row_index"), 77) % folds).cast("int"))
@@ -128,9 +128,12 @@ def positive_removal(rows: DataFrame, features: list[str], scorer: Scorer, round
             train = folded.where((F.col("fold") != f) & ~gone).withColumn("fold", F.lit(1))
             held = models.out_of_fold(train.unionByName(folded.where(F.col("fold") == f).withColumn("fold", F.lit(0))), features, scorer, folds=1)
             part = held if part is None else part.unionByName(held)
-        got.append((r, _ap(part)))
+        ranked = ranked_rows(part.withColumn("k", F.lit(1)), ["k"]).select("row_index", F.col("rn").cast("double").alias(f"r{r}"))
+        first = ranked if first is None else first
+        steady = 1.0 if r == 0 else first.join(ranked, "row_index").agg(pearson(F.col("r0"), F.col(f"r{r}")).alias("c")).first()["c"]
+        got.append((r, _ap(part), steady))
     base = got[0][1] or 1.0
-    return rows.sparkSession.createDataFrame([(r, ap, (base - ap) / base) for r, ap in got], "round int, ap double, relative_drop double")
+    return rows.sparkSession.createDataFrame([(r, ap, (base - ap) / base, None if c is None else float(c)) for r, ap, c in got], "round int, ap double, relative_drop double, steady double")
 
 
 def family_dropout(rows: DataFrame, families: dict[str, list[str]], scorer: Scorer, folds: int = 2) -> DataFrame:

@@ -34,7 +34,7 @@ def nested_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add()
 def selection_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    """SPL-13..15, EXT-02: how often a feature is among the best of 40 subsamples."""
+    """SPL-13, 15, EXT-02: how often a feature is among the best of 40 subsamples."""
     return ne.selection_frequencies(_rows(spark, folder), FEATURES, subsamples=40, top=2)
 
 
@@ -54,7 +54,7 @@ def fold_importances(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add()
 def positive_removal(spark: SparkSession, folder: str) -> DataFrame:
-    """NST-06: AP when positives are left out of training, in five rounds."""
+    """NST-06/07: AP and rank stability when positives are left out of training, in five rounds."""
     return ne.positive_removal(_rows(spark, folder), FEATURES, ml.logistic, rounds=5)
 
 
