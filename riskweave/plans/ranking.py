@@ -368,7 +368,7 @@ SELECT rep, row_index, round(sum(weight * score), 6) AS score FROM oof JOIN w US
 def blend_perf_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """ENS-04: scores weighted by what each model gains over prevalence."""
     weights = dec.performance_weights(rk.average_precision_roc(_points(spark, folder), K), ["rep"])
-    return dec.weighted_blend(oof(spark, folder), weights, ["rep"]).select("rep", "row_index", *r6("score"))
+    return dec.weighted_blend(oof(spark, folder), F.broadcast(weights), ["rep"]).select("rep", "row_index", *r6("score"))  # one row a model and repeat
 
 
 @R.add(POINTS + "SELECT rep, arg_max(model, (round(ap, 9), -ascii(right(model, 1)))) AS model, round(max(ap), 6) AS ap FROM ap GROUP BY rep")
