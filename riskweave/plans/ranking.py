@@ -127,7 +127,7 @@ def ece_quantile(spark: SparkSession, folder: str) -> DataFrame:
     """MET-17: calibration error in bins of equal size."""
     rows = oof(spark, folder)
     edges = rows.groupBy(*K).agg(F.array_distinct(F.percentile("score", F.array(*(F.lit(i / 10) for i in range(11))))).alias("edges"))
-    return rk.calibration_error(rk.binned_calibration(rows.join(edges, K), K, F.col("edges")), K).select(*K, *r6("ece", "mce"))
+    return rk.calibration_error(rk.binned_calibration(rows.join(F.broadcast(edges), K), K, F.col("edges")), K).select(*K, *r6("ece", "mce"))  # one row a model and repeat
 
 
 _CELLS = OOF + """
