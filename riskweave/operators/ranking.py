@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score buckets of a ranking.
-BUCKETS = 1024
+from ..session import checked_broadcast
+
+#: Score buckets of a ranking, and distinct scores of all rankings that may be broadcast.
+BUCKETS, MOST_SCORES = 1024, 500_000
 #: Review budgets, false-positive targets and catch shares (fixed values).
 BUDGETS = (10, 18, 25, 50, 100)
 FPR_TARGETS = (0.005, 0.01)
@@ -193,13 +195,22 @@ def ordinal_percentile(rows: DataFrame, keys: list[str], score: str = "score", t
     return ranked.withColumn("pct_rank", F.coalesce(divide(F.col("rn") - 1.0, F.col("n_rows") - 1), F.lit(0.0)))
 
 
-def average_rank_percentile(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target") -> DataFrame:
+def join_scores(rows: DataFrame, shares: DataFrame, keys: list[str], score: str, settle) -> DataFrame:
+    """The rows with what shares, (keys, score, ...), has for their score.
+
+    shares has one row a distinct score: few are sent around, else both sides are shuffled. The rows
+    are never sent, whatever size Spark takes them for (it counts rows that an explode makes as one).
+    """
+    return rows.hint("merge").join(checked_broadcast(settle(shares), MOST_SCORES), [*keys, score])
+
+
+def average_rank_percentile(rows: DataFrame, keys: list[str], settle, score: str = "score", target: str = "target") -> DataFrame:
     """The rows with percentile, 100 * average rank / n from the lowest score; equal scores share it."""
     points = ranked_points(rows, keys, score, target)
     totals = points.groupBy(*keys).agg(F.max("cum_n").alias("__n"))
     rank = F.col("__n") - F.col("cum_n") + (F.col("n") + 1) / 2.0
     shares = points.join(totals, keys).select(*keys, F.col("score").alias(score), (rank / F.col("__n") * 100.0).alias("percentile"))
-    return rows.join(shares, [*keys, score])
+    return join_scores(rows, shares, keys, score, settle)
 
 
 def rank_stability(rows: DataFrame, keys: list[str], budgets: tuple[int, ...] = BUDGETS, rep: str = "rep", row: str = "row_index") -> DataFrame:

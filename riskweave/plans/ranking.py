@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import capacity as cap
 from ..operators import decisions as dec
 from ..operators import ranking as rk
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from .fixtures import OOF, oof
 from .registry import Registry
 
@@ -400,7 +400,7 @@ _PCT = OOF + """
 @R.add(_PCT + "SELECT model, rep, row_index, round(percentile, 6) AS percentile FROM pct")
 def label_noise_percentile(spark: SparkSession, folder: str) -> DataFrame:
     """LN-01, MET-35, REL-11: average-rank percentile."""
-    return rk.average_rank_percentile(oof(spark, folder), K).select(*K, "row_index", *r6("percentile"))
+    return rk.average_rank_percentile(oof(spark, folder), K, cut_lineage).select(*K, "row_index", *r6("percentile"))
 
 
 @R.add(_PCT + """
@@ -411,7 +411,7 @@ SELECT row_index, target, round(mean_percentile, 6) AS mean_percentile, round(mi
 FROM rows WHERE target = 1 AND share_low >= 0.1::DOUBLE OR target = 0 AND share_high >= 0.1::DOUBLE""")
 def label_noise_audit(spark: SparkSession, folder: str) -> DataFrame:
     """LN-02: rows whose rank contradicts their label in most evaluations."""
-    out = dec.label_audit(rk.average_rank_percentile(oof(spark, folder), K), agreement=0.1)
+    out = dec.label_audit(rk.average_rank_percentile(oof(spark, folder), K, cut_lineage), agreement=0.1)
     return out.select("row_index", "target", *r6("mean_percentile", "min_percentile", "max_percentile", "mean_score"), "n_evaluations", *r6("share_low", "share_high"), "flag")
 
 
