@@ -53,14 +53,14 @@ def escalation_confidence(conformal: Column, agreement: Column, strong_business:
     return F.when(steps == 0, "HIGH").when(steps == 1, "MEDIUM").otherwise("LOW")
 
 
-def percentile_band(rows: DataFrame, keys: list[str], score: str, cuts: tuple[tuple[float, str], ...], otherwise: str) -> DataFrame:
+def percentile_band(rows: DataFrame, keys: list[str], score: str, cuts: tuple[tuple[float, str], ...], otherwise: str, settle) -> DataFrame:
     """The rows with band by the share of scores at or below theirs."""
     points = rk.ranked_points(rows.withColumn("__t", F.lit(0)), keys, score, "__t")
     totals = points.groupBy(*keys).agg(F.max("cum_n").alias("__all"))
     share = (F.col("__all") - F.col("cum_n") + F.col("n")) / F.col("__all")
     placed = points.join(totals, keys) if keys else points.crossJoin(totals)
     banded = placed.select(*keys, F.col("score").alias(score), reduce(lambda rest, c: F.when(share >= c[0], c[1]).otherwise(rest), reversed(cuts), F.lit(otherwise)).alias("band"))
-    return rows.join(banded, [*keys, score])
+    return rk.join_scores(rows, banded, keys, score, settle)
 
 
 def thinned_grid(points: DataFrame, keys: list[str], size: int) -> DataFrame:

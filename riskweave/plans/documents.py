@@ -164,7 +164,7 @@ SELECT model, rep, CASE WHEN p >= 0.8 THEN 'STRONG' WHEN p >= 0.5 THEN 'SOME' EL
 def percentile_bands(spark: SparkSession, folder: str) -> DataFrame:
     """EXT-40, REL-19: bands by the share of scores at or below."""
     rows = oof(spark, folder).select(*K, "row_index", "score")
-    return sc.percentile_band(rows, K, "score", ((0.8, "STRONG"), (0.5, "SOME")), "LITTLE").groupBy(*K, "band").agg(F.count(F.lit(1)).alias("n"))
+    return sc.percentile_band(rows, K, "score", ((0.8, "STRONG"), (0.5, "SOME")), "LITTLE", cut_lineage).groupBy(*K, "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PAIRS = f"""
