@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import divide, ordinal_percentile, ranked_rows
+from .ranking import divide, ordinal_percentile, ranked_points
 
 #: Miscoverage of the conformal sets (fixed value).
 ALPHA = 0.10
@@ -15,11 +15,15 @@ def conformal_quantiles(rows: DataFrame, keys: list[str], alpha: float = ALPHA,
     """(keys, q_pos, q_neg): per class the ceil((n+1)(1-alpha))-th smallest nonconformity, at most the n-th; 1.0 for an empty class.
 
     Nonconformity is 1 - p for positives and p for negatives: an order statistic, not interpolated.
+    Equal values are counted first: ties don't change the value at a place.
     """
     odd = F.when(F.col(target) == 1, 1 - F.col(score)).otherwise(F.col(score))
-    ranked = ranked_rows(rows.select(*keys, F.col(target).alias("__y"), odd.alias("__s"), "row_index"), [*keys, "__y"], "__s", "row_index", ascending=True)
+    own = [*keys, "__y"]
+    points = ranked_points(rows.select(*keys, F.col(target).alias("__y"), odd.alias("__s")), own, "__s", "__y")
+    totals = points.groupBy(*own).agg(F.max("cum_n").alias("n_rows"))
     k = F.least(F.ceil((F.col("n_rows") + 1) * F.lit(1 - alpha)), F.col("n_rows"))
-    cut = ranked.where(F.col("rn") == k)
+    below = F.col("n_rows") - F.col("cum_n")  # values below this one
+    cut = points.join(totals, own).where((below < k) & (k <= below + F.col("n"))).select(*own, F.col("score").alias("__s"))
     one = F.lit(1.0)
     return cut.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("__y") == 1, F.col("__s"))), one).alias("q_pos"), F.coalesce(F.max(F.when(F.col("__y") == 0, F.col("__s"))), one).alias("q_neg")
@@ -44,13 +48,18 @@ def conformal_coverage(rows: DataFrame, keys: list[str], score: str = "score", t
 
 
 def tier_thresholds(rows: DataFrame, keys: list[str], critical: int = 25, urgent: int = 100, recall: float = 0.90, score: str = "score", target: str = "target") -> DataFrame:
-    """(keys, critical_risk, urgent_risk, standard_risk): order statistics of the scores; standard never above urgent."""
-    ranked = ranked_rows(rows, keys, score)
-    at = lambda k: F.max(F.when(F.col("rn") == F.least(F.lit(k), F.col("n_rows")), F.col(score)))
-    top = ranked.groupBy(*keys).agg(at(critical).alias("critical_risk"), at(urgent).alias("urgent_risk"))
-    low = ranked_rows(rows.where(F.col(target) == 1), keys, score, ascending=True)
-    skip = F.greatest(F.floor(F.lit(1 - recall) * F.col("n_rows")), F.lit(0)) + 1
-    standard = low.where(F.col("rn") == skip).groupBy(*keys).agg(F.max(score).alias("s"))
+    """(keys, critical_risk, urgent_risk, standard_risk): order statistics of the scores; standard never above urgent.
+
+    Equal scores are counted first: ties don't change the score at a place.
+    """
+    points = ranked_points(rows, keys, score, target)
+    at = lambda k: F.coalesce(F.max(F.when(F.col("cum_n") >= k, F.col("score"))), F.min("score"))
+    top = points.groupBy(*keys).agg(at(critical).alias("critical_risk"), at(urgent).alias("urgent_risk"))
+    totals = points.groupBy(*keys).agg(F.max("cum_p").alias("n_pos"))
+    skip = F.greatest(F.floor(F.lit(1 - recall) * F.col("n_pos")), F.lit(0)) + 1
+    below = F.col("n_pos") - F.col("cum_p")  # positives with lower scores
+    low = points.where("p > 0").join(totals, keys)
+    standard = low.where((below < skip) & (skip <= below + F.col("p"))).groupBy(*keys).agg(F.max("score").alias("s"))
     return top.join(standard, keys, "left").select(*keys, "critical_risk", "urgent_risk", F.least(F.coalesce("s", F.lit(0.5)), F.col("urgent_risk")).alias("standard_risk"))
 
 

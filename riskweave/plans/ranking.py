@@ -302,7 +302,7 @@ def conformal_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sets(spark: SparkSession, folder: str) -> DataFrame:
     rows = oof(spark, folder)
-    named = rows.join(dec.conformal_quantiles(rows, K), K)
+    named = rows.join(F.broadcast(dec.conformal_quantiles(rows, K)), K)  # one row a model and repeat
     return named.withColumn("conformal", dec.conformal_set(F.col("score"), F.col("q_pos"), F.col("q_neg")))
 
 
