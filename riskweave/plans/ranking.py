@@ -330,7 +330,7 @@ SELECT model, rep, tier, count(*) AS n, round(avg(CASE WHEN row_index % 3 = 0 TH
 def policy_decide(spark: SparkSession, folder: str) -> DataFrame:
     """POL-01/04: tiers by precedence, with a bounded dampening of the score."""
     rows = oof(spark, folder)
-    named = _sets(spark, folder).join(dec.tier_thresholds(rows, K), K)
+    named = _sets(spark, folder).join(F.broadcast(dec.tier_thresholds(rows, K)), K)  # one row a model and repeat
     i, c = F.col("row_index"), F.col
     ood = F.when(i % 53 == 0, "OUT_OF_DISTRIBUTION").otherwise("IN_DISTRIBUTION")
     anomaly = F.when(i % 10 != 0, (i % 1000) / 10.0)
