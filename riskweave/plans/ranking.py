@@ -201,9 +201,9 @@ FROM oof JOIN (UNPIVOT cuts ON critical_risk, urgent_risk, standard_risk INTO NA
 def locate_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """MET-21, CAP-10: where the tiers' thresholds sit."""
     rows = oof(spark, folder)
-    cuts = dec.tier_thresholds(rows, K).unpivot(K, ["critical_risk", "urgent_risk", "standard_risk"], "tier", "threshold")
+    cuts = dec.tier_thresholds(rows, K).unpivot(K, ["critical_risk", "urgent_risk", "standard_risk"], "tier", "threshold")  # three rows a model and repeat
     hit = F.col("score") >= F.col("threshold")
-    out = rows.join(cuts, K).groupBy(*K, "tier", "threshold").agg(F.count_if(hit).alias("n_alerts"), F.count_if(hit & (F.col("target") == 1)).alias("tp"), F.sum("target").alias("P"))
+    out = rows.join(F.broadcast(cuts), K).groupBy(*K, "tier", "threshold").agg(F.count_if(hit).alias("n_alerts"), F.count_if(hit & (F.col("target") == 1)).alias("tp"), F.sum("target").alias("P"))
     return out.select(*K, "tier", "threshold", "n_alerts", "tp", F.round(rk.divide(F.col("tp"), F.col("P")), 6).alias("recall"))
 
 
