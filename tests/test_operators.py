@@ -131,6 +131,23 @@ def test_cycles_of_every_account(spark):
     assert len(rows) == len({r.account for r in rows}) and {r.account: r.length for r in rows} == _cycle_truth(pairs, 6)
 
 
+def test_cycles_of_seeds_stop_where_they_are_found(spark):
+    tree = {("s", f"t{i}") for i in range(8)} | {(f"t{i}", f"t{i}{j}") for i in range(8) for j in range(8)} | {(f"t{i}{j}", f"t{i}{j}{k}") for i in range(8) for j in range(8) for k in range(8)}
+    mixed = {(f"m{i}", f"m{(i * 7 + k * k + 1) % 40}") for i in range(40) for k in range(i % 3)}
+    pairs = {(a, b) for a, b in tree | {("s", "u"), ("u", "s")} | mixed if a != b}
+    e, written = edges(spark, [(a, b, 1.0, None) for a, b in sorted(pairs)]), []
+
+    def settle(df):
+        out = cut_lineage(df)
+        written.append(out.count())
+        return out
+
+    asked = ["s", "zz", *(f"m{i}" for i in range(0, 40, 5))]
+    got = [tuple(r) for r in graph.shortest_cycles(e, spark.createDataFrame([(a,) for a in asked], "a string"), settle).collect()]
+    assert sorted(got) == sorted((a, n) for a, n in _cycle_truth(pairs, 6).items() if a in asked)
+    assert max(written[1:]) < 120  # the links come first; the tree has 584 accounts
+
+
 def test_patterns_name_circular_flow(spark):
     from riskweave.plans import core
     from tests.helpers.compare import SMALL
