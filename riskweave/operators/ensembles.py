@@ -71,9 +71,12 @@ def predict_logistics(rows: DataFrame, fits: DataFrame, keys: list[str], feature
     return rows.join(F.broadcast(named), _same(keys), "left").withColumn(name, 1 / (1 + F.exp(-z))).drop("w", *(f"__{k}" for k in keys))  # one row a group
 
 
-def platt_fits(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target") -> DataFrame:
-    """(keys, a, b): slope and intercept on the log odds of the scores, of every group; equal rows are counted first."""
-    points = rows.groupBy(*keys, score, target).agg(F.count(F.lit(1)).alias("n")).withColumn("z", logit(F.col(score)))
+def platt_fits(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target", weight: str | None = None, settle=lambda df: df) -> DataFrame:
+    """(keys, a, b): slope and intercept on the log odds of the scores, of every group; equal rows are counted first.
+
+    weight: how often a row counts. settle stores the counts, which every step of the fit reads.
+    """
+    points = settle(rows.groupBy(*keys, score, target).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).withColumn("z", logit(F.col(score))))
     return fit_logistics(points, keys, ["z"], target=target, n="n").select(*keys, F.col("w")[1].alias("a"), F.col("w")[0].alias("b"))
 
 

@@ -44,22 +44,24 @@ def platt_apply(score: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(a * logit(score) + b)))
 
 
-def isotonic_apply(rows: DataFrame, train: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    """The rows with calibrated, by isotonic regression on train, within 0..1."""
+def isotonic_apply(rows: DataFrame, train: DataFrame, score: str = "score", target: str = "target", weight: str | None = None) -> DataFrame:
+    """The rows with calibrated, by isotonic regression on train, within 0..1; weight: how often a row of train counts."""
     fit = VectorAssembler(inputCols=[score], outputCol="__x")
-    model = IsotonicRegression(featuresCol="__x", labelCol="label", predictionCol="calibrated").fit(fit.transform(train.select(score, F.col(target).cast("double").alias("label"))))
+    many = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    learner = IsotonicRegression(featuresCol="__x", labelCol="label", predictionCol="calibrated", weightCol="weight")
+    model = learner.fit(fit.transform(train.select(score, F.col(target).cast("double").alias("label"), many.alias("weight"))))
     return model.transform(fit.transform(rows)).drop("__x").withColumn("calibrated", F.least(F.greatest("calibrated", F.lit(0.0)), F.lit(1.0)))
 
 
-def cross_fitted(rows: DataFrame, method: str, fold: str = "fold", folds: int = 5, score: str = "score", target: str = "target") -> DataFrame:
-    """The rows with calibrated: each fold by a calibrator of the others."""
+def cross_fitted(rows: DataFrame, method: str, fold: str = "fold", folds: int = 5, score: str = "score", target: str = "target", weight: str | None = None) -> DataFrame:
+    """The rows with calibrated: each fold by a calibrator of the others; weight, how often a row counts, is for isotonic."""
     out = None
     for f in range(folds):
         train, held = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
         if method == "platt":
             part = held.withColumn("calibrated", platt_apply(F.col(score), *platt_fit(train, score, target)))
         else:
-            part = isotonic_apply(held, train, score, target)
+            part = isotonic_apply(held, train, score, target, weight)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -146,16 +146,23 @@ def confusion_metrics(cells: DataFrame) -> DataFrame:
     })
 
 
-def binned_calibration(rows: DataFrame, keys: list[str], edges: list[float] | Column, right_closed: bool = False, score: str = "score", target: str = "target") -> DataFrame:
+def _mean(value: Column, weight: str | None) -> Column:
+    """The mean of the rows that have a value; weight: a column of how often a row counts."""
+    return F.avg(value) if weight is None else divide(F.sum(value * F.col(weight)), F.sum(F.when(value.isNotNull(), F.col(weight))))
+
+
+def binned_calibration(rows: DataFrame, keys: list[str], edges: list[float] | Column, right_closed: bool = False, score: str = "score", target: str = "target", weight: str | None = None) -> DataFrame:
     """(keys, bin, n, mean_score, rate) of probabilities in bins between edges; the outer bins take in their ends.
 
-    edges: literal edges, or an array column. Left-closed bins by default.
+    edges: literal edges, or an array column. Left-closed bins by default. weight: how often a row counts.
     """
     s = F.col(score)
     inner = F.slice(edges, 2, F.size(edges) - 2) if isinstance(edges, Column) else F.array(*(F.lit(e) for e in edges[1:-1]))
     above = (lambda e: e < s) if right_closed else (lambda e: e <= s)
     at = F.size(F.filter(inner, above)).alias("bin")
-    return rows.select(*keys, at, s.alias("__s"), F.col(target).cast("double").alias("__y")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("__s").alias("mean_score"), F.avg("__y").alias("rate"))
+    own = [] if weight is None else [weight]
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return rows.select(*keys, *own, at, s.alias("__s"), F.col(target).cast("double").alias("__y")).groupBy(*keys, "bin").agg(n.alias("n"), _mean(F.col("__s"), weight).alias("mean_score"), _mean(F.col("__y"), weight).alias("rate"))
 
 
 def calibration_error(bins: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,11 +171,11 @@ def calibration_error(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.groupBy(*keys).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def probability_quality(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target") -> DataFrame:
-    """(keys, brier, log_loss, base_brier, brier_skill): probabilities clipped to 1e-15 from the ends for the log."""
+def probability_quality(rows: DataFrame, keys: list[str], score: str = "score", target: str = "target", weight: str | None = None) -> DataFrame:
+    """(keys, brier, log_loss, base_brier, brier_skill): probabilities clipped to 1e-15 from the ends for the log. weight: how often a row counts."""
     y, s = F.col(target).cast("double"), F.col(score)
     p = F.least(F.greatest(s, F.lit(1e-15)), F.lit(1 - 1e-15))
-    out = rows.groupBy(*keys).agg(F.avg((s - y) ** 2).alias("brier"), (-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), F.avg(y).alias("__base"))
+    out = rows.groupBy(*keys).agg(_mean((s - y) ** 2, weight).alias("brier"), (-_mean(y * F.log(p) + (1 - y) * F.log(1 - p), weight)).alias("log_loss"), _mean(y, weight).alias("__base"))
     base = F.col("__base") * (1 - F.col("__base"))
     return out.select(*keys, "brier", "log_loss", base.alias("base_brier"), (1 - divide(F.col("brier"), base)).alias("brier_skill"))
 

@@ -50,19 +50,22 @@ def platt_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _methods(spark: SparkSession, folder: str) -> DataFrame:
-    """(model, method, brier, ece) of raw, Platt and isotonic scores, cross-fitted by fold over all repeats."""
-    rows = cut_lineage(oof(spark, folder))
+    """(model, method, brier, ece) of raw, Platt and isotonic scores, cross-fitted by fold over all repeats.
+
+    Equal rows are counted in one scan; fits and metrics take the counts.
+    """
+    rows = cut_lineage(oof(spark, folder).groupBy("model", "fold", "target", "score").agg(F.count(F.lit(1)).alias("n")))
     spread = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("held <> fold")
-    fits = en.platt_fits(spread, ["model", "held"]).withColumnRenamed("held", "fold")
-    parts = [rows.select("model", F.lit("raw").alias("method"), "target", "score")]
-    parts.append(rows.join(F.broadcast(fits), ["model", "fold"]).select("model", F.lit("platt").alias("method"), "target", ml.platt_apply(F.col("score"), F.col("a"), F.col("b")).alias("score")))  # 15 rows
+    fits = en.platt_fits(spread, ["model", "held"], weight="n", settle=cut_lineage).withColumnRenamed("held", "fold")
+    parts = [rows.select("model", F.lit("raw").alias("method"), "target", "n", "score")]
+    parts.append(rows.join(F.broadcast(fits), ["model", "fold"]).select("model", F.lit("platt").alias("method"), "target", "n", ml.platt_apply(F.col("score"), F.col("a"), F.col("b")).alias("score")))  # 15 rows
     for model in ("m_a", "m_b", "m_c"):
-        own = ml.cross_fitted(rows.where(F.col("model") == model), "isotonic")
-        parts.append(own.select("model", F.lit("isotonic").alias("method"), "target", F.col("calibrated").alias("score")))
+        own = ml.cross_fitted(rows.where(F.col("model") == model), "isotonic", weight="n")
+        parts.append(own.select("model", F.lit("isotonic").alias("method"), "target", "n", F.col("calibrated").alias("score")))
     every = cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]))
     keys = ["model", "method"]
-    ece = rk.calibration_error(rk.binned_calibration(every, keys, UNIFORM_EDGES), keys).select(*keys, "ece")
-    return cut_lineage(rk.probability_quality(every, keys).select(*keys, "brier").join(ece, keys))
+    ece = rk.calibration_error(rk.binned_calibration(every, keys, UNIFORM_EDGES, weight="n"), keys).select(*keys, "ece")
+    return cut_lineage(rk.probability_quality(every, keys, weight="n").select(*keys, "brier").join(ece, keys))
 
 
 @R.add()

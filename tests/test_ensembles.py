@@ -52,6 +52,22 @@ def test_out_of_fold_predictions_use_the_other_folds(spark):
                 assert got[r[0]] == pytest.approx(1 / (1 + math.exp(-w[0] - w[1] * r[3])), abs=1e-6)
 
 
+def test_counted_rows_give_the_fits_and_metrics_of_all(spark):
+    from riskweave.operators import models, ranking
+
+    rng = np.random.default_rng(6)
+    rows = [("a", i % 3, int(rng.random() < 0.1 + 0.06 * s), s / 10) for i, s in enumerate(rng.integers(0, 10, 300).tolist())]
+    every = spark.createDataFrame(rows, "k string, fold int, target int, score double")
+    counted = every.groupBy("k", "fold", "target", "score").agg(F.count(F.lit(1)).alias("n"))
+    one = lambda df: [v for r in df.orderBy(*df.columns[:2]).collect() for v in r[1:]]
+    assert one(ensembles.platt_fits(counted, ["k"], weight="n", settle=cut_lineage)) == pytest.approx(one(ensembles.platt_fits(every, ["k"])), abs=1e-9)
+    assert one(ranking.probability_quality(counted, ["k"], weight="n")) == pytest.approx(one(ranking.probability_quality(every, ["k"])), abs=1e-12)
+    edges = [0.0, 0.35, 0.65, 1.0]
+    assert one(ranking.binned_calibration(counted, ["k"], edges, weight="n")) == pytest.approx(one(ranking.binned_calibration(every, ["k"], edges)), abs=1e-12)
+    fits = [{(r.fold, r.score): r.calibrated for r in models.cross_fitted(df, "isotonic", folds=3, weight=w).collect()} for df, w in ((every, None), (counted, "n"))]
+    assert fits[0] == pytest.approx(fits[1], abs=1e-12)
+
+
 def test_isotonic_only_if_both_improve(spark):
     rows = [("a", "platt", 0.10, 0.10), ("a", "isotonic", 0.09, 0.09), ("b", "platt", 0.10, 0.10), ("b", "isotonic", 0.05, 0.099), ("c", "platt", 0.1, 0.1), ("d", "platt", 0.0, 0.1), ("d", "isotonic", 0.0, 0.01)]
     df = spark.createDataFrame(rows, "model string, method string, brier double, ece double")
